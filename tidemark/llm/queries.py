@@ -6,16 +6,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sentencepiece
 from .common import table
+from .exact_dedup import exact_dedup
 from .suffix_dedup import suffix_dedup
+from .token_scan import document_token_counts
+
+TOKENIZERS = "/opt/tokenizers"
+SENTENCEPIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+BYTE_RANKS, BYTE_EOD = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", 50256
+#: Fixed value: the pattern that splits text before the merges of BYTE_RANKS.
+BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(BYTE_RANKS, "rb") as f:
+        ranks = f.read()
+    return document_token_counts(table(spark, sf_dir, "documents"), ranks, BYTE_PATTERN, BYTE_EOD)
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepiece.encode(table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
+    decoded = sentencepiece.decode(encoded, SENTENCEPIECE_MODEL)
+    return decoded.select("doc_id", *sentencepiece.digest(decoded))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op5_token_counts": op5_token_counts,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WHERE doc_id IS NOT NULL WINDOW w AS (PARTITION BY coalesce(text, ''))
+    """,
+}
