@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from tidemark.llm import suffix_dedup as module
 from tidemark.llm.suffix_dedup import common_prefixes, suffix_array, suffix_dedup
 
 
@@ -44,6 +45,26 @@ def brute(rows, length):
 
 
 def test_against_brute_force(spark):
+    check_against_brute_force(spark)
+
+
+def test_small_shares():
+    rng = random.Random(9)
+    text = bytes(rng.choice(b"abcd ") for _ in range(3000))
+    pieces = [(i, 0, text[i * 7 : i * 7 + 900]) for i in range(40)]
+    ids = np.arange(40)
+    s = module.segments(ids, ids, pieces, 50, 20)
+    whole = module.mark(s, 50)
+    module.SHARE_BYTES, kept = 500, module.SHARE_BYTES
+    try:
+        parts = module.mark_all(s, 50)
+    finally:
+        module.SHARE_BYTES = kept
+    flat = lambda r: sorted((d, p) for d, a, b in zip(*(x.tolist() for x in r[:3]), strict=True) for p in range(a, b))
+    assert flat(whole) == flat(parts) and len(whole[3]) == len(parts[3])
+
+
+def check_against_brute_force(spark):
     rng = random.Random(7)
     words = ["über", "the", "çan", "it", "aaaa", "\x00", "line\n", "longerword"]
     make = lambda n: " ".join(rng.choice(words) for _ in range(n))

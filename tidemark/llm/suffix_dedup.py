@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import documents, shuffle_partitions
 
 LENGTH, GRAM = 50, 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, SHARE_BYTES = 4 << 20, 1 << 19
 _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), 0x100000001B3
 
 
@@ -193,7 +193,6 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def segments(ids: np.ndarray, keys: np.ndarray, pieces: list[tuple[int, int, bytes]], length: int, k: int, shared: np.ndarray | None = None, with_data: bool = True) -> Segments:
-    """Segments of the pieces (document index, place of the first byte, bytes) of one chunk; shared: of those k-grams only."""
     pieces = [p for p in pieces if len(p[2]) >= length]
     empty = np.zeros(0, np.int64)
     if not pieces:
@@ -244,6 +243,17 @@ def segments(ids: np.ndarray, keys: np.ndarray, pieces: list[tuple[int, int, byt
     return Segments(ids, keys, doc, start, runs, data, at[head] - head, acc[at[head]])
 
 
+def mark_all(s: Segments, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Segments]:
+    """mark() over shares of the k-grams, so small that a share's arrays stay in the processor's cache."""
+    n = len(s.data) // SHARE_BYTES
+    if n < 2:
+        return mark(s, length)
+    got = [mark(s.take(part, length), length) for _, part in _split(((s.grams >> np.uint64(_DROP + 20)) % np.uint64(n)).astype(np.int64))]
+    doc, first, end = (np.concatenate([g[i] for g in got]) for i in range(3))
+    left = [g[3] for g in got]
+    return doc, first, end, Segments(s.ids, s.keys, *(np.concatenate([getattr(x, c) for x in left]) for c in ("doc", "start", "runs", "data", "gram_at", "grams")))
+
+
 def mark(s: Segments, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Segments]:
     """Windows that a smaller document of the block has too, as runs (document index, first window, end), and what is left."""
     none = np.zeros(0, np.int64)
@@ -385,10 +395,10 @@ def _send(length: int, k: int, parts: int, block_bytes: int):
         if not docs.num_rows or not told.num_rows:
             return _rows(_SENT, [])
         chunk = docs.column("chunk")[0].as_py()
-        shared = np.concatenate([np.frombuffer(zstandard.decompress(_raw(b)), "<u8") for b in told.column("blob")])
+        shared = np.sort(np.concatenate([np.frombuffer(zstandard.decompress(_raw(b)), "<u8") for b in told.column("blob")]))
         rows, held = [], []
         for block in _blocks(docs, length, block_bytes):
-            doc, s, e, left = mark(segments(*block, length, k, shared), length)
+            doc, s, e, left = mark_all(segments(*block, length, k, shared), length)
             if len(doc):
                 held.append(np.stack([block[0][doc], block[1][doc], s, e]))
             for b, part in _split(((left.grams >> np.uint64(_DROP)) % np.uint64(parts)).astype(np.int64)):
@@ -414,7 +424,7 @@ def _meet(length: int, k: int):
         if sent:
             segs, sizes = Segments.unpack(sent, length, k)
             chunks = np.repeat(np.array(chunk_of), sizes)
-            doc, s, e, _ = mark(segs, length)
+            doc, s, e, _ = mark_all(segs, length)
             for chunk, part in _split(chunks[doc]):
                 rows.append((chunk, zstandard.compress(np.stack([segs.ids[doc[part]], segs.keys[doc[part]], s[part], e[part]]).astype("<i8").tobytes(), 3)))
         return _rows(_RUNS, rows)
