@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sentencepiece
 from .common import table
 from .exact_dedup import exact_dedup
+from .mixing import mix
+from .near_dedup import near_dedup
+from .quality_rules import quality_rules
 from .suffix_dedup import suffix_dedup
 from .token_scan import document_token_counts
 
@@ -27,6 +31,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).withColumn("distance", F.round("distance", 6))
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(BYTE_RANKS, "rb") as f:
         ranks = f.read()
@@ -39,11 +51,18 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", *sentencepiece.digest(decoded))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), target_entropy_share=0.95, repetition_limit=4.0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_near_dedup": op4_near_dedup,
     "op5_token_counts": op5_token_counts,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE: dict[str, str] = {
