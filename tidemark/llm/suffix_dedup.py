@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import documents, shuffle_partitions
 
 LENGTH, GRAM = 50, 20
-BLOCK_BYTES, SHARE_BYTES = 4 << 20, 1 << 19
+BLOCK_BYTES, SHARE_BYTES, HASH_BYTES = 4 << 20, 1 << 19, 1 << 18
 _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), 0x100000001B3
 
 
@@ -193,6 +193,25 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def segments(ids: np.ndarray, keys: np.ndarray, pieces: list[tuple[int, int, bytes]], length: int, k: int, shared: np.ndarray | None = None, with_data: bool = True) -> Segments:
+    """Segments of the pieces (document index, place of the first byte, bytes), hashed in stretches that the cache holds; shared: only of those k-grams (sorted)."""
+    got, part, held = [], [], 0
+    for doc, first, raw in pieces:
+        for at in range(0, max(1, len(raw) - length + 1), HASH_BYTES):
+            part.append((doc, first + at, raw[at : at + HASH_BYTES + length - 1]))
+            held += len(part[-1][2])
+            if held >= HASH_BYTES:
+                got.append(_segments(ids, keys, part, length, k, shared, with_data))
+                part, held = [], 0
+    if part or not got:
+        got.append(_segments(ids, keys, part, length, k, shared, with_data))
+    return _together(got)
+
+
+def _together(got: list[Segments]) -> Segments:
+    return Segments(got[0].ids, got[0].keys, *(np.concatenate([getattr(x, c) for x in got]) for c in ("doc", "start", "runs", "data", "gram_at", "grams")))
+
+
+def _segments(ids: np.ndarray, keys: np.ndarray, pieces: list[tuple[int, int, bytes]], length: int, k: int, shared: np.ndarray | None = None, with_data: bool = True) -> Segments:
     pieces = [p for p in pieces if len(p[2]) >= length]
     empty = np.zeros(0, np.int64)
     if not pieces:
@@ -237,7 +256,8 @@ def segments(ids: np.ndarray, keys: np.ndarray, pieces: list[tuple[int, int, byt
     doc = np.array([p[0] for p in pieces], np.int64)[piece]
     start = head - begin[piece] + np.array([p[1] for p in pieces], np.int64)[piece]
     if shared is not None:
-        pick = np.flatnonzero(np.isin(acc[at[head]] >> np.uint64(_DROP), shared))
+        g = acc[at[head]] >> np.uint64(_DROP)
+        pick = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, g), len(shared) - 1)] == g)
         head, runs, doc, start = head[pick], runs[pick], doc[pick], start[pick]
     data = t[_ranges(head, runs + length - 1)] if with_data else np.zeros(0, np.uint8)
     return Segments(ids, keys, doc, start, runs, data, at[head] - head, acc[at[head]])
@@ -250,8 +270,7 @@ def mark_all(s: Segments, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         return mark(s, length)
     got = [mark(s.take(part, length), length) for _, part in _split(((s.grams >> np.uint64(_DROP + 20)) % np.uint64(n)).astype(np.int64))]
     doc, first, end = (np.concatenate([g[i] for g in got]) for i in range(3))
-    left = [g[3] for g in got]
-    return doc, first, end, Segments(s.ids, s.keys, *(np.concatenate([getattr(x, c) for x in left]) for c in ("doc", "start", "runs", "data", "gram_at", "grams")))
+    return doc, first, end, _together([g[3] for g in got])
 
 
 def mark(s: Segments, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Segments]:
