@@ -10,11 +10,14 @@ them, so the path is the one that merging yields, and the ids are those that the
 from __future__ import annotations
 
 import heapq
+import itertools
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +55,11 @@ def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield tag >> 3, value
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
 class Model:
     """Pieces of a model file as arrays: keys sorted by hash, scores, order of merging, and how each piece is merged last."""
 
@@ -86,10 +94,15 @@ class Model:
         self.longest = max((len(self.pieces[i]) for i in usable), default=1)
         self.powers = np.array([pow(_BASE, n, 1 << 64) for n in range(self.longest + 1)], np.uint64)
         hashes = np.array([self._hash(self.pieces[i]) for i in usable], np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        self.keys, self.key_ids = hashes[order], np.array(usable, np.int64)[order]
+        order = np.argsort(_mixed(hashes), kind="stable")
+        self.keys, self.key_ids = _mixed(hashes)[order], np.array(usable, np.int64)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash")
+        #: Where the keys of each leading bit pattern start, so that a probe looks at a few keys only.
+        self.shift = np.uint64(64 - max(8, int(len(usable) * 4).bit_length()))
+        leading = (self.keys >> self.shift).astype(np.int64)
+        self.starts = np.searchsorted(leading, np.arange((1 << int(64 - int(self.shift))) + 1))
+        self.crowded = int(np.diff(self.starts).max(initial=0))
         #: Pieces that do not start with the space mark never hold one, so words can be split there.
         self.splits = not any(SPACE in self.pieces[i].lstrip(SPACE) for i in usable)
         n = len(self.pieces)
@@ -160,13 +173,28 @@ class Model:
 class Encoder:
     def __init__(self, model: Model):
         self.m = model
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.clear()
+        self.shown = None
         size = 1 << 20
         self.seen, self.verdict = np.full(size, -1, np.int64), np.zeros(size, bool)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.m.keys, hashes), len(self.m.keys) - 1)
-        return np.where(self.m.keys[at] == hashes, self.m.key_ids[at], -1)
+        """Ids of the pieces with these hashes, or -1."""
+        m = self.m
+        flat = _mixed(hashes.ravel())
+        lead = (flat >> m.shift).astype(np.int64)
+        at, stop = m.starts[lead], m.starts[lead + 1]
+        out = np.full(len(flat), -1, np.int64)
+        live = np.flatnonzero(at < stop)
+        at, stop, want = at[live], stop[live], flat[live]
+        for _ in range(m.crowded):
+            same = m.keys[at] == want
+            out[live[same]] = m.key_ids[at[same]]
+            more = ~same & (at + 1 < stop)
+            live, at, stop, want = live[more], at[more] + 1, stop[more], want[more]
+            if not len(live):
+                break
+        return out.reshape(hashes.shape)
 
     def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether piece b can stand after piece a; what is once found out is kept in a table of fixed size."""
@@ -206,8 +234,8 @@ class Encoder:
             b[live] = np.where(from_left, y, m.left[y])
         return out
 
-    def viterbi(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of words of one length, which advance together."""
+    def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of one length, which advance together, one after another, and how many each has."""
         m, n, size = self.m, len(words), len(words[0])
         unknown = len(m.pieces)
         w = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(n, size).astype(np.uint64) + np.uint64(1)
@@ -247,15 +275,24 @@ class Encoder:
                 none = cand[best, np.arange(n)] < 0
             back[j] = np.where(none, 1, best + 1)
             last[j] = np.where(none, unknown, cand[np.where(none, 0, best), np.arange(n)])
-        out = []
-        lasts, backs = last.T.tolist(), back.T.tolist()
-        for word, ids, steps in zip(words, lasts, backs, strict=True):
+        ids, rows, pos, col = np.full((n, size), -1, np.int64), np.arange(n), np.full(n, size), size
+        while len(rows):
+            col -= 1
+            ids[rows, col] = last[pos, rows]
+            pos = pos - back[pos, rows]
+            rows, pos = rows[pos > 0], pos[pos > 0]
+        sizes = (ids >= 0).sum(axis=1)
+        strange = np.flatnonzero((ids == unknown).any(axis=1))
+        if not len(strange):
+            return ids[ids >= 0], sizes
+        parts = [r[r >= 0] for r in ids]
+        for i in strange.tolist():
             path, j = [], size
             while j:
-                path.append((ids[j], word[j - 1]))
-                j -= steps[j]
-            out.append(self._bytes(path[::-1]))
-        return out
+                path.append((int(last[j, i]), words[i][j - 1]))
+                j -= int(back[j, i])
+            parts[i] = np.array(self._bytes(path[::-1]), np.int64)
+        return np.concatenate(parts), np.array([len(x) for x in parts])
 
     def _bytes(self, path: list[tuple[int, str]]) -> tuple[int, ...]:
         m, out = self.m, []
@@ -296,89 +333,99 @@ class Encoder:
     def learn(self, words: set[str]) -> None:
         """Put the ids of the words into the cache."""
         m = self.m
-        if len(self.cache) + len(words) > CACHED_WORDS:
-            self.cache.clear()
         by_size: dict[int, list[str]] = {}
+        odd: list[str] = []
         for word in words:
-            if m.bpe and m.tied and SPACE * 2 in word:
-                self.cache[word] = self.merged(word)
+            if m.bpe and m.tied and _DOUBLE.search(word):
+                odd.append(word)
             else:
                 by_size.setdefault(len(word), []).append(word)
+        if odd:
+            got = [self.merged(_marked(w)) for w in odd]
+            self._store(odd, np.array([i for x in got for i in x], np.int64), np.array([len(x) for x in got], np.int64))
         for size, group in by_size.items():
-            step = max(1, (1 << 21) // (size * min(size, m.longest)))
+            step = max(1, (1 << 19) // (size * min(size, m.longest)))
             for i in range(0, len(group), step):
                 part = group[i : i + step]
-                for word, ids in zip(part, self.viterbi(part), strict=True):
-                    self.cache[word] = ids
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+                self._store(part, *self.viterbi([_marked(w) for w in part]))
+
+    def _store(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.cache)
+        while n + len(words) > len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.first[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.count[n : n + len(words)] = sizes
+        self.used += len(ids)
+        self.cache.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def clear(self) -> None:
+        self.cache: dict[str, int] = {}
+        self.first, self.count, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where those of each text start (with the end of the last)."""
         m = self.m
         split: list[list[str]] = []
         for text in texts:
             if not text:
                 split.append([])
-                continue
-            s = (" " if m.dummy else "") + text
-            s = s.replace(" ", SPACE)
-            split.append(_words(s) if m.splits else [s])
-        cache = self.cache
-        new = {w for words in split for w in words}
-        if len(cache) + len(new) > CACHED_WORDS:
-            cache.clear()
-        new = {w for w in new if w not in cache}
-        if new:
+            elif m.splits:
+                split.append(_WORDS.findall(" " + text if m.dummy else text))
+            else:
+                split.append([" " + text if m.dummy else text])
+        words = set().union(*split)
+        if len(self.cache) + len(words) > CACHED_WORDS:
+            self.clear()
+        if new := words.difference(self.cache):
             self.learn(new)
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += cache[w]
-            out.append(ids)
-        return out
+        each = np.array([len(x) for x in split], np.int64)
+        at = np.fromiter(map(self.cache.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(each.sum()))
+        count = self.count[at]
+        total = np.concatenate([[0], np.cumsum(count)])
+        flat = self.flat[np.repeat(self.first[at] - total[:-1], count) + np.arange(total[-1])]
+        return flat, total[np.concatenate([[0], np.cumsum(each)])]
 
-    def decode(self, many: list[list[int]]) -> list[str]:
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        flat, at = self.encode_flat(texts)
+        return [flat[a:b].tolist() for a, b in itertools.pairwise(at.tolist())]
+
+    def decode_flat(self, flat: np.ndarray, at: np.ndarray) -> list[str]:
+        """Texts of the ids between the places at."""
         m = self.m
-        if not hasattr(self, "shown"):
-            self.shown = [p.replace(SPACE, " ") for p in m.pieces]
+        if self.shown is None:
+            raw = [p.replace(SPACE, " ").encode() for p in m.pieces]
             for i in np.flatnonzero(m.kinds == _CONTROL).tolist():
-                self.shown[i] = ""
-            self.shown[m.unknown] = " ⁇ "
-            self.special = {i: b for b, i in m.byte_ids.items()}
+                raw[i] = b""
+            raw[m.unknown] = " ⁇ ".encode()
+            for value, i in m.byte_ids.items():
+                raw[i] = bytes([value])
+            size = np.array([len(x) for x in raw], np.int64)
+            self.shown = (np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size)
+        data, first, size = self.shown
+        count = size[flat]
+        total = np.concatenate([[0], np.cumsum(count)])
+        joined = data[np.repeat(first[flat] - total[:-1], count) + np.arange(total[-1])].tobytes()
         out = []
-        low, high = min(self.special, default=0), max(self.special, default=-1)
-        for ids in many:
-            a = np.asarray(ids, np.int64)
-            if len(a) and high >= low and ((a >= low) & (a <= high)).any():
-                parts, run = [], bytearray()
-                for i in a.tolist():
-                    if i in self.special:
-                        run.append(self.special[i])
-                        continue
-                    if run:
-                        parts.append(run.decode(errors="replace"))
-                        run.clear()
-                    parts.append(self.shown[i])
-                text = "".join(parts) + run.decode(errors="replace")
-            else:
-                text = "".join(map(self.shown.__getitem__, a.tolist()))
+        for a, b in itertools.pairwise(total[at].tolist()):
+            text = joined[a:b].decode(errors="replace")
             out.append(text[1:] if m.dummy and text.startswith(" ") else text)
         return out
 
+    def decode(self, many: list[list[int]]) -> list[str]:
+        at = np.concatenate([[0], np.cumsum([len(x) for x in many])]).astype(np.int64)
+        return self.decode_flat(np.array([i for x in many for i in x], np.int64), at)
+
+
+#: Words: space marks (or spaces, which become marks) and what follows them; a word never goes on after a mark.
+_WORDS = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
+_DOUBLE = re.compile(f"[ {SPACE}][ {SPACE}]")
+
 
-def _words(s: str) -> list[str]:
-    """s cut before each space mark that does not follow another."""
-    parts = s.split(SPACE)
-    out, marks = [], 0
-    if parts[0]:
-        out.append(parts[0])
-    for p in parts[1:]:
-        marks += 1
-        if p:
-            out.append(SPACE * marks + p)
-            marks = 0
-    if marks:
-        out.append(SPACE * marks)
-    return out
+def _marked(word: str) -> str:
+    return word.replace(" ", SPACE)
 
 
 _held: dict[int, Encoder] = {}
@@ -423,11 +470,9 @@ def encode(docs: DataFrame, model_path: str, carry: tuple[str, ...] = ()) -> Dat
                 while to < len(texts) and held < 2 << 20:
                     held += len(texts[to])
                     to += 1
-                ids = e.encode(texts[at:to])
-                flat = np.concatenate([np.array(x, np.int32) for x in ids])
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                flat, offsets = e.encode_flat(texts[at:to])
                 part = batch.slice(at, to - at)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(flat))], names=[*part.schema.names, "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(flat))], names=[*part.schema.names, "ids"])
                 at = to
 
     out = d.mapInArrow(run, f"{kinds}, ids array<int>")
@@ -449,9 +494,9 @@ def decode(encoded: DataFrame, model_path: str, column: str = "decoded") -> Data
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 ids = part.column(at)
-                texts = e.decode([x.values.to_numpy() if x.is_valid else [] for x in ids])
-                texts = [t if x.is_valid else None for t, x in zip(texts, ids, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, column])
+                sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                texts = e.decode_flat(ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False))], names=[*part.schema.names, column])
 
     return encoded.mapInArrow(run, f"{kinds}, `{column}` string")
 
