@@ -58,10 +58,11 @@ def passages(texts: list[bytes], size: int = PASSAGE_WORDS) -> tuple[np.ndarray,
     head = np.flatnonzero((number % size == 0))
     owner = doc[head]
     words = np.diff(np.append(head, len(start))).astype(float)
-    # bytes of each class between the first byte of a passage and that of the next one
-    kinds = _CLASS[t[start[0] :]]
-    begin = start[head] - start[0]
-    count = np.stack([np.add.reduceat((kinds == k), begin, dtype=np.int64) for k in range(1, 8)], axis=1).astype(float)
+    # bytes of each class between the first byte of a passage and that of the next one, or the end of the text
+    kinds = _CLASS[t]
+    until = np.minimum(np.append(start[head[1:]], len(t)), stops[owner] - 1)
+    bounds = np.column_stack([start[head], until]).ravel()
+    count = np.stack([np.add.reduceat((kinds == k), bounds, dtype=np.int64)[::2] for k in range(1, 8)], axis=1).astype(float)
     letters = np.add.reduceat((end - start).astype(float), head)
     # word hashes from prefix sums, and which words and word triples the document had before
     power = np.full(len(t), _BASE, np.uint64)

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from . import sentencepiece
 from .common import table
 from .exact_dedup import exact_dedup
+from .licences import document_paths, licence_scan
 from .mixing import mix
 from .near_dedup import near_dedup
+from .quality_model import quality_model
 from .quality_rules import quality_rules
 from .suffix_dedup import suffix_dedup
 from .token_scan import document_token_counts
+from .toxicity import toxicity
 
 TOKENIZERS = "/opt/tokenizers"
 SENTENCEPIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -45,6 +48,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(table(spark, sf_dir, "documents"), ranks, BYTE_PATTERN, BYTE_EOD)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("events")
+
+
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(document_paths(table(spark, sf_dir, "documents")))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = sentencepiece.encode(table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
     decoded = sentencepiece.decode(encoded, SENTENCEPIECE_MODEL)
@@ -61,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_near_dedup": op4_near_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_toxicity": op6_toxicity,
+    "op7_quality_model": op7_quality_model,
+    "op8_licences": op8_licences,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_mixing": op10_mixing,
 }
