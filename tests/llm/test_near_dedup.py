@@ -53,11 +53,11 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("limit", [256, 8])
-def test_against_brute_force(spark, limit):
+@pytest.mark.parametrize("block", [1500, 6])
+def test_against_brute_force(spark, block):
     rows = corpus()
     df = spark.createDataFrame([(*r, None, 1) for r in rows], "doc_id long, text string, digest string, rep int").repartition(3)
-    assert sorted(tuple(r) for r in near_dedup(df, limit=limit).collect()) == brute(rows)
+    assert sorted(tuple(r) for r in near_dedup(df, block_docs=block).collect()) == brute(rows)
 
 
 def test_sets_and_signatures():
@@ -84,7 +84,9 @@ def test_keys_by_the_pigeonhole_principle():
 def test_components_of_chain_and_hub(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1200)] + [(7, 7), (5, 4), (-3, 1000)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {i: 0 for i in range(1, 301)} | {i: -3 for i in range(1000, 1200)}
+    want = {i: 0 for i in range(1, 301)} | {i: -3 for i in range(1000, 1200)}
+    assert got == want
+    assert {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long"), local_edges=150).collect()} == want
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 

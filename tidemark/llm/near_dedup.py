@@ -6,9 +6,11 @@ in some chunk but for one value at most. That one error is enumerated: a chunk g
 all pairs within the distance share a key. At the threshold itself (a similarity of 0.75) a pair shares no key with a
 probability of about 1e-7. Every link is then confirmed on the full sets of shingles.
 
-Copies of one set are a class and take part once. Of the members of a key, first each is tried with the smallest; what
-that links is contracted, and only members of a key that are still in different components are tried with one another.
-Keys with more members than LIMIT are split by the keys of the other chunks, so no group is gathered or dropped.
+Copies of one set are a class and take part once. Of the members of a key, first each is tried with the smallest, and
+what that links is contracted. Keys whose members are still in different components make families (documents that such
+keys lead to). A family is dealt to blocks of bounded size, and each pair of blocks goes to a task of its own; there all
+members outside the largest component are compared with all others on their full sets. So no key or family is gathered
+whole, and none is cut short.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from .graph import components
 
 VALUES, CHUNKS = 48, 12
 WIDTH = VALUES // CHUNKS
-#: Members of a key up to which pairs are tried within one task.
-LIMIT = 256
+#: Documents and shingles that a block of a family holds, about.
+BLOCK_DOCS, BLOCK_SHINGLES = 1500, 1_500_000
 #: Values that two signatures may differ in to be tried: beyond it a similarity of 0.75 has a chance of 1e-6.
 FAR = 27
 BLOCK_BYTES = 1 << 18
@@ -154,20 +156,6 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("rep").to_numpy(), keys.shape[1]))], names=["key", "rep"])
 
 
-def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, done, rep, sig): the keys of the chunks that are not among the bits of done, joined to the key."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 2000):
-            part = batch.slice(i, 2000)
-            sigs = np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u2").reshape(-1, VALUES)
-            old, done, rep = (part.column(c).to_numpy() for c in ("key", "done", "rep"))
-            keys = chunk_keys(sigs)
-            chunk = np.arange(keys.shape[1]) // WIDTH
-            row, col = np.nonzero((done[:, None] >> chunk) & 1 == 0)
-            key = _mixed(old[row].astype(np.uint64) * _BASE + keys[row, col].astype(np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(done[row] | (1 << chunk[col])), pa.array(rep[row])], names=["key", "done", "rep"])
-
-
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs with their signatures, those that are not too far apart."""
     for batch in batches:
@@ -177,16 +165,36 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
 
-def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each key's members (rep, root, sig), the near pairs of different roots."""
-    for batch in batches:
-        for reps, roots, sigs in zip(*(batch.column(c) for c in ("reps", "roots", "sigs")), strict=True):
-            rep, root = reps.values.to_numpy(), roots.values.to_numpy()
-            sig = np.frombuffer(b"".join(sigs.as_py()), "<u2").reshape(-1, VALUES)
-            for i in range(len(rep)):
-                j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & ((sig[i + 1 :] != sig[i]).sum(axis=1) <= FAR))
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rep[i], rep[j])), pa.array(np.minimum(rep[i], rep[j]))], names=["a", "b"])
+def _compare(percent: int):
+    """Links between two blocks of a family (or within one): members outside the largest component against all."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rep, root, block = (group.column(c).to_numpy() for c in ("rep", "root", "block"))
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in group.column("shingles")]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        at = np.cumsum(sizes) - sizes
+        flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        names, comp = np.unique(root, return_inverse=True)
+        largest = np.bincount(comp, weights=sizes > 0).argmax()
+        one = bool(block.min() == block.max())
+        marked = np.zeros(int(flat.max()) + 1, np.uint8)
+        u, v = [], []
+        for i in np.flatnonzero(comp != largest).tolist():
+            mine = flat[at[i] : at[i] + sizes[i]]
+            marked[mine] = 1
+            same = np.add.reduceat(marked[flat], at, dtype=np.int64)
+            marked[mine] = 0
+            hit = (100 * same >= percent * (sizes + sizes[i] - same)) & (comp != comp[i])
+            if not one:
+                hit &= block != block[i]
+            for j in np.flatnonzero(hit).tolist():
+                if comp[j] != comp[i]:
+                    u.append(int(max(rep[i], rep[j])))
+                    v.append(int(min(rep[i], rep[j])))
+                    comp[comp == comp[j]] = comp[i]  # one link joins two components
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
 
 
 def _confirm(percent: int):
@@ -207,63 +215,58 @@ def _confirm(percent: int):
     return run
 
 
-class _Join:
-    def __init__(self, docs: DataFrame, classes: DataFrame, words: int, percent: int):
-        self.docs, self.classes, self.words, self.percent = docs, classes, words, percent
-        self.links: DataFrame | None = None
-        self.tried: DataFrame | None = None
-
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a > b) of rows whose signatures are near."""
-        sig = self.classes.select("rep", "sig")
-        p = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-        return p.select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a long, b long")
-
-    def confirm(self, pairs: DataFrame) -> None:
-        """Add to the links the pairs whose full sets reach the threshold."""
-        pairs = pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "nd-pairs")
-        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
-        if pairs.isEmpty():
-            return
-        asked = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        asked = asked.join(self.classes.select(F.col("rep").alias("doc_id"), "digest"), "doc_id")
-        sets = cut(self.docs.join(asked, "doc_id").select("doc_id", "text", "digest").mapInArrow(_sets(self.words), "rep long, shingles binary").dropDuplicates(["rep"]), "nd-sets")
-        p = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b")
-        found = cut(p.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(self.percent), "u long, v long"), "nd-links")
-        self.links = found if self.links is None else self.links.unionByName(found)
-
-    def roots(self) -> DataFrame:
-        empty = self.classes.sparkSession.createDataFrame([], "node long, root long")
-        return empty if self.links is None else components(self.links)
-
-
-def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, limit: int = LIMIT) -> DataFrame:
-    """node, root of the classes' representatives (classes: rep, digest, sig) that are linked to a smaller one."""
-    join = _Join(docs, classes, words, percent)
+def _full_sets(docs: DataFrame, classes: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """rep, shingles of the asked representatives (rep)."""
+    asked = asked.join(classes.select("rep", "digest"), "rep").withColumnRenamed("rep", "doc_id")
+    return docs.join(asked, "doc_id").select("doc_id", "text", "digest").mapInArrow(_sets(words), "rep long, shingles binary").dropDuplicates(["rep"])
+
+
+def _star_links(docs: DataFrame, classes: DataFrame, met: DataFrame, words: int, percent: int) -> DataFrame:
+    """u, v of the members of keys that are confirmed to be linked with the key's smallest member."""
+    sig = classes.select("rep", "sig")
+    pairs = met.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
+    p = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
+    pairs = cut(p.select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a long, b long"), "nd-pairs")
+    asked = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    sets = cut(_full_sets(docs, classes, asked, words), "nd-sets")
+    p = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b")
+    return cut(p.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "u long, v long"), "nd-links")
+
+
+def _family_links(docs: DataFrame, classes: DataFrame, met: DataFrame, roots: DataFrame, words: int, percent: int, block_docs: int, block_shingles: int) -> DataFrame | None:
+    """u, v of links between members of one key that the first step has left in different components; None if there are none such."""
+    # with two members, the only pair has been tried
+    several = met.where("members > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    split = several.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    several = cut(several.join(split, "key").select("rep", "root", "least").distinct(), "nd-open")
+    if several.isEmpty():
+        return None
+    family = components(several.where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")))
+    member = several.select("rep", "root").distinct().join(family.withColumnRenamed("node", "rep").withColumnRenamed("root", "family"), "rep", "left")
+    member = member.withColumn("family", F.coalesce("family", "rep")).join(classes.select("rep", "n_shingles"), "rep")
+    size = member.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("docs") / block_docs, F.col("shingles") / block_shingles)).cast("int")
+    member = member.join(size.select("family", blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    member = cut(member.select("rep", "root", "family", "block", "blocks"), "nd-members")
+    full = member.join(_full_sets(docs, classes, member.select("rep"), words), "rep")
+    # a block meets itself and every other block of its family once
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = full.select("*", other).select("rep", "root", "family", "block", "shingles", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return cut(dealt.groupBy("family", "i", "j").applyInArrow(_compare(percent), "u long, v long"), "nd-links")
+
+
+def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """node, root of the classes' representatives (classes: rep, digest, sig, n_shingles) that are linked to a smaller one."""
     keyed = cut(classes.select("rep", "sig").mapInArrow(_keys, "key long, rep long"), "nd-keys")
-    level = keyed.withColumn("done", F.expr(f"shiftleft(1L, cast(shiftright(key, 48) div {WIDTH} as int))"))  # the chunks that the key speaks for
-    for _ in range(CHUNKS):
-        least = level.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("members")).where("least <> most")
-        met = cut(level.join(least.select("key", "least", "members"), "key"), "nd-met")
-        star = met.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
-        join.confirm(join.near(star))
-        roots = join.roots()
-        # keys whose members are in two components or more; with two members the pair has been tried
-        open_ = met.where("members > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        split = open_.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        open_ = cut(open_.join(split, "key").join(classes.select("rep", "sig"), "rep"), "nd-open")
-        few = open_.where(F.col("members") <= limit).groupBy("key").agg(F.collect_list(F.struct("rep", "root", "sig")).alias("m"))
-        pairs = few.select(F.col("m.rep").alias("reps"), F.col("m.root").alias("roots"), F.col("m.sig").alias("sigs")).mapInArrow(_within, "a long, b long").distinct()
-        join.confirm(pairs)
-        many = open_.where(F.col("members") > limit)
-        if many.isEmpty():
-            break
-        level = cut(many.select("key", "done", "rep", "sig").mapInArrow(_finer, "key long, done long, rep long"), "nd-finer")
-    return join.roots()
-
-
-def near_dedup(docs: DataFrame, words: int = 5, percent: int = 75, limit: int = LIMIT, carry: tuple[str, ...] = ()) -> DataFrame:
+    least = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("members")).where("least <> most")
+    met = cut(keyed.join(least.select("key", "least", "members"), "key"), "nd-met")
+    found = _star_links(docs, classes, met, words, percent)
+    roots = components(found)
+    more = _family_links(docs, classes, met, roots, words, percent, block_docs, block_shingles)
+    return roots if more is None else components(found.unionByName(more))
+
+
+def near_dedup(docs: DataFrame, words: int = 5, percent: int = 75, block_docs: int = BLOCK_DOCS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, then the columns named in carry.
 
     Documents are linked when 100 * intersection >= percent * union of their sets of `words`-word shingles (of fewer
@@ -276,8 +279,8 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 75, limit: int =
         raise ValueError("percent is 75 to 100, words 1 to 32")
     d = documents(docs)
     signed = cut(d.mapInArrow(_sign(words), "doc_id long, n_shingles long, digest binary, sig binary"), "nd-signed")
-    classes = cut(signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "nd-classes")
-    roots = links(d, classes, words, percent, limit)
+    classes = cut(signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles")), "nd-classes")
+    roots = links(d, classes, words, percent, block_docs)
     named = cut(classes.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root")), "nd-named")
     out = signed.drop("sig").join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
