@@ -525,7 +525,7 @@ def to_markdown(html: str, fallback: str = "") -> str:
 def _mapped(kind: str, f: Callable, *args):
     @F.pandas_udf(kind)
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else f(x, *args))
+        return pd.Series([None if x is None else f(x, *args) for x in s], index=s.index, dtype=object)
 
     return run
 
@@ -535,7 +535,7 @@ def extract_column(html: Column | str, mode: str = "auto", selectors: list[str]
 
     @F.pandas_udf("title string, text string, html string, hash string, error string")
     def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([extract(x, mode, selectors, least) for x in s], columns=["title", "text", "html", "hash", "error"])
+        return pd.DataFrame([extract(x, mode, selectors, least) for x in s], columns=["title", "text", "html", "hash", "error"], dtype=object)
 
     return run(html)
 

@@ -221,13 +221,21 @@ def matches(tree, columns: dict[str, Column]) -> Column:
     if isinstance(tree, Phrase):
         return hits(tree)
     if isinstance(tree, Near):
-        out = F.lit(False)
         first, *rest = tree.phrases
-        for line in columns.values():
+
+        def close(i: Column, p: Phrase):
+            # words between the two, whichever comes first
+            return lambda j: F.greatest(j - (i + len(first.words)), i - (j + len(p.words))) <= tree.distance
+
+        def on(line: Column) -> Column:
             t = F.split(F.trim(line), " ")
-            near = lambda i, t=t: _all([F.lit(True), *(F.exists(_phrase_at(t, p), lambda j, p=p: F.greatest(j - (i + len(first.words)), i - (j + len(p.words))) <= tree.distance) for p in rest)])
+            near = F.exists(_phrase_at(t, first), lambda i: _all([F.lit(True), *(F.exists(_phrase_at(t, p), close(i, p)) for p in rest)]))
             # places are only looked for where all phrases occur
-            out = out | F.when(_all([line.contains(_piece(p)) for p in tree.phrases]), F.exists(_phrase_at(t, first), near)).otherwise(False)
+            return F.when(_all([line.contains(_piece(p)) for p in tree.phrases]), near).otherwise(False)
+
+        out = F.lit(False)
+        for line in columns.values():
+            out = out | on(line)
         return out
     a, b = matches(tree.left, columns), matches(tree.right, columns)
     return a & b if tree.kind == "and" else a | b if tree.kind == "or" else a & ~b

@@ -96,7 +96,7 @@ def read_feeds(docs: DataFrame, body: str = "body", key: str = "doc", most: int
 
 
 def as_string(v) -> str:
-    """'' for null, text as it is; numbers as doubles in their shortest form, with an exponent from 1e21 (or below 1e-4)."""
+    """'' for null, text as it is; numbers as doubles in their shortest form, with an exponent from a million on (and below 1e-4)."""
     if v is None:
         return ""
     if isinstance(v, str):
@@ -107,14 +107,11 @@ def as_string(v) -> str:
         x = float(v)
         if x == 0:
             return "0"
-        power = int(f"{abs(x):e}".split("e")[1])
-        if power < -4 or power >= 21:
-            for n in range(17):
-                mantissa, _, e = f"{x:.{n}e}".partition("e")
-                if float(f"{mantissa}e{e}") == x:
-                    break
-            return f"{mantissa}e{e[0]}{int(e[1:]):02d}"
-        return repr(x).removesuffix(".0") if "e" not in repr(x) else str(int(x)) if x.is_integer() else f"{x:.17f}".rstrip("0")
+        short = next(t for n in range(18) if float(t := f"{x:.{n}e}") == x)
+        mantissa, exponent = short.split("e")
+        if -4 <= int(exponent) < 6:
+            return f"{x:.{max(0, len(mantissa.lstrip('-').replace('.', '')) - 1 - int(exponent))}f}"
+        return f"{mantissa}e{exponent[0]}{abs(int(exponent)):02d}"
     if isinstance(v, list):
         return "[" + " ".join("<nil>" if x is None else as_string(x) for x in v) + "]"
     return "map[" + " ".join(f"{k}:{'<nil>' if v[k] is None else as_string(v[k])}" for k in sorted(v)) + "]"

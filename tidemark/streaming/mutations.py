@@ -147,7 +147,7 @@ def consume_snapshots(snapshots: DataFrame, rules: DataFrame, stored: DataFrame,
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             got = [dom.extract(r.html, r.r_extract_mode, list(r.r_selectors) if r.r_selectors is not None else [], least) for r in df.itertuples()]
-            yield pd.DataFrame({"id": df["id"], "rule_id": df["r_id"], "page_url": df["url"], "title": [g["title"] for g in got], "raw": [g["text"] for g in got], "content_hash": [g["hash"] for g in got], "error": [g["error"] for g in got]})
+            yield pd.DataFrame({"id": df["id"], "rule_id": df["r_id"], "page_url": df["url"], "title": [g["title"] for g in got], "raw": [g["text"] for g in got], "content_hash": [g["hash"] for g in got], "error": [g["error"] for g in got]}, dtype=object)
 
     out = met.select("id", "url", "html", "r_id", "r_extract_mode", "r_selectors").mapInPandas(run, "id string, rule_id string, page_url string, title string, raw string, content_hash string, error string")
     out = out.withColumn("extracted_text", text.clean("raw")).drop("raw").where(F.col("error").isNotNull() | (F.col("extracted_text") != ""))
