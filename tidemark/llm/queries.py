@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import sentencepiece
 from .common import table
 from .exact_dedup import exact_dedup
-from .licences import document_paths, licence_scan
+from .licences import FILE_SHARE, LEAST, SPEAKS, TEMPLATES, TERM, document_paths, licence_scan, weigh
 from .mixing import mix
 from .near_dedup import near_dedup
 from .quality_model import quality_model
@@ -112,3 +112,34 @@ ORACLE: dict[str, str] = {
         SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.root) AS component_id, min(r.root) = w.doc_id AS kept FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.doc_id = w.doc_id GROUP BY w.doc_id, n.n
     """,
 }
+
+
+def _licence_sql() -> str:
+    """The licence scan of document_paths: every file has three directories above it."""
+    rows, unknown = weigh(TEMPLATES)
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    known = ", ".join(f"({i}, {quoted(name)}, {quoted(term)}, {unit!r})" for i, name, term, unit in rows)
+    counts: dict[str, int] = {}
+    for _, _, term, _ in rows:
+        counts[term] = counts.get(term, 0) + 1
+    weights = ", ".join(f"({quoted(t)}, ln({1 + len(TEMPLATES)}.0 / {1 + n}) + 1)" for t, n in counts.items())
+    return f"""
+        WITH known(template, licence, term, unit) AS (VALUES {known}), weights(term, idf) AS (VALUES {weights}),
+        d AS (SELECT doc_id, '/' || coalesce(source, 'unknown') AS top, '/' || coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') AS folder, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL),
+        l AS (SELECT doc_id, top, folder, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{SPEAKS}')) AS lines FROM d WHERE regexp_matches(text, '{SPEAKS}')),
+        f AS (SELECT *, len(regexp_extract_all(array_to_string(lines, chr(10)), '\\S+')) >= {FILE_SHARE} * len(regexp_extract_all(text, '\\S+')) AS is_file FROM l),
+        p AS (SELECT doc_id, top, folder, is_file, unnest(CASE WHEN is_file THEN list_append(lines, array_to_string(lines, ' ')) ELSE lines END) AS line FROM f),
+        t AS (SELECT line, term, count(*) AS n FROM (SELECT line, unnest(regexp_extract_all(lower(line), '{TERM}')) AS term FROM (SELECT DISTINCT line FROM p)) GROUP BY line, term),
+        v AS (SELECT t.line, t.term, n * coalesce(idf, {unknown!r}) AS w, idf FROM t LEFT JOIN weights USING (term)),
+        z AS (SELECT line, sqrt(sum(w * w)) AS norm FROM v GROUP BY line),
+        c AS (SELECT v.line, template, licence, round(sum(w * unit) / any_value(norm), 9) AS s FROM v JOIN known USING (term) JOIN z USING (line) GROUP BY v.line, template, licence),
+        m AS (SELECT line, max((s, -template, licence)) AS b FROM c WHERE s >= {LEAST} GROUP BY line),
+        o AS (SELECT doc_id, any_value(top) AS top, any_value(folder) AS folder, bool_or(is_file) AS is_file, max((b[1], b[3])) AS x FROM p JOIN m USING (line) GROUP BY doc_id),
+        k AS (SELECT folder, max(x) AS y FROM o WHERE is_file GROUP BY folder)
+        SELECT d.doc_id, d.folder || '/' || d.doc_id || '.txt' AS path, coalesce(o.x[2], k.y[2]) AS licence, round(coalesce(o.x[1], k.y[1]), 6) AS similarity,
+            CASE WHEN o.x IS NOT NULL THEN CASE WHEN o.is_file THEN 'file' ELSE 'header' END WHEN k.y IS NOT NULL THEN 'inherited' ELSE 'none' END AS found, CASE WHEN o.x IS NULL AND k.y IS NOT NULL THEN d.folder END AS from_folder
+        FROM d LEFT JOIN o USING (doc_id) LEFT JOIN k ON k.folder = d.folder
+    """
+
+
+ORACLE["op8_licences"] = _licence_sql()
