@@ -21,7 +21,7 @@ TABLES: dict[str, str] = {
     "corrections": "id string, profile_id string, instance_id string, old_extractors string, new_extractors string, reason string, validated int, created_at long",
     "reports": "id string, profile_id string, instance_id string, error_type string, message string, created_at long",
     "instance_reputation": "instance_id string, corrections_accepted long, corrections_rejected long, corrections_pending long, last_active long, domains_covered int",
-    "shards": "dossier_id string, name string, status string",
+    "shards": "name string, status string",  # its tenant is the partition
     "watch_pages": "id string, url string, selectors array<string>, filters array<string>, snapshot_interval_ms long, status string",
     "vectors": "ext_id string, vector array<float>",
 }

@@ -165,3 +165,45 @@ def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], c
 def every(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, period: str = "1 minute") -> StreamingQuery:
     """The scheduler's loop: the handler runs at once and then every period."""
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(processingTime=period).start()
+
+
+# -- snapshots, profiles, levels --------------------------------------------------------------------------------------
+
+
+def settled(records: DataFrame, navigations: DataFrame, quiet_ms: int = 500, key: str = "page_id", time: str = "ts_ms") -> DataFrame:
+    """key, navigated, settled: when each navigation is followed by quiet_ms without a mutation, which is when a snapshot is due.
+
+    A navigation that another one follows before the page is quiet has no such time.
+    """
+    both = records.select(key, F.col(time).alias("at"), F.lit(False).alias("nav")).unionByName(navigations.select(key, F.col(time).alias("at"), F.lit(True).alias("nav")))
+    w = Window.partitionBy(key).orderBy("at", F.col("nav").desc())
+    both = both.withColumn("next", F.lead("at").over(w)).withColumn("leg", F.sum(F.col("nav").cast("int")).over(w)).where("leg > 0")
+    quiet = F.col("next").isNull() | (F.col("next") - F.col("at") >= quiet_ms)
+    out = both.groupBy(key, "leg").agg(F.min("at").alias("navigated"), F.min(F.when(quiet, F.col("at") + quiet_ms)).alias("settled"))
+    return out.select(key, "navigated", "settled")
+
+
+def snapshot_times(pages: DataFrame, now: int, default_ms: int = 4 * store.HOUR) -> DataFrame:
+    """Pages whose next periodic snapshot is due: those never taken, and those whose period has passed."""
+    period = F.when(F.coalesce(F.col("snapshot_interval_ms"), F.lit(0)) > 0, F.col("snapshot_interval_ms")).otherwise(default_ms)
+    return pages.where((F.col("status") == "active") & (F.col("last_snapshot_at").isNull() | (F.col("last_snapshot_at") + period <= now)))
+
+
+def consume_profiles(profiles: DataFrame, rules: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """New rules for pages that no rule matches but whose profile names content selectors, and the pages seen.
+
+    profiles: page_url, content_selectors, profile_json. The pages come with an empty page_id.
+    """
+    from ..operators import joins, tables
+
+    p = profiles.withColumn("page_id", F.col("page_url")).withColumn("url", F.col("page_url"))
+    known = joins.match_rules(p.select("page_id", "url"), rules).select("page_id").distinct()
+    new = p.join(known, "page_id", "left_anti").where(F.size("content_selectors") > 0)
+    made = new.select(tables.make_id("page_url").alias("id"), F.concat(F.lit("auto: "), "page_url").alias("name"), F.col("page_url").alias("url_pattern"), F.lit("").alias("page_id"), F.col("content_selectors").alias("selectors"), F.lit("css").alias("extract_mode"), F.lit("unverified").alias("trust_level"), F.lit(True).alias("enabled"), F.lit(0).alias("priority"), F.lit(1).alias("version"), F.lit(0).alias("fail_count"), F.lit(now).alias("created_at"))
+    pages = profiles.select(F.lit("").alias("page_id"), "page_url", F.lit("").alias("trust_level"), F.col("profile_json").alias("dom_profile"), F.lit(now).alias("last_seen"), F.lit(now).alias("created_at"))
+    return made, pages
+
+
+def stealth_level(asked: Column, sufficient: Column) -> Column:
+    """The level a page is watched at: a fixed one as it is; "auto" stays with plain HTTP (0) where that suffices, else a browser (1)."""
+    return F.when(asked == "auto", F.when(F.coalesce(sufficient, F.lit(False)), 0).otherwise(1)).otherwise(asked.try_cast("int"))
