@@ -34,6 +34,9 @@ def test_same_ids_as_the_public_library():
     ids = e.encode(texts)
     assert ids == sp.encode(texts)
     assert e.decode(ids) == texts
+    for kept in (7, 0):
+        e.shrink(kept)
+        assert len(e.cache) <= kept and e.encode(texts) == ids
 
 
 def test_unigram_against_all_segmentations():
@@ -77,4 +80,5 @@ def test_operator(spark):
     out = got.select("doc_id", *digest(got)).collect()
     assert len(out) == len(rows) - 1 and all(r.exact for r in out)
     assert {r.doc_id: r.n_tokens for r in out}[90] == 0
+    assert sorted(map(str, encode(df, PATH, column="decoded").collect())) == sorted(map(str, got.collect()))
     assert encode(df.limit(0), PATH).count() == 0

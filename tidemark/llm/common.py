@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows in an Arrow batch, in place of Spark's default of 64 MB: a worker holds several copies of a batch.
+BATCH_BYTES, _DEFAULT_BYTES = 8 << 20, "67108864b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in small batches, unless the session asks for a size of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == _DEFAULT_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
 def documents(df: DataFrame, *extra: str) -> DataFrame:
     """doc_id, text (null: empty) and the named columns; a row without doc_id is no document and is left out."""
+    bound_batches(df.sparkSession)
     return df.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
@@ -35,6 +50,23 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on after its task, beside those of other operators."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def releasing(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f over the batches of a task, and then release()."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        release()
+
+    return run
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, releasing
 
 MEMTABLE_ROWS, FANOUT, FILTER_BITS, PROBES = 16384, 4, 10, 4
 
@@ -130,7 +130,7 @@ def _index(width: int, largest: bool, memtable_rows: int, fanout: int):
 def merge_index(keyed: DataFrame, width: int = 32, largest: bool = False, memtable_rows: int = MEMTABLE_ROWS, fanout: int = FANOUT) -> DataFrame:
     """digest, best, n of the rows (digest, id, count): an LSM index in each task, then one per share of the digests."""
     step = _index(width, largest, memtable_rows, fanout)
-    return keyed.mapInArrow(step, _INDEX).repartition("digest").mapInArrow(step, _INDEX)
+    return keyed.mapInArrow(releasing(step), _INDEX).repartition("digest").mapInArrow(releasing(step), _INDEX)
 
 
 def exact_dedup(docs: DataFrame, keep: str = "smallest", normalise=None, digest_bits: int = 256, carry: tuple[str, ...] = (), memtable_rows: int = MEMTABLE_ROWS, fanout: int = FANOUT) -> DataFrame:

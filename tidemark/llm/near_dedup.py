@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, release, releasing
 from .graph import components
 
 VALUES, CHUNKS = 48, 12
 WIDTH = VALUES // CHUNKS
 #: Documents and shingles that a block of a family holds, about.
-BLOCK_DOCS, BLOCK_SHINGLES = 1500, 1_500_000
+BLOCK_DOCS, BLOCK_SHINGLES = 600, 600_000
 #: Values that two signatures may differ in to be tried: beyond it a similarity of 0.75 has a chance of 1e-6.
 FAR = 27
 BLOCK_BYTES = 1 << 18
@@ -192,6 +192,8 @@ def _compare(percent: int):
                     u.append(int(max(rep[i], rep[j])))
                     v.append(int(min(rep[i], rep[j])))
                     comp[comp == comp[j]] = comp[i]  # one link joins two components
+        del sets, flat, marked
+        release()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
@@ -218,7 +220,7 @@ def _confirm(percent: int):
 def _full_sets(docs: DataFrame, classes: DataFrame, asked: DataFrame, words: int) -> DataFrame:
     """rep, shingles of the asked representatives (rep)."""
     asked = asked.join(classes.select("rep", "digest"), "rep").withColumnRenamed("rep", "doc_id")
-    return docs.join(asked, "doc_id").select("doc_id", "text", "digest").mapInArrow(_sets(words), "rep long, shingles binary").dropDuplicates(["rep"])
+    return docs.join(asked, "doc_id").select("doc_id", "text", "digest").mapInArrow(releasing(_sets(words)), "rep long, shingles binary").dropDuplicates(["rep"])
 
 
 def _star_links(docs: DataFrame, classes: DataFrame, met: DataFrame, words: int, percent: int) -> DataFrame:
@@ -226,19 +228,23 @@ def _star_links(docs: DataFrame, classes: DataFrame, met: DataFrame, words: int,
     sig = classes.select("rep", "sig")
     pairs = met.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
     p = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-    pairs = cut(p.select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a long, b long"), "nd-pairs")
+    pairs = cut(p.select("a", "b", "sig_a", "sig_b").mapInArrow(releasing(_near), "a long, b long"), "nd-pairs")
     asked = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     sets = cut(_full_sets(docs, classes, asked, words), "nd-sets")
     p = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return cut(p.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "u long, v long"), "nd-links")
+    return p.select("a", "b", "set_a", "set_b").mapInArrow(releasing(_confirm(percent)), "u long, v long")
 
 
 def _family_links(docs: DataFrame, classes: DataFrame, met: DataFrame, roots: DataFrame, words: int, percent: int, block_docs: int, block_shingles: int) -> DataFrame | None:
     """u, v of links between members of one key that the first step has left in different components; None if there are none such."""
-    # with two members, the only pair has been tried
-    several = met.where("members > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    split = several.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    several = cut(several.join(split, "key").select("rep", "root", "least").distinct(), "nd-open")
+    # with two members, the only pair has been tried; a pair that many keys give is one row
+    several = met.where("members > 2").select("rep", "least").distinct()
+    several = several.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    several = several.join(roots.select(F.col("node").alias("least"), F.col("root").alias("least_root")), "least", "left")
+    several = cut(several.select("rep", "root", "least", (F.col("root") != F.coalesce("least_root", "least")).alias("apart")), "nd-several")
+    # the keys of a smallest member are open if one of their members is in another component
+    open_ = several.where("apart").select("least").distinct()
+    several = cut(several.join(open_, "least", "left_semi").select("rep", "root", "least"), "nd-open")
     if several.isEmpty():
         return None
     family = components(several.where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")))
@@ -255,12 +261,12 @@ def _family_links(docs: DataFrame, classes: DataFrame, met: DataFrame, roots: Da
     return cut(dealt.groupBy("family", "i", "j").applyInArrow(_compare(percent), "u long, v long"), "nd-links")
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """node, root of the classes' representatives (classes: rep, digest, sig, n_shingles) that are linked to a smaller one."""
-    keyed = cut(classes.select("rep", "sig").mapInArrow(_keys, "key long, rep long"), "nd-keys")
+def links(docs: DataFrame, classes: DataFrame, known: DataFrame, words: int, percent: int, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """node, root of the classes' representatives (classes: rep, digest, sig, n_shingles) that are linked to a smaller one; known: links (u, v) to add."""
+    keyed = cut(classes.select("rep", "sig").mapInArrow(releasing(_keys), "key long, rep long"), "nd-keys")
     least = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("members")).where("least <> most")
     met = cut(keyed.join(least.select("key", "least", "members"), "key"), "nd-met")
-    found = _star_links(docs, classes, met, words, percent)
+    found = cut(_star_links(docs, classes, met, words, percent).unionByName(known), "nd-star")
     roots = components(found)
     more = _family_links(docs, classes, met, roots, words, percent, block_docs, block_shingles)
     return roots if more is None else components(found.unionByName(more))
@@ -278,9 +284,12 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 75, block_docs: i
     if percent < 75 or not 1 <= words <= 32:
         raise ValueError("percent is 75 to 100, words 1 to 32")
     d = documents(docs)
-    signed = cut(d.mapInArrow(_sign(words), "doc_id long, n_shingles long, digest binary, sig binary"), "nd-signed")
+    signed = cut(d.mapInArrow(releasing(_sign(words)), "doc_id long, n_shingles long, digest binary, sig binary"), "nd-signed")
     classes = cut(signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles")), "nd-classes")
-    roots = links(d, classes, words, percent, block_docs)
+    # rows of one doc_id with different sets are one document
+    several = signed.where("n_shingles > 0").groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id")
+    same = signed.join(several, "doc_id").join(classes.select("digest", "rep"), "digest").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
+    roots = links(d, classes, same, words, percent, block_docs)
     named = cut(classes.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root")), "nd-named")
     out = signed.drop("sig").join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, is_training
+from .common import documents, is_training, releasing
 
 PASSAGE_WORDS, HIDDEN, ATTENTION = 64, 16, 8
 MAX_LABELLED, STEPS, SEED = 6000, 400, 20_240_605
@@ -179,7 +179,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & is_training("doc_id")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # the statistics of max_labelled documents, some hundred bytes a passage, go to the driver
-    got = documents(docs).join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text").mapInArrow(_bags, "doc_id long, quality int, bag binary").orderBy("doc_id").collect()
+    got = documents(docs).join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text").mapInArrow(releasing(_bags), "doc_id long, quality int, bag binary").orderBy("doc_id").collect()
     y = np.array([r.quality for r in got], float)
     if not len(y) or y.min() == y.max():
         return None
@@ -221,7 +221,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, ma
             for batch in run(batches):
                 yield batch.select(["doc_id", "score", "n_passages"])
 
-        out = d.mapInArrow(lean, names)
+        out = d.mapInArrow(releasing(lean), names)
     else:
-        out = d.mapInArrow(run, f"{kinds}, score double, n_passages long")
+        out = d.mapInArrow(releasing(run), f"{kinds}, score double, n_passages long")
     return out.select("doc_id", (~is_training("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_passages", *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)))

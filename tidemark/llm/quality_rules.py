@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, releasing
 
 #: Share of a group's documents that the estimate rests on, and the least documents of a group with an estimate of its own.
 HELD_SHARE, LEAST_ROWS = 0.75, 200
@@ -201,7 +201,7 @@ def quality_rules(docs: DataFrame, least_words: int = 50, most_repeats: int = 50
     """
     tag = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     d = documents(docs, tag("lang").alias("lang"), tag("source").alias("source")).withColumn("group", F.concat_ws("\x1f", "lang", "source"))
-    rows = features(d.select("doc_id", "group", "text").mapInArrow(_count, f"doc_id long, grp string, {_COUNTS}"))
+    rows = features(d.select("doc_id", "group", "text").mapInArrow(releasing(_count), f"doc_id long, grp string, {_COUNTS}"))
     rows = rows.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words")))
     rows = cut(rows, "quality-counts")
     fit = rows.where(~F.col("base_failed"))
@@ -239,4 +239,4 @@ def quality_rules(docs: DataFrame, least_words: int = 50, most_repeats: int = 50
             cols = [batch.column(c) for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(kept), pa.array(dist, mask=np.isnan(dist))], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"])
 
-    return rows.mapInArrow(judge, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, distance double")
+    return rows.mapInArrow(releasing(judge), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, distance double")

@@ -61,8 +61,7 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = sentencepiece.encode(table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
-    decoded = sentencepiece.decode(encoded, SENTENCEPIECE_MODEL)
+    decoded = sentencepiece.encode(table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL, column="decoded")
     return decoded.select("doc_id", *sentencepiece.digest(decoded))
 
 

@@ -21,13 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, releasing
 
 SPACE = "▁"
 _BASE = 0x9E3779B97F4A7C15
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE, _UNUSED = 1, 2, 3, 4, 6, 5
 MAX_MODEL_BYTES = 64 << 20
-CACHED_WORDS = 1_000_000
+#: Words that a worker holds within a task, and those (the ones met first, which tend to be the frequent ones) that it goes on with.
+CACHED_WORDS, KEPT_WORDS = 600_000, 150_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -365,6 +366,14 @@ class Encoder:
         self.cache: dict[str, int] = {}
         self.first, self.count, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0
 
+    def shrink(self, kept: int = KEPT_WORDS) -> None:
+        """Forget all but the words that were met first."""
+        n = min(kept, len(self.cache))
+        self.cache = dict(itertools.islice(self.cache.items(), n))
+        self.used = int(self.first[n - 1] + self.count[n - 1]) if n else 0
+        self.first, self.count = self.first[: max(n, 1)].copy(), self.count[: max(n, 1)].copy()
+        self.flat = self.flat[: max(self.used, 1)].copy()
+
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where those of each text start (with the end of the last)."""
         m = self.m
@@ -378,7 +387,7 @@ class Encoder:
                 split.append([" " + text if m.dummy else text])
         words = set().union(*split)
         if len(self.cache) + len(words) > CACHED_WORDS:
-            self.clear()
+            self.shrink()
         if new := words.difference(self.cache):
             self.learn(new)
         each = np.array([len(x) for x in split], np.int64)
@@ -448,8 +457,8 @@ def load_model(path: str) -> Model:
     return Model(raw)
 
 
-def encode(docs: DataFrame, model_path: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ids (array of int) and text, then the columns named in carry.
+def encode(docs: DataFrame, model_path: str, carry: tuple[str, ...] = (), column: str | None = None) -> DataFrame:
+    """doc_id, ids (array of int) and text, then the columns named in carry; column: the text of the ids too, decoded in the same pass.
 
     Nulls: a null text is empty and has no ids; a row with a null doc_id is left out. Repeated rows are encoded each. A
     character without a piece becomes the ids of its UTF-8 bytes. Texts are encoded whole; one word may be as long as
@@ -467,16 +476,18 @@ def encode(docs: DataFrame, model_path: str, carry: tuple[str, ...] = ()) -> Dat
             at = 0
             while at < len(texts):  # texts of some megabytes at a time
                 held, to = 0, at
-                while to < len(texts) and held < 2 << 20:
+                while to < len(texts) and held < 1 << 20:
                     held += len(texts[to])
                     to += 1
                 flat, offsets = e.encode_flat(texts[at:to])
                 part = batch.slice(at, to - at)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(flat))], names=[*part.schema.names, "ids"])
+                more = [pa.array(e.decode_flat(flat, offsets), pa.string())] if column else []
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(flat)), *more], names=[*part.schema.names, "ids", *([column] if column else [])])
                 at = to
+        e.shrink()  # the worker lives on, and other operators need the memory
 
-    out = d.mapInArrow(run, f"{kinds}, ids array<int>")
-    return out.select("doc_id", "ids", "text", *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)))
+    out = d.mapInArrow(releasing(run), f"{kinds}, ids array<int>" + (f", `{column}` string" if column else ""))
+    return out.select("doc_id", "ids", "text", *([column] if column else []), *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)))
 
 
 def decode(encoded: DataFrame, model_path: str, column: str = "decoded") -> DataFrame:
@@ -498,7 +509,7 @@ def decode(encoded: DataFrame, model_path: str, column: str = "decoded") -> Data
                 texts = e.decode_flat(ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False))], names=[*part.schema.names, column])
 
-    return encoded.mapInArrow(run, f"{kinds}, `{column}` string")
+    return encoded.mapInArrow(releasing(run), f"{kinds}, `{column}` string")
 
 
 def digest(encoded: DataFrame) -> list[Column]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents, is_training
+from .common import cut, documents, is_training, releasing
 
 #: Words of each class, in English, German, French and Spanish.
 INSULTS = "asshole bastard clown creep disgusting dumb idiot idiots imbecile jerk loser losers moron morons pathetic scum stupid trash vermin worthless abschaum arschloch dummkopf trottel widerlich wertlos connard crétin imbécile minable salaud estúpido estúpida gilipollas idiota idiotas imbécil patético patética escoria".split()
@@ -162,7 +162,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & is_training("doc_id")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = documents(docs).join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text")  # max_labelled rows of two numbers
-    seen = cut(rows.mapInArrow(_event_columns(Grammar()), "doc_id long, toxic int, text string, events array<double>"), "toxic-events")
+    seen = cut(rows.mapInArrow(releasing(_event_columns(Grammar())), "doc_id long, toxic int, text string, events array<double>"), "toxic-events")
     missed = (F.col("toxic") == 1) & (F.aggregate("events", F.lit(0.0), lambda a, x: a + x) == 0)
     learned: list[str] = []
     if seen.where(missed).limit(least_documents).count() >= least_documents:
@@ -170,7 +170,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         counts = seen.dropDuplicates(["text"]).select(missed.alias("missed"), (F.col("toxic") == 0).alias("clean"), word.alias("word")).groupBy("word").agg(F.sum(F.col("missed").cast("int")).alias("m"), F.sum(F.col("clean").cast("int")).alias("c"))
         learned = [r.word for r in counts.where((F.col("c") == 0) & (F.col("m") >= least_documents) & (F.length("word") >= 3)).orderBy(F.desc("m"), "word").take(200)]
     if learned:
-        seen = cut(seen.select("doc_id", "toxic", "text").mapInArrow(_event_columns(Grammar(learned)), "doc_id long, toxic int, text string, events array<double>"), "toxic-events")
+        seen = cut(seen.select("doc_id", "toxic", "text").mapInArrow(releasing(_event_columns(Grammar(learned))), "doc_id long, toxic int, text string, events array<double>"), "toxic-events")
     got = seen.select("toxic", "events").orderBy("doc_id").collect()  # max_labelled rows of a few numbers
     w, b = fit(np.array([r.events for r in got]).reshape(-1, len(EVENTS)), np.array([r.toxic for r in got], float))
     return learned, w, b
@@ -192,5 +192,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_lab
             score = 1 / (1 + np.exp(-np.clip(np.log1p(events) @ w + b, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array(events.astype(int).tolist(), pa.list_(pa.int32()))], names=["doc_id", "score", "events"])
 
-    out = documents(docs).mapInArrow(run, "doc_id long, score double, events array<int>")
+    out = documents(docs).mapInArrow(releasing(run), "doc_id long, score double, events array<int>")
     return out.select("doc_id", (~is_training("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "events")
