@@ -48,8 +48,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids of each document of the mixture, and whether they decode to its text."""
-    encoded = sentencepiece.encode(docs, SENTENCEPIECE_MODEL, carry=("lang", "source"))
-    decoded = sentencepiece.decode(encoded, SENTENCEPIECE_MODEL)
+    decoded = sentencepiece.encode(docs, SENTENCEPIECE_MODEL, carry=("lang", "source"), column="decoded")
     return decoded.select("doc_id", "lang", "source", *sentencepiece.digest(decoded), "ids")
 
 
