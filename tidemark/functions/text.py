@@ -143,7 +143,7 @@ def query_variants(c: Column | str) -> Column:
 def log_scale(n: Column | str) -> Column:
     """1 and one more for each halving (rounded down) until 100 or less is left; 0 for nothing."""
     left = _col(n).cast("long")
-    steps = F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.lit(0), lambda a, k: a + F.when(F.expr("1L") * F.floor(left / F.pow(F.lit(2.0), k)) > 100, 1).otherwise(0))
+    steps = F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.lit(0), lambda a, k: a + F.when(F.floor(left / F.pow(F.lit(2.0), k)) > 100, 1).otherwise(0))
     return F.when(left <= 0, F.lit(0.0)).otherwise(1.0 + steps)
 
 
