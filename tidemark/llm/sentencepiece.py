@@ -28,7 +28,7 @@ _BASE = 0x9E3779B97F4A7C15
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE, _UNUSED = 1, 2, 3, 4, 6, 5
 MAX_MODEL_BYTES = 64 << 20
 #: Words that a worker holds within a task, and those (the ones met first, which tend to be the frequent ones) that it goes on with.
-CACHED_WORDS, KEPT_WORDS = 600_000, 150_000
+CACHED_WORDS, KEPT_WORDS = 1_000_000, 300_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
