@@ -110,14 +110,18 @@ def chunk(c: Column | str, most: int = MOST, overlap: int = OVERLAP, least: int
     Only texts with several paragraphs need Python: see chunk_table.
     """
     x = F.col(c) if isinstance(c, str) else c
-    words = text.tokens(x)
-    whole = F.array(F.struct(F.lit(0).alias("idx"), x.alias("text"), F.size(words).alias("tokens"), F.lit(0).alias("overlap"))).cast(CHUNK)
-    return F.when(F.size(words) == 0, F.array().cast(CHUNK)).when(F.size(words) <= most, whole).otherwise(windows(words, most, overlap, least))
+
+    def of(words: Column) -> Column:
+        whole = F.array(F.struct(F.lit(0).alias("idx"), x.alias("text"), F.size(words).alias("tokens"), F.lit(0).alias("overlap"))).cast(CHUNK)
+        return F.when(F.size(words) == 0, F.array().cast(CHUNK)).when(F.size(words) <= most, whole).otherwise(windows(words, most, overlap, least))
+
+    # the words are an element of an array, so that they are split once and not for each use
+    return F.get(F.transform(F.array(text.tokens(x)), of), F.lit(0))
 
 
 def chunk_table(df: DataFrame, column: str = "text", most: int = MOST, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
     """df with a row per chunk: its columns but the text, then idx, chunk_text, tokens, overlap."""
-    several = F.size(text.blocks(column)) > 1
+    several = F.col(column).contains("\n\n") & (F.size(text.blocks(column)) > 1)  # most texts have no such mark
     long = text.token_count(column) > most
     plain = df.where(~(several & long)).withColumn("chunk", F.explode(chunk(column, most, overlap, least)))
     rich = df.where(several & long).withColumn("chunk", F.explode(packed(column, most, overlap, least)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Unicode white space, written out: regex classes of engines disagree about it.
 SPACE = "\\x{9}-\\x{d}\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_SPACES = "".join(map(chr, (*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: ASCII white space as text cleaning collapses it; no vertical tab.
 PLAIN = "\\t\\n\\f\\r "
 #: Invisible characters that cleaning drops.
@@ -49,13 +50,18 @@ def normalise_space(c: Column | str) -> Column:
     return trim(F.regexp_replace(_col(c), f"[{SPACE}]+", " "))
 
 
+def _spaced(c: Column | str) -> Column:
+    """Every kind of white space as a plain space, which is far quicker to look for."""
+    return F.translate(_col(c), _SPACES, " " * len(_SPACES))
+
+
 def tokens(c: Column | str) -> Column:
     """Array of the runs of other than Unicode white space."""
-    return F.filter(F.split(_col(c), f"[{SPACE}]+"), lambda x: x != "")
+    return F.filter(F.split(_spaced(c), " "), lambda x: x != "")
 
 
 def token_count(c: Column | str) -> Column:
-    return F.regexp_count(_col(c), F.lit(f"[^{SPACE}]+")).cast("long")
+    return F.regexp_count(_spaced(c), F.lit("[^ ]+")).cast("long")
 
 
 def _parts(c: Column, pattern: str) -> Column:
@@ -97,9 +103,13 @@ def printable_ratio(c: Column | str) -> Column:
 
 def wordlike_ratio(c: Column | str) -> Column:
     """Tokens of 2 to 15 characters among all; 0 without tokens."""
-    words = tokens(c)
-    good = F.size(F.filter(words, lambda w: F.char_length(w).between(2, 15)))
-    return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(good / F.greatest(F.size(words), F.lit(1)))
+
+    def of(words: Column) -> Column:
+        good = F.size(F.filter(words, lambda w: F.char_length(w).between(2, 15)))
+        return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(good / F.greatest(F.size(words), F.lit(1)))
+
+    # the words are an element of an array, so that they are split once
+    return F.get(F.transform(F.array(tokens(c)), of), F.lit(0))
 
 
 def visual_references(c: Column | str) -> Column:
