@@ -114,6 +114,15 @@ def fts_vocabulary(spark, d):
     return p.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences")).where("documents >= 5")
 
 
+@query("""
+    WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')) AS term FROM documents)
+    SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM d GROUP BY term
+""")
+def fts_vocabulary_all(spark, d):
+    p = search.postings(table(spark, d, "documents"), "doc_id", "text")
+    return p.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))
+
+
 @query("""
     WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+'), ' ') || ' ' AS t FROM documents)
     SELECT doc_id FROM d WHERE (t LIKE '% of the %' OR t LIKE '% lad%') AND NOT t LIKE '% and %'
