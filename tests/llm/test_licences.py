@@ -58,3 +58,26 @@ def test_empty_and_documents(spark):
     assert licence_scan(document_paths(docs)).collect() == []
     docs = spark.createDataFrame([(4, "Released under the MIT License.", None, "s"), (5, "t", None, "s")], docs.schema)
     assert {r.doc_id: (r.licence, r.found) for r in licence_scan(document_paths(docs)).collect()} == {4: ("MIT", "file"), 5: ("MIT", "inherited")}
+
+
+MPL = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+
+
+def test_wrapped_headers(spark):
+    import textwrap
+
+    code = "\nint main() { return run(argc, argv); }" * 30
+    rows, want = [(1, "p/mpl.c", MPL + code), (2, "q/LICENSE", "This Source Code Form is subject to the terms of the Mozilla\nPublic Use\n" + "x\n" * 3)], {1: "MPL-2.0", 2: "MPL-2.0"}
+    for text, name in ((MIT, "MIT"), (BSD, "BSD-3-Clause"), (GPL, "GPL-3.0")):
+        for width in (12, 24, 40, 72):
+            n = len(rows) + 1
+            rows.append((n, f"{n}/x.c", "head words\n\n" + "\n".join("// " + x for x in textwrap.wrap(text, width)) + code))
+            want[n] = name
+    rows += [(90, "n/1.txt", "Mit.\nVersion mit\nby 4.0\nBy\nmit the\nthis work is in the"), (91, "m/only.txt", MPL)]
+    got = {r.doc_id: r for r in licence_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert {n: got[n].licence for n in want} == want
+    assert (got[1].found, got[90].found, got[91].licence, got[91].found) == ("header", "none", "MPL-2.0", "header")
+    assert got[1].similarity > 0.9 and min(got[n].similarity for n in want if n > 2) > 0.8

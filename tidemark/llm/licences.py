@@ -1,7 +1,8 @@
 """Licence scan by sparse TF-IDF cosine with templates, and inheritance from the nearest directory above.
 
-Everything is built-in DataFrame functions. Lines that speak of licensing are a file's headers; a file that says little
-else, or that is named like a licence file, is a licence file. Both are compared with short templates: terms are weighted
+Everything is built-in DataFrame functions. Lines, and blocks of adjacent lines over which a header may be wrapped, are a
+file's headers if they share a telling term with a template; a file that says little else, or that is named like a licence
+file, is a licence file, and its whole text is compared too. All are compared with short templates: terms are weighted
 by their count and by the inverse document frequency among the templates, and a term of no template counts in the length
 of a vector at the highest weight, so unrelated words push the cosine down. A licence file speaks for its directory, and
 a file without a header takes the licence of the nearest directory on its path that has one.
@@ -46,12 +47,14 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "Copyright. All rights reserved."),
 ]
-#: Lines to look at, names of licence files, and terms.
+#: Lines that count for a licence file by its share of them, names of licence files, and terms.
 SPEAKS = r"(?i)licen[cs]|copyright|spdx|public domain|all rights reserved|permission is hereby granted|redistribut"
 NAMED = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
 TERM = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
 #: Least cosine, and the share of a file's words in such lines that makes it a licence file.
 LEAST, FILE_SHARE = 0.6, 0.8
+#: Terms of the templates that prose has too: alone, or with numbers, they name no licence ("by", "mit", "by 4.0").
+FUNCTION = frozenset("a and any are as by can in is it mit not of or that the this to with without you".split())
 
 
 def weigh(templates: list[tuple[str, str]]) -> tuple[list[tuple[int, str, str, float]], float]:
@@ -67,19 +70,39 @@ def weigh(templates: list[tuple[str, str]]) -> tuple[list[tuple[int, str, str, f
     return rows, math.log(1 + len(bags)) + 1
 
 
+def telling(term: str) -> bool:
+    return term not in FUNCTION and not re.fullmatch(r"[\d.]+", term)
+
+
+def block_terms(templates: list[tuple[str, str]], least: float) -> int:
+    """Terms of a block of lines, at most: with more words of no template around it, no template reaches the least cosine."""
+    rows, unknown = weigh(templates)
+    most = 0
+    for i, (_, said) in enumerate(templates):
+        units = {t: u for n, _, t, u in rows if n == i}
+        bag = Counter(re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", said.lower()))
+        idf = {t: math.log((1 + len(templates)) / (1 + sum(x[2] == t for x in rows))) + 1 for t in units}
+        mass = sum((n * idf[t]) ** 2 for t, n in bag.items())
+        most = max(most, sum(bag.values()) + math.ceil(mass * (1 / least**2 - 1) / unknown**2))
+    return most
+
+
 def match(parts: DataFrame, templates: list[tuple[str, str]], least: float) -> DataFrame:
-    """Best licence and cosine of each part (part_id, text): part_id, licence, similarity; parts below `least` are left out."""
+    """Best licence and cosine of each part (part_id, text): part_id, licence, similarity; parts below `least` are left out.
+
+    A part shares a telling term with its licence's template.
+    """
     spark = parts.sparkSession
     rows, unknown = weigh(templates)
     # as many rows as the templates have terms
-    known = F.broadcast(spark.createDataFrame(rows, "template int, licence string, term string, unit double"))
+    known = F.broadcast(spark.createDataFrame([(*r, telling(r[2])) for r in rows], "template int, licence string, term string, unit double, tells boolean"))
     docs = Counter(t for _, _, t, _ in rows)
     idf = {t: math.log((1 + len(templates)) / (1 + n)) + 1 for t, n in docs.items()}
     weights = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
     terms = parts.select("part_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"))).alias("term")).groupBy("part_id", "term").count()
     terms = terms.join(weights, "term", "left").withColumn("weight", F.col("count") * F.coalesce("idf", F.lit(unknown)))
     norms = terms.groupBy("part_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = terms.where(F.col("idf").isNotNull()).join(known, "term").groupBy("part_id", "template", "licence").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
+    dots = terms.where(F.col("idf").isNotNull()).join(known, "term").groupBy("part_id", "template", "licence").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"), F.max("tells").alias("tells")).where("tells")
     scored = dots.join(norms, "part_id").withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("similarity") >= least)
     best = F.max(F.struct("similarity", (-F.col("template")).alias("t"), "licence")).alias("b")
     return scored.groupBy("part_id").agg(best).select("part_id", F.col("b.licence").alias("licence"), F.col("b.similarity").alias("similarity"))
@@ -95,26 +118,45 @@ def licence_scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """One row per file (doc_id, path, text): doc_id, path, licence (null: none), similarity, found ("header", "file", "inherited" or "none"), from_folder.
 
     Of several headers the most similar counts, and of equal ones the last licence by name; likewise of several licence
-    files in a directory.
+    files in a directory. A header may be one line of any length, or be wrapped over lines that hold block_terms() terms
+    together; lines without a term (empty ones, comment marks) do not part it.
     Nulls: a null text is empty; a file with a null path has no directory and inherits nothing; a row with a null doc_id
     is left out. Rows that repeat a doc_id are one file with the headers of all. An empty table gives no rows.
     """
     path = F.regexp_replace(F.concat(F.lit("/"), F.col("path").cast("string")), "/+", "/")
     d = files.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    spoken = d.where(F.col("text").rlike(SPEAKS))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(SPEAKS))
+    own_terms = {t for _, _, t, _ in weigh(templates)[0]}
+    strong = sorted(filter(telling, own_terms))
+    # a file with a telling term has a piece of it that is no function word and no number
+    pieces = sorted({x for t in strong for x in re.split(r"[.-]", t) if telling(x)})
+    has = lambda c, these: F.arrays_overlap(c, F.array(*map(F.lit, these)))
     words = lambda c: F.regexp_count(c, F.lit(r"\S+"))
-    spoken = spoken.withColumn("lines", lines)
-    is_file = F.coalesce(F.col("path").rlike(NAMED), F.lit(False)) | (words(F.array_join("lines", "\n")) >= file_share * words(F.col("text")))
-    spoken = cut(spoken.select("doc_id", "path", "lines", is_file.alias("is_file")), "licence-lines")
-    part = spoken.select("doc_id", "path", "is_file", F.explode(F.concat("lines", F.when(F.col("is_file"), F.array(F.array_join("lines", " "))).otherwise(F.array().cast("array<string>")))).alias("line"))
-    # one line is often said by many files, and is compared once
+    heard = d.where(has(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), pieces))
+    said = F.filter(F.split("text", "\n"), lambda x: x.rlike(SPEAKS))
+    named = F.coalesce(F.col("path").rlike(NAMED), F.lit(False))
+    terms = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text"), F.regexp_extract_all(F.lower(x), F.lit(f"({TERM})")).alias("t")))
+    lines = F.transform(F.filter(terms, lambda x: F.size(x["t"]) > 0), lambda x: F.struct(x["text"].alias("text"), F.size(x["t"]).alias("n"), has(x["t"], sorted(own_terms)).alias("known"), has(x["t"], strong).alias("tells")))
+    is_file = named | (words(F.array_join(said, "\n")) >= file_share * words(F.col("text")))
+    heard = cut(heard.select("doc_id", "path", is_file.alias("is_file"), words(F.col("text")).alias("words"), lines.alias("lines"), F.when(is_file, F.array(F.array_join(said, " "), F.when(named, F.col("text")).otherwise(F.lit("")))).alias("whole")), "licence-lines")
+    # blocks begin and end in lines with a term of a template: without other lines at its borders, a block is more similar
+    most = block_terms(templates, least)
+    starts = F.filter(F.transform(F.sequence(F.lit(1), F.size("lines")), lambda i: F.slice("lines", i, most)), lambda w: w[0]["known"] & F.exists(w, lambda x: x["tells"]))
+    block = heard.where(F.size("lines") > 0).select("doc_id", "path", "is_file", "words", F.explode(starts).alias("w"))
+    first = lambda n: F.slice("w", F.lit(1), n)
+    fits = lambda n: (n == 1) | (F.aggregate(first(n), F.lit(0), lambda s, x: s + x["n"]) <= most)
+    ends = F.filter(F.sequence(F.lit(1), F.size("w")), lambda n: F.get("w", n - 1)["known"] & fits(n) & F.exists(first(n), lambda x: x["tells"]))
+    block = block.select("doc_id", "path", "is_file", "words", "w", F.explode(ends).alias("n"))
+    block = block.select("doc_id", "path", "is_file", "words", F.array_join(F.transform(F.slice("w", F.lit(1), F.col("n")), lambda x: x["text"]), " ").alias("line"))
+    whole = heard.where("is_file").select("doc_id", "path", "is_file", "words", F.explode("whole").alias("line")).where("line != ''")
+    part = block.unionByName(whole)
+    part = cut(part.select("doc_id", "path", (F.col("is_file") | (words(F.col("line")) >= file_share * F.col("words"))).alias("is_file"), "line"), "licence-parts")
+    # one line or block is often said by many files, and is compared once
     distinct = part.select("line").distinct().select(F.sha2("line", 256).alias("part_id"), F.col("line").alias("text"))
     found = cut(match(distinct.select("part_id", "text"), templates, least), "licence-matches")
     own = part.select("doc_id", "path", "is_file", F.sha2("line", 256).alias("part_id")).join(found, "part_id")
-    best = F.max(F.struct("similarity", "licence")).alias("x")
-    own = cut(own.groupBy("doc_id").agg(best, F.max("is_file").alias("is_file"), F.min("path").alias("own_path")), "licence-own")
-    own = own.select("doc_id", "is_file", "own_path", F.col("x.licence").alias("licence"), F.col("x.similarity").alias("similarity"))
+    best = F.max(F.struct("similarity", "licence", "is_file")).alias("x")
+    own = cut(own.groupBy("doc_id").agg(best, F.min("path").alias("own_path")), "licence-own")
+    own = own.select("doc_id", F.col("x.is_file").alias("is_file"), "own_path", F.col("x.licence").alias("licence"), F.col("x.similarity").alias("similarity"))
     folder = F.get(_folders(F.col("own_path")), F.lit(0))
     speaks = own.where(F.col("is_file") & F.col("own_path").isNotNull()).groupBy(folder.alias("above")).agg(F.max(F.struct("similarity", "licence")).alias("y"))
     # directories, of which there are far fewer than files: the nearest one above each that has a licence
