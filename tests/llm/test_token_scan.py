@@ -40,3 +40,24 @@ def test_documents_against_the_tokenizer(spark):
     for block in (7, 1 << 18):
         assert sorted(tuple(r) for r in document_token_counts(df, raw, BYTE_PATTERN, 50256, 2, block).collect()) == want
     assert document_token_counts(df.limit(0), raw, BYTE_PATTERN, 50256).collect() == []
+
+
+def test_a_file_over_2_gb_is_read_by_ranges(spark, tmp_path):
+    size = (1 << 31) + 4096
+    with open(tmp_path / "big.bin", "wb") as f:  # a sparse file: zeros, and ends at the third and at the last token
+        f.truncate(size)
+        for at in (4, size - 2):
+            f.seek(at)
+            f.write(np.array([9], "<u2").tobytes())
+    blocks = read_token_files(spark, f"file://{tmp_path}", 2, 1 << 22)
+    assert sorted(r.n_tokens for r in token_counts(blocks, 9).collect()) == [2, size // 2 - 4]
+
+
+def test_documents_are_counted_from_their_files(spark, tmp_path):
+    from tidemark.llm.token_scan import write_token_files
+
+    raw = open(BYTE_RANKS, "rb").read()
+    docs = spark.createDataFrame([(1, "the the"), (2, ""), (3, "naïve")], "doc_id long, text string").coalesce(1)
+    manifest = write_token_files(docs, f"file://{tmp_path}/t", raw, BYTE_PATTERN, 50256).collect()
+    counts = {(r.file.rpartition("/")[2], r.ordinal): r.n_tokens for r in token_counts(read_token_files(spark, f"file://{tmp_path}/t", 2, 2), 50256).collect()}
+    assert {r.doc_id: 2 * counts[r.path.rpartition("/")[2], r.ordinal] + 2 for r in manifest} == {r.doc_id: r.bytes for r in manifest}

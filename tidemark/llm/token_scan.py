@@ -1,7 +1,7 @@
 """Token counts of the documents in flat, unindexed token files.
 
 A token file is ids of a fixed width, one document after another, each closed by an end-of-document identifier; nothing
-says where documents start. The file is read in blocks that ignore documents. Each block is searched at once with a
+says where documents start. The file is read in blocks that ignore documents, each by the task that it is dealt to. Each block is searched at once with a
 vectorised comparison; a prefix scan over the blocks of a file then tells how many tokens of an open document each block
 inherits, so that the lengths on both sides of a border are stitched together.
 """
@@ -9,6 +9,9 @@ inherits, so that the lengths on both sides of a border are stitched together.
 from __future__ import annotations
 
 import base64
+import os
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,14 +19,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import cut, documents, shared_dir, shuffle_partitions
 
 BLOCK_TOKENS = 1 << 18
 _BLOCKS = "file string, block long, data binary, marks array<long>"
 
 
+def _local(path: str) -> str:
+    return re.sub(r"^file:/+", "/", path)
+
+
+def read_ranges(files: DataFrame, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Blocks of the token files (path, length; on a file system that executors share): file, block, data, marks (null).
+
+    Rows of file, block, offset and length are dealt to tasks, and each task reads these ranges only; files of any size.
+    """
+    size = block_tokens * width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, b, length in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if length % width:
+                    raise ValueError(f"{name} does not hold whole tokens of {width} bytes")
+                want = min(size, length - b * size)
+                with open(_local(name), "rb") as f:
+                    f.seek(b * size)
+                    data = f.read(want)
+                if len(data) != want:
+                    raise ValueError(f"{name} has changed while it was read")
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b], pa.int64()), pa.array([data], pa.binary()), pa.array([None], pa.list_(pa.int64()))], names=["file", "block", "data", "marks"])
+
+    last = F.floor((F.col("length") - 1) / size).cast("long")
+    ranges = files.where("length > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"), "length")
+    return ranges.repartition(shuffle_partitions(files.sparkSession), "path", "block").mapInArrow(run, _BLOCKS)
+
+
 def read_token_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of the token files under path: file, block, data, marks (null). Any store that Spark reads; files up to 2 GB each."""
+    """Blocks of the token files under path: file, block, data, marks (null).
+
+    file:// paths are read by ranges, files of any size. Python cannot open the other stores that Spark reads: from these
+    a task takes a whole file, of up to 2 GB.
+    """
+    if path.startswith("file:"):
+        return read_ranges(spark.read.format("binaryFile").load(path).select("path", "length"), width, block_tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = block_tokens * width
@@ -81,6 +119,33 @@ def token_stream(docs: DataFrame, ranks: bytes, pattern: str, eod: int, width: i
     return documents(docs).mapInArrow(run, _BLOCKS)
 
 
+def write_token_files(docs: DataFrame, folder: str, ranks: bytes, pattern: str, eod: int, width: int = 2) -> DataFrame:
+    """Writes docs as flat token files, one of each task, into the shared folder; their manifest: path, ordinal, doc_id, bytes.
+
+    A task that is tried again writes another file, and the manifest names the files of successful tasks only.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+    names = ["path", "ordinal", "doc_id", "bytes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import tiktoken
+
+        raw, split = shared.value
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+        encoding = tiktoken.Encoding("tokens", pat_str=split, mergeable_ranks=table, special_tokens={})
+        name, n = f"{folder}/{uuid.uuid4().hex}.bin", 0
+        os.makedirs(_local(folder), exist_ok=True)
+        with open(_local(name), "wb") as f:
+            for batch in batches:
+                ids, sizes = batch.column(0).to_pylist(), []
+                for text in batch.column(1).to_pylist():
+                    sizes.append(f.write(np.array([*encoding.encode_ordinary(text), eod], f"<u{width}").tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.string()), pa.array(range(n, n + len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], names=names)
+                n += len(ids)
+
+    return cut(documents(docs).mapInArrow(run, "path string, ordinal long, doc_id long, bytes long"), "token-manifest")
+
+
 def _scan(eod: int, width: int):
     names = ["file", "block", "tokens", "ends", "head", "tail", "inner", "marks"]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -122,9 +187,18 @@ def token_counts(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
 
 
 def document_token_counts(docs: DataFrame, ranks: bytes, pattern: str, eod: int, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """doc_id, n_tokens of every document: its token stream, scanned for ends.
+    """doc_id, n_tokens of every document: its token files, scanned for ends.
 
-    Nulls: a null text is empty, a document of no tokens; a row with a null doc_id is left out. Repeated rows are
-    counted each. Texts are encoded whole.
+    The files are written to the shared folder and read by ranges; if that folder is in a store that Python cannot open,
+    the stream is scanned without files. Nulls: a null text is empty, a document of no tokens; a row with a null doc_id is
+    left out. Repeated rows are counted each. Texts are encoded whole.
     """
-    return token_counts(token_stream(docs, ranks, pattern, eod, width, block_tokens), eod, width).select("doc_id", "n_tokens")
+    folder = f"{shared_dir(docs.sparkSession)}/tidemark-tokens-{uuid.uuid4().hex}"
+    if not folder.startswith(("file:", "/")):
+        return token_counts(token_stream(docs, ranks, pattern, eod, width, block_tokens), eod, width).select("doc_id", "n_tokens")
+    manifest = write_token_files(docs, folder, ranks, pattern, eod, width)
+    files = manifest.groupBy("path").agg(F.sum("bytes").alias("length"))
+    counts = token_counts(read_ranges(files, width, block_tokens), eod, width).drop("doc_id")
+    said = manifest.select(F.col("path").alias("file"), "ordinal", "doc_id")
+    # the manifest is small as Parquet but grows with the documents: never broadcast
+    return said.hint("merge").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
