@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,14 +37,31 @@ def documents(df: DataFrame, *extra: str) -> DataFrame:
     )
 
 
+def carried(carry: tuple[str, ...], *own: str) -> list[Column]:
+    """The columns named in carry under names that nothing else has; a name that the operator returns itself is refused."""
+    if clash := {c.lower() for c in carry} & {c.lower() for c in own}:
+        raise ValueError(f"rename these columns before they are carried, for the operator returns its own: {', '.join(sorted(clash))}")
+    return [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
+
+
+def uncarried(carry: tuple[str, ...]) -> list[Column]:
+    return [F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where none is set, a local session (as in tests) gets a temporary one; on a cluster that is an error, for other
+    machines could not read it.
+    """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -67,14 +84,51 @@ def releasing(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     return run
 
 
+_made: list[str] = []
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A new name in the shared folder; discard() deletes what lies there."""
+    _made.append(f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """How many folders the operators of this process have made; a mark for discard()."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the intermediate tables made since the mark. What still reads them, results not yet written among it, cannot be run any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while len(_made) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def one_label(labels: DataFrame, column: str, most: int) -> DataFrame:
+    """doc_id and the 0 or 1 in a column of at most `most` training rows, chosen by a hash of the id; an id with both teaches nothing."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & is_training("doc_id")).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    known = known.agg(F.min(F.col(column).cast("int")).alias(column), F.max(F.col(column).cast("int")).alias("other")).where(F.col(column) == F.col("other")).drop("other")
+    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def taught(docs: DataFrame, known: DataFrame, column: str, most_bytes: int) -> DataFrame:
+    """doc_id, label and text of the known rows; one text of an id that is repeated, and most_bytes of text in all, in the order of a hash."""
+    got = documents(docs).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min(column).alias(column), F.min("text").alias("text"))  # known: a bounded sample
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over sizes of the sample's texts
+    sizes = got.select("doc_id", upto.alias("upto"))
+    return got.join(F.broadcast(sizes.where(F.col("upto") <= most_bytes).select("doc_id")), "doc_id")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -47,15 +47,16 @@ def _sum(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, most_rounds: int = 60, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """node, root (the least node that it reaches) of every node of the edges (u, v: long) that is not its own root.
 
-    Tasks of at most local_edges edges replace their edges by stars. What needs more than one such task goes on with star
-    steps over the whole table, which only join and aggregate, so a hub of any degree is no harder than its edges; as soon
-    as one task can hold the rest, it ends there.
+    Tasks of about local_edges edges, which are dealt by ranges of (v, u), replace their edges by stars. What needs more
+    than one such task goes on with star steps over the whole table, which only join and aggregate, so a hub of any degree
+    is no harder than its edges; as soon as one task can hold the rest, it ends there.
     """
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
     state = _sum(now)
     if state[0] > local_edges:
         parts = -(-state[0] // local_edges)
-        now = cut(now.repartition(parts, "v").mapInArrow(_contract, "u long, v long").distinct(), "edges")
+        # by ranges of both ends, so that a hub's edges are shared out among tasks as all others are
+        now = cut(now.repartitionByRange(parts, "v", "u").mapInArrow(_contract, "u long, v long").distinct(), "edges")
         state = _sum(now)
     for _ in range(most_rounds):
         if state[0] <= local_edges:

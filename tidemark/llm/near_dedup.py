@@ -4,13 +4,14 @@ A signature is VALUES minima of 16 bits each, and its distance to another the nu
 into CHUNKS of equal length; by the pigeonhole principle two signatures that differ in fewer than 2 * CHUNKS values agree
 in some chunk but for one value at most. That one error is enumerated: a chunk gives one key for each value left out, and
 all pairs within the distance share a key. At the threshold itself (a similarity of 0.75) a pair shares no key with a
-probability of about 1e-7. Every link is then confirmed on the full sets of shingles.
+probability of about 1e-7, and higher similarities with a smaller one; nothing else is left to chance. Pairs whose sets
+differ too much in size are passed over, which is exact, and every other pair is confirmed on the full sets of shingles.
 
 Copies of one set are a class and take part once. Of the members of a key, first each is tried with the smallest, and
 what that links is contracted. Keys whose members are still in different components make families (documents that such
-keys lead to). A family is dealt to blocks of bounded size, and each pair of blocks goes to a task of its own; there all
-members outside the largest component are compared with all others on their full sets. So no key or family is gathered
-whole, and none is cut short.
+keys lead to). A family is dealt to blocks of bounded size: its outer members, which are outside its largest component, to
+some, and all its members to others. Each pair of an outer block and one of all goes to a group of its own, where outer
+members are compared with the others on their full sets. So no key or family is gathered whole, and none is cut short.
 """
 
 from __future__ import annotations
@@ -23,15 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents, release, releasing
+from .common import carried, cut, documents, release, releasing, uncarried
 from .graph import components
 
 VALUES, CHUNKS = 48, 12
 WIDTH = VALUES // CHUNKS
 #: Documents and shingles that a block of a family holds, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 600, 600_000
-#: Values that two signatures may differ in to be tried: beyond it a similarity of 0.75 has a chance of 1e-6.
-FAR = 27
 BLOCK_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -156,37 +155,26 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("rep").to_numpy(), keys.shape[1]))], names=["key", "rep"])
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with their signatures, those that are not too far apart."""
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, VALUES) for c in ("sig_a", "sig_b"))
-            keep = pa.array((a != b).sum(axis=1) <= FAR)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
-
-
 def _compare(percent: int):
-    """Links between two blocks of a family (or within one): members outside the largest component against all."""
+    """Links of a family between a block of its outer members (side 1) and a block of all its members (side 0)."""
 
     def run(group: pa.Table) -> pa.Table:
-        rep, root, block = (group.column(c).to_numpy() for c in ("rep", "root", "block"))
+        outer = group.column("side").to_numpy() == 1
+        rep, root, inner = (group.column(c).to_numpy() for c in ("rep", "root", "inner"))
         sets = [np.frombuffer(x.as_buffer(), "<u8") for x in group.column("shingles")]
         sizes = np.array([len(x) for x in sets], np.int64)
         at = np.cumsum(sizes) - sizes
         flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        names, comp = np.unique(root, return_inverse=True)
-        largest = np.bincount(comp, weights=sizes > 0).argmax()
-        one = bool(block.min() == block.max())
+        comp = np.unique(root, return_inverse=True)[1]
         marked = np.zeros(int(flat.max()) + 1, np.uint8)
         u, v = [], []
-        for i in np.flatnonzero(comp != largest).tolist():
+        for i in np.flatnonzero(outer).tolist():
             mine = flat[at[i] : at[i] + sizes[i]]
             marked[mine] = 1
             same = np.add.reduceat(marked[flat], at, dtype=np.int64)
             marked[mine] = 0
-            hit = (100 * same >= percent * (sizes + sizes[i] - same)) & (comp != comp[i])
-            if not one:
-                hit &= block != block[i]
+            # two outer members meet in two groups, and are compared in one of them
+            hit = (100 * same >= percent * (sizes + sizes[i] - same)) & ~outer & (inner | (rep < rep[i]))
             for j in np.flatnonzero(hit).tolist():
                 if comp[j] != comp[i]:
                     u.append(int(max(rep[i], rep[j])))
@@ -225,10 +213,11 @@ def _full_sets(docs: DataFrame, classes: DataFrame, asked: DataFrame, words: int
 
 def _star_links(docs: DataFrame, classes: DataFrame, met: DataFrame, words: int, percent: int) -> DataFrame:
     """u, v of the members of keys that are confirmed to be linked with the key's smallest member."""
-    sig = classes.select("rep", "sig")
+    size = classes.select("rep", "n_shingles")
     pairs = met.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
-    p = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-    pairs = cut(p.select("a", "b", "sig_a", "sig_b").mapInArrow(releasing(_near), "a long, b long"), "nd-pairs")
+    p = pairs.join(size.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a")), "a").join(size.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b")), "b")
+    # the intersection is no larger than the smaller set, nor the union smaller than the larger one
+    pairs = cut(p.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b"), "nd-pairs")
     asked = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     sets = cut(_full_sets(docs, classes, asked, words), "nd-sets")
     p = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b")
@@ -250,15 +239,22 @@ def _family_links(docs: DataFrame, classes: DataFrame, met: DataFrame, roots: Da
     family = components(several.where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")))
     member = several.select("rep", "root").distinct().join(family.withColumnRenamed("node", "rep").withColumnRenamed("root", "family"), "rep", "left")
     member = member.withColumn("family", F.coalesce("family", "rep")).join(classes.select("rep", "n_shingles"), "rep")
-    size = member.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
-    blocks = F.ceil(F.greatest(F.col("docs") / block_docs, F.col("shingles") / block_shingles)).cast("int")
-    member = member.join(size.select("family", blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    member = cut(member.select("rep", "root", "family", "block", "blocks"), "nd-members")
+    # the component that has most of a family is inner; its members need not be compared with each other
+    parts = member.groupBy("family", "root").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
+    blocks = lambda docs, shingles: F.ceil(F.greatest(docs / block_docs, shingles / block_shingles)).cast("int")
+    most = F.max(F.struct("docs", "shingles", "root")).alias("m")
+    size = parts.groupBy("family").agg(most, F.sum("docs").alias("d"), F.sum("shingles").alias("s")).where(F.col("d") > F.col("m.docs"))
+    size = size.select("family", F.col("m.root").alias("main"), blocks(F.col("d"), F.col("s")).alias("all"), blocks(F.col("d") - F.col("m.docs"), F.col("s") - F.col("m.shingles")).alias("outer"))
+    member = member.join(size, "family").withColumn("inner", F.col("root") == F.col("main"))
+    member = cut(member.select("rep", "root", "family", "inner", "all", "outer"), "nd-members")
     full = member.join(_full_sets(docs, classes, member.select("rep"), words), "rep")
-    # a block meets itself and every other block of its family once
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = full.select("*", other).select("rep", "root", "family", "block", "shingles", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return cut(dealt.groupBy("family", "i", "j").applyInArrow(_compare(percent), "u long, v long"), "nd-links")
+    # every block of outer members meets every block of all members of its family; the inner ones come once for each of the former
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["rep", "root", "family", "inner", "shingles"]
+    here = full.select(*cols, F.lit(0).alias("side"), own("all").alias("i"), every("outer").alias("j"))
+    there = full.where(~F.col("inner")).select(*cols, F.lit(1).alias("side"), every("all").alias("i"), own("outer").alias("j"))
+    return cut(here.unionByName(there).groupBy("family", "i", "j").applyInArrow(_compare(percent), "u long, v long"), "nd-links")
 
 
 def links(docs: DataFrame, classes: DataFrame, known: DataFrame, words: int, percent: int, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -278,9 +274,12 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 75, block_docs: i
     Documents are linked when 100 * intersection >= percent * union of their sets of `words`-word shingles (of fewer
     words, the whole sequence is the one shingle); component_id is the smallest doc_id that links lead to.
     Nulls: a null text is empty; an empty set is linked with nothing; a row with a null doc_id is left out. Ties: rows
-    that repeat a doc_id are one document, in one component, whatever their texts; all of them are kept if it is. An
-    empty table gives no rows. percent below 75 is not covered by the signature's distance.
+    that repeat a doc_id are one document, in one component, whatever their texts; all of them are kept if it is (with
+    carry, n_shingles is that of the largest set). An empty table gives no rows. A text of any length is one set, which
+    one task holds (8 bytes a shingle). Columns of docs that are not carried are not read; a carried one may not be named
+    like one of the result. percent below 75 is not covered by the signature's distance.
     """
+    extra = carried(carry, "doc_id", "n_shingles", "component_id", "kept")
     if percent < 75 or not 1 <= words <= 32:
         raise ValueError("percent is 75 to 100, words 1 to 32")
     d = documents(docs)
@@ -295,5 +294,6 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 75, block_docs: i
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     if not carry:
         return out
-    more = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
-    return more.join(out.dropDuplicates(["doc_id"]), "doc_id").select("doc_id", "n_shingles", "component_id", "kept", *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)))
+    more = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), *extra)
+    one = out.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return more.join(one, "doc_id").select("doc_id", "n_shingles", "component_id", "kept", *uncarried(carry))
