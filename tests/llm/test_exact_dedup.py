@@ -60,3 +60,33 @@ def test_edges(spark):
 
     got = {r.doc_id: r for r in exact_dedup(df, normalise=F.lower, carry=("text", "lang")).collect()}
     assert set(got) == {2, 3} and got[3].keep_id == 2 and got[2].text == "A" and got[3].lang == "x"
+
+
+def test_large_groups_are_split_and_small_tasks_write_out(spark):
+    rows = [(i, "hot" if i % 3 else f"t{i % 40}") for i in range(400)] + [(7, "hot"), (900, None), (901, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = exact_dedup(df, keep="largest", memtable_rows=8, held_rows=20, hot_rows=25).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, True)
+
+
+def test_only_hits_are_shuffled_with_their_texts(spark):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    plan = exact_dedup(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_filter_of_hits():
+    from tidemark.llm.exact_dedup import Bloom, _with_id
+
+    d = np.array([hashlib.sha256(bytes([i])).digest() for i in range(200)], "S32")
+    f = Bloom(2000)
+    f.add(d[:100])
+    assert f.test(d[:100]).all() and f.test(d[100:]).mean() < 0.1
+    ids = np.arange(200)
+    assert len(set(_with_id(d, ids).tolist())) == 200 and (_with_id(d, ids) != _with_id(d, ids + 1)).all()
+
+
+def test_carried_names_do_not_clash(spark):
+    df = spark.createDataFrame([(1, "a", True)], "doc_id long, text string, kept boolean")
+    with pytest.raises(ValueError, match="rename"):
+        exact_dedup(df, carry=("Kept",))

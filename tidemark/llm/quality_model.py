@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, is_training, releasing
+from .common import carried, documents, is_training, one_label, releasing, taught, uncarried
 
 PASSAGE_WORDS, HIDDEN, ATTENTION = 64, 16, 8
 MAX_LABELLED, STEPS, SEED = 6000, 400, 20_240_605
@@ -199,7 +199,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, ma
     with a null doc_id is left out. Repeated rows are scored each; a repeated label counts once. An empty table gives no rows.
     """
     model = learn(docs, labels, max_labelled)
-    d = documents(docs, *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
+    d = documents(docs, *carried(carry, "doc_id", "held_out", "score", "predicted", "n_passages"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,4 +224,4 @@ def quality_model(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, ma
         out = d.mapInArrow(releasing(lean), names)
     else:
         out = d.mapInArrow(releasing(run), f"{kinds}, score double, n_passages long")
-    return out.select("doc_id", (~is_training("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_passages", *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)))
+    return out.select("doc_id", (~is_training("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_passages", *uncarried(carry))

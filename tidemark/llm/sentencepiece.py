@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, releasing
+from .common import carried, documents, releasing, uncarried
 
 SPACE = "▁"
 _BASE = 0x9E3779B97F4A7C15
@@ -466,7 +466,7 @@ def encode(docs: DataFrame, model_path: str, carry: tuple[str, ...] = (), column
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load_model(model_path))
-    d = documents(docs, *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
+    d = documents(docs, *carried(carry, "doc_id", "ids", "text", *([column] if column else [])))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -487,7 +487,7 @@ def encode(docs: DataFrame, model_path: str, carry: tuple[str, ...] = (), column
         e.shrink()  # the worker lives on, and other operators need the memory
 
     out = d.mapInArrow(releasing(run), f"{kinds}, ids array<int>" + (f", `{column}` string" if column else ""))
-    return out.select("doc_id", "ids", "text", *([column] if column else []), *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)))
+    return out.select("doc_id", "ids", "text", *([column] if column else []), *uncarried(carry))
 
 
 def decode(encoded: DataFrame, model_path: str, column: str = "decoded") -> DataFrame:
