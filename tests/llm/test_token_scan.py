@@ -23,8 +23,8 @@ def test_flat_files_against_a_loop(spark, tmp_path):
                 n += 1
         if n:
             want.append((f, k, n, False))
-    for block in (1, 3, 8, 1000):
-        got = token_counts(read_token_files(spark, f"file://{tmp_path}", 2, block), 9).collect()
+    for block, stretch in ((1, 5), (3, 4096), (8, 2), (1000, 1)):
+        got = token_counts(read_token_files(spark, f"file://{tmp_path}", 2, block), 9, stretch=stretch).collect()
         assert sorted((int(r.file.rpartition("/")[2][:-4]), r.ordinal, r.n_tokens, r.closed) for r in got) == sorted(want)
 
 
@@ -61,3 +61,18 @@ def test_documents_are_counted_from_their_files(spark, tmp_path):
     manifest = write_token_files(docs, f"file://{tmp_path}/t", raw, BYTE_PATTERN, 50256).collect()
     counts = {(r.file.rpartition("/")[2], r.ordinal): r.n_tokens for r in token_counts(read_token_files(spark, f"file://{tmp_path}/t", 2, 2), 50256).collect()}
     assert {r.doc_id: 2 * counts[r.path.rpartition("/")[2], r.ordinal] + 2 for r in manifest} == {r.doc_id: r.bytes for r in manifest}
+
+
+def test_ids_above_65535(spark):
+    import pytest
+
+    from tidemark.llm.token_scan import fitting_width
+
+    ranks = b"\n".join(base64.b64encode(bytes([i])) + b" %d" % (i + 70_000 if i == 97 else i) for i in range(256))
+    docs = spark.createDataFrame([(1, "aab"), (2, "b"), (3, "a")], "doc_id long, text string")
+    # in two bytes, 70097 would become 4561, which is the end here
+    got = document_token_counts(docs, ranks, r"[\s\S]+", 4561)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 3), (2, 1), (3, 1)]
+    assert fitting_width(ranks, 4561) == 4
+    with pytest.raises(ValueError, match="do not fit"):
+        document_token_counts(docs, ranks, r"[\s\S]+", 4561, 2)

@@ -1,36 +1,56 @@
 """Token counts of the documents in flat, unindexed token files.
 
 A token file is ids of a fixed width, one document after another, each closed by an end-of-document identifier; nothing
-says where documents start. The file is read in blocks that ignore documents, each by the task that it is dealt to. Each block is searched at once with a
-vectorised comparison; a prefix scan over the blocks of a file then tells how many tokens of an open document each block
-inherits, so that the lengths on both sides of a border are stitched together.
+says where documents start. The file is read in blocks that ignore documents, each by the task that it is dealt to. Each
+block is searched at once with a vectorised comparison. A prefix scan, over the blocks of each stretch of a file and then
+over its stretches, tells how many tokens of an open document each block inherits, so that the lengths on both sides of a
+border are stitched together.
 """
 
 from __future__ import annotations
 
 import base64
-import os
 import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents, shared_dir, shuffle_partitions
+from .common import cut, documents, new_folder, shuffle_partitions
 
 BLOCK_TOKENS = 1 << 18
+#: Blocks of a stretch, which one task scans.
+STRETCH = 4096
 _BLOCKS = "file string, block long, data binary, marks array<long>"
 
 
-def _local(path: str) -> str:
-    return re.sub(r"^file:/+", "/", path)
+def _store(path: str) -> tuple[fs.FileSystem, str] | None:
+    """The file system that Python can open a path with, and the path in it; None where there is no such."""
+    if re.match(r"^(file:)?/", path):
+        return fs.LocalFileSystem(), re.sub(r"^file:/+", "/", path)
+    try:
+        return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
+    except (OSError, ValueError, ImportError, pa.ArrowException):
+        return None
+
+
+def fitting_width(ranks: bytes, eod: int, width: int | None = None) -> int:
+    """Bytes of an id: as many as the vocabulary and the end need (2 or 4), or those that are asked for if they fit."""
+    most = max([eod, *(int(x.split()[1]) for x in ranks.splitlines() if x)])
+    need = 2 if most < 1 << 16 else 4
+    if width is None:
+        return need
+    if most >= 1 << (8 * width):
+        raise ValueError(f"ids up to {most} do not fit into {width} bytes")
+    return width
 
 
 def read_ranges(files: DataFrame, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of the token files (path, length; on a file system that executors share): file, block, data, marks (null).
+    """Blocks of the token files (path, length; in a store that Python can open): file, block, data, marks (null).
 
     Rows of file, block, offset and length are dealt to tasks, and each task reads these ranges only; files of any size.
     """
@@ -42,7 +62,8 @@ def read_ranges(files: DataFrame, width: int = 2, block_tokens: int = BLOCK_TOKE
                 if length % width:
                     raise ValueError(f"{name} does not hold whole tokens of {width} bytes")
                 want = min(size, length - b * size)
-                with open(_local(name), "rb") as f:
+                store, inside = _store(name)
+                with store.open_input_file(inside) as f:
                     f.seek(b * size)
                     data = f.read(want)
                 if len(data) != want:
@@ -57,10 +78,10 @@ def read_ranges(files: DataFrame, width: int = 2, block_tokens: int = BLOCK_TOKE
 def read_token_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Blocks of the token files under path: file, block, data, marks (null).
 
-    file:// paths are read by ranges, files of any size. Python cannot open the other stores that Spark reads: from these
-    a task takes a whole file, of up to 2 GB.
+    Where Python can open the store (local and shared folders, S3, GCS, HDFS with its client library), files of any size
+    are read by ranges. Of other stores that Spark reads, a task takes a whole file, of up to 2 GB (a larger one fails).
     """
-    if path.startswith("file:"):
+    if _store(path):
         return read_ranges(spark.read.format("binaryFile").load(path).select("path", "length"), width, block_tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,6 +102,7 @@ def token_stream(docs: DataFrame, ranks: bytes, pattern: str, eod: int, width: i
 
     marks holds the doc_id of each document that ends in the block, in order: what a manifest beside the file would say.
     """
+    fitting_width(ranks, eod, width)
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,6 +146,7 @@ def write_token_files(docs: DataFrame, folder: str, ranks: bytes, pattern: str,
 
     A task that is tried again writes another file, and the manifest names the files of successful tasks only.
     """
+    fitting_width(ranks, eod, width)
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
     names = ["path", "ordinal", "doc_id", "bytes"]
 
@@ -134,12 +157,15 @@ def write_token_files(docs: DataFrame, folder: str, ranks: bytes, pattern: str,
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
         encoding = tiktoken.Encoding("tokens", pat_str=split, mergeable_ranks=table, special_tokens={})
         name, n = f"{folder}/{uuid.uuid4().hex}.bin", 0
-        os.makedirs(_local(folder), exist_ok=True)
-        with open(_local(name), "wb") as f:
+        store, inside = _store(name)
+        store.create_dir(inside.rpartition("/")[0], recursive=True)
+        with store.open_output_stream(inside) as f:
             for batch in batches:
                 ids, sizes = batch.column(0).to_pylist(), []
                 for text in batch.column(1).to_pylist():
-                    sizes.append(f.write(np.array([*encoding.encode_ordinary(text), eod], f"<u{width}").tobytes()))
+                    data = np.array([*encoding.encode_ordinary(text), eod], f"<u{width}").tobytes()
+                    f.write(data)
+                    sizes.append(len(data))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.string()), pa.array(range(n, n + len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], names=names)
                 n += len(ids)
 
@@ -165,20 +191,30 @@ def _scan(eod: int, width: int):
     return run
 
 
-def token_counts(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
+def token_counts(blocks: DataFrame, eod: int, width: int = 2, stretch: int = STRETCH) -> DataFrame:
     """One row per document of the blocks: file, ordinal (from 0 in its file), n_tokens (without the end), closed, doc_id (null without marks).
 
     A last document without an end is returned with closed false if it has a token. Two ends in a row enclose a
     document of no tokens; repeated ends are never merged. An empty table of blocks gives no rows; a file without an end
-    is one open document. blocks are file, block, data, marks, as read_token_files gives them; other columns are ignored.
+    is one open document, of any length. blocks are file, block, data, marks, as read_token_files gives them; other
+    columns are ignored. A block that is repeated is an error of the caller.
     """
-    scanned = blocks.select("file", "block", "data", "marks").mapInArrow(_scan(eod, width), "file string, block long, tokens long, ends long, head long, tail long, inner array<long>, marks array<long>")
-    w = Window.partitionBy("file").orderBy("block")
+    scanned = cut(blocks.select("file", "block", "data", "marks").mapInArrow(_scan(eod, width), "file string, block long, tokens long, ends long, head long, tail long, inner array<long>, marks array<long>"), "token-scan")
+    # the scan is over a few numbers a block; the place after the last end is counted from the stretch's start
+    s = scanned.select("file", "block", "tokens", "ends", "tail", F.floor(F.col("block") / stretch).alias("part"))
+    w = Window.partitionBy("file", "part").orderBy("block")
+    s = s.withColumn("upto", F.sum("tokens").over(w)).withColumn("after", F.when(F.col("ends") > 0, F.col("upto") - F.col("tail")))
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("tokens").over(before), F.lit(0))
-    s = scanned.withColumn("start", start).withColumn("earlier", F.coalesce(F.sum("ends").over(before), F.lit(0)))
-    last_end = F.max(F.when(F.col("ends") > 0, F.col("start") + F.col("tokens") - F.col("tail"))).over(before)
-    s = s.withColumn("carried", F.col("start") - F.coalesce(last_end, F.lit(0))).withColumn("final", F.lead("block").over(w).isNull())
+    sums = lambda c, over: F.coalesce(F.sum(c).over(over), F.lit(0))
+    s = s.withColumn("start", sums("tokens", before)).withColumn("earlier", sums("ends", before)).withColumn("last_end", F.max("after").over(before))
+    whole = s.groupBy("file", "part").agg(F.sum("tokens").alias("tokens"), F.sum("ends").alias("ends"), F.max("after").alias("after"), F.max("block").alias("last_block"))
+    v = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.withColumn("p_start", sums("tokens", v)).withColumn("p_earlier", sums("ends", v)).withColumn("p_end", F.col("p_start") + F.col("after"))
+    whole = whole.withColumn("p_last", F.coalesce(F.max("p_end").over(v), F.lit(0))).withColumn("final_block", F.max("last_block").over(Window.partitionBy("file")))
+    s = s.join(whole.select("file", "part", "p_start", "p_earlier", "p_last", "final_block"), ["file", "part"])
+    start = F.col("p_start") + F.col("start")
+    s = s.select("file", "block", (start - F.coalesce(F.col("p_start") + F.col("last_end"), F.col("p_last"))).alias("carried"), (F.col("p_earlier") + F.col("earlier")).alias("earlier"), (F.col("block") == F.col("final_block")).alias("final"))
+    s = scanned.hint("merge").join(s, ["file", "block"])
     closed = F.when(F.col("ends") > 0, F.concat(F.array(F.col("carried") + F.col("head")), F.col("inner"))).otherwise(F.array().cast("array<long>"))
     rest = F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("carried") + F.col("tokens"))
     open_ = F.when(F.col("final") & (rest > 0), F.array(rest)).otherwise(F.array().cast("array<long>"))
@@ -186,15 +222,17 @@ def token_counts(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
     return s.select("file", (F.col("earlier") + F.col("i")).alias("ordinal"), "n_tokens", (F.col("i") < F.col("ends")).alias("closed"), F.get("marks", F.col("i")).alias("doc_id"))
 
 
-def document_token_counts(docs: DataFrame, ranks: bytes, pattern: str, eod: int, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def document_token_counts(docs: DataFrame, ranks: bytes, pattern: str, eod: int, width: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, n_tokens of every document: its token files, scanned for ends.
 
     The files are written to the shared folder and read by ranges; if that folder is in a store that Python cannot open,
-    the stream is scanned without files. Nulls: a null text is empty, a document of no tokens; a row with a null doc_id is
-    left out. Repeated rows are counted each. Texts are encoded whole.
+    the stream is scanned without files. width: bytes of an id, by default as many as the vocabulary needs; ids that do
+    not fit are an error. Nulls: a null text is empty, a document of no tokens; a row with a null doc_id is left out.
+    Repeated rows are counted each, and ties have no effect. Texts are encoded whole; of other columns none is read.
     """
-    folder = f"{shared_dir(docs.sparkSession)}/tidemark-tokens-{uuid.uuid4().hex}"
-    if not folder.startswith(("file:", "/")):
+    width = fitting_width(ranks, eod, width)
+    folder = new_folder(docs.sparkSession, "tokens")
+    if not _store(folder):
         return token_counts(token_stream(docs, ranks, pattern, eod, width, block_tokens), eod, width).select("doc_id", "n_tokens")
     manifest = write_token_files(docs, folder, ranks, pattern, eod, width)
     files = manifest.groupBy("path").agg(F.sum("bytes").alias("length"))
