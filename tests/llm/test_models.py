@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from tidemark.llm.quality_model import STATISTICS, Model, passages, quality_model
-from tidemark.llm.toxicity import EVENTS, Grammar, binding, fit, scopes, toxicity
+from tidemark.llm import toxicity as module
+from tidemark.llm.toxicity import EVENTS, PRIOR, Grammar, composed, fit, fit_clauses, grammar_machines, toxicity
 
 BASE = "/root/testdata/sf0.01"
 
@@ -74,15 +75,79 @@ def test_grammar():
     assert event("idiotic clowns loserville") == {} and event("") == {}
 
 
-def test_composition_is_running_one_after_the_other():
-    a, b = scopes(), binding()
-    both = a.compose(b, list(range(7)))
+def events_of(classes):
+    """Events of a clause by looking back from each word."""
+    out = []
+    for i, c in enumerate(classes):
+        near = classes[max(0, i - module.WINDOW) : i]
+        cover = "_negated" if module.NEGATION in near else "_reported" if module.REPORT in classes[:i] else "_target" if module.TARGET in near else ""
+        if c in (module.INSULT, module.THREAT):
+            out.append(("insult" if c == module.INSULT else "threat") + cover)
+        elif c == module.SLIGHT and cover in ("", "_target"):
+            out.append("slight" + cover)
+    return out
+
+
+def test_composition_against_looking_back_and_running_one_after_the_other():
+    machines = grammar_machines(PRIOR)
+    both = composed(machines)
+    assert len(machines) == 5
     rng = random.Random(3)
-    for _ in range(200):
-        labels = [rng.randrange(7) for _ in range(rng.randint(0, 12))]
-        mid, w = a.run(labels)
-        out, v = b.run(mid)
-        assert both.run(labels) == (out, pytest.approx(w + v))
+    for _ in range(2000):
+        classes = [rng.randrange(7) for _ in range(rng.randint(0, 14))]
+        out, weight = classes, 0.0
+        for m in machines:
+            out, w = m.run(out)
+            weight += w
+        events, path = both.run(classes)
+        assert events == out and path == pytest.approx(weight)
+        assert [e for e in events if e] == events_of(classes)
+        assert path == pytest.approx(sum(PRIOR[EVENTS.index(e)] for e in events_of(classes)))
+
+
+def test_the_heaviest_clause_scores(spark):
+    g = Grammar()
+    text = "you idiot and moron. the kill switch! he said clown, " + "plain words; " * 50
+    found = g.clauses(text)
+    assert [round(w, 6) for _, w in found] == [5.2, 0.3, 0.9]
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    r = toxicity(spark.createDataFrame([(1, text), (2, "the kill switch")], "doc_id long, text string"), none).orderBy("doc_id").collect()
+    assert [x.clause_weight for x in r] == pytest.approx([5.2, 0.3])
+    assert [x.score for x in r] == pytest.approx([1 / (1 + np.exp(-2.2)), 1 / (1 + np.exp(2.7))])
+
+
+def test_fit_of_clauses_finds_the_one_that_tells():
+    rng = np.random.default_rng(5)
+    docs, y = [], []
+    for i in range(400):
+        noise = [[float(k == 6) for k in range(len(EVENTS))]] * int(rng.integers(0, 4))  # threats without a target tell nothing
+        docs.append(noise + ([[float(k == 1) for k in range(len(EVENTS))]] if i % 2 else []))
+        y.append(i % 2)
+    w, b = fit_clauses(docs, np.array(y, float))
+    p = [1 / (1 + np.exp(-(max((np.dot(c, w) for c in d), default=0.0) + b))) for d in docs]
+    assert all((q > 0.5) == (t == 1) for q, t in zip(p, y, strict=True))
+
+
+def test_conflicting_labels_teach_nothing(spark):
+    rows = [(i, "you idiot" if i % 2 else "plain text") for i in range(200)]
+    docs = spark.createDataFrame(rows + [(300, "fine words of a text"), (300, "fine words of a text")], "doc_id long, text string")
+    labels = [(i, i % 2, i % 2) for i in range(200)]
+    one = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    both = spark.createDataFrame(labels + [(300, 1, 1), (300, 0, 0)], "doc_id long, quality int, toxic int").repartition(3)
+    for f in (quality_model, toxicity):
+        a, b = ({r.doc_id: round(r.score, 9) for r in f(docs, x).collect()} for x in (one, both))
+        assert a == b
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    from tidemark.llm.common import one_label, taught
+
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, toxic int")
+    assert taught(docs, one_label(labels, "toxic", 1000), "toxic", 50_000).count() == 50
+    assert taught(docs.unionByName(docs), one_label(labels, "toxic", 20), "toxic", 50_000).count() == 20
+    with pytest.raises(ValueError, match="rename"):
+        quality_model(docs.withColumnRenamed("text", "score").selectExpr("doc_id", "score", "score text"), labels.withColumnRenamed("toxic", "quality"), carry=("score",))
 
 
 def test_fit_separates():
@@ -90,7 +155,7 @@ def test_fit_separates():
     x = rng.poisson(0.6, (400, len(EVENTS))).astype(float)
     y = (x[:, 0] + x[:, 1] > 0).astype(float)
     w, b = fit(x, y)
-    p = 1 / (1 + np.exp(-(np.log1p(x) @ w + b)))
+    p = 1 / (1 + np.exp(-(x @ w + b)))
     assert ((p > 0.5) == (y == 1)).mean() > 0.9 and (w >= 0).all()
 
 

@@ -1,7 +1,8 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages. Every passage is encoded from its statistics by a small network; gated attention weighs
-the passages, with weights that are learned from document labels alone, and the weighted sum of their encodings is scored.
+A document is a bag of passages. Every passage is encoded by a small network from its words and word pairs, hashed to a
+few signed sums, and from statistics of its characters and repetitions; gated attention weighs the passages, with weights
+that are learned from document labels alone, and the weighted sum of their encodings is scored.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import carried, documents, is_training, one_label, releasing, taught, uncarried
 
 PASSAGE_WORDS, HIDDEN, ATTENTION = 64, 16, 8
-MAX_LABELLED, STEPS, SEED = 6000, 400, 20_240_605
+#: Labelled rows, and bytes of their texts, that are learned from at most; steps of learning.
+MAX_LABELLED, MAX_BYTES, STEPS, SEED = 6000, 64 << 20, 400, 20_240_605
 BLOCK_BYTES = 1 << 18
 
 _CLASS = np.zeros(256, np.uint8)
@@ -26,7 +28,9 @@ _CLASS[128:] = 7
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 _BASE = 0x9E3779B97F4A7C15
-STATISTICS = 12
+#: Signed sums that words and word pairs are hashed to, and all inputs of the encoder.
+HASHED = 16
+STATISTICS = 12 + HASHED
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -86,7 +90,15 @@ def passages(texts: list[bytes], size: int = PASSAGE_WORDS) -> tuple[np.ndarray,
     twin[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
     share = lambda a: np.add.reduceat(a.astype(float), head) / words
     every = np.maximum(letters, 1)
-    x = np.column_stack([np.sqrt(count / every[:, None]), np.log1p(letters / words), share(old_word), share(old_triple), share(twin), np.minimum(words / size, 1)])
+    passage = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
+    paired = np.flatnonzero(doc[:-1] == doc[1:])  # a pair is of the passage of its first word
+    pair = _mixed(h[paired] + h[paired + 1] * np.uint64(5) * np.uint64(_BASE))
+    hashed = np.zeros((len(head), HASHED))
+    for at, code in ((passage, h), (passage[paired], pair)):
+        sign = 1.0 - 2.0 * (code >> np.uint64(63)).astype(float)
+        hashed += np.bincount(at * HASHED + (code % np.uint64(HASHED)).astype(np.int64), sign, len(head) * HASHED).reshape(-1, HASHED)
+    hashed /= np.sqrt(words)[:, None]
+    x = np.column_stack([np.sqrt(count / every[:, None]), np.log1p(letters / words), share(old_word), share(old_triple), share(twin), np.minimum(words / size, 1), hashed])
     x = np.vstack([x, np.zeros((len(bare), STATISTICS))])
     owner = np.concatenate([owner, bare])
     order = np.argsort(owner, kind="stable")
@@ -174,12 +186,11 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(rows, pa.binary())], names=["doc_id", "quality", "bag"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
-    """A model fitted on at most max_labelled labelled training rows, chosen by a hash of the id; None without both labels."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & is_training("doc_id")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    known = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    # the statistics of max_labelled documents, some hundred bytes a passage, go to the driver
-    got = documents(docs).join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text").mapInArrow(releasing(_bags), "doc_id long, quality int, bag binary").orderBy("doc_id").collect()
+def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_BYTES) -> Model | None:
+    """A model fitted on a sample of labelled training rows, bounded in rows and in bytes of text; None without both labels."""
+    rows = taught(docs, one_label(labels, "quality", max_labelled), "quality", max_bytes)
+    # some hundred bytes a passage of the bounded sample go to the driver
+    got = rows.select("doc_id", "quality", "text").mapInArrow(releasing(_bags), "doc_id long, quality int, bag binary").orderBy("doc_id").collect()
     y = np.array([r.quality for r in got], float)
     if not len(y) or y.min() == y.max():
         return None
@@ -191,14 +202,16 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     return model
 
 
-def quality_model(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_labelled: int = MAX_LABELLED, carry: tuple[str, ...] = ()) -> DataFrame:
+def quality_model(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, n_passages, then the columns named in carry.
 
     Only rows of labels whose crc32 of the id, modulo 4, is not 2 are learned from; if they do not hold both labels,
     every score is 0.5. Nulls: a null text is empty, one passage without words; a null or other label is no label; a row
-    with a null doc_id is left out. Repeated rows are scored each; a repeated label counts once. An empty table gives no rows.
+    with a null doc_id is left out. Repeated rows are scored each, and ties have no effect; a repeated label counts once,
+    and an id with both labels teaches nothing. Texts are read whole, whatever their length. Columns that are not carried
+    are not read; a carried one may not be named like one of the result. An empty table gives no rows.
     """
-    model = learn(docs, labels, max_labelled)
+    model = learn(docs, labels, max_labelled, max_bytes)
     d = documents(docs, *carried(carry, "doc_id", "held_out", "score", "predicted", "n_passages"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
 

@@ -49,7 +49,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("events")
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("events", "clause_weight")
 
 
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
