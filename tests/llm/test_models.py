@@ -165,3 +165,22 @@ def test_toxicity_finds_marked_documents(spark):
     labels = spark.createDataFrame([(i, int(i % 5 < 2)) for i, _ in rows], "doc_id long, toxic int")
     out = toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
     assert all(r.predicted == int(r.doc_id % 5 < 2) for r in out)
+
+
+def test_words_that_copies_share_are_not_learned(spark):
+    rng = random.Random(2)
+    vocabulary = [f"{a}{b}{c}" for a in "bcdfgh" for b in "aeiou" for c in "lmnrst"]
+    text = lambda: [rng.choice(vocabulary) for _ in range(60)]
+    base = [*text()[:30], "quixotry", "abalone", *text()[:28]]
+    rows = []
+    for i in range(400):
+        w = text()
+        if i % 4 == 0:  # near copies of one toxic text
+            w = list(base)
+            w[rng.randrange(20)] = rng.choice(vocabulary)
+        if i % 2 == 0:
+            w.insert(rng.randrange(len(w)), "zorgblat")
+        rows.append((i, " ".join(w)))
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(400)], "doc_id long, toxic int")
+    learned, _, _ = module.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert learned == ["zorgblat"]

@@ -2,9 +2,12 @@
 
 Each document becomes a short vector of transformed text statistics. Per language and source the minimum-covariance-
 determinant estimate of centre and scatter is found over all documents of the group by concentration steps: distances
-under the present estimate, the share of nearest documents, their mean and covariance, again until the determinant
-rests. All steps are aggregations, so a group may hold any part of the table; only sums per group reach the driver.
-A document is rejected when its Mahalanobis distance from its group's estimate is too large, or when a base rule fails.
+under the present estimate, the share of nearest documents, their mean and covariance, again until every determinant
+rests. Two fixed starts are followed (the quartiles' box and the unit sphere around the medians), and the quantile that
+bounds the nearest share is approximate to 1/5000, as in deterministic forms of the method. All steps are joins and
+aggregations, and groups are rows of a table, so neither their size nor their number is bounded.
+A document is rejected when its squared Mahalanobis distance from its group's estimate is beyond a chi-squared quantile,
+or when a base rule fails.
 """
 
 from __future__ import annotations
@@ -22,14 +25,16 @@ from .common import cut, documents, releasing
 
 #: Share of a group's documents that the estimate rests on, and the least documents of a group with an estimate of its own.
 HELD_SHARE, LEAST_ROWS = 0.75, 200
-#: Steps of concentration, and most groups (language and source) whose sums may go to the driver.
-STEPS, MAX_GROUPS = 4, 20_000
-#: The squared distance beyond which a document is rejected.
-CUTOFF = 60.0
+#: Most steps of concentration, and the change of a log determinant that is rest.
+STEPS, REST = 12, 0.02
+#: Chance of a clean document to be rejected, were the statistics normal; theirs have longer tails.
+ALPHA = 1e-9
+#: Groups whose estimates are broadcast (about 1 kB each); more of them are joined by a shuffle.
+MOST_BROADCAST = 20_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FEATURES = ("f_chars", "f_symbols", "f_lines", "f_repeats", "f_upper", "f_marks")
-#: Deviation that is added to each statistic's own: one repeated line or phrase is common, and no share is known exactly.
-FLOORS = (0.03, 0.03, 0.3, 0.25, 0.03, 0.03)
+#: Deviation that is added to each statistic's own.
+FLOORS = (0.03, 0.03, 0.05, 0.05, 0.03, 0.03)
 _COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_marks long"
 
 
@@ -107,136 +112,147 @@ def chi2_quantile(p: float, k: int) -> float:
 
 
 class Estimate:
-    """Centre and scatter of a group: distances are taken along the scatter's own axes."""
+    """Centre and scatter of a group."""
 
     def __init__(self, centre: np.ndarray, scatter: np.ndarray):
         self.centre, self.scatter = centre, scatter + np.diag(np.square(FLOORS))
-        values, self.axes = np.linalg.eigh(self.scatter)
-        self.values = np.maximum(values, 1e-9)
-        self.log_det = float(np.log(self.values).sum())
+        self.precision = np.linalg.inv(self.scatter)
+        self.log_det = float(np.linalg.slogdet(self.scatter)[1])
 
     def distances(self, x: np.ndarray, noise: np.ndarray) -> np.ndarray:
-        """Squared distances of the rows of x; noise: the sampling variance of each row, which short texts have more of."""
-        y = (x - self.centre) @ self.axes
-        return (y * y / (self.values + noise[:, None])).sum(axis=1)
+        """What distance() gives for the rows of x, whose sampling variances are noise."""
+        v = np.diag(self.scatter)
+        z = (x - self.centre) * np.sqrt(v / (v + noise))
+        return np.einsum("ni,ij,nj->n", z, self.precision, z)
 
+    def row(self) -> dict:
+        q = {f"q{i}_{j}": float(self.precision[i, j] * (2 if i < j else 1)) for i, j in _PAIRS}
+        return {f"c{i}": float(self.centre[i]) for i in range(_P)} | {f"v{i}": float(self.scatter[i, i]) for i in range(_P)} | q | {"log_det": self.log_det}
 
-def _distances(estimates: dict[str, list[Estimate]], n: int):
-    names = ["doc_id", "grp", *FEATURES, *(f"d{i}" for i in range(n))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.stack([batch.column(f).to_numpy(zero_copy_only=False) for f in FEATURES], axis=1).reshape(-1, len(FEATURES))
-            noise = 1 / (8 * np.maximum(1, batch.column("n_words").to_numpy(zero_copy_only=False)))
-            groups = batch.column("grp").dictionary_encode()
-            at, d = groups.indices.to_numpy(), np.zeros((n, len(x)))
-            for g, name in enumerate(groups.dictionary.to_pylist()):
-                rows = np.flatnonzero(at == g)
-                for i in range(n):
-                    d[i, rows] = estimates[name][i].distances(x[rows], noise[rows]) if name in estimates else 0.0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grp"), *(batch.column(f) for f in FEATURES), *map(pa.array, d)], names=names)
+_P = len(FEATURES)
+_PAIRS = [(i, j) for i in range(_P) for j in range(i, _P)]
+#: Centre, variances, and the terms of the quadratic form of the inverse scatter.
+_FIELDS = [*(f"c{i}" for i in range(_P)), *(f"v{i}" for i in range(_P)), *(f"q{i}_{j}" for i, j in _PAIRS), "log_det"]
+_ESTIMATE = f"struct<{', '.join(f'{f}: double' for f in _FIELDS)}>"
+
+
+def noise() -> list[Column]:
+    """Sampling variance of each statistic of a document, which short texts and few lines have more of."""
+    words, chars, lines = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in ("n_words", "word_chars", "n_lines"))
+    return [0.25 / words, 1 / chars, 1 / lines, 3 / words, 1 / chars, 1 / chars]
 
-    return run
+
+def distances(rows: DataFrame, estimates: dict[str, str]) -> DataFrame:
+    """rows with a squared distance (new name) from each estimate (its column): deviations shrink by the row's own noise beside the group's variance."""
+    extra = noise()
+    z = {f"_z_{d}_{i}": (F.col(f) - F.col(f"{e}.c{i}")) * F.sqrt(F.col(f"{e}.v{i}") / (F.col(f"{e}.v{i}") + extra[i])) for d, e in estimates.items() for i, f in enumerate(FEATURES)}
+    form = {d: sum((F.col(f"_z_{d}_{i}") * F.col(f"_z_{d}_{j}") * F.col(f"{e}.q{i}_{j}") for i, j in _PAIRS), F.lit(0.0)) for d, e in estimates.items()}
+    return rows.withColumns(z).withColumns(form).drop(*z)
 
 
 def _moments(weight: Column, tag: str) -> list[Column]:
-    p = len(FEATURES)
     out = [F.sum(weight).alias(f"{tag}n")]
-    out += [F.sum(weight * F.col(FEATURES[i])).alias(f"{tag}s{i}") for i in range(p)]
-    return out + [F.sum(weight * F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"{tag}q{i}_{j}") for i in range(p) for j in range(i, p)]
+    out += [F.sum(weight * F.col(FEATURES[i])).alias(f"{tag}s{i}") for i in range(_P)]
+    return out + [F.sum(weight * F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"{tag}q{i}_{j}") for i in range(_P) for j in range(i, _P)]
 
 
-def _estimate(row, tag: str, scale: float) -> Estimate | None:
-    p, n = len(FEATURES), row[f"{tag}n"]
+def estimate_of(row: dict, tag: str, scale: float) -> Estimate | None:
+    n = row[f"{tag}n"]
     if not n:
         return None
-    centre = np.array([row[f"{tag}s{i}"] for i in range(p)]) / n
-    q = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
+    centre = np.array([row[f"{tag}s{i}"] for i in range(_P)]) / n
+    q = np.zeros((_P, _P))
+    for i in range(_P):
+        for j in range(i, _P):
             q[i, j] = q[j, i] = row[f"{tag}q{i}_{j}"] / n
     return Estimate(centre, (q - np.outer(centre, centre)) * scale)
 
 
-def minimum_covariance(rows: DataFrame, share: float = HELD_SHARE, steps: int = STEPS) -> dict[str, Estimate]:
-    """The estimate of each group of rows (grp, n_words and the features), from two starts; the smaller determinant wins."""
-    p = len(FEATURES)
-    half = rows.groupBy("grp").agg(*(F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f) for f in FEATURES)).take(MAX_GROUPS + 1)
-    if len(half) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups; their sums go to the driver")
-    now: dict[str, list[Estimate]] = {}
-    for r in half:
-        q = np.array([r[f] for f in FEATURES])
-        wide = Estimate(q[:, 1], np.diag(((q[:, 2] - q[:, 0]) / 1.349) ** 2))
-        now[r.grp] = [wide, Estimate(q[:, 1], np.eye(p))]
+def _estimates(f, tags: str):
+    """A row of estimates of each row of sums; f(row, tag) gives one, or None to keep the old one (column e_<tag>)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                got = {t: f(r, t) for t in tags}
+                new = [e.row() if e else r[f"e_{t}"] for t, e in got.items()]
+                moved = max((abs(n["log_det"] - r[f"e_{t}"]["log_det"]) if r.get(f"e_{t}") else 1.0) for n, t in zip(new, tags, strict=True))
+                out.append({"unit": r["unit"], **{f"e_{t}": n for t, n in zip(tags, new, strict=True)}, "moved": moved})
+            if out:
+                kind = pa.struct([(f, pa.float64()) for f in _FIELDS])
+                yield pa.RecordBatch.from_pylist(out, pa.schema([("unit", pa.string()), *((f"e_{t}", kind) for t in tags), ("moved", pa.float64())]))
+
+    return run
+
+
+def _with(rows: DataFrame, few: DataFrame, key: str, n: int) -> DataFrame:
+    """rows with what few (one row per key, n in all) says; broadcast below a bound, else joined by keys that adaptive execution may split."""
+    return rows.join(F.broadcast(few) if n <= MOST_BROADCAST else few.hint("merge"), key)
+
+
+def minimum_covariance(rows: DataFrame, share: float = HELD_SHARE, steps: int = STEPS) -> DataFrame:
+    """unit, estimate of each unit of rows (unit, the counts and the features); of the two starts the smaller determinant wins."""
+
+    def start(r: dict, tag: str) -> Estimate:
+        low, mid, high = (np.array([r[f][i] for f in FEATURES]) for i in range(3))
+        return Estimate(mid, np.diag(((high - low) / 1.349) ** 2) if tag == "a" else np.eye(_P))
+
+    kinds = lambda tags: "unit string, " + "".join(f"e_{t} {_ESTIMATE}, " for t in tags) + "moved double"
+    quartiles = rows.groupBy("unit").agg(*(F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f) for f in FEATURES))
+    now = cut(quartiles.mapInArrow(_estimates(start, "ab"), kinds("ab")), "mcd")
+    units = now.count()
     # the mean over the nearest share falls short of the whole scatter by a known factor
-    scale = share / chi2_cdf(chi2_quantile(share, p), p + 2)
-    for step in range(steps + 1):
-        last = step == steps
-        n = 1 if last else 2
-        if last:  # one step more from the better start, over all but far rows
-            now = {g: [min(e, key=lambda x: x.log_det)] for g, e in now.items()}
-        d = rows.select("doc_id", "grp", "n_words", *FEATURES).mapInArrow(_distances(now, n), "doc_id long, grp string, " + ", ".join(f"{f} double" for f in FEATURES) + "".join(f", d{i} double" for i in range(n)))
-        if last:
-            far = chi2_quantile(0.975, p)
-            got = d.groupBy("grp").agg(*_moments((F.col("d0") <= far).cast("double"), "a")).collect()
-            scale = 0.975 / chi2_cdf(far, p + 2)
-            return {r.grp: _estimate(r, "a", scale) or now[r.grp][0] for r in got}
-        d = cut(d, "mcd-step")
-        limits = d.groupBy("grp").agg(*(F.percentile_approx(f"d{i}", share, 5000).alias(f"m{i}") for i in range(n)))
-        near = d.join(F.broadcast(limits), "grp")  # a row per group, of which there are MAX_GROUPS at most
-        got = near.groupBy("grp").agg(*(c for i in range(n) for c in _moments((F.col(f"d{i}") <= F.col(f"m{i}")).cast("double"), "ab"[i]))).collect()
-        now = {r.grp: [_estimate(r, "ab"[i], scale) or now[r.grp][i] for i in range(n)] for r in got}
-    raise AssertionError
-
-
-def quality_rules(docs: DataFrame, least_words: int = 50, most_repeats: int = 50, cutoff: float = CUTOFF, share: float = HELD_SHARE, least_rows: int = LEAST_ROWS, steps: int = STEPS) -> DataFrame:
+    scale = share / chi2_cdf(chi2_quantile(share, _P), _P + 2)
+    for _ in range(steps):
+        d = distances(_with(rows, now.select("unit", "e_a", "e_b"), "unit", units), {"d_a": "e_a", "d_b": "e_b"}).drop("e_a", "e_b")
+        limits = cut(d.groupBy("unit").agg(*(F.percentile_approx(f"d_{t}", share, 5000).alias(f"m_{t}") for t in "ab")), "mcd-limits")
+        near = _with(d, limits, "unit", units)
+        sums = near.groupBy("unit").agg(*(c for t in "ab" for c in _moments((F.col(f"d_{t}") <= F.col(f"m_{t}")).cast("double"), t)))
+        now = cut(sums.join(now.drop("moved"), "unit").mapInArrow(_estimates(lambda r, t: estimate_of(r, t, scale), "ab"), kinds("ab")), "mcd")
+        if (now.agg(F.max("moved")).first()[0] or 0.0) < REST:
+            break
+    # one step more from the better start, over all but far rows
+    better = now.select("unit", F.when(F.col("e_a.log_det") <= F.col("e_b.log_det"), F.col("e_a")).otherwise(F.col("e_b")).alias("e_a"))
+    far = chi2_quantile(0.975, _P)
+    last = 0.975 / chi2_cdf(far, _P + 2)
+    d = distances(_with(rows, better, "unit", units), {"d": "e_a"}).drop("e_a")
+    sums = d.groupBy("unit").agg(*_moments((F.col("d") <= far).cast("double"), "a"))
+    done = sums.join(better, "unit").mapInArrow(_estimates(lambda r, t: estimate_of(r, t, last), "a"), kinds("a"))
+    return cut(done.select("unit", F.col("e_a").alias("estimate")), "mcd-done")
+
+
+def quality_rules(docs: DataFrame, least_words: int = 50, most_repeats: int = 50, alpha: float = ALPHA, share: float = HELD_SHARE, least_rows: int = LEAST_ROWS, steps: int = STEPS) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance (squared, null where no group).
 
     base_failed: fewer than least_words words, or more than most_repeats percent of the words in repeated 3-word windows.
-    The estimates rest on the documents that pass the base rules. A language and source of fewer than least_rows such
-    documents uses the language's estimate, then that of all; where even that is too small, the base rules decide alone.
+    A document is rejected beyond the chi-squared quantile of 1 - alpha. The estimates rest on the documents that pass the
+    base rules. A language and source of fewer than least_rows such documents uses the language's estimate, then that of
+    all; where even that is too small, the base rules decide alone.
     Nulls: a null text has no words; null lang or source are values of their own; a row with a null doc_id is left out.
-    Repeated rows count each. An empty table gives no rows.
+    Repeated rows count each, and ties at a limit are all within it. Texts are counted whole, whatever their length. Other
+    columns are not read. An empty table gives no rows.
     """
     tag = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     d = documents(docs, tag("lang").alias("lang"), tag("source").alias("source")).withColumn("group", F.concat_ws("\x1f", "lang", "source"))
     rows = features(d.select("doc_id", "group", "text").mapInArrow(releasing(_count), f"doc_id long, grp string, {_COUNTS}"))
     rows = rows.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words")))
     rows = cut(rows, "quality-counts")
-    fit = rows.where(~F.col("base_failed"))
-    sizes = {r.grp: r["count"] for r in fit.groupBy("grp").count().take(MAX_GROUPS + 1)}
-    if len(sizes) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups; their sums go to the driver")
-    language = F.substring_index("grp", "\x1f", 1)
-    own = minimum_covariance(fit, share, steps) if sizes else {}
-    own = {g: e for g, e in own.items() if sizes.get(g, 0) >= least_rows}
-    small = [g for g in sizes if g not in own]
-    wide: dict[str, Estimate] = {}
-    if small or not sizes or rows.join(F.broadcast(rows.sparkSession.createDataFrame([(g,) for g in own], "grp string")), "grp", "left_anti").take(1):
-        by_language: dict[str, int] = {"": sum(sizes.values())}
-        for g, n in sizes.items():
-            by_language[g.split("\x1f")[0]] = by_language.get(g.split("\x1f")[0], 0) + n
-        wanted = {k for k, n in by_language.items() if n >= least_rows}
-        if wanted:
-            both = fit.withColumn("grp", language).unionByName(fit.withColumn("grp", F.lit("")))
-            wide = {g: e for g, e in minimum_covariance(both, share, steps).items() if g in wanted}
-    shared = {g: e for g, e in {**wide, **own}.items()}
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.stack([batch.column(f).to_numpy(zero_copy_only=False) for f in FEATURES], axis=1).reshape(-1, len(FEATURES))
-            noise = 1 / (8 * np.maximum(1, batch.column("n_words").to_numpy(zero_copy_only=False)))
-            groups = batch.column("grp").dictionary_encode()
-            at, dist = groups.indices.to_numpy(), np.full(len(x), np.nan)
-            for g, name in enumerate(groups.dictionary.to_pylist()):
-                e = shared.get(name) or shared.get(name.split("\x1f")[0]) or shared.get("")
-                if e:
-                    pick = np.flatnonzero(at == g)
-                    dist[pick] = e.distances(x[pick], noise[pick])
-            failed = batch.column("base_failed").to_numpy(zero_copy_only=False)
-            kept = ~failed & ~(dist > cutoff)
-            cols = [batch.column(c) for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(kept), pa.array(dist, mask=np.isnan(dist))], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"])
-
-    return rows.mapInArrow(releasing(judge), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, distance double")
+    # a row per group: the unit whose estimate judges it, and the units that its documents count for
+    groups = rows.groupBy("grp").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("n")).withColumn("lang", F.substring_index("grp", "\x1f", 1))
+    by_lang = groups.groupBy("lang").agg(F.sum("n").alias("n_lang"))
+    every = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"))
+    own, of_lang, of_all = F.concat(F.lit("own "), "grp"), F.concat(F.lit("lang "), "lang"), F.lit("all")
+    unit = F.when(F.col("n") >= least_rows, own).when(F.col("n_lang") >= least_rows, of_lang).when(F.col("n_all") >= least_rows, of_all)
+    groups = cut(groups.join(by_lang, "lang").join(F.broadcast(every), how="cross").withColumn("unit", unit), "quality-groups")  # every: one row
+    used = groups.where(F.col("unit").isNotNull()).select(F.col("unit").alias("used")).distinct()
+    counted = groups.select("grp", F.explode(F.array(own, of_lang, of_all)).alias("used")).join(used, "used").withColumnRenamed("used", "unit")
+    n_groups = groups.count()
+    fit = _with(rows.where(~F.col("base_failed")), counted, "grp", 3 * n_groups)
+    estimates = minimum_covariance(cut(fit.select("unit", *FEATURES, "n_words", "word_chars", "n_lines"), "quality-fit"), share, steps)
+    judged = groups.select("grp", "unit").join(estimates, "unit", "left").select("grp", "estimate")
+    cutoff = chi2_quantile(1 - alpha, _P)
+    out = distances(_with(rows, judged, "grp", n_groups), {"distance": "estimate"})  # null without an estimate
+    kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > cutoff, F.lit(False))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

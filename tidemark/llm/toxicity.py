@@ -217,8 +217,9 @@ def _clause_columns(grammar: Grammar):
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_BYTES, least_documents: int = LEAST_DOCUMENTS) -> tuple[list[str], np.ndarray, float]:
     """Words to add to the insults, weights of the events and a bias, from a bounded sample of labelled training rows.
 
-    A word is added if it occurs in at least least_documents different toxic texts that the grammar does not match, and in
-    none of the others: only what the grammar leaves unexplained can teach it words. All such words of the sample are.
+    Toxic texts that the grammar does not match can teach it words that no clean text has. A word is added if at least
+    least_documents of them have it, after as many different triples of words, and after a quarter as many as there are
+    texts: the words that copies of one text have in common are not. All such words of the sample are added.
     """
     rows = taught(docs, one_label(labels, "toxic", max_labelled), "toxic", max_bytes)
     kinds = "doc_id long, toxic int, text string, clauses array<array<double>>"
@@ -226,11 +227,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     missed = (F.col("toxic") == 1) & (F.size("clauses") == 0)
     learned: list[str] = []
     if seen.where(missed).limit(least_documents).count() >= least_documents:
-        word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))))
-        met = seen.groupBy("text").agg(F.max(missed.cast("int")).alias("missed"), F.max((F.col("toxic") == 0).cast("int")).alias("clean"))
-        told = met.select("missed", "clean", word.alias("word")).groupBy("word").agg(F.sum("missed").alias("m"), F.sum("clean").alias("c"))
-        # at most the words of the sample's texts, each in least_documents of them
-        learned = [r.word for r in told.where((F.col("c") == 0) & (F.col("m") >= least_documents) & (F.length("word") >= 3)).select("word").orderBy("word").collect()]
+        words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))
+        met = seen.groupBy("text").agg(F.max(missed.cast("int")).alias("missed"), F.max((F.col("toxic") == 0).cast("int")).alias("clean")).withColumn("w", words)
+        told = met.select("missed", "clean", F.explode(F.array_distinct("w")).alias("word")).where(F.length("word") >= 3)
+        usual = told.groupBy("word").agg(F.sum("missed").alias("m"), F.sum("clean").alias("c")).where((F.col("c") == 0) & (F.col("m") >= least_documents))
+        beside = F.transform("w", lambda x, i: F.struct(x.alias("word"), *(F.get("w", i - k).alias(f"before_{k}") for k in (1, 2, 3))))
+        around = met.where("missed = 1").select(F.explode(beside).alias("x")).select("x.*").distinct().groupBy("word").count()
+        # words of the bounded sample, each in least_documents of its texts
+        learned = [r.word for r in usual.join(around.where(F.col("count") >= least_documents), "word").where(4 * F.col("count") >= F.col("m")).select("word").orderBy("word").collect()]
     if learned:
         seen = cut(seen.select("doc_id", "toxic", "text").mapInArrow(releasing(_clause_columns(Grammar(learned))), kinds), "toxic-clauses")
     got = seen.select("toxic", "clauses").orderBy("doc_id").collect()  # of the bounded sample: a few numbers for each kind of clause
