@@ -82,3 +82,36 @@ def test_operator(spark):
     assert {r.doc_id: r.n_tokens for r in out}[90] == 0
     assert sorted(map(str, encode(df, PATH, column="decoded").collect())) == sorted(map(str, got.collect()))
     assert encode(df.limit(0), PATH).count() == 0
+
+
+def test_long_words_are_cut_at_safe_borders(monkeypatch):
+    from tidemark.llm import sentencepiece as module
+
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=PATH)
+    rng = random.Random(6)
+    make = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    texts = [make("日本語の文章は空白がない。テスト漢字", 5000), make("aeinrst", 3000), make("日本ab é", 2000), "ab" * 1500, make("กขคงจ", 700) + "the", "🎉" * 600, "x" * 70_000]
+    want = sp.encode(texts)
+    monkeypatch.setattr(module, "STRETCH", 500)
+    monkeypatch.setattr(module, "LOOKUPS", 4000)
+    e = Encoder(load_model(PATH))
+    assert e.encode(texts) == want
+    parts = e.parts(texts[0])
+    assert "".join(parts) == texts[0] and len(parts) > 1000 and max(map(len, parts)) < 50
+    pieces = [(p, -rng.random() * 9) for p in {"▁", "a", "b", "▁a", "ab", "ba", "aba", "bb", "▁ab", "aab", "c"}]
+    m = Encoder(Model(model_bytes(pieces, 1)))
+    for _ in range(30):
+        word = make("abcz", rng.randint(1, 200))
+        short = m.encode([word])[0]
+        assert m.long_word(" " + word).tolist() == short
+
+
+def test_a_text_of_millions_of_characters_without_spaces():
+    import resource
+
+    rng = random.Random(7)
+    text = "".join(rng.choices("日本語の文章は空白がないテスト漢字仮名交じり", k=3_000_000))
+    e = Encoder(load_model(PATH))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    ids = e.encode([text])
+    assert e.decode(ids) == [text] and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_500_000  # kB

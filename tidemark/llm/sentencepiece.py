@@ -5,6 +5,9 @@ piece keys, and the best one is stored as a backpointer for every word at once.
 over the sum of the scores. For a BPE model a sum says nothing; there the one candidate that can follow the best path to
 its start is taken: a piece fits after another if merging in the order of the scores would not cross the border between
 them, so the path is the one that merging yields, and the ids are those that the public library returns.
+
+Long words (texts of scripts without spaces are one word) are first cut at their safe borders, which no piece of the model
+spans: nothing before such a border has to do with what follows. The parts then advance together as words do.
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE, _UNUSED = 1, 2, 3, 4, 6, 5
 MAX_MODEL_BYTES = 64 << 20
 #: Words that a worker holds within a task, and those (the ones met first, which tend to be the frequent ones) that it goes on with.
 CACHED_WORDS, KEPT_WORDS = 1_000_000, 300_000
+#: Words from this length on are cut at safe borders; characters that are looked through at once, parts that are encoded at
+#: once, and substrings that one step of the search looks up.
+LONG_WORD, STRETCH, PARTS, LOOKUPS = 256, 1 << 16, 1 << 16, 1 << 21
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -244,17 +250,15 @@ class Encoder:
         for j in range(size):
             prefix[:, j + 1] = prefix[:, j] * np.uint64(_BASE) + w[:, j]
         most = min(m.longest, size)
-        found = np.full((size + 1, most, n), -1, np.int64)  # of the substring of k + 1 characters that ends at j
-        for k in range(1, most + 1):
-            ids = self.find(prefix[:, k:] - prefix[:, : size + 1 - k] * m.powers[k])
-            if m.bpe:
-                ids = np.where((ids >= 0) & m.reached[ids], ids, -1)
-            found[k:, k - 1, :] = ids.T
-        last, back = np.full((size + 1, n), unknown, np.int64), np.ones((size + 1, n), np.int64)
-        total = np.zeros((size + 1, n))
+        # pieces that end in a stretch of places are looked up together; the arrays of a word of any length are its own size
+        step = max(1, LOOKUPS // (most * n))
+        last, back = np.full((size + 1, n), unknown, np.int32), np.ones((size + 1, n), np.int32)
+        total = np.zeros((1 if m.bpe else size + 1, n))
         for j in range(1, size + 1):
+            if (j - 1) % step == 0:
+                found = self._ending(prefix, j, min(size, j + step - 1), most)
             most_here = min(most, j)
-            cand = found[j, :most_here]
+            cand = found[(j - 1) % step, :most_here]
             before = last[j - most_here : j][::-1]
             k, i = np.nonzero(cand >= 0)
             if m.bpe:
@@ -276,7 +280,7 @@ class Encoder:
                 none = cand[best, np.arange(n)] < 0
             back[j] = np.where(none, 1, best + 1)
             last[j] = np.where(none, unknown, cand[np.where(none, 0, best), np.arange(n)])
-        ids, rows, pos, col = np.full((n, size), -1, np.int64), np.arange(n), np.full(n, size), size
+        ids, rows, pos, col = np.full((n, size), -1, np.int32), np.arange(n), np.full(n, size), size
         while len(rows):
             col -= 1
             ids[rows, col] = last[pos, rows]
@@ -295,6 +299,61 @@ class Encoder:
             parts[i] = np.array(self._bytes(path[::-1]), np.int64)
         return np.concatenate(parts), np.array([len(x) for x in parts])
 
+    def _ending(self, prefix: np.ndarray, first: int, last: int, most: int) -> np.ndarray:
+        """Of words with these prefix hashes: ids (or -1) of the substrings that end at the places first to last, by place, length less one, and word."""
+        m = self.m
+        out = np.full((last - first + 1, most, len(prefix)), -1, np.int64)
+        for k in range(1, most + 1):
+            a = max(first, k)
+            if a > last:
+                break
+            ids = self.find(prefix[:, a : last + 1] - prefix[:, a - k : last + 1 - k] * m.powers[k])
+            if m.bpe:
+                ids = np.where((ids >= 0) & m.reached[ids], ids, -1)
+            out[a - first :, k - 1, :] = ids.T
+        return out
+
+    def parts(self, word: str) -> list[str]:
+        """A word cut at its safe borders: places that no piece of the model spans."""
+        m, size = self.m, len(word)
+        code = np.frombuffer(word.encode("utf-32-le"), "<u4")
+        safe = []
+        for at in range(0, size, STRETCH):
+            low, high = max(0, at - m.longest), min(size, at + STRETCH + m.longest)
+            w = code[low:high].astype(np.uint64) + np.uint64(1)
+            spanned = np.zeros(len(w) + 1, np.int64)
+            hashes = w
+            for k in range(2, min(m.longest, len(w)) + 1):
+                hashes = hashes[:-1] * np.uint64(_BASE) + w[k - 1 :]
+                start = np.flatnonzero(self.find(hashes) >= 0)
+                spanned[start + 1] += 1
+                np.add.at(spanned, start + k, -1)
+            free = np.flatnonzero(np.cumsum(spanned)[: len(w)] == 0) + low
+            safe.append(free[(free > 0) & (free >= at) & (free < at + STRETCH)])
+        cuts = [0, *np.concatenate(safe).tolist(), size] if safe else [0, size]
+        return [word[a:b] for a, b in itertools.pairwise(cuts)]
+
+    def long_word(self, word: str) -> np.ndarray:
+        """Ids of a long word by those of its parts."""
+        m, parts = self.m, self.parts(_marked(word))
+        out: list[np.ndarray] = []
+        for i in range(0, len(parts), PARTS):
+            by_size: dict[int, set[str]] = {}
+            for p in parts[i : i + PARTS]:
+                by_size.setdefault(len(p), set()).add(p)
+            ids: dict[str, np.ndarray] = {}
+            for size, group in by_size.items():
+                some = sorted(group)
+                step = max(1, (1 << 19) // (size * min(size, m.longest)))
+                for j in range(0, len(some), step):
+                    flat, sizes = self.viterbi(some[j : j + step])
+                    ids.update(zip(some[j : j + step], np.split(flat, np.cumsum(sizes)[:-1]), strict=True))
+            out += [ids[p] for p in parts[i : i + PARTS]]
+        flat = np.concatenate(out)
+        if not m.byte_ids:  # characters without a piece in a row are one unknown
+            flat = flat[~((flat == m.unknown) & (np.append(-1, flat[:-1]) == m.unknown))]
+        return flat
+
     def _bytes(self, path: list[tuple[int, str]]) -> tuple[int, ...]:
         m, out = self.m, []
         for i, c in path:
@@ -339,6 +398,9 @@ class Encoder:
         for word in words:
             if m.bpe and m.tied and _DOUBLE.search(word):
                 odd.append(word)
+            elif len(word) >= LONG_WORD:
+                ids = self.long_word(word)
+                self._store([word], ids, np.array([len(ids)]))
             else:
                 by_size.setdefault(len(word), []).append(word)
         if odd:
@@ -462,7 +524,9 @@ def encode(docs: DataFrame, model_path: str, carry: tuple[str, ...] = (), column
 
     Nulls: a null text is empty and has no ids; a row with a null doc_id is left out. Repeated rows are encoded each. A
     character without a piece becomes the ids of its UTF-8 bytes. Texts are encoded whole; one word may be as long as
-    its text. An empty table gives no rows.
+    its text, and takes memory in proportion to it. Ties of scores go to the earlier place, as in the public library.
+    Columns that are not carried are not read; a carried one may not be named like one of the result. An empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load_model(model_path))

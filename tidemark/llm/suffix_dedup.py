@@ -30,6 +30,7 @@ from .common import documents, shuffle_partitions
 
 LENGTH, GRAM = 50, 20
 BLOCK_BYTES, SHARE_BYTES, HASH_BYTES = 4 << 20, 1 << 19, 1 << 18
+CHUNK_BYTES = 64 << 20
 _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), 0x100000001B3
 
 
@@ -496,7 +497,8 @@ def _finish(length: int, with_text: bool):
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = GRAM, parts: int | None = None, block_bytes: int = BLOCK_BYTES, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds kept_bytes, span_starts, span_ends.
 
-    parts is the number of chunks of documents and of buckets of k-grams (default: the session's shuffle partitions).
+    parts is the number of chunks of documents and of buckets of k-grams (default: the session's shuffle partitions, and
+    more of them where a chunk would hold more than CHUNK_BYTES of text, so that tasks are of one size at any scale).
     Nulls: a null text is empty; a row with a null doc_id is left out. Texts shorter than `length` bytes keep every
     byte, and an empty table gives no rows. Ties: documents with one doc_id never remove each other's bytes; a row
     repeated as a whole gives its result row again. A text longer than block_bytes is cut into overlapping pieces, so
@@ -504,7 +506,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = GRAM, parts: in
     """
     if not (1 <= k <= length and length - k <= 200):
         raise ValueError("k must be from length - 200 to length")
-    parts = parts or shuffle_partitions(docs.sparkSession)
+    if not parts:
+        size = documents(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(shuffle_partitions(docs.sparkSession), -(-size // CHUNK_BYTES))
     d = documents(docs).select("doc_id", F.xxhash64("text").alias("row_key"), "text")
     d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
     keys = "bucket int, chunk int, blob binary"
