@@ -81,3 +81,30 @@ def test_wrapped_headers(spark):
     assert {n: got[n].licence for n in want} == want
     assert (got[1].found, got[90].found, got[91].licence, got[91].found) == ("header", "none", "MPL-2.0", "header")
     assert got[1].similarity > 0.9 and min(got[n].similarity for n in want if n > 2) > 0.8
+
+
+def test_identifiers_texts_and_usual_headers(spark):
+    from tidemark.llm.licences import TEXTS
+
+    code = "\nint main() { return run(argc, argv); }" * 30
+    rows = [
+        (1, "a/x.go", "// Copyright 2009 The Go Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file." + code),
+        (2, "b/x.c", "// SPDX-License-Identifier: GPL-2.0-or-later" + code), (3, "c/x.c", "/* SPDX-License-Identifier: (MIT OR Apache-2.0) */" + code),
+        (4, "d/x.c", "# This file is licensed under the GNU General Public License." + code), (5, "e/LICENSE", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n" + "1. Definitions and so on, words of the terms. " * 200),
+        (6, "f/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n" + "Everyone is permitted to copy this document. " * 200),
+    ]
+    want = {1: "BSD-3-Clause", 2: "GPL-2.0-or-later", 3: "(MIT OR Apache-2.0)", 4: "GPL", 5: "Apache-2.0", 6: "GPL-3.0"}
+    for i, (name, text) in enumerate(TEXTS):
+        rows.append((100 + i, f"t{i}/LICENSE.txt", text.replace(". ", ".\n").replace("Copyright ", "Copyright (c) 2020 Some Body and others\n\n", 1)))
+        rows.append((200 + i, f"t{i}/src/deep/x.py", "import os"))
+        want |= {100 + i: name, 200 + i: name}
+    got = {r.doc_id: r for r in licence_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert {n: got[n].licence for n in want} == want
+    assert got[2].similarity == 1.0 and got[5].found == "file" and got[200].from_folder == "/t0"
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rows = [(1, "a/x.txt", "word " * 400_000 + "\nReleased under the MIT License.\n" + "x\n" * 100_000, "n", 0.5, True, "f", "l"), (1, "a/x.txt", "word " * 400_000, "n", 0.5, True, "f", "l"), (2, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string, licence string, similarity double, is_file boolean, folder string, line string")
+    got = sorted((r.doc_id, r.licence, r.found) for r in licence_scan(df).collect())
+    assert got == [(1, "MIT", "header"), (1, "MIT", "header"), (2, None, "none")]

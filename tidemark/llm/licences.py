@@ -46,7 +46,41 @@ TEMPLATES = [
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "Copyright. All rights reserved."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("GPL", "This work is licensed under the GNU General Public License."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EUPL-1.2", "Licensed under the European Union Public Licence, version 1.2."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Artistic-2.0", "Licensed under the Artistic License 2.0."),
+    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004"),
 ]
+_MIT_END = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+_BSD_START = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC_END = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+#: Fixed value: texts of short licences, which the whole of a licence file is compared with; long ones are known by their titles.
+TEXTS = [
+    ("MIT", "MIT License Copyright Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _MIT_END + " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", f"Copyright {_BSD_START} {_BSD_END}"),
+    ("BSD-3-Clause", f"Copyright {_BSD_START} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_END}"),
+    ("ISC", f"ISC License Copyright Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_END}"),
+    ("0BSD", f"Copyright Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. {_ISC_END}"),
+    ("Zlib", "Copyright This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. " + _MIT_END),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. " + _MIT_END),
+    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004 Copyright Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO."),
+]
+#: An identifier of the software package data exchange, or several with operators between them.
+SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()-]+(?:[ \t]+(?:OR|AND|WITH|or|and|with)[ \t]+[A-Za-z0-9.+()-]+)*)"
 #: Lines that count for a licence file by its share of them, names of licence files, and terms.
 SPEAKS = r"(?i)licen[cs]|copyright|spdx|public domain|all rights reserved|permission is hereby granted|redistribut"
 NAMED = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
@@ -118,10 +152,12 @@ def licence_scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """One row per file (doc_id, path, text): doc_id, path, licence (null: none), similarity, found ("header", "file", "inherited" or "none"), from_folder.
 
     Of several headers the most similar counts, and of equal ones the last licence by name; likewise of several licence
-    files in a directory. A header may be one line of any length, or be wrapped over lines that hold block_terms() terms
+    files in a directory. An SPDX identifier is taken as it stands, with a similarity of 1. The whole of a file that is
+    named like a licence file is also compared with TEXTS. A header may be one line of any length, or be wrapped over lines that hold block_terms() terms
     together; lines without a term (empty ones, comment marks) do not part it.
     Nulls: a null text is empty; a file with a null path has no directory and inherits nothing; a row with a null doc_id
-    is left out. Rows that repeat a doc_id are one file with the headers of all. An empty table gives no rows.
+    is left out. Rows that repeat a doc_id are one file with the headers of all. An empty table gives no rows. Texts of any
+    length are read whole. Other columns of files are not read, whatever their names.
     """
     path = F.regexp_replace(F.concat(F.lit("/"), F.col("path").cast("string")), "/+", "/")
     d = files.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -131,13 +167,14 @@ def licence_scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     pieces = sorted({x for t in strong for x in re.split(r"[.-]", t) if telling(x)})
     has = lambda c, these: F.arrays_overlap(c, F.array(*map(F.lit, these)))
     words = lambda c: F.regexp_count(c, F.lit(r"\S+"))
-    heard = d.where(has(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), pieces))
-    said = F.filter(F.split("text", "\n"), lambda x: x.rlike(SPEAKS))
+    spdx = F.regexp_extract_all("text", F.lit(SPDX), F.lit(1))
     named = F.coalesce(F.col("path").rlike(NAMED), F.lit(False))
+    heard = d.where(named | has(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), pieces))
+    said = F.filter(F.split("text", "\n"), lambda x: x.rlike(SPEAKS))
     terms = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text"), F.regexp_extract_all(F.lower(x), F.lit(f"({TERM})")).alias("t")))
     lines = F.transform(F.filter(terms, lambda x: F.size(x["t"]) > 0), lambda x: F.struct(x["text"].alias("text"), F.size(x["t"]).alias("n"), has(x["t"], sorted(own_terms)).alias("known"), has(x["t"], strong).alias("tells")))
     is_file = named | (words(F.array_join(said, "\n")) >= file_share * words(F.col("text")))
-    heard = cut(heard.select("doc_id", "path", is_file.alias("is_file"), words(F.col("text")).alias("words"), lines.alias("lines"), F.when(is_file, F.array(F.array_join(said, " "), F.when(named, F.col("text")).otherwise(F.lit("")))).alias("whole")), "licence-lines")
+    heard = cut(heard.select("doc_id", "path", is_file.alias("is_file"), words(F.col("text")).alias("words"), lines.alias("lines"), spdx.alias("spdx"), F.when(named, F.col("text")).alias("file_text"), F.when(is_file, F.array(F.array_join(said, " "), F.when(named, F.col("text")).otherwise(F.lit("")))).alias("whole")), "licence-lines")
     # blocks begin and end in lines with a term of a template: without other lines at its borders, a block is more similar
     most = block_terms(templates, least)
     starts = F.filter(F.transform(F.sequence(F.lit(1), F.size("lines")), lambda i: F.slice("lines", i, most)), lambda w: w[0]["known"] & F.exists(w, lambda x: x["tells"]))
@@ -153,7 +190,11 @@ def licence_scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     # one line or block is often said by many files, and is compared once
     distinct = part.select("line").distinct().select(F.sha2("line", 256).alias("part_id"), F.col("line").alias("text"))
     found = cut(match(distinct.select("part_id", "text"), templates, least), "licence-matches")
-    own = part.select("doc_id", "path", "is_file", F.sha2("line", 256).alias("part_id")).join(found, "part_id")
+    own = part.select("doc_id", "path", "is_file", F.sha2("line", 256).alias("part_id")).join(found, "part_id").drop("part_id")
+    told = heard.select("doc_id", "path", "is_file", F.explode("spdx").alias("licence"), F.lit(1.0).alias("similarity"))
+    copies = heard.where("file_text IS NOT NULL").select("doc_id", "path", F.lit(True).alias("is_file"), F.sha2("file_text", 256).alias("part_id"), "file_text")
+    texts = match(copies.select("part_id", F.col("file_text").alias("text")).dropDuplicates(["part_id"]), TEXTS, least)
+    own = own.unionByName(told).unionByName(copies.drop("file_text").join(texts, "part_id").drop("part_id"))
     best = F.max(F.struct("similarity", "licence", "is_file")).alias("x")
     own = cut(own.groupBy("doc_id").agg(best, F.min("path").alias("own_path")), "licence-own")
     own = own.select("doc_id", F.col("x.is_file").alias("is_file"), "own_path", F.col("x.licence").alias("licence"), F.col("x.similarity").alias("similarity"))
@@ -172,6 +213,8 @@ def licence_scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
-    """Documents as files: the source is a top directory, and the language one below it."""
-    return docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
-
+    """Documents as files: the source is a top directory, the language one below it, and a hundred of ids one below that; a third of the files lies in each."""
+    top, mid = F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown"))
+    turn, low = F.col("doc_id") % 3, F.floor(F.col("doc_id") / 100).cast("string")
+    folder = F.when(turn == 0, top).when(turn == 1, F.concat_ws("/", top, mid)).otherwise(F.concat_ws("/", top, mid, low))
+    return docs.select("doc_id", F.concat_ws("/", folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")

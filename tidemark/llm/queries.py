@@ -114,7 +114,7 @@ ORACLE: dict[str, str] = {
 
 
 def _licence_sql() -> str:
-    """The licence scan of document_paths: every file has three directories above it."""
+    """The licence scan of document_paths: a file lies in a source, in a language of it, or in a hundred of that."""
     rows, unknown = weigh(TEMPLATES)
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
     known = ", ".join(f"({i}, {quoted(name)}, {quoted(term)}, {unit!r})" for i, name, term, unit in rows)
@@ -124,7 +124,8 @@ def _licence_sql() -> str:
     weights = ", ".join(f"({quoted(t)}, ln({1 + len(TEMPLATES)}.0 / {1 + n}) + 1)" for t, n in counts.items())
     return f"""
         WITH known(template, licence, term, unit) AS (VALUES {known}), weights(term, idf) AS (VALUES {weights}),
-        d AS (SELECT doc_id, '/' || coalesce(source, 'unknown') AS top, '/' || coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') AS folder, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL),
+        e AS (SELECT doc_id, '/' || coalesce(source, 'unknown') AS top, '/' || coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') AS mid, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL),
+        d AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN top WHEN 1 THEN mid ELSE mid || '/' || (doc_id // 100) END AS folder FROM e),
         l AS (SELECT doc_id, top, folder, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{SPEAKS}')) AS lines FROM d WHERE regexp_matches(text, '{SPEAKS}')),
         f AS (SELECT *, len(regexp_extract_all(array_to_string(lines, chr(10)), '\\S+')) >= {FILE_SHARE} * len(regexp_extract_all(text, '\\S+')) AS is_file FROM l),
         p AS (SELECT doc_id, top, folder, is_file, unnest(CASE WHEN is_file THEN list_append(lines, array_to_string(lines, ' ')) ELSE lines END) AS line FROM f),
@@ -134,10 +135,12 @@ def _licence_sql() -> str:
         c AS (SELECT v.line, template, licence, round(sum(w * unit) / any_value(norm), 9) AS s FROM v JOIN known USING (term) JOIN z USING (line) GROUP BY v.line, template, licence),
         m AS (SELECT line, max((s, -template, licence)) AS b FROM c WHERE s >= {LEAST} GROUP BY line),
         o AS (SELECT doc_id, any_value(top) AS top, any_value(folder) AS folder, bool_or(is_file) AS is_file, max((b[1], b[3])) AS x FROM p JOIN m USING (line) GROUP BY doc_id),
-        k AS (SELECT folder, max(x) AS y FROM o WHERE is_file GROUP BY folder)
-        SELECT d.doc_id, d.folder || '/' || d.doc_id || '.txt' AS path, coalesce(o.x[2], k.y[2]) AS licence, round(coalesce(o.x[1], k.y[1]), 6) AS similarity,
-            CASE WHEN o.x IS NOT NULL THEN CASE WHEN o.is_file THEN 'file' ELSE 'header' END WHEN k.y IS NOT NULL THEN 'inherited' ELSE 'none' END AS found, CASE WHEN o.x IS NULL AND k.y IS NOT NULL THEN d.folder END AS from_folder
-        FROM d LEFT JOIN o USING (doc_id) LEFT JOIN k ON k.folder = d.folder
+        k AS (SELECT folder, max(x) AS y FROM o WHERE is_file GROUP BY folder),
+        u AS (SELECT d.*, coalesce(a.y, b.y, c.y) AS y, CASE WHEN a.y IS NOT NULL THEN d.folder WHEN b.y IS NOT NULL THEN mid WHEN c.y IS NOT NULL THEN d.top END AS above
+            FROM d LEFT JOIN k a ON a.folder = d.folder LEFT JOIN k b ON b.folder = d.mid AND d.doc_id % 3 <> 0 LEFT JOIN k c ON c.folder = d.top)
+        SELECT u.doc_id, u.folder || '/' || u.doc_id || '.txt' AS path, coalesce(o.x[2], u.y[2]) AS licence, round(coalesce(o.x[1], u.y[1]), 6) AS similarity,
+            CASE WHEN o.x IS NOT NULL THEN CASE WHEN o.is_file THEN 'file' ELSE 'header' END WHEN u.y IS NOT NULL THEN 'inherited' ELSE 'none' END AS found, CASE WHEN o.x IS NULL AND u.y IS NOT NULL THEN u.above END AS from_folder
+        FROM u LEFT JOIN o USING (doc_id)
     """
 
 
