@@ -239,3 +239,32 @@ def test_seeds(spark):
     assert seeds.sources(spark).count() == 15 and seeds.categories(spark).count() == 5 and seeds.engines(spark).count() == 4 and seeds.sources(spark, "tech").count() == 6
     stored = seeds.sources(spark).select("name", "url").limit(3)
     assert seeds.populate(stored, seeds.sources(spark).select("name", "url"), "url").count() == 15
+
+
+def test_pages_of_any_depth():
+    from tidemark.functions import dom
+
+    deep = "<html><body>" + "<div class='c'><b>" * 4000 + "text of some words that say enough to be read as content " * 10 + "<a href='x'>link</a>" + "</b></div>" * 4000 + "</body></html>"
+    doc = dom.parse(deep)
+    assert len(dom.render(doc)) > 50_000 and dom.link_text(doc) == "link" and dom.skeleton(doc).count(";") > 8000
+    assert dom.sanitise(deep).count("<div>") == 4000 and "text of some words" in dom.to_markdown(deep)
+    assert "text of some words" in dom.extract(deep)["text"] and dom.profile(deep)["sufficient"] is False
+
+
+def test_sizes_are_those_of_the_texts():
+    from tidemark.functions import dom
+
+    doc = dom.parse("<main> one <a href='u'>two <b>three</b></a><script>x < y</script><p>é &amp; f<br><img src='i'></p></main><div>last</div>")
+    for n in doc.elements():
+        if n.tag != "#document":
+            text, links, trimmed, shown = dom.sizes(doc)[id(n)]
+            assert (text, links, shown) == (dom.bytes_of(dom.text_of(n)), dom.bytes_of(dom.link_text(n)), dom.bytes_of(dom.render(n))), n.tag
+            assert (trimmed, max(0, shown - trimmed)) == dom.split_bytes(n)
+
+
+def test_hidden_styles():
+    from tidemark.functions import dom
+
+    hidden = lambda s: dom.is_hidden(dom.Node("div", [("style", s)]))
+    assert hidden("DISPLAY : none") and hidden("visibility:hidden") and hidden("font-size:0;") and hidden("font-size:0px") and hidden("opacity:0;") and hidden("position:absolute;left:0") is False
+    assert hidden("position: absolute left:-9999px") and not hidden("opacity:0.5") and not hidden("position:absolute;left:-9999px") and not hidden("font-size:01")

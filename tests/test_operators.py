@@ -1,5 +1,7 @@
 """State, joins, search, aggregates and streams on small fixtures."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,11 +49,13 @@ def test_backoff_reset_and_moves(spark):
 
 
 def test_repair(spark):
-    s = sources(spark, *({"id": i} for i in "abcdef"), {"id": "g", "config_json": '{"user_agent":"agent-reader","tried_uas":["agent-desktop","agent-mobile"]}'})
-    f = spark.createDataFrame([("a", 503, ""), ("b", 404, ""), ("c", 403, ""), ("d", 301, ""), ("e", 429, ""), ("g", 403, "")], "id string, status int, message string")
+    s = sources(spark, *({"id": i} for i in "abcdef"), {"id": "g", "config_json": json.dumps({"user_agent": state.AGENTS[2], "tried_uas": state.AGENTS[:2]})}, {"id": "h", "config_json": '{"result_path":"a.b","n":1.5,"fields":{"title":"t","x":[1,null,true]},"user_agent":"x"}'}, {"id": "i", "config_json": "no json"})
+    f = spark.createDataFrame([("a", 503, ""), ("b", 404, ""), ("c", 403, ""), ("d", 301, ""), ("e", 429, ""), ("g", 403, ""), ("h", 403, ""), ("i", 403, "")], "id string, status int, message string")
     got = {r.id: r for r in state.repair(s, f, NOW).collect()}
     assert got["a"].fetch_interval == got["e"].fetch_interval == 7_200_000 and got["b"].last_status == got["g"].last_status == "broken"
-    assert "agent-desktop" in got["c"].config_json and got["c"].last_status == "ok" and got["d"] == s.where("id = 'd'").first() and got["f"].fetch_interval == 3_600_000
+    assert json.loads(got["h"].config_json) == {"result_path": "a.b", "n": 1.5, "fields": {"title": "t", "x": [1, None, True]}, "user_agent": state.AGENTS[0], "tried_uas": ["x"]}
+    assert json.loads(got["i"].config_json)["user_agent"] == json.loads(got["c"].config_json)["user_agent"] == state.AGENTS[0]
+    assert got["c"].last_status == "ok" and got["d"] == s.where("id = 'd'").first() and got["f"].fetch_interval == 3_600_000
 
 
 def test_add_and_merge(spark):
@@ -232,3 +236,43 @@ def test_nest(spark):
     parent, child = spark.createDataFrame([(1,), (2,)], "id int"), spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "fk int, pos int, t string")
     got = {r.id: [c.t for c in r.kids] for r in joins.nest(parent, child, "id", "fk", "pos", "kids").collect()}
     assert got == {1: ["a", "b"], 2: []}
+
+
+def test_moving_average_in_stretches(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.randrange(1000), i, rng.random() < 0.7) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, at long, n long, good boolean")
+    for bucket in (1, 37, 10**6):
+        got = {r.k: (r.success_rate, r.events) for r in state.ema_fold(df, "k", ("at", "n"), F.col("good"), start=0.4, bucket=bucket).collect()}
+        for k in "ab":
+            rate, mine = 0.4, sorted(r[1:] for r in rows if r[0] == k)
+            for _, _, good in mine:
+                rate = min(1.0, rate * 0.95 + 0.05) if good else max(0.0, rate * 0.95)
+            assert got[k] == (pytest.approx(rate), len(mine))
+
+
+def test_rules_with_hosts_open_classes_and_wildcards(spark):
+    import re
+
+    urls = ["https://www.a.com/x/1", "https://www.a.com/y", "https://www.b.org/x/1?q=2", "http://a.com", "ftp://z/[q", "https://www.a.com/[abc"]
+    patterns = ["https://www.a.com/*", "https://www.a.com/x/[0-9]", "https://www.*", "*q=2", "https://www.a.com/[abc", "http://a.com", "*", "https://www.a.com/[^xy]*", "https://www.b.org/x/1[?]q*", "a(b", "https://www.a.com/[]x]*"]
+    pages = spark.createDataFrame([(str(i), u) for i, u in enumerate(urls)], "page_id string, url string")
+    rules = spark.createDataFrame([(p, p, "", True) for p in patterns], "id string, url_pattern string, page_id string, enabled boolean")
+
+    def fits(p, u):
+        from tidemark.functions.text import glob_regex
+
+        return re.match(glob_regex(p), u) is not None
+
+    want = sorted((u, p) for u in urls for p in patterns if fits(p, u))
+    assert sorted((r.url, r.r_id) for r in joins.match_rules(pages, rules).collect()) == want
+    assert ("https://www.a.com/[abc", "https://www.a.com/[abc") not in want
+
+
+def test_first_children_are_chosen_before_they_are_gathered(spark):
+    parent = spark.createDataFrame([("a",), ("b",)], "id string")
+    child = spark.createDataFrame([("a", i % 5, i) for i in range(20)], "fk string, at long, n long")
+    got = {r.id: [(c.at, c.n) for c in r.kids] for r in joins.nest(parent, child, "id", "fk", "at", "kids", most=6, tie="n").collect()}
+    assert got == {"a": [(0, 0), (0, 5), (0, 10), (0, 15), (1, 1), (1, 6)], "b": []}

@@ -24,7 +24,7 @@ BOILERPLATE_ROLES = frozenset(("navigation", "banner", "contentinfo", "complemen
 CONTENT_TAGS = frozenset("p article section div main td th li dd dt blockquote pre figure figcaption h1 h2 h3 h4 h5 h6 span details summary body".split())
 LANDMARKS = frozenset(("main", "article", "section", "nav", "header", "footer", "aside"))
 SPA_MARKERS = ('id="root"></div>', 'id="app"></div>', 'id="__next"></div>', "window.__initial_state__", "ng-app")
-HIDDEN = tuple(re.compile(p, re.I) for p in (r"display\s*:\s*none", r"visibility\s*:\s*hidden", r"font-size\s*:\s*0[^.\d]", r"opacity\s*:\s*0[^.\d]", r"position\s*:\s*absolute[^;]*;.*(left|top)\s*:\s*-\d{3,}"))
+HIDDEN = tuple(re.compile(p, re.I) for p in (r"display\s*:\s*none", r"visibility\s*:\s*hidden", r"font-size\s*:\s*0[^1-9]", r"opacity\s*:\s*0[^.]", r"position\s*:\s*absolute[^;]*-\d{4,}"))
 ALLOWED = frozenset("a abbr b blockquote br caption code col colgroup dd del div dl dt em figcaption figure h1 h2 h3 h4 h5 h6 hr i img ins li ol p pre q s small span strong sub sup table tbody td tfoot th thead tr u ul".split())
 #: Tags whose start ends an open element of these tags.
 CLOSES = {
@@ -156,16 +156,53 @@ def parse(html: str) -> Node:
     return b.root
 
 
-def render(n: Node) -> str:
-    """The subtree as HTML text."""
-    if n.tag is None:
-        raw = n.parent is not None and n.parent.tag in ("script", "style")
-        return n.data if raw else escape(n.data, quote=False)
-    inner = "".join(map(render, n.children))
+def _tags(n: Node) -> tuple[str, str]:
+    """What stands before and after the children of an element."""
     if n.tag == "#document":
-        return inner
+        return "", ""
     attrs = "".join(f' {k}="{escape(v, quote=True)}"' for k, v in n.attrs)
-    return f"<{n.tag}{attrs}/>" if n.tag in VOID else f"<{n.tag}{attrs}>{inner}</{n.tag}>"
+    return (f"<{n.tag}{attrs}/>", "") if n.tag in VOID else (f"<{n.tag}{attrs}>", f"</{n.tag}>")
+
+
+def _shown(n: Node) -> str:
+    """A text node as HTML."""
+    return n.data if n.parent is not None and n.parent.tag in ("script", "style") else escape(n.data, quote=False)
+
+
+def _written(top: Node, tags: Callable[[Node], tuple[str, str] | None], shown: Callable[[Node], str]) -> str:
+    """HTML of a subtree; tags gives what stands around an element's children, or None to leave it out. Of any depth."""
+    out: list[str] = []
+    stack: list[Node | str] = [top]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.tag is None:
+            out.append(shown(n))
+        elif (around := tags(n)) is not None:
+            out.append(around[0])
+            stack.append(around[1])
+            if n.tag not in VOID:
+                stack.extend(reversed(n.children))
+    return "".join(out)
+
+
+def render(n: Node) -> str:
+    """The subtree as HTML text."""
+    return _written(n, _tags, _shown)
+
+
+def folded(top: Node, f: Callable[[Node, list], object]):
+    """f of a node and of what it gave for the node's children, from the leaves up. Of any depth."""
+    order, stack = [], [top]
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack.extend(n.children)
+    got: dict[int, object] = {}
+    for n in reversed(order):
+        got[id(n)] = f(n, [got.pop(id(c)) for c in n.children])
+    return got[id(top)]
 
 
 def text_of(n: Node, clean: bool = False) -> str:
@@ -177,19 +214,37 @@ def visible_text(n: Node) -> str:
     return " ".join(t for x in n.walk(lambda e: e.tag in SKIPPED or is_hidden(e)) if x.tag is None and (t := x.data.strip()))
 
 
-def link_text(n: Node) -> str:
+def link_text(top: Node) -> str:
     """Text inside links, without separators."""
-    out = []
+    out, stack = [], [(top, False)]
+    while stack:
+        n, inside = stack.pop()
+        inside = inside or n.tag == "a"
+        if n.tag is None and inside:
+            out.append(n.data.strip())
+        stack.extend((c, inside) for c in reversed(n.children))
+    return "".join(out)
 
-    def go(x: Node, inside: bool) -> None:
-        inside = inside or x.tag == "a"
-        if x.tag is None and inside:
-            out.append(x.data.strip())
-        for c in x.children:
-            go(c, inside)
 
-    go(n, False)
-    return "".join(out)
+def sizes(top: Node) -> dict[int, tuple[int, int, int, int]]:
+    """Of every element below, by id: bytes of text_of, of link_text, of trimmed text, and of render; in one pass."""
+    out: dict[int, tuple[int, int, int, int]] = {}
+
+    def measure(n: Node, kids: list) -> tuple:
+        if n.tag is None:
+            t = bytes_of(n.data.strip())
+            return t, int(t > 0), 0, t, bytes_of(_shown(n))
+        text, count, links, every, shown = (sum(k[i] for k in kids) for i in range(5))
+        if n.tag in SKIPPED:
+            text = count = 0
+        a, b = _tags(n)
+        shown = bytes_of(a) + bytes_of(b) + (0 if n.tag in VOID else shown)
+        links = every if n.tag == "a" else links
+        out[id(n)] = (text + max(0, count - 1), links, text, shown)
+        return text, count, links, every, shown
+
+    folded(top, measure)
+    return out
 
 
 def is_boilerplate(n: Node) -> bool:
@@ -309,15 +364,15 @@ def _joined(nodes: list[Node], least: int) -> tuple[str, str] | None:
 
 def densest(body: Node, least: int) -> Node | None:
     """The element of the highest density times length scale times share outside links; more than half links is passed over."""
-    best, high = None, 0.0
+    best, high, measured = None, 0.0, sizes(body)
     for n in body.walk(is_boilerplate):
         if n.tag is None or n.tag not in CONTENT_TAGS:
             continue
-        size = bytes_of(text_of(n))
+        size, links, _, shown = measured[id(n)]
         if size < least or not size:
             continue
-        links = bytes_of(link_text(n)) / size
-        score = size / max(1, bytes_of(render(n))) * log_scale(size) * (1 - links)
+        links /= size
+        score = size / max(1, shown) * log_scale(size) * (1 - links)
         if links <= 0.5 and score > high:
             best, high = n, score
     return best
@@ -379,16 +434,13 @@ def split_bytes(n: Node) -> tuple[int, int]:
 
 
 def skeleton(doc: Node) -> str:
-    out: list[str] = []
-
-    def go(n: Node, depth: int) -> None:
-        for c in n.children:
-            if c.tag:
-                out.append(f"{depth}:{c.tag};")
-                if c.tag not in VOID:
-                    go(c, depth + 1)
-
-    go(doc, 0)
+    out, stack = [], [(c, 0) for c in reversed(doc.children)]
+    while stack:
+        n, depth = stack.pop()
+        if n.tag:
+            out.append(f"{depth}:{n.tag};")
+            if n.tag not in VOID:
+                stack.extend((c, depth + 1) for c in reversed(n.children))
     return "".join(out)
 
 
@@ -414,22 +466,23 @@ def densities(doc: Node) -> dict[str, float]:
 
 def content_selectors(doc: Node, most: int = 10) -> list[str]:
     name = lambda n: n.tag + (f"#{n.get('id')}" if n.get("id") else f".{n.get('class').split()[0]}" if n.get("class").split() else "")
-    out = [name(n) for n in doc.elements() if n.tag in ("main", "article", "section") and bytes_of(text_of(n)) > 100]
+    measured = sizes(doc)
+    out = [name(n) for n in doc.elements() if n.tag in ("main", "article", "section") and measured[id(n)][0] > 100]
     if not out:
         for n in doc.elements():
             if n.tag == "div":
-                text, rest = split_bytes(n)
-                if text > 200 and text / max(1, text + rest) > 0.3:
+                _, _, text, shown = measured[id(n)]
+                if text > 200 and text / max(1, text + max(0, shown - text)) > 0.3:
                     out.append(name(n))
     return out[:most]
 
 
-def sufficient(html: str) -> bool:
+def sufficient(html: str, doc: Node | None = None) -> bool:
     """Whether a page can be read without running it: long enough, enough text for its markup, no single-page shell."""
     raw = html or ""
     if bytes_of(raw) < 256 or any(m in raw.lower() for m in SPA_MARKERS):
         return False
-    body = next((n for n in parse(raw).elements() if n.tag == "body"), None)
+    body = next((n for n in (doc or parse(raw)).elements() if n.tag == "body"), None)
     if body is None:
         return False
     text, rest = split_bytes(body)
@@ -437,35 +490,39 @@ def sufficient(html: str) -> bool:
     return text / max(1, text + rest) >= 0.10 and solid >= 200
 
 
-def sanitise(html: str) -> str:
-    """Allowed elements only, with href on links and src and alt on images; scripts, styles and the rest of the tags go."""
+def profile(html: str) -> dict:
+    """landmarks, content_selectors, fingerprint, sufficient and densities of a page, which is parsed once."""
+    doc = parse(html)
+    return {"landmarks": landmarks(doc), "content_selectors": content_selectors(doc), "fingerprint": fingerprint(doc), "sufficient": sufficient(html, doc), "densities": densities(doc)}
 
-    def go(n: Node) -> str:
-        if n.tag is None:
-            return escape(n.data, quote=False)
+
+def _sanitised(doc: Node) -> str:
+    def tags(n: Node) -> tuple[str, str] | None:
         if n.tag in SKIPPED or n.tag in ("head", "iframe", "object", "template"):
-            return ""
-        inner = "".join(map(go, n.children))
+            return None
         if n.tag not in ALLOWED:
-            return inner
+            return "", ""
         keep = {"a": ("href",), "img": ("src", "alt")}.get(n.tag, ())
         attrs = "".join(f' {k}="{escape(v, quote=True)}"' for k, v in n.attrs if k in keep and not v.strip().lower().startswith(("javascript:", "data:", "vbscript:")))
-        return f"<{n.tag}{attrs}/>" if n.tag in VOID else f"<{n.tag}{attrs}>{inner}</{n.tag}>"
+        return (f"<{n.tag}{attrs}/>", "") if n.tag in VOID else (f"<{n.tag}{attrs}>", f"</{n.tag}>")
 
-    return go(parse(html)).strip()
+    return _written(doc, tags, lambda n: escape(n.data, quote=False)).strip()
+
+
+def sanitise(html: str) -> str:
+    """Allowed elements only, with href on links and src and alt on images; scripts, styles and the rest of the tags go."""
+    return _sanitised(parse(html))
 
 
 def strip_tags(html: str) -> str:
     return text_of(parse(html))
 
 
-def to_markdown(html: str, fallback: str = "") -> str:
-    """Headings, paragraphs, lists, links, emphasis, code and tables as Markdown; an empty result gives the text of fallback."""
-
-    def inline(n: Node) -> str:
+def _inline(top: Node) -> str:
+    def one(n: Node, kids: list) -> str:
         if n.tag is None:
             return re.sub(r"\s+", " ", n.data)
-        inner = "".join(map(inline, n.children))
+        inner = "".join(kids)
         if n.tag in ("strong", "b") and inner.strip():
             return f"**{inner.strip()}**"
         if n.tag in ("em", "i") and inner.strip():
@@ -478,45 +535,58 @@ def to_markdown(html: str, fallback: str = "") -> str:
             return f"![{n.get('alt')}]({n.get('src')})"
         return "\n" if n.tag == "br" else inner
 
+    return folded(top, one)
+
+
+_BLOCKS = frozenset("p div section article main blockquote figure body html dl dd dt".split())
+
+
+def _markdown(clean: str) -> str:
+    """Markdown of sanitised HTML."""
     out: list[str] = []
+    # elements that are being written, each with what is left of its children, its indent, and inline text not yet put out
+    frames: list[tuple[Iterator[Node], str, list[str]]] = [(iter(parse(clean).children), "", [])]
+
+    def flush(indent: str, run: list[str]) -> None:
+        if (t := "".join(run).strip()) and not out or t:
+            out.append(indent + t)
+        run.clear()
+
+    while frames:
+        kids, indent, run = frames[-1]
+        c = next(kids, None)
+        if c is None:
+            flush(indent, run)
+            frames.pop()
+        elif c.tag and re.fullmatch(r"h[1-6]", c.tag):
+            flush(indent, run)
+            out.append("#" * int(c.tag[1]) + " " + _inline(c).strip())
+        elif c.tag in ("ul", "ol"):
+            flush(indent, run)
+            items = [x for x in c.children if x.tag == "li"]
+            out.append("\n".join(f"{indent}{f'{i}.' if c.tag == 'ol' else '-'} {_inline(x).strip()}" for i, x in enumerate(items, 1)))
+        elif c.tag == "pre":
+            flush(indent, run)
+            out.append("```\n" + "".join(x.data for x in c.walk() if x.tag is None).strip("\n") + "\n```")
+        elif c.tag == "table":
+            flush(indent, run)
+            rows = [[_inline(x).strip() for x in r.children if x.tag in ("td", "th")] for r in c.elements() if r.tag == "tr"]
+            if rows:
+                out.append("\n".join(["| " + " | ".join(rows[0]) + " |", "|" + "---|" * len(rows[0]), *("| " + " | ".join(r) + " |" for r in rows[1:])]))
+        elif c.tag == "hr":
+            flush(indent, run)
+            out.append("---")
+        elif c.tag in _BLOCKS:
+            flush(indent, run)
+            frames.append((iter(c.children), indent + ("> " if c.tag == "blockquote" else ""), []))
+        else:
+            run.append(_inline(c))
+    return "\n\n".join(x for x in out if x.strip()).strip()
 
-    def block(n: Node, indent: str = "") -> None:
-        run: list[str] = []
-
-        def flush() -> None:
-            if (t := "".join(run).strip()) and not out or t:
-                out.append(indent + t)
-            run.clear()
-
-        for c in n.children:
-            if c.tag and re.fullmatch(r"h[1-6]", c.tag):
-                flush()
-                out.append("#" * int(c.tag[1]) + " " + inline(c).strip())
-            elif c.tag in ("ul", "ol"):
-                flush()
-                items = [x for x in c.children if x.tag == "li"]
-                out.append("\n".join(f"{indent}{f'{i}.' if c.tag == 'ol' else '-'} {inline(x).strip()}" for i, x in enumerate(items, 1)))
-            elif c.tag == "pre":
-                flush()
-                out.append("```\n" + "".join(x.data for x in c.walk() if x.tag is None).strip("\n") + "\n```")
-            elif c.tag == "table":
-                flush()
-                rows = [[inline(x).strip() for x in r.children if x.tag in ("td", "th")] for r in c.elements() if r.tag == "tr"]
-                if rows:
-                    out.append("\n".join(["| " + " | ".join(rows[0]) + " |", "|" + "---|" * len(rows[0]), *("| " + " | ".join(r) + " |" for r in rows[1:])]))
-            elif c.tag == "hr":
-                flush()
-                out.append("---")
-            elif c.tag in ("p", "div", "section", "article", "main", "blockquote", "figure", "body", "html", "dl", "dd", "dt"):
-                flush()
-                block(c, indent + ("> " if c.tag == "blockquote" else ""))
-            else:
-                run.append(inline(c))
-        flush()
-
-    block(parse(sanitise(html)))
-    text = "\n\n".join(x for x in out if x.strip()).strip()
-    return text or strip_tags(fallback)
+
+def to_markdown(html: str, fallback: str = "") -> str:
+    """Headings, paragraphs, lists, links, emphasis, code and tables as Markdown; an empty result gives the text of fallback."""
+    return _markdown(sanitise(html)) or strip_tags(fallback)
 
 
 # -- columns ----------------------------------------------------------------------------------------------------------
@@ -530,12 +600,20 @@ def _mapped(kind: str, f: Callable, *args):
     return run
 
 
+def _tried(html: str, *args) -> dict:
+    """extract, with what goes wrong on a page as its error."""
+    try:
+        return extract(html, *args)
+    except (ArithmeticError, AssertionError, AttributeError, LookupError, RecursionError, TypeError, ValueError) as e:
+        return {"title": "", "text": "", "html": "", "hash": None, "error": f"{type(e).__name__}: {e}"}
+
+
 def extract_column(html: Column | str, mode: str = "auto", selectors: list[str] | None = None, least: int = 50) -> Column:
     """struct<title, text, html, hash, error> of a page."""
 
     @F.pandas_udf("title string, text string, html string, hash string, error string")
     def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([extract(x, mode, selectors, least) for x in s], columns=["title", "text", "html", "hash", "error"], dtype=object)
+        return pd.DataFrame([_tried(x, mode, selectors, least) for x in s], columns=["title", "text", "html", "hash", "error"], dtype=object)
 
     return run(html)
 
@@ -574,3 +652,29 @@ def sanitise_column(html: Column | str) -> Column:
 
 def markdown_column(html: Column | str) -> Column:
     return _mapped("string", lambda x: to_markdown(x, x))(html)
+
+
+def profile_column(html: Column | str) -> Column:
+    """struct<landmarks, content_selectors, fingerprint, sufficient, densities> of a page, which is parsed once."""
+    kind = "landmarks array<struct<tag:string,xpath:string,role:string>>, content_selectors array<string>, fingerprint string, sufficient boolean, densities map<string,double>"
+    names = [x.split()[0] for x in kind.split(", ")]
+
+    @F.pandas_udf(kind)
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([dict.fromkeys(names) if x is None else profile(x) for x in s], columns=names, dtype=object)
+
+    return run(html)
+
+
+def clean_column(html: Column | str) -> Column:
+    """struct<sanitised, markdown> of a page, whose sanitised form is made once."""
+
+    @F.pandas_udf("sanitised string, markdown string")
+    def run(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in s:
+            clean = None if x is None else sanitise(x)
+            rows.append({"sanitised": clean, "markdown": None if x is None else _markdown(clean) or strip_tags(x)})
+        return pd.DataFrame(rows, columns=["sanitised", "markdown"], dtype=object)
+
+    return run(html)

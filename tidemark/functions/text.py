@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -192,10 +193,13 @@ def glob_regex(pattern: str) -> str:
 
 
 def glob_to_regex(pattern: Column | str) -> Column:
-    """glob_regex for a column of patterns, as an expression (so that a join can match by it)."""
-    x = F.regexp_replace(_col(pattern), r"([\\.+(){}|$])", r"\\$1")
-    x = F.regexp_replace(x, r"\^(?![^\[]*\])", r"\\^")
-    return F.concat(F.lit("(?s)^"), F.regexp_replace(F.regexp_replace(x, r"\*", ".*"), r"\?", "."), F.lit("$"))
+    """glob_regex of a column of patterns (of rules, which are few), for a join to match by; an open class matches nothing."""
+
+    @F.pandas_udf("string")
+    def run(patterns: pd.Series) -> pd.Series:
+        return patterns.map(lambda p: None if p is None else glob_regex(p))
+
+    return run(_col(pattern))
 
 
 def percent(c: Column | str) -> Column:

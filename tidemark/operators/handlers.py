@@ -46,26 +46,12 @@ def rss(jobs: DataFrame, most: int = 50) -> tuple[DataFrame, DataFrame]:
 
 
 def api(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items of JSON answers, by the path and fields of each source's configuration."""
+    """Items of JSON answers, by the path and fields of each source's configuration, in one pass over all of them."""
     config = F.from_json("config_json", "result_path string, fields map<string,string>")
-    j = jobs.select("source_id", "body", "url", config.alias("c"))
-    # sources that share a configuration are read together; there are few different ones
-    shapes = j.select("c.result_path", F.map_entries("c.fields").alias("f")).distinct().collect()
-    parts, errors = [], []
-    for shape in shapes:
-        same = j.where(F.col("c.result_path").eqNullSafe(F.lit(shape.result_path)) & F.map_entries("c.fields").eqNullSafe(F.lit(None) if shape.f is None else F.array(*(F.struct(F.lit(x.key).alias("key"), F.lit(x.value).alias("value")) for x in shape.f))))
-        read = feeds.read_api(same, shape.result_path or "", {x.key: x.value for x in shape.f} if shape.f else None, "body", "source_id")
-        parts.append(read.where("error IS NULL AND trim(text) <> ''"))
-        errors.append(read.where("error IS NOT NULL"))
-    if not parts:
-        empty = jobs.sparkSession.createDataFrame([], ", ".join(f"{c} string" for c in ITEM))
-        return empty, _outcomes(jobs, empty.select("source_id", F.lit("").alias("error")))
-    items = parts[0]
-    bad = errors[0]
-    for p, e in zip(parts[1:], errors[1:], strict=True):
-        items, bad = items.unionByName(p), bad.unionByName(e)
+    read = feeds.read_shaped(jobs.select("source_id", "body", config.alias("c")).select(F.col("source_id").alias("doc"), "body", F.coalesce("c.result_path", F.lit("")).alias("path"), "c.fields"))
+    items = read.where("error IS NULL AND trim(text) <> ''")
     items = items.select(F.col("doc").alias("source_id"), text.item_key("url", "title").alias("content_hash"), "title", text.clean("text").alias("extracted_text"), F.lit("").alias("extracted_html"), "url")
-    return items, _outcomes(jobs, bad.select(F.col("doc").alias("source_id"), "error"))
+    return items, _outcomes(jobs, read.where("error IS NOT NULL").select(F.col("doc").alias("source_id"), "error"))
 
 
 def document(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:

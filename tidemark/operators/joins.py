@@ -2,33 +2,38 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 
 
+#: Rules of no fixed host that are broadcast to the pages.
+MOST_BROADCAST = 10_000
+
+
 def glob_prefix(pattern: Column) -> Column:
     """What stands in a GLOB pattern before its first wildcard."""
     return F.regexp_extract(pattern, r"^([^*?\[]*)", 1)
 
 
-def match_rules(pages: DataFrame, rules: DataFrame, url: str = "url", page_id: str = "page_id", prefix: int = 12) -> DataFrame:
+def match_rules(pages: DataFrame, rules: DataFrame, url: str = "url", page_id: str = "page_id") -> DataFrame:
     """pages with the rules that apply: by page where a rule names one, else by GLOB of the URL; one row per pair, with rule columns prefixed r_.
 
-    Rules are small, but their number is not bounded: patterns that start with fixed text meet pages on a hash of their
-    first `prefix` characters, so only patterns that begin with a wildcard (or earlier) are tried against every page.
+    Patterns whose scheme and host hold no wildcard meet pages by these (adaptive execution splits hosts with many pages),
+    and then by their fixed start; only the others are tried against every page, broadcast if there are at most
+    MOST_BROADCAST of them.
     """
     r = rules.where("enabled").select(*(F.col(c).alias(f"r_{c}") for c in rules.columns))
     by_page = pages.join(r.where(F.coalesce("r_page_id", F.lit("")) != ""), F.col(page_id).cast("string") == F.col("r_page_id"))
-    r = r.where(F.coalesce("r_page_id", F.lit("")) == "").withColumn("_regex", text.glob_to_regex("r_url_pattern"))
-    fixed = F.char_length(glob_prefix(F.col("r_url_pattern"))) >= prefix
-    hit = F.regexp_like(F.col(url), F.col("_regex"))
-    near = pages.withColumn("_start", F.substring(F.col(url), 1, prefix)).join(r.where(fixed).withColumn("_start", F.substring(F.col("r_url_pattern"), 1, prefix)), "_start").where(hit)
-    rest = pages.join(r.where(~fixed), hit)
-    cols = [*pages.columns, *(c for c in r.columns if c != "_regex")]
+    r = r.where(F.coalesce("r_page_id", F.lit("")) == "").withColumn("_regex", text.glob_to_regex("r_url_pattern")).withColumn("_fixed", glob_prefix(F.col("r_url_pattern")))
+    origin = lambda c: F.regexp_extract(c, r"^([^/?#]*://[^/?#]*)[/?#]", 1)
+    r = r.withColumn("_origin", origin(F.col("_fixed")))
+    hit = F.col(url).startswith(F.col("_fixed")) & F.regexp_like(F.col(url), F.col("_regex"))
+    near = pages.withColumn("_origin", origin(F.col(url))).join(r.where("_origin <> ''"), "_origin").where(hit)
+    wild = r.where("_origin = ''")
+    rest = pages.join(F.broadcast(wild) if wild.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else wild, hit)
+    cols = [*pages.columns, *(f"r_{c}" for c in rules.columns)]
     return by_page.select(*cols).unionByName(near.select(*cols)).unionByName(rest.select(*cols))
 
 
@@ -62,17 +67,12 @@ def lookup_chain(keys: DataFrame, first: DataFrame, second: DataFrame, key: str
     return j.where(F.col("_x").isNotNull()).select(key, "_x.*")
 
 
-def nest(parent: DataFrame, child: DataFrame, key: str, fk: str, order: str, name: str) -> DataFrame:
-    """parent with an array of its children in order (empty without any)."""
-    inner = F.struct(order, *(c for c in child.columns if c not in (fk, order)))
+def nest(parent: DataFrame, child: DataFrame, key: str, fk: str, order: str, name: str, most: int | None = None, tie: str | None = None) -> DataFrame:
+    """parent with an array of its children in order (empty without any); most: the first ones only, which are chosen before they are gathered."""
+    if most is not None:
+        w = Window.partitionBy(fk).orderBy(order, *([tie] if tie else []))
+        child = child.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= most).drop("_place")
+    inner = F.struct(order, *([tie] if tie else []), *(c for c in child.columns if c not in (fk, order, tie)))
     lists = child.groupBy(F.col(fk).alias(key)).agg(F.array_sort(F.collect_list(inner)).alias(name))
     none = F.array().cast(lists.schema[name].dataType)
     return parent.join(lists, key, "left").withColumn(name, F.coalesce(name, none))
-
-
-def plain_glob(pattern: str, c: Column) -> Column:
-    return c.rlike(text.glob_regex(pattern))
-
-
-def is_glob(pattern: str) -> bool:
-    return re.search(r"[*?\[]", pattern) is not None

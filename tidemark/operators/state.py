@@ -15,7 +15,11 @@ HOUR, DAY = 3_600_000, 86_400_000
 MOST_SOURCES = 1000
 #: Fixed values.
 BROKEN = ("error", "extract_error", "broken")
-AGENTS = ("agent-desktop", "agent-mobile", "agent-reader")
+AGENTS = (
+    "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36",
+    "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.0 Safari/605.1.15",
+    "Mozilla/5.0 (X11; Linux x86_64; rv:121.0) Gecko/20100101 Firefox/121.0",
+)
 
 
 def update(df: DataFrame, where: Column, **values: Column) -> DataFrame:
@@ -68,11 +72,12 @@ def add_sources(sources: DataFrame, new: DataFrame, now: int, most: int = MOST_S
     n = n.withColumn("turn", first).join(sources.select("url", F.lit(True).alias("known")), "url", "left")
     n = n.withColumn("errors", F.when((F.size("errors") == 0) & (F.col("known") | (F.col("turn") > 1)), F.array(F.lit("duplicate"))).otherwise(F.col("errors")))
     good = n.where(F.size("errors") == 0)
-    room = most - sources.count()
-    good = good.withColumn("place", F.row_number().over(Window.orderBy("created_at", "id")))  # new rows of one call, not the store
-    taken = good.where(F.col("place") <= room).select(*sources.columns)
+    room = max(0, most - sources.count())
+    # the first ones that there is room for: every task keeps as many, and at most `most` meet
+    first_ones = good.orderBy("created_at", "id").limit(room).select(F.col("url").alias("_url"))
+    taken = good.join(first_ones, good.url == F.col("_url"), "left_semi").select(*sources.columns)
     bad = n.where(F.size("errors") > 0).select("id", F.col("raw_url").alias("url"), "errors")
-    over = good.where(F.col("place") > room).select("id", F.col("raw_url").alias("url"), F.array(F.lit("quota")).alias("errors"))
+    over = good.join(first_ones, good.url == F.col("_url"), "left_anti").select("id", F.col("raw_url").alias("url"), F.array(F.lit("quota")).alias("errors"))
     return sources.unionByName(taken), bad.unionByName(over)
 
 
@@ -125,11 +130,19 @@ def next_agent(tried: Column, current: Column, agents: tuple[str, ...] = AGENTS)
     return F.coalesce(F.get(left, F.lit(0)), F.lit(""))
 
 
+def set_keys(config: Column, values: Column, *keys: str) -> Column:
+    """A JSON object with these keys from a struct of values, and its other keys as they are."""
+    old = F.coalesce(F.from_json(config, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
+    new = F.parse_json(F.to_json(values))
+    entries = F.create_map(*(x for k in keys for x in (F.lit(k), F.variant_get(new, f"$.{k}", "variant"))))
+    return F.to_json(F.map_concat(F.map_filter(old, lambda k, _: ~k.isin(*keys)), entries))
+
+
 def repair(sources: DataFrame, failures: DataFrame, now: int, most: int = DAY) -> DataFrame:
     """sources after their failures (id, status, message): classified, then backed off, given another agent, or marked broken.
 
-    A redirect does nothing, for nothing tells its target. An agent's turn is kept in tried_agents and agent of the
-    configuration.
+    A redirect does nothing, for nothing tells its target. An agent's turn is kept in user_agent and tried_uas of the
+    configuration, whose other keys stay as they are; a configuration that is no JSON object is taken as empty.
     """
     f = failures.select("id", F.col("status").alias("_status"), F.col("message").alias("_message"))
     j = sources.join(f, "id", "left").withColumn("_do", rules.classify_error(F.col("source_type"), F.coalesce("_status", F.lit(0)), F.coalesce("_message", F.lit("")))["action"])
@@ -137,7 +150,7 @@ def repair(sources: DataFrame, failures: DataFrame, now: int, most: int = DAY) -
     config = F.from_json("config_json", "user_agent string, tried_uas array<string>")
     agent = next_agent(config["tried_uas"], config["user_agent"])
     tried = F.array_append(F.coalesce(config["tried_uas"], F.array().cast("array<string>")), F.coalesce(config["user_agent"], F.lit("")))
-    turned = F.to_json(F.struct(agent.alias("user_agent"), F.array_distinct(F.filter(tried, lambda x: x != "")).alias("tried_uas")))
+    turned = set_keys(F.col("config_json"), F.struct(agent.alias("user_agent"), F.array_distinct(F.filter(tried, lambda x: x != "")).alias("tried_uas")), "user_agent", "tried_uas")
     slow, turn = F.col("_do").isin("backoff", "increase_rate"), (F.col("_do") == "rotate_ua") & (agent != "")
     broken = (F.col("_do") == "mark_broken") | ((F.col("_do") == "rotate_ua") & (agent == ""))
     out = j.withColumn("config_json", F.when(turn, turned).otherwise(F.col("config_json"))).withColumn("last_status", F.when(broken, "broken").otherwise(F.col("last_status")))
@@ -265,11 +278,20 @@ def decide(corrections: DataFrame, profiles: DataFrame, accepted: DataFrame, rej
     return j.withColumn("validated", F.col("_new")).select(*corrections.columns), p.select(*(over[c].alias(c) if c in over else F.col(c) for c in profiles.columns))
 
 
-def ema_fold(events: DataFrame, key: str, order: tuple[str, ...], good: Column, start: float = 1.0) -> DataFrame:
-    """Success rate of each key after its events in order, each a success or a failure."""
-    seq = F.transform(F.array_sort(F.collect_list(F.struct(*order, good.alias("_good")))), lambda e: e["_good"])
-    step = lambda a, g: F.when(g, rules.ema_success(a)).otherwise(rules.ema_failure(a))
-    return events.groupBy(key).agg(F.aggregate(seq, F.lit(start), step).alias("success_rate"), F.count("*").alias("events"))
+def ema_fold(events: DataFrame, key: str, order: tuple[str, ...], good: Column, start: float = 1.0, bucket: int = DAY) -> DataFrame:
+    """Success rate of each key after its events in order (the first column of order is a number), each a success or a failure.
+
+    A step is r * 0.95 (+ 0.05 for a success) and keeps a rate within 0 and 1, so steps compose: a stretch of n events
+    (those of a bucket of the first order column) turns r into 0.95 ** n * r + c, and so do stretches one after another.
+    No history is gathered in a row or a list.
+    """
+    e = events.select(key, (F.floor(F.col(order[0]) / bucket)).alias("_stretch"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), good.alias("_good"))
+    later = F.row_number().over(Window.partitionBy(key, "_stretch").orderBy(*(F.desc(f"_o{i}") for i in range(len(order))))) - 1
+    gain = F.when(F.col("_good"), 0.05 * F.pow(F.lit(0.95), "_later")).otherwise(0.0)
+    part = e.withColumn("_later", later).groupBy(key, "_stretch").agg(F.count("*").alias("n"), F.sum(gain).alias("c"))
+    after = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy(F.desc("_stretch")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = part.withColumn("after", after).groupBy(key).agg(F.sum(F.col("c") * F.pow(F.lit(0.95), "after")).alias("c"), F.sum("n").alias("events"))
+    return out.select(key, (F.lit(start) * F.pow(F.lit(0.95), "events") + F.col("c")).alias("success_rate"), "events")
 
 
 # -- filters ----------------------------------------------------------------------------------------------------------

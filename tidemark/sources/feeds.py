@@ -130,20 +130,39 @@ def walk(value, path: str):
     return value
 
 
+_NAMES = ("title", "text", "url")
+
+
+def _items(data: str, path: str, fields: dict[str, str] | None) -> tuple[list[dict], str | None]:
+    wanted = {n: n for n in _NAMES} if fields is None else fields
+    try:
+        items = walk(json.loads(data or ""), path)
+    except ValueError as e:
+        return [], str(e)
+    return [{n: as_string(x.get(wanted[n])) if n in wanted else "" for n in _NAMES} for x in items if isinstance(x, dict)], None
+
+
+_ITEM = "doc string, position int, title string, text string, url string, error string"
+
+
 def read_api(docs: DataFrame, path: str = "", fields: dict[str, str] | None = None, body: str = "body", key: str = "doc") -> DataFrame:
     """doc, position, title, text, url, error of the objects in the array at path; fields maps these names to keys (absent ones are '')."""
-    names = ("title", "text", "url")
-    wanted = {n: n for n in names} if fields is None else fields
-
-    def parse(data: str):
-        try:
-            items = walk(json.loads(data or ""), path)
-        except ValueError as e:
-            return [], str(e)
-        return [{n: as_string(x.get(wanted[n])) if n in wanted else "" for n in names} for x in items if isinstance(x, dict)], None
-
-    ddl = "doc string, position int, title string, text string, url string, error string"
-    return docs.select(F.col(key).cast("string").alias("doc"), F.col(body).alias("body")).mapInArrow(_rows(parse, names), ddl)
+    return docs.select(F.col(key).cast("string").alias("doc"), F.col(body).alias("body")).mapInArrow(_rows(lambda data: _items(data, path, fields), _NAMES), _ITEM)
+
+
+def read_shaped(docs: DataFrame) -> DataFrame:
+    """What read_api gives, for documents (doc, body) that each name their path and fields (a map, or null)."""
+    schema = pa.schema([("doc", pa.string()), ("position", pa.int32()), *((f, pa.string()) for f in _NAMES), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, body, path, fields in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                rows, error = _items(body, path, None if fields is None else dict(fields))
+                out += [{"doc": doc, "error": error}] if error else [{"doc": doc, "position": i, **r} for i, r in enumerate(rows)]
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return docs.select(F.col("doc").cast("string").alias("doc"), "body", "path", "fields").mapInArrow(run, _ITEM)
 
 
 def api_extractions(items: DataFrame) -> DataFrame:

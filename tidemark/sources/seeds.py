@@ -23,12 +23,12 @@ SOURCES = [
     ("news-fr", "Le Monde Pixels", "https://www.lemonde.fr/pixels/rss_full.xml", "rss", 0, ""),
     ("news-fr", "Next INpact", "https://www.nextinpact.com/rss/news.xml", "rss", 0, ""),
 ]
-#: Id, name, strategy, URL template, milliseconds between requests, pages, enabled.
+#: Id, name, strategy, URL template, configuration of the API, selectors, stealth level, milliseconds between requests, pages, enabled.
 ENGINES = [
-    ("brave_api", "Brave Search", "api", "https://api.search.brave.com/res/v1/web/search?q={query}&count=20", 1000, 1, True),
-    ("ddg_html", "DuckDuckGo HTML", "generic", "https://html.duckduckgo.com/html/?q={query}", 3000, 3, False),
-    ("github_search", "GitHub Search", "api", "https://api.github.com/search/repositories?q={query}&sort=updated&per_page=20", 2000, 1, True),
-    ("scholar", "Google Scholar", "generic", "https://scholar.google.com/scholar?q={query}", 5000, 2, False),
+    ("brave_api", "Brave Search", "api", "https://api.search.brave.com/res/v1/web/search?q={query}&count=20", '{"headers":{"Accept":"application/json","Accept-Encoding":"gzip","X-Subscription-Token":"${BRAVE_API_KEY}"},"result_path":"web.results","fields":{"title":"title","text":"description","url":"url"}}', "", 0, 1000, 1, True),
+    ("ddg_html", "DuckDuckGo HTML", "generic", "https://html.duckduckgo.com/html/?q={query}", "", '{"result_item":".result","title":".result__a","link":".result__a","snippet":".result__snippet"}', 2, 3000, 3, False),
+    ("github_search", "GitHub Search", "api", "https://api.github.com/search/repositories?q={query}&sort=updated&per_page=20", '{"headers":{"Accept":"application/vnd.github+json","Authorization":"Bearer ${GITHUB_TOKEN}"},"result_path":"items","fields":{"title":"full_name","text":"description","url":"html_url"}}', "", 0, 2000, 1, True),
+    ("scholar", "Google Scholar", "generic", "https://scholar.google.com/scholar?q={query}", "", '{"result_item":".gs_r","title":".gs_rt a","link":".gs_rt a","snippet":".gs_rs"}', 3, 5000, 2, False),
 ]
 
 
@@ -44,7 +44,7 @@ def sources(spark: SparkSession, category: str | None = None) -> DataFrame:
 
 
 def engines(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ENGINES, "id string, name string, strategy string, url_template string, rate_limit_ms long, max_pages int, enabled boolean")
+    return spark.createDataFrame(ENGINES, "id string, name string, strategy string, url_template string, api_config string, selectors string, stealth_level int, rate_limit_ms long, max_pages int, enabled boolean")
 
 
 def populate(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+import uuid
+from collections.abc import Callable, Iterator
 from html import escape
 
+import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +33,27 @@ def markdown_files(extractions: DataFrame) -> DataFrame:
     return extractions.select(F.concat("id", F.lit(".md")).alias("name"), F.concat(front_matter(), F.coalesce("text", F.lit(""))).alias("content"))
 
 
-def write_markdown(extractions: DataFrame, path: str) -> None:
-    """One folder of text per extraction id, in any store Spark writes to; a task's files appear when it is committed."""
-    markdown_files(extractions).write.mode("append").partitionBy("name").option("lineSep", "\n").text(path)
+def write_markdown(extractions: DataFrame, path: str) -> int:
+    """Writes ID.md of each extraction below path and returns how many; a file appears whole or not at all.
+
+    path is in a store that Python opens (local or shared folders, S3, GCS, HDFS with its client library). A task that is
+    tried again writes the same files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = (fs.LocalFileSystem(), re.sub(r"^file:/+", "/", path)) if re.match(r"^(file:)?/", path) else fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            size = []
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                data, part = content.encode(), f"{base}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as f:
+                    f.write(data)
+                store.move(part, f"{base}/{name}")
+                size.append(len(data))
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(size, pa.int64())], names=["name", "bytes"])
+
+    return markdown_files(extractions).mapInArrow(run, "name string, bytes long").count()
 
 
 def envelopes(df: DataFrame, kind: str) -> DataFrame:
