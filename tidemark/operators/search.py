@@ -52,6 +52,12 @@ def postings(docs: DataFrame, key: str, column: str, only: list[str] | None = No
     return at.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"), F.first("length").alias("length"))
 
 
+def vocabulary(docs: DataFrame, key: str, column: str) -> DataFrame:
+    """term, documents, occurrences: counted in each task before terms meet, without places."""
+    t = docs.select(F.col(key).alias("doc"), F.explode(terms(column)).alias("term"))
+    return t.groupBy("term", "doc").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences"))
+
+
 # -- query language ---------------------------------------------------------------------------------------------------
 
 

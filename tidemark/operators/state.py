@@ -25,7 +25,7 @@ AGENTS = (
 def update(df: DataFrame, where: Column, **values: Column) -> DataFrame:
     """Rows where the condition holds with new values; all others as they are."""
     hit = F.coalesce(where, F.lit(False))
-    return df.select(*(F.when(hit, values[c].cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns))
+    return df.select(*(F.when(hit, values[c].cast(df.schema[c].dataType.simpleString())).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns))
 
 
 def upsert(df: DataFrame, rows: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -153,7 +153,8 @@ def repair(sources: DataFrame, failures: DataFrame, now: int, most: int = DAY) -
     turned = set_keys(F.col("config_json"), F.struct(agent.alias("user_agent"), F.array_distinct(F.filter(tried, lambda x: x != "")).alias("tried_uas")), "user_agent", "tried_uas")
     slow, turn = F.col("_do").isin("backoff", "increase_rate"), (F.col("_do") == "rotate_ua") & (agent != "")
     broken = (F.col("_do") == "mark_broken") | ((F.col("_do") == "rotate_ua") & (agent == ""))
-    out = j.withColumn("config_json", F.when(turn, turned).otherwise(F.col("config_json"))).withColumn("last_status", F.when(broken, "broken").otherwise(F.col("last_status")))
+    # at once, for the status depends on the configuration before its change
+    out = j.withColumns({"config_json": F.when(turn, turned).otherwise(F.col("config_json")), "last_status": F.when(broken, "broken").otherwise(F.col("last_status"))})
     return backoff(out, slow, now, most).select(*sources.columns)
 
 

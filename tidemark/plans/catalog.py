@@ -6,6 +6,7 @@ and prices, documents for extracted content, pages for fetched pages.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from ..functions import rules, text, urls
 from ..operators import aggregates as agg
 from ..operators import joins, search, state, vectors
 from ..streaming import mutations
-from . import more
+from . import changes, more
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -105,22 +106,12 @@ def fts_match_bm25(spark, d):
     return search.bm25(table(spark, d, "documents"), "thing ering", "doc_id", ("text",), limit=None, keep=("source",)).withColumn("rank", F.round("rank", 6))
 
 
-@query("""
-    WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')) AS term FROM documents)
-    SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM d GROUP BY term HAVING count(DISTINCT doc_id) >= 5
-""")
-def fts_vocabulary(spark, d):
-    p = search.postings(table(spark, d, "documents"), "doc_id", "text")
-    return p.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences")).where("documents >= 5")
-
-
 @query("""
     WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')) AS term FROM documents)
     SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM d GROUP BY term
 """)
-def fts_vocabulary_all(spark, d):
-    p = search.postings(table(spark, d, "documents"), "doc_id", "text")
-    return p.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))
+def fts_vocabulary(spark, d):
+    return search.vocabulary(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query("""
@@ -295,8 +286,8 @@ def pages_by_host(spark, d):
 def nested_children(spark, d):
     e = table(spark, d, "events").select("user_id", millis("ts").alias("at"), "event_id", "event_type")
     users_ = e.select("user_id").distinct()
-    n = joins.nest(users_, e, "user_id", "user_id", "at", "children")
-    return n.select("user_id", F.slice(F.transform("children", lambda c: c["event_type"]), 1, 5).alias("first_types"), F.size("children").cast("long").alias("events"))
+    n = joins.nest(users_, e, "user_id", "user_id", "at", "children", most=5, tie="event_id")
+    return n.join(e.groupBy("user_id").agg(F.count("*").alias("events")), "user_id").select("user_id", F.transform("children", lambda c: c["event_type"]).alias("first_types"), "events")
 
 
 # -- text -------------------------------------------------------------------------------------------------------------
@@ -473,3 +464,4 @@ def echo_removal(spark, d):
 
 
 more.register(query, table)
+changes.register(query, sys.modules[__name__])

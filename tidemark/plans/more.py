@@ -31,7 +31,7 @@ def register(query, table) -> None:
 
     @query()
     def page_profile(spark, d):
-        return table(spark, d, "pages").select("page_id", dom.landmarks_column("html").alias("landmarks"), dom.selectors_column("html").alias("content_selectors"), dom.fingerprint_column("html").alias("fingerprint"), dom.sufficient_column("html").alias("sufficient"))
+        return table(spark, d, "pages").select("page_id", dom.profile_column("html").alias("p")).select("page_id", "p.landmarks", "p.content_selectors", "p.fingerprint", "p.sufficient")
 
     @query()
     def page_densities(spark, d):
@@ -39,7 +39,7 @@ def register(query, table) -> None:
 
     @query()
     def page_markdown(spark, d):
-        return table(spark, d, "pages").select("page_id", dom.markdown_column("html").alias("markdown"), F.octet_length(dom.sanitise_column("html")).alias("sanitised_bytes"))
+        return table(spark, d, "pages").select("page_id", dom.clean_column("html").alias("x")).select("page_id", "x.markdown", F.octet_length("x.sanitised").alias("sanitised_bytes"))
 
     @query()
     def page_sections(spark, d):
@@ -51,24 +51,17 @@ def register(query, table) -> None:
         p = files.read_documents(table(spark, d, "documents").select(F.concat("doc_id", F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content")))
         return p.select("path", "format", text.sha256("raw_text").alias("text_hash"))
 
-    @query("SELECT source AS doc, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS position, CAST(doc_id AS VARCHAR) AS guid, sha256('doc ' || doc_id) AS title_hash FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 50")
+    @query("SELECT source || '-' || (doc_id // 100) AS doc, CAST(row_number() OVER (PARTITION BY source, doc_id // 100 ORDER BY doc_id) - 1 AS INTEGER) AS position, CAST(doc_id AS VARCHAR) AS guid, sha256('doc ' || doc_id) AS title_hash FROM documents QUALIFY row_number() OVER (PARTITION BY source, doc_id // 100 ORDER BY doc_id) <= 50")
     def rss_entries(spark, d):
         item = F.concat(F.lit("<item><guid>"), F.col("doc_id"), F.lit("</guid><title> doc "), F.col("doc_id"), F.lit("</title><link>https://x/"), F.col("doc_id"), F.lit("</link></item>"))
-        items = table(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))).alias("i"))
+        feed = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 100))  # one feed per source and hundred ids
+        items = table(spark, d, "documents").groupBy(feed.alias("feed")).agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))).alias("i"))
         body = F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>t</title>'), F.array_join(F.transform("i", lambda r: r["x"]), ""), F.lit("</channel></rss>"))
-        e = feeds.read_feeds(items.select("source", body.alias("body")), key="source", most=50)
+        e = feeds.read_feeds(items.select("feed", body.alias("body")), key="feed", most=50)
         return e.select("doc", "position", "guid", text.sha256("title").alias("title_hash"))
 
-    @query("SELECT event_type AS doc, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS INTEGER) AS position, CAST(event_id AS VARCHAR) AS title, sha256('https://x/' || event_id || '|' || event_id) AS content_hash FROM events WHERE event_id % 20 = 0")
-    def api_items(spark, d):
-        e = table(spark, d, "events").where("event_id % 20 = 0")  # one JSON document per type, of every twentieth event
-        rows = F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("name"), F.concat(F.lit("https://x/"), "event_id").alias("link"))))
-        bodies = e.groupBy("event_type").agg(F.to_json(F.struct(F.struct(rows.alias("results")).alias("web"))).alias("body"))
-        items = feeds.read_api(bodies, "web.results", {"title": "name", "url": "link"}, key="event_type")
-        return feeds.api_extractions(items).select("doc", "position", "title", "content_hash")
-
     @query("SELECT event_type || '-' || (event_id // 100) AS doc, CAST(row_number() OVER (PARTITION BY event_type, event_id // 100 ORDER BY event_id) - 1 AS INTEGER) AS position, CAST(event_id AS VARCHAR) AS title, sha256('https://x/' || event_id || '|' || event_id) AS content_hash FROM events")
-    def api_items_all(spark, d):
+    def api_items(spark, d):
         e = table(spark, d, "events").withColumn("page", F.floor(F.col("event_id") / 100))  # one JSON document per type and hundred ids
         rows = F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("name"), F.concat(F.lit("https://x/"), "event_id").alias("link"))))
         bodies = e.groupBy("event_type", "page").agg(F.to_json(F.struct(F.struct(rows.alias("results")).alias("web"))).alias("body"))
