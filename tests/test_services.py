@@ -64,6 +64,42 @@ def test_vectors_documents_and_tiers(ask):
     assert ask("tiered_search", query="a b c", tier="premium") == [] and ask("tier_stats")[0]["searches"] == 1
 
 
+def test_rules_costs_sweeps_and_failures(ask):
+    rule = ask("add_rule", name="r", url_pattern="https://a.com/*", priority=3)
+    assert (rule["extract_mode"], rule["trust_level"], rule["enabled"]) == ("auto", "unverified", True) and [r["id"] for r in ask("list_rules", enabled_only=True)] == [rule["id"]]
+    assert ask("cost", backlog=10)["threshold"]["decision"] == "serverless" and ask("cost")["pricing"] == []
+    sid = ask("add_source", name="n", url="https://e.com/p")["id"]
+    assert ask("fetch_now", id=sid, answer={"status": 503, "error": "http 503"}) == {"extracted": 0, "status": "error"}
+    assert ask("sweep", probes=[{"id": sid, "status_code": 200}]) == {"probed": 1, "recovered": 1} and ask("list_sources")[0]["last_status"] == "pending"
+    page = "<title>T</title><article>" + "some words of a page " * 10 + "</article>"
+    assert ask("fetch_now", id=sid, answer={"body": page}) == {"extracted": 1, "status": "ok"} and ask("fetch_now", id=sid, answer={"body": page}) == {"extracted": 0, "status": "unchanged"}
+    assert [r["title"] for r in ask("search", query="words")] == ["T"] and len(ask("history", source_id=sid)) == 3
+    ask("publish_profile", url_pattern="p", id="p", domain="d")
+    assert ask("report_failure", profile_id="p", message="m")["success_rate"] == pytest.approx(0.95)
+    with pytest.raises(NotFound):
+        ask("report_failure", profile_id="zz")
+
+
+def test_documents_and_vectors_as_services(spark, tmp_path):
+    import base64
+
+    s = Services(Store(spark, f"file://{tmp_path}/s"), lambda: 1)
+    got = json.loads(s.call("extract_document", json.dumps({"name": "a.md", "content": base64.b64encode(b"# Head\ntext").decode()})))
+    assert got["format"] == "md" and "text" in got["raw_text"]
+    assert json.loads(s.call("embed", json.dumps({"texts": ["a", "b"]}))) == [[0.0] * 768] * 2
+
+
+def test_overview_is_whole_and_pages_by_id(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    shards = spark.range(1200).selectExpr("'n' AS name", "'active' AS status", "concat('t', lpad(id, 5, '0')) AS dossier_id")
+    from tidemark.operators import aggregates
+
+    s = Services(store, lambda: 1)
+    store.overview = lambda: aggregates.counts_by_shard(shards, {})
+    assert len(s.do_overview()) == 1200 and [r["dossier_id"] for r in s.do_overview(after="t01197")] == ["t01198", "t01199"]
+    assert [r["dossier_id"] for r in s.do_overview(limit=2)] == ["t00000", "t00001"]
+
+
 def test_config():
     c = config.load('{"debounce": {"window_ms": 0, "max_buffer": 5}, "pages": [1]}')
     assert c["debounce"] == {"window_ms": 250, "max_buffer": 5} and c["pages"] == [1] and c["browser"]["stealth"] == "auto"

@@ -162,3 +162,44 @@ def test_node_map(spark):
     assert m.path(4) == "/unknown[nodeId=4]" and m.children[1] == [2]
     rows = spark.createDataFrame([("<p>a<p>b",)], "h string").select(F.explode(nodes.nodes_column("h")).alias("n")).select("n.*").collect()
     assert [r.xpath for r in rows] == ["/html", "/html/head", "/html/body", "/html/body/p[1]", "/html/body/p[2]"]
+
+
+def test_appends_leave_files_alone_and_searches_read_buckets(spark, store, tmp_path):
+    import pathlib
+
+    a, b = store.of("a"), store.of("b")
+    rows = lambda *words: [{"id": w, "source_id": "s", "content_hash": w, "title": w, "extracted_text": f"all about {w} and more", "url": "u", "extracted_at": NOW} for w in words]
+    a.append("extractions", rows("quantum", "fields"))
+    before = set(pathlib.Path(tmp_path / "store").rglob("*.parquet"))
+    b.append("extractions", rows("other"))
+    a.append("extractions", rows("quantum2", "waves"))
+    assert before <= set(pathlib.Path(tmp_path / "store").rglob("*.parquet"))
+    assert [r.id for r in a.search("waves", NOW).collect()] == ["waves"] and a.search("other", NOW).count() == 0
+    assert sorted(r.id for r in a.search("quant* NOT fields", NOW).collect()) == ["quantum", "quantum2"]
+    from tidemark.operators import search
+
+    plan = search.bm25_index(a.postings("extractions"), "waves", "id", ("title", "extracted_text"), buckets=tables.INDEX_BUCKETS)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters", 1)[1][:200]
+    a.remove("extractions", F.col("id") == "waves")
+    assert a.search("waves", NOW).count() == 0 and a.search("about", NOW).count() == 3 and b.search("about", NOW).count() == 1
+    store.write("extractions", store.all_tenants("extractions").where("dossier_id = 'b'"))
+    assert a.read("extractions").count() == 0 and a.search("about", NOW).count() == 0 and b.search("about", NOW).count() == 1
+
+
+def test_index_ranks_as_the_texts_do(spark):
+    import random
+
+    from tidemark.operators import search
+
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "alps", "été", "Ete"]
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    df = spark.createDataFrame([(i, make(rng.randint(0, 3)) or None, make(rng.randint(0, 12))) for i in range(80)], "id long, title string, body string")
+    postings = search.index(df, "id", ("title", "body"), buckets=4).cache()
+    for q in ("alpha", "alpha beta", '"alpha beta"', "al*", '"beta al*"', "alpha NOT beta", "(alpha OR delta) AND ete", "title:alpha", "NEAR(alpha delta, 2)", "alpha + beta gamma", "NEAR(alpha gamma beta, 1) OR title:ete"):
+        want = {r.id: round(r.rank, 9) for r in search.bm25(df, q, "id", ("title", "body"), limit=None).collect()}
+        got = {r.id: round(r.rank, 9) for r in search.bm25_index(postings, q, "id", ("title", "body"), limit=None, buckets=4).collect()}
+        assert got == want, q
+    assert search.bm25_index(postings, "alpha", "id", ("title", "body"), limit=3, offset=2, buckets=4).collect() == search.bm25(df, "alpha", "id", ("title", "body"), limit=3, offset=2).collect()
+    with pytest.raises(search.QueryError):
+        search.bm25_index(postings, "nope:alpha", "id", ("title",), buckets=4)

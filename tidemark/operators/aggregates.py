@@ -69,6 +69,7 @@ def latest(df: DataFrame, key: str, time: str, tie: str) -> DataFrame:
 
 
 def ranked(df: DataFrame, *order) -> DataFrame:
+    """rows of one answer (a leaderboard that has its limit, not a table) with their rank."""
     return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 

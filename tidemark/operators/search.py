@@ -1,7 +1,8 @@
 """Full-text search: a tokenizer, postings, a query language, BM25 ranking and tiered search with several passes.
 
-Postings are rows (doc, term, positions); ranking joins the terms of a query with them, so a search reads the postings of
-its terms only when they are stored partitioned by a prefix of the term's hash.
+bm25 reads the texts themselves. An index holds postings (doc, column, term, positions) in buckets of the term's hash, and
+the length of every document; bm25_index ranks by it, and reads the buckets of the query's terms only where it is stored
+partitioned by bucket. Both give the same documents and ranks.
 """
 
 from __future__ import annotations
@@ -282,6 +283,100 @@ def bm25(docs: DataFrame, query: str, key: str, columns: tuple[str, ...], limit:
     return out.orderBy("rank", key).offset(offset).limit(limit) if offset else out.orderBy("rank", key).limit(limit)
 
 
+BUCKETS = 64
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def index(docs: DataFrame, key: str, columns: tuple[str, ...], buckets: int = BUCKETS) -> DataFrame:
+    """doc, column, term, positions, length, bucket: the postings of docs, and a row of bucket -1 with the length of each document."""
+    d = docs.select(F.col(key).alias("doc"), *(F.coalesce(terms(c), F.array().cast("array<string>")).alias(f"_t_{c}") for c in columns))
+    d = d.withColumn("length", sum((F.size(f"_t_{c}") for c in columns), F.lit(0)))
+    out = d.select("doc", F.lit("").alias("column"), F.lit("").alias("term"), F.array().cast("array<int>").alias("positions"), "length", F.lit(-1).alias("bucket"))
+    for c in columns:
+        at = d.select("doc", F.lit(c).alias("column"), "length", F.posexplode(f"_t_{c}").alias("position", "term"))
+        p = at.groupBy("doc", "column", "term", "length").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+        out = out.unionByName(p.select("doc", "column", "term", "positions", "length", _bucket(F.col("term"), buckets).alias("bucket")))
+    return out
+
+
+def bm25_index(postings: DataFrame, query: str, key: str, columns: tuple[str, ...], limit: int | None = 20, offset: int = 0, buckets: int = BUCKETS) -> DataFrame:
+    """key and rank of the documents that match the query, as bm25 gives them, from an index of these columns."""
+    tree = parse(query)
+    wanted = list(dict.fromkeys(leaves(tree)))
+    for p in wanted:
+        if p.column and p.column not in columns:
+            raise QueryError(f"no such column: {p.column}")
+    every = list(dict.fromkeys(_phrases(tree)))
+    words = sorted({w for p in every for w in (p.words[:-1] if p.prefix else p.words)})
+    heads = sorted({p.words[-1] for p in every if p.prefix and p.words})
+    asked = F.col("term").isin(words)
+    if heads:  # a prefix may be in any bucket
+        for h in heads:
+            asked = asked | F.col("term").startswith(h)
+        asked = asked & (F.col("bucket") >= 0)
+    else:
+        asked = asked & F.col("bucket").isin(*(_bucket(F.lit(w), buckets) for w in words)) if words else F.lit(False)
+    # of a document, the postings of the query's terms
+    d = postings.where(asked).groupBy("doc").agg(F.first("length").alias("_length"), F.collect_list(F.struct("column", "term", "positions")).alias("_p"))
+
+    def places(column: str, word: str, prefix: bool) -> Column:
+        named = F.filter("_p", lambda x: (x["column"] == column) & (x["term"].startswith(word) if prefix else x["term"] == word))
+        return F.flatten(F.transform(named, lambda x: x["positions"]))
+
+    def starts(p: Phrase, column: str) -> Column:
+        if not p.words:
+            return F.array().cast("array<int>")
+        n = len(p.words)
+        out = places(column, p.words[0], p.prefix and n == 1)
+        for k in range(1, n):
+            out = F.filter(out, after(places(column, p.words[k], p.prefix and k == n - 1), k))
+        return out
+
+    def after(found: Column, k: int):
+        return lambda i: F.array_contains(found, i + k)
+
+    def hit(t) -> Column:
+        if isinstance(t, Phrase):
+            return F.size(F.concat(*(starts(t, c) for c in ([t.column] if t.column else columns)))) > 0
+        if isinstance(t, Near):
+            first, *rest = t.phrases
+            near = lambda i, p, c: F.exists(starts(p, c), lambda j: F.greatest(j - (i + len(first.words)), i - (j + len(p.words))) <= t.distance)
+            all_near = lambda c: lambda i: _all([F.lit(True), *(near(i, p, c) for p in rest)])
+            out = F.lit(False)
+            for c in columns:
+                out = out | F.exists(starts(first, c), all_near(c))
+            return out
+        x, y = hit(t.left), hit(t.right)
+        return x & y if t.kind == "and" else x | y if t.kind == "or" else x & ~y
+
+    frequency = {f"_f{i}": sum((F.size(starts(p, c)) for c in ([p.column] if p.column else columns)), F.lit(0)) for i, p in enumerate(wanted)}
+    d = d.withColumns({"_hit": hit(tree)} | frequency).drop("_p")
+    stats = postings.where("bucket = -1").agg(F.count("*").alias("_n"), F.avg("length").alias("_avg"))
+    met = d.agg(*(F.count(F.when(F.col(f"_f{i}") > 0, 1)).alias(f"_d{i}") for i in range(len(wanted))))
+    d = d.where("_hit").join(F.broadcast(stats), how="cross").join(F.broadcast(met), how="cross")  # one row of counts each
+    score = F.lit(0.0)
+    for i in range(len(wanted)):
+        idf = F.greatest(F.log((F.col("_n") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5)), F.lit(1e-6))
+        f = F.col(f"_f{i}").cast("double")
+        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_length") / F.col("_avg")))
+    out = d.select(F.col("doc").alias(key), (-score).alias("rank"))
+    if limit is None:
+        return out
+    return out.orderBy("rank", key).offset(offset).limit(limit) if offset else out.orderBy("rank", key).limit(limit)
+
+
+def _phrases(tree) -> list[Phrase]:
+    """All phrases of a query, those behind NOT included."""
+    if isinstance(tree, Phrase):
+        return [tree]
+    if isinstance(tree, Near):
+        return list(tree.phrases)
+    return _phrases(tree.left) + _phrases(tree.right)
+
+
 def variants(query: str) -> list[str]:
     """The query as a phrase and, of more than two words, its halves."""
     words = [w for w in re.split(r"[ \t\n]+", query) if w]
@@ -289,8 +384,8 @@ def variants(query: str) -> list[str]:
     return ([f'"{query}"'] + ([" ".join(words[:half]), " ".join(words[half:])] if len(words) > 2 else [])) if query else []
 
 
-def tiered(docs: DataFrame, query: str, key: str, columns: tuple[str, ...], tier: str = "free", most_passes: int = 0, limit: int = 20, trust: str | None = None) -> DataFrame:
-    """key, pass, position, score, place of a tiered search.
+def tiered(docs: DataFrame, query: str, key: str, columns: tuple[str, ...], tier: str = "free", most_passes: int = 0, limit: int = 20, trust: str | None = None, postings: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """key, pass, position, score, place of a tiered search; postings: an index of docs to rank by, in place of their texts.
 
     The free tier is one pass. The premium tier adds passes for the query's variants (up to most_passes in all, 3 by
     default; one that cannot be parsed is passed over), keeps the first occurrence of a document, and orders by trust:
@@ -302,11 +397,13 @@ def tiered(docs: DataFrame, query: str, key: str, columns: tuple[str, ...], tier
     found: DataFrame | None = None
     for i, q in enumerate(asked):
         try:
-            one = bm25(docs, q, key, columns, limit, keep=keep)
+            one = bm25(docs, q, key, columns, limit, keep=keep) if postings is None else bm25_index(postings, q, key, columns, limit, buckets=buckets)
         except QueryError:
             if i == 0:
                 raise
             continue
+        if postings is not None and keep:  # at most `limit` rows
+            one = docs.select(key, *keep).join(F.broadcast(one), key)
         one = one.withColumn("pass", F.lit(i + 1))
         found = one if found is None else found.unionByName(one)
     order = F.row_number().over(Window.partitionBy("pass").orderBy("rank", key))
@@ -323,18 +420,20 @@ def tiered(docs: DataFrame, query: str, key: str, columns: tuple[str, ...], tier
 
 
 def trust_order(rows: DataFrame, order: tuple[str, ...], trust: str) -> DataFrame:
-    """rows in their order, with score (place from the end times the trust multiplier) and the place by it; ties keep their order."""
+    """rows of one answer (a page of results, not a table) in their order, with score (place from the end times the trust multiplier) and the place by it; ties keep their order."""
     w = Window.orderBy(*order)
     n = rows.withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy()))
     n = n.withColumn("score", (F.col("_n") - F.col("_i") + 1) * rules.trust_multiplier(trust))
     return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "_i"))).drop("_i", "_n")
 
 
-def maintain(index: DataFrame, key: str, column: str, inserted: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
-    """Postings after rows were inserted or changed (both: inserted) and deleted (keys)."""
+def maintain(stored: DataFrame, key: str, columns: tuple[str, ...] | str, inserted: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
+    """An index (of postings(), with the name of its column) after rows were inserted or changed (both: inserted) and deleted (keys)."""
     gone = [x.select(F.col(key).alias("doc")) for x in (inserted, deleted) if x is not None]
-    out = index
+    out = stored
     for g in gone:
         out = out.join(g.distinct(), "doc", "left_anti")
-    return out if inserted is None else out.unionByName(postings(inserted, key, column).select(*out.columns))
-
+    if inserted is None:
+        return out
+    new = postings(inserted, key, columns) if isinstance(columns, str) else index(inserted, key, columns)
+    return out.unionByName(new.select(*out.columns))

@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
+import base64
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dom
-from ..sources import files
-from . import aggregates, search, state, vectors
-from .tables import Store
+from ..sources import files, http
+from . import aggregates, handlers, search, state, vectors
+from .tables import INDEX_BUCKETS, Store
 
 
 class NotFound(KeyError):
     pass
 
 
-def _rows(df: DataFrame, most: int = 1000) -> list[dict]:
-    return [r.asDict(recursive=True) for r in df.limit(most).collect()]
+def _rows(df: DataFrame, most: int | None = None) -> list[dict]:
+    """Rows of an answer: the first `most` of a list that has a limit, else all."""
+    return [r.asDict(recursive=True) for r in (df if most is None else df.limit(most)).toLocalIterator()]
 
 
 class Services:
-    """Services by name. Answers hold at most `limit` rows (50 by default)."""
+    """Services by name. Lists hold at most `limit` rows (50 by default); counts, tiers and the overview are whole."""
 
     def __init__(self, store: Store, clock: Callable[[], int]):
         self.store, self.clock = store, clock
@@ -89,7 +92,7 @@ class Services:
     def do_tiered_search(self, query: str, tier: str = "free", max_passes: int = 0, limit: int = 20, user_id: str = "", dossier_id: str | None = None) -> list[dict]:
         s, began = self._of(dossier_id), self.clock()
         content = s.read("content_cache").select(F.col("id").alias("content_id"), "rule_id").join(s.read("extraction_rules").select(F.col("id").alias("rule_id"), "trust_level"), "rule_id")
-        found = _rows(search.tiered(s.read("chunks").join(content, "content_id"), query, "id", ("text",), tier, max_passes, limit, "trust_level"), limit)
+        found = _rows(search.tiered(s.read("chunks").join(content, "content_id"), query, "id", ("text",), tier, max_passes, limit, "trust_level", s.postings("chunks"), INDEX_BUCKETS), limit)
         s.append("search_tiers", [{"id": f"{began}-{query}", "user_id": user_id, "tier": tier, "query": query, "passes": max((r["pass"] for r in found), default=1), "results_count": len(found), "latency_ms": self.clock() - began, "created_at": began}])
         return found
 
@@ -102,8 +105,62 @@ class Services:
     def do_history(self, source_id: str, limit: int = 50, dossier_id: str | None = None) -> list[dict]:
         return _rows(self._of(dossier_id).history(source_id, limit), limit)
 
-    def do_overview(self) -> list[dict]:
-        return _rows(self.store.overview())
+    def do_overview(self, after: str = "", limit: int | None = None) -> list[dict]:
+        """Active tenants by id, all of them or a page after one."""
+        return _rows(self.store.overview().where(F.col("dossier_id") > after).orderBy("dossier_id"), limit)
+
+    # rules, costs, sweeps, failures
+
+    def do_add_rule(self, name: str, url_pattern: str = "", page_id: str = "", selectors: list[str] | None = None, extract_mode: str = "auto", trust_level: str = "unverified", folder_id: str = "", priority: int = 0, dossier_id: str | None = None) -> dict:
+        now = self.clock()
+        rule = {"id": uuid.uuid4().hex, "name": name, "url_pattern": url_pattern, "page_id": page_id, "selectors": selectors or [], "extract_mode": extract_mode or "auto", "trust_level": trust_level or "unverified", "folder_id": folder_id, "enabled": True, "priority": priority, "version": 1, "fail_count": 0, "created_at": now, "updated_at": now}
+        self._of(dossier_id).append("extraction_rules", [rule])
+        return rule
+
+    def do_list_rules(self, enabled_only: bool = False, limit: int = 50, dossier_id: str | None = None) -> list[dict]:
+        r = self._of(dossier_id).read("extraction_rules")
+        return _rows((r.where("enabled") if enabled_only else r).orderBy(F.desc("priority"), "created_at", "id"), limit)
+
+    def do_cost(self, backlog: float = 0, dossier_id: str | None = None) -> dict:
+        """Active prices, and what a backlog costs either way."""
+        p = self._of(dossier_id).read("gpu_pricing")
+        return {"pricing": _rows(p.where("status = 'active'").orderBy("cost_per_unit", "id")), "threshold": aggregates.cost_decision(p, float(backlog)).first().asDict()}
+
+    def do_sweep(self, probes: list[dict] | None = None, dossier_id: str | None = None) -> dict:
+        """Broken sources that answer again are reset; probes (id, status_code) stand in for asking them."""
+        s = self._of(dossier_id)
+        broken = s.read("sources").transform(state.broken_sources)
+        told = http.probe(broken) if probes is None else s.spark.createDataFrame([(p["id"], p["status_code"]) for p in probes], "id string, status_code int")
+        told = s.spark.createDataFrame(told.select("id", "status_code").collect(), "id string, status_code int")  # asked once; a row per broken source
+        after, summary = state.sweep(s.read("sources"), told, self.clock())
+        out = summary.first().asDict()
+        s.write("sources", after)
+        return out
+
+    def do_report_failure(self, profile_id: str, instance_id: str = "", error_type: str = "", message: str = "", dossier_id: str | None = None) -> dict:
+        s, now = self._of(dossier_id), self.clock()
+        if s.get("profiles", "id", profile_id) is None:
+            raise NotFound(profile_id)
+        s.append("reports", [{"id": uuid.uuid4().hex, "profile_id": profile_id, "instance_id": instance_id, "error_type": error_type, "message": message, "created_at": now}])
+        s.change("profiles", lambda df: state.report_failure(df, F.col("id") == profile_id))
+        return s.get("profiles", "id", profile_id)
+
+    def do_fetch_now(self, id: str, answer: dict | None = None, dossier_id: str | None = None) -> dict:  # noqa: A002
+        """Works off one source at once; answer (status, body, error) stands in for asking it."""
+        s = self._of(dossier_id)
+        one = s.read("sources").where(F.col("id") == id)
+        if not one.take(1):
+            raise NotFound(id)
+        told = http.fetch_sources(one).select("id", "status", "body", "error").collect() if answer is None else [(id, answer.get("status", 200), answer.get("body"), answer.get("error"))]
+        answers = s.spark.createDataFrame(told, "id string, status int, body string, error string")
+        after, new, log = handlers.process(one, answers, s.read("extractions"), self.clock(), handlers.registry())
+        rows = [r.asDict(recursive=True) for r in new.collect()]  # of one source
+        s.append("fetch_log", [r.asDict() for r in log.collect()])
+        changed = after.collect()
+        s.put("sources", s.spark.createDataFrame(changed, after.schema))
+        if rows:
+            s.append("extractions", rows)
+        return {"extracted": len(rows), "status": changed[0].last_status}
 
     # registry
 
@@ -177,6 +234,19 @@ class Services:
     def do_extract_html(self, html: str, mode: str = "auto", selectors: list[str] | None = None) -> dict:
         return dom.extract(html, mode, selectors)
 
+    def do_embed(self, texts: list[str], url: str = "", model: str = "") -> list[list[float]]:
+        """Vectors of texts in their order, by the service at url, or zeros without one."""
+        spark = self.store.spark
+        df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+        out = http.embed(df, url, model) if url else vectors.zero_embedder(df)
+        return [list(r.embedding) for r in out.orderBy("n").collect()]  # as many as were sent
+
+    def do_extract_document(self, name: str, content: str) -> dict:
+        """Title, sections and text of a file, whose bytes come as base64."""
+        spark = self.store.spark
+        one = spark.createDataFrame([(name, bytearray(base64.b64decode(content)))], "path string, content binary")
+        return files.read_documents(one).first().asDict(recursive=True)
+
     def do_detect_format(self, name: str) -> dict:
         return {"format": files.FORMATS.get(name.rpartition(".")[2].lower() if "." in name else "")}
 

@@ -62,7 +62,13 @@ def source_defaults(df: DataFrame, now: int) -> DataFrame:
 
 
 def add_sources(sources: DataFrame, new: DataFrame, now: int, most: int = MOST_SOURCES) -> tuple[DataFrame, DataFrame]:
-    """sources with the valid new rows, and the rejected rows with their reasons.
+    """sources with the valid new rows, and the rejected rows with their reasons."""
+    taken, bad = admit_sources(sources, new, now, most)
+    return sources.unionByName(taken), bad
+
+
+def admit_sources(sources: DataFrame, new: DataFrame, now: int, most: int = MOST_SOURCES) -> tuple[DataFrame, DataFrame]:
+    """The valid new rows, and the rejected rows with their reasons.
 
     Defaults, validation, normal form of the URL, quota, then duplicates by URL (of the store or of an earlier new row).
     """
@@ -78,7 +84,7 @@ def add_sources(sources: DataFrame, new: DataFrame, now: int, most: int = MOST_S
     taken = good.join(first_ones, good.url == F.col("_url"), "left_semi").select(*sources.columns)
     bad = n.where(F.size("errors") > 0).select("id", F.col("raw_url").alias("url"), "errors")
     over = good.join(first_ones, good.url == F.col("_url"), "left_anti").select("id", F.col("raw_url").alias("url"), F.array(F.lit("quota")).alias("errors"))
-    return sources.unionByName(taken), bad.unionByName(over)
+    return taken, bad.unionByName(over)
 
 
 def merge_source(old: DataFrame, changes: DataFrame, now: int) -> DataFrame:

@@ -1,7 +1,9 @@
-"""A store of versioned tables in any file system that Spark writes to.
+"""A store of Parquet tables in any file system that Spark writes to.
 
-A write makes a new version next to the old one and then a marker; readers take the highest version that has a marker, so a
-write that breaks off is never seen. Rows of tenants share a table, and `dossier_id` is its partition: every read names one.
+Rows of tenants share a table, which is partitioned by `dossier_id`; every read of a tenant names one. New rows are
+appended as files of their own, whoever else writes at that time; a change of a tenant's rows replaces that partition
+when its job is committed, and leaves those of the others alone. Of two changes of one tenant's table at a time, the one
+that is committed last holds, so a tenant is changed by one writer. Tables with a text index keep it beside them.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ from ..schemas import TABLES
 from . import aggregates, joins, search, state
 
 TENANT = "dossier_id"
+#: Tables with a text index: their key and the columns that are searched.
+INDEX_BUCKETS = 16
+INDEXED = {"extractions": ("id", ("title", "extracted_text")), "chunks": ("id", ("text",))}
 
 
 class Store:
@@ -28,22 +33,14 @@ class Store:
         """The same store, seen by one tenant."""
         return Store(self.spark, self.path, dossier)
 
-    # -- versions
-
-    def _versions(self, name: str) -> list[int]:
-        try:
-            rows = self.spark.read.schema("version long").json(f"{self.path}/_versions/{name}").collect()
-        except AnalysisException:
-            return []
-        return sorted(r.version for r in rows)
+    # -- files
 
     def _whole(self, name: str) -> DataFrame:
         ddl = f"{TABLES[name]}, {TENANT} string"
-        versions = self._versions(name)
-        if not versions:
+        try:  # columns that older files lack are null
+            return self.spark.read.schema(ddl).parquet(f"{self.path}/{name}")
+        except AnalysisException:
             return self.spark.createDataFrame([], ddl)
-        # columns that an older version lacks are null
-        return self.spark.read.schema(ddl).parquet(f"{self.path}/{name}/{versions[-1]}")
 
     def read(self, name: str) -> DataFrame:
         df = self._whole(name)
@@ -52,18 +49,56 @@ class Store:
     def all_tenants(self, name: str) -> DataFrame:
         return self._whole(name)
 
+    def _drop(self, *parts: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def write(self, name: str, df: DataFrame) -> None:
-        """df becomes the tenant's rows of a table; those of other tenants stay."""
-        old = self._whole(name)
+        """df becomes the tenant's rows of a table; without a tenant, the rows of all tenants that it has, and the others have none left."""
+        names = [c.split()[0] for c in _columns(name)]
         if self.dossier is not None:
-            df = old.where(F.col(TENANT) != self.dossier).unionByName(df.withColumn(TENANT, F.lit(self.dossier)), allowMissingColumns=True)
-        version = (self._versions(name) or [0])[-1] + 1
-        df.select(*old.columns).write.partitionBy(TENANT).mode("overwrite").parquet(f"{self.path}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").json(f"{self.path}/_versions/{name}")
+            df = df.withColumn(TENANT, F.lit(self.dossier))
+        df = df.select(*(F.col(c) if c in df.columns else F.lit(None).alias(c) for c in [*names, TENANT]))
+        before = {self.dossier} if self.dossier is not None else {r[0] for r in self._whole(name).select(TENANT).distinct().collect()}
+        after = {r[0] for r in df.select(TENANT).distinct().collect()}  # a row per tenant
+        if after:
+            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(TENANT).parquet(f"{self.path}/{name}")
+        for gone in before - after:
+            self._drop(name, f"{TENANT}={gone}")
+        if name in INDEXED:
+            for tenant in before | after:
+                self._drop(f"{name}_index", f"{TENANT}={tenant}")
+                one = self.of(tenant)
+                one._add_to_index(name, one.read(name))
+
+    def _rows(self, name: str, rows: list[dict] | DataFrame) -> DataFrame:
+        df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame([[r.get(c.split()[0]) for c in _columns(name)] for r in rows], TABLES[name])
+        kinds = self.spark.createDataFrame([], TABLES[name]).dtypes
+        return df.select(*(F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in kinds), *([TENANT] if self.dossier is None else []))
 
     def append(self, name: str, rows: list[dict] | DataFrame) -> None:
-        df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame([[r.get(c.split()[0]) for c in _columns(name)] for r in rows], TABLES[name])
-        self.write(name, self.read(name).unionByName(df, allowMissingColumns=True))
+        """More rows, as files beside the others; without a tenant, the rows name theirs."""
+        df = self._rows(name, rows)
+        tagged = df if self.dossier is None else df.withColumn(TENANT, F.lit(self.dossier))
+        tagged.write.mode("append").partitionBy(TENANT).parquet(f"{self.path}/{name}")
+        if name in INDEXED:
+            self._add_to_index(name, df)
+
+    def _add_to_index(self, name: str, df: DataFrame) -> None:
+        key, columns = INDEXED[name]
+        tenants = [self.dossier] if self.dossier is not None else [r[0] for r in df.select(TENANT).distinct().collect()]
+        for t in tenants:
+            mine = df if self.dossier is not None else df.where(F.col(TENANT) == t)
+            search.index(mine, key, columns, INDEX_BUCKETS).withColumn(TENANT, F.lit(t)).repartition("bucket").write.mode("append").partitionBy(TENANT, "bucket").parquet(f"{self.path}/{name}_index")
+
+    def postings(self, name: str) -> DataFrame:
+        """The text index of a table, of all tenants or of one; of a search only the buckets of its terms are read."""
+        ddl = f"doc string, column string, term string, positions array<int>, length int, {TENANT} string, bucket int"
+        try:
+            df = self.spark.read.schema(ddl).parquet(f"{self.path}/{name}_index")
+        except AnalysisException:
+            df = self.spark.createDataFrame([], ddl)
+        return df if self.dossier is None else df.where(F.col(TENANT) == self.dossier)
 
     def change(self, name: str, f: Callable[[DataFrame], DataFrame]) -> None:
         self.write(name, f(self.read(name)))
@@ -92,9 +127,9 @@ class Store:
         rows = new.select(*known, *(F.lit(None).alias(c) for c in cols if c not in known)).select(*cols)
         rows = rows.select(*(F.col(c).cast(t).alias(c) for c, t in self.read("sources").dtypes))
         rows = rows.withColumn("fail_count", F.coalesce("fail_count", F.lit(0))).withColumn("enabled", F.coalesce("enabled", F.lit(True)))
-        out, bad = state.add_sources(self.read("sources"), rows, now)
-        self.write("sources", out)
-        return bad
+        taken, bad = state.admit_sources(self.read("sources"), rows, now)
+        self.append("sources", taken)
+        return bad  # of the files as they were before
 
     def delete_source(self, source_id: str) -> None:
         self.remove("sources", F.col("id") == source_id, {"extractions": "source_id", "fetch_log": "source_id"})
@@ -108,8 +143,9 @@ class Store:
         self.append("sources", s)
 
     def search(self, query: str, now: int, limit: int = 20) -> DataFrame:
-        """Extractions that match, best first; the search is logged."""
-        found = search.bm25(self.read("extractions"), query, "id", ("title", "extracted_text"), limit, keep=("title", "url"))
+        """Extractions that match, best first, by the text index; the search is logged."""
+        ranked = search.bm25_index(self.postings("extractions"), query, "id", ("title", "extracted_text"), limit, buckets=INDEX_BUCKETS)
+        found = self.read("extractions").select("id", "title", "url").join(F.broadcast(ranked), "id").select("id", "rank", "title", "url").orderBy("rank", "id")  # at most `limit` rows
         self.append("search_log", [{"id": uuid.uuid4().hex, "query": query, "result_count": found.count(), "searched_at": now}])
         return found
 
@@ -127,12 +163,15 @@ class Store:
         """Chunks that match, with their content and rule; a trust level is met exactly."""
         rules = self.read("extraction_rules").select(F.col("id").alias("rule_id"), "trust_level", "folder_id")
         content = self.read("content_cache").select(F.col("id").alias("content_id"), "rule_id", "page_url", "title")
-        c = self.read("chunks").join(content, "content_id").join(rules, "rule_id")
+        c = self.read("chunks").select("id", "content_id").join(content, "content_id").join(rules, "rule_id")
         if folders:
             c = c.where(F.col("folder_id").isin(folders))
         if trust:
             c = c.where(F.col("trust_level") == trust)
-        return search.bm25(c, query, "id", ("text",), limit, offset, keep=("content_id", "title", "page_url", "trust_level"))
+        # ranks are those among all chunks, whatever is filtered
+        ranked = search.bm25_index(self.postings("chunks"), query, "id", ("text",), None, buckets=INDEX_BUCKETS)
+        found = ranked.join(c, "id").select("id", "rank", "content_id", "title", "page_url", "trust_level").orderBy("rank", "id")
+        return (found.offset(offset) if offset else found).limit(limit)
 
     def content(self, content_id: str) -> dict | None:
         """A content with its chunks in order."""

@@ -128,6 +128,36 @@ def fts_tiered_search(spark, d):
     return search.tiered(docs, "the of and to", "doc_id", ("text",), tier="premium", trust="trust")
 
 
+@query(BM25_SQL)
+def fts_index_bm25(spark, d):
+    """The same ranks by an index."""
+    docs = table(spark, d, "documents")
+    ranked = search.bm25_index(search.index(docs, "doc_id", ("text",)), "thing ering", "doc_id", ("text",), limit=None)
+    return docs.select("doc_id", "source").join(ranked, "doc_id").withColumn("rank", F.round("rank", 6)).select("doc_id", "source", "rank")
+
+
+@query("""
+    WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+'), ' ') || ' ' AS t FROM documents)
+    SELECT doc_id FROM d WHERE (t LIKE '% of the %' OR t LIKE '% lad%') AND NOT t LIKE '% and %'
+""")
+def fts_index_boolean(spark, d):
+    postings = search.index(table(spark, d, "documents"), "doc_id", ("text",))
+    return search.bm25_index(postings, '("of the" OR lad*) NOT and', "doc_id", ("text",), limit=None).select("doc_id")
+
+
+@query("""
+    WITH d AS (SELECT 1), x AS (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'new ' || source ELSE text END AS text FROM documents WHERE doc_id % 3 <> 0),
+    t AS (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')) AS term FROM x WHERE doc_id % 3 = 1 OR doc_id % 7 <> 0) SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM t GROUP BY term
+""")
+def fts_index_maintained(spark, d):
+    """An index of some documents, after a part of them was changed and another deleted."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    postings = search.index(docs.where("doc_id % 3 = 2"), "doc_id", ("text",))
+    fresh = docs.where("doc_id % 3 = 1").select("doc_id", F.concat(F.lit("new "), "source").alias("text"))
+    now = search.maintain(postings, "doc_id", ("text",), inserted=fresh, deleted=docs.where("doc_id % 7 = 0").select("doc_id"))
+    return now.where("bucket >= 0").groupBy("term").agg(F.count_distinct("doc").alias("documents"), F.sum(F.size("positions")).alias("occurrences"))
+
+
 # -- filters, state ---------------------------------------------------------------------------------------------------
 
 
