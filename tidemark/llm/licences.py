@@ -88,7 +88,12 @@ TERM = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
 #: Least cosine, and the share of a file's words in such lines that makes it a licence file.
 LEAST, FILE_SHARE = 0.6, 0.8
 #: Terms of the templates that prose has too: alone, or with numbers, they name no licence ("by", "mit", "by 4.0").
-FUNCTION = frozenset("a and any are as by can in is it mit not of or that the this to with without you".split())
+FUNCTION = frozenset(
+    "a above accompanying all and any are as associated at attribution be binary by can charge code compliance conditions copies copy deal dedicated do documentation either except"
+    " fee file files following for form forms found free general http https in international into is it library may met mit not notice obtaining of or or person program provided public"
+    " published purpose restriction see source subject terms that the this to txt under union universal use v version want what with without work you your"
+    " january february june november december".split()
+)
 
 
 def weigh(templates: list[tuple[str, str]]) -> tuple[list[tuple[int, str, str, float]], float]:
