@@ -18,10 +18,10 @@ def rows(spark, sf_dir, name):
 
 
 def test_every_event_is_an_item(spark, sf_dir):
-    found = rows(spark, sf_dir, "api_items_all")
+    found = rows(spark, sf_dir, "api_items")
     assert sorted(int(r[2]) for r in found) == sorted(r.event_id for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").collect())
     assert max(r[1] for r in found) < 100
 
 
 def test_the_vocabulary_has_rare_terms(spark, sf_dir):
-    assert min(r[1] for r in rows(spark, sf_dir, "fts_vocabulary_all")) == 1
+    assert min(r[1] for r in rows(spark, sf_dir, "fts_vocabulary")) == 1
