@@ -77,6 +77,24 @@ def check_against_brute_force(spark):
         assert got == brute(rows, 50)
 
 
+def test_wide_grams_meet_twice(spark):
+    passage = "".join(chr(97 + i * i % 23) for i in range(120))
+    rows = [(i, f"{i} head {i * 7919} " + passage * (1 + i % 2) + f" tail {i}" + passage[i % 60 : i % 60 + 55]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for wide in (1, 2, 4):
+        assert sorted(tuple(r) for r in suffix_dedup(df, parts=11, block_bytes=500, wide=wide).collect()) == brute(rows, 50)
+
+
+def test_first_meeting_sends_the_least_on():
+    text = b"".join(bytes([97 + i * i % 23]) for i in range(300))
+    ids = np.arange(6)
+    blobs = [module.segments(ids, ids, [(i, 0, text)], 50, 20).pack() for i in (4, 2, 5)]
+    told = [(0, chunk, module._FIRST, blob) for chunk, blob in zip((7, 8, 9), blobs, strict=True)] + [(0, 3, module._MARKS, b"m")]
+    got = module._meet(50, 20, 11)(module._rows(module._SENT, told)).to_pylist()
+    assert {r["chunk"] for r in got if r["kind"] == module._LAST} == {8}
+    assert sorted(r["chunk"] for r in got if r["kind"] == module._MARKS) == [3, 7, 9]
+
+
 def test_spans_and_text(spark):
     passage = "p" * 20 + "".join(chr(97 + i % 23) for i in range(60))
     df = spark.createDataFrame([(1, passage), (2, "A" + passage + "B")], "doc_id long, text string")

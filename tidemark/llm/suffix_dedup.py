@@ -7,7 +7,9 @@ bucket of its minimal k-gram's hash; consecutive windows with one minimum travel
 dealt to chunks once, and every later step reuses that exchange:
 1. each chunk lists the hashes of its minimal k-grams, and each bucket answers which of them occur elsewhere too;
 2. each chunk sends the segments of shared k-grams to their buckets, less the windows that its own blocks mark;
-3. each bucket marks the windows that a smaller document has, and deals the marks back to the chunks.
+3. each bucket marks the windows that a smaller document has, and deals the marks back to the chunks. A k-gram of more
+   than `wide` chunks meets twice: first in one bucket for every `wide` chunks, which keep the smallest document's
+   windows, then those in its own bucket, so that a passage of all chunks is shared out too.
 A block of segments is marked by a suffix array built in two stages: only suffixes smaller than their successors are
 sorted directly, the others are induced by one scan over the 256 first-byte buckets. Adjacent common prefixes then
 give the groups of equal windows, and all of a group but the smallest document's are marked. The pass in step 2 is a
@@ -31,6 +33,7 @@ from .common import documents, shuffle_partitions
 LENGTH, GRAM = 50, 20
 BLOCK_BYTES, SHARE_BYTES, HASH_BYTES = 4 << 20, 1 << 19, 1 << 18
 CHUNK_BYTES = 64 << 20
+WIDE = 32
 _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), 0x100000001B3
 
 
@@ -321,7 +324,7 @@ def mark(s: Segments, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 _KEYS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("blob", pa.binary())])
 _SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int8()), ("blob", pa.binary())])
-_RUNS = pa.schema([("chunk", pa.int32()), ("blob", pa.binary())])
+_LAST, _MARKS, _FIRST = 0, 1, 2  #: Kinds of rows: segments in the bucket of their k-gram, marks of a chunk, segments of wide k-grams before.
 _DROP = 16  #: Low bits of a k-gram's hash that are left out when only its presence is asked; a chance meeting costs time alone.
 
 
@@ -388,8 +391,8 @@ def _grams(blob: bytes, bucket: int, parts: int) -> np.ndarray:
     return np.cumsum(delta, dtype=np.uint64) * np.uint64(parts) + np.uint64(bucket)
 
 
-def _find_shared(parts: int):
-    """Of a bucket, which k-grams of each chunk another chunk or block has too."""
+def _find_shared(parts: int, most: int):
+    """Of a bucket, which k-grams of each chunk another chunk or block has too; the last bit tells those of more than `most` chunks."""
 
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
@@ -398,17 +401,20 @@ def _find_shared(parts: int):
         every = np.sort(np.concatenate(grams))
         both = np.unique(every[1:][every[1:] == every[:-1]])
         del every
+        grams = [np.unique(g[np.isin(g, both)]) for g in grams]
+        value, times = np.unique(np.concatenate(grams), return_counts=True)
+        wide = value[times > most]
         rows = []
         for chunk, g in zip(chunks, grams, strict=True):
-            g = np.unique(g[np.isin(g, both)])
             if len(g):
+                g = (g << np.uint64(1)) | np.isin(g, wide).astype(np.uint64)
                 rows.append((bucket, chunk, zstandard.compress(g.astype("<u8").tobytes(), 3)))
         return _rows(_KEYS, rows)
 
     return run
 
 
-def _send(length: int, k: int, parts: int, block_bytes: int):
+def _send(length: int, k: int, parts: int, block_bytes: int, most: int):
     """Of a chunk, the segments of shared k-grams, less what a block's own suffix array has marked."""
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
@@ -416,38 +422,52 @@ def _send(length: int, k: int, parts: int, block_bytes: int):
             return _rows(_SENT, [])
         chunk = docs.column("chunk")[0].as_py()
         shared = np.sort(np.concatenate([np.frombuffer(zstandard.decompress(_raw(b)), "<u8") for b in told.column("blob")]))
+        wide = shared[shared & np.uint64(1) == 1] >> np.uint64(1)
+        shared = shared >> np.uint64(1)
         rows, held = [], []
         for block in _blocks(docs, length, block_bytes):
             doc, s, e, left = mark_all(segments(*block, length, k, shared), length)
             if len(doc):
                 held.append(np.stack([block[0][doc], block[1][doc], s, e]))
-            for b, part in _split(((left.grams >> np.uint64(_DROP)) % np.uint64(parts)).astype(np.int64)):
-                rows.append((b, chunk, 0, left.take(part, length).pack()))
+            bucket, hot = _bucket(left, parts), np.isin(left.grams >> np.uint64(_DROP), wide)
+            for kind, pick, shift in ((_LAST, np.flatnonzero(~hot), 0), (_FIRST, np.flatnonzero(hot), 1 + chunk // most)):
+                for b, part in _split((bucket[pick] + shift) % parts):
+                    rows.append((b, chunk, kind, left.take(pick[part], length).pack()))
         if held:
-            rows.append((chunk % parts, chunk, 1, zstandard.compress(np.concatenate(held, axis=1).astype("<i8").tobytes(), 3)))
+            rows.append((chunk, chunk, _MARKS, zstandard.compress(np.concatenate(held, axis=1).astype("<i8").tobytes(), 3)))
         return _rows(_SENT, rows)
 
     return run
 
 
-def _meet(length: int, k: int):
-    """Of a bucket, the runs of windows that a smaller document has too, dealt back to their chunks."""
+def _bucket(s: Segments, parts: int) -> np.ndarray:
+    return ((s.grams >> np.uint64(_DROP)) % np.uint64(parts)).astype(np.int64)
+
+
+def _meet(length: int, k: int, parts: int):
+    """Of a bucket, the runs of windows that a smaller document has too, dealt to their chunks; what is left of wide k-grams goes on to their own buckets."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows, sent, chunk_of = [], [], []
+        rows = []
+        sent: dict[int, list[tuple[int, bytes]]] = {_LAST: [], _FIRST: []}
         for chunk, kind, blob in zip(group.column("chunk").to_pylist(), group.column("kind").to_pylist(), group.column("blob"), strict=True):
-            if kind == 1:
-                rows.append((chunk, _raw(blob)))
+            if kind == _MARKS:
+                rows.append((chunk, chunk, _MARKS, _raw(blob)))
             else:
-                sent.append(_raw(blob))
-                chunk_of.append(chunk)
-        if sent:
-            segs, sizes = Segments.unpack(sent, length, k)
-            chunks = np.repeat(np.array(chunk_of), sizes)
-            doc, s, e, _ = mark_all(segs, length)
+                sent[kind].append((chunk, _raw(blob)))
+        for kind, got in sent.items():
+            if not got:
+                continue
+            segs, sizes = Segments.unpack([blob for _, blob in got], length, k)
+            chunks = np.repeat(np.array([chunk for chunk, _ in got]), sizes)
+            doc, s, e, left = mark_all(segs, length)
             for chunk, part in _split(chunks[doc]):
-                rows.append((chunk, zstandard.compress(np.stack([segs.ids[doc[part]], segs.keys[doc[part]], s[part], e[part]]).astype("<i8").tobytes(), 3)))
-        return _rows(_RUNS, rows)
+                rows.append((chunk, chunk, _MARKS, zstandard.compress(np.stack([segs.ids[doc[part]], segs.keys[doc[part]], s[part], e[part]]).astype("<i8").tobytes(), 3)))
+            if kind == _FIRST:
+                for chunk, pick in _split(chunks[left.doc]):
+                    for b, part in _split(_bucket(left, parts)[pick]):
+                        rows.append((b, chunk, _LAST, left.take(pick[part], length).pack()))
+        return _rows(_SENT, rows)
 
     return run
 
@@ -494,11 +514,11 @@ def _finish(length: int, with_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = GRAM, parts: int | None = None, block_bytes: int = BLOCK_BYTES, with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = GRAM, parts: int | None = None, block_bytes: int = BLOCK_BYTES, wide: int = WIDE, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds kept_bytes, span_starts, span_ends.
 
     parts is the number of chunks of documents and of buckets of k-grams (default: the session's shuffle partitions, and
-    more of them where a chunk would hold more than CHUNK_BYTES of text, so that tasks are of one size at any scale).
+    more of them where a chunk would hold more than CHUNK_BYTES of text, so that tasks are of one size at any scale); wide is the number of chunks beyond which a k-gram meets in two steps.
     Nulls: a null text is empty; a row with a null doc_id is left out. Texts shorter than `length` bytes keep every
     byte, and an empty table gives no rows. Ties: documents with one doc_id never remove each other's bytes; a row
     repeated as a whole gives its result row again. A text longer than block_bytes is cut into overlapping pieces, so
@@ -513,8 +533,10 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = GRAM, parts: in
     d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
     keys = "bucket int, chunk int, blob binary"
     grams = d.groupBy("chunk").applyInArrow(_list_grams(length, k, parts, block_bytes), keys)
-    shared = grams.groupBy("bucket").applyInArrow(_find_shared(parts), keys)
-    sent = d.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_send(length, k, parts, block_bytes), "bucket int, chunk int, kind byte, blob binary")
-    runs = sent.groupBy("bucket").applyInArrow(_meet(length, k), "chunk int, blob binary")
+    shared = grams.groupBy("bucket").applyInArrow(_find_shared(parts, wide), keys)
+    rows = "bucket int, chunk int, kind byte, blob binary"
+    runs = d.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_send(length, k, parts, block_bytes, wide), rows)
+    for _ in (_FIRST, _LAST):
+        runs = runs.groupBy("bucket").applyInArrow(_meet(length, k, parts), rows)
     more = ", kept_bytes binary, span_starts array<long>, span_ends array<long>" if with_text else ""
     return d.groupBy("chunk").cogroup(runs.groupBy("chunk")).applyInArrow(_finish(length, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + more)
