@@ -122,7 +122,37 @@ def fts_boolean_query(spark, d):
     return search.bm25(table(spark, d, "documents"), '("of the" OR lad*) NOT and', "doc_id", ("text",), limit=None).select("doc_id")
 
 
-@query()
+@query("""
+    WITH d AS (
+        SELECT doc_id, CASE quality WHEN 1 THEN 'official' WHEN 0 THEN 'unverified' ELSE 'community' END AS trust, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+') AS t
+        FROM documents LEFT JOIN labels USING (doc_id)
+    ),
+    f AS (
+        SELECT doc_id, trust, len(t) AS l, len(list_filter(t, lambda x: x = 'the'))::DOUBLE AS f1, len(list_filter(t, lambda x: x = 'of'))::DOUBLE AS f2,
+            len(list_filter(t, lambda x: x = 'and'))::DOUBLE AS f3, len(list_filter(t, lambda x: x = 'to'))::DOUBLE AS f4,
+            len(list_filter(range(1, len(t) - 2), lambda i: t[i] = 'the' AND t[i + 1] = 'of' AND t[i + 2] = 'and' AND t[i + 3] = 'to'))::DOUBLE AS f5
+        FROM d
+    ),
+    s AS (SELECT count(*) AS n, avg(l) AS a, count(*) FILTER (f1 > 0) AS d1, count(*) FILTER (f2 > 0) AS d2, count(*) FILTER (f3 > 0) AS d3, count(*) FILTER (f4 > 0) AS d4, count(*) FILTER (f5 > 0) AS d5 FROM f),
+    w AS (
+        SELECT f.*, f5 > 0 AS phrase, f1 > 0 AND f2 > 0 AS half, half AND f3 > 0 AND f4 > 0 AS whole, 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a) AS norm, 2.2::DOUBLE AS k,
+            [greatest(ln((n - x + 0.5) / (x + 0.5)), 1e-6) FOR x IN [d1, d2, d3, d4, d5]] AS idf
+        FROM f, s
+    ),
+    r AS (
+        SELECT *, idf[1] * f1 * k / (f1 + norm) AS r1, idf[2] * f2 * k / (f2 + norm) AS r2, idf[3] * f3 * k / (f3 + norm) AS r3, idf[4] * f4 * k / (f4 + norm) AS r4, idf[5] * f5 * k / (f5 + norm) AS r5 FROM w
+    ),
+    passes AS (
+        SELECT 1 AS pass, doc_id, trust, r1 + r2 + r3 + r4 AS rank FROM r WHERE whole
+        UNION ALL SELECT 2, doc_id, trust, r5 FROM r WHERE phrase
+        UNION ALL SELECT 3, doc_id, trust, r1 + r2 FROM r WHERE half
+    ),
+    best AS (SELECT *, row_number() OVER (PARTITION BY pass ORDER BY rank DESC, doc_id) AS position FROM passes QUALIFY position <= 20),
+    firsts AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pass, position) = 1),
+    ordered AS (SELECT *, row_number() OVER (ORDER BY pass, position) AS whole_place, count(*) OVER () AS n FROM firsts),
+    scored AS (SELECT *, ((n - whole_place + 1) * CASE trust WHEN 'official' THEN 1.3 WHEN 'community' THEN 1.0 WHEN 'unverified' THEN 0.8 ELSE 1.0 END)::DOUBLE AS score FROM ordered)
+    SELECT doc_id, pass, position, score, row_number() OVER (ORDER BY score DESC, whole_place) AS place FROM scored QUALIFY place <= 20
+""")
 def fts_tiered_search(spark, d):
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").withColumn("trust", F.when(F.col("quality") == 1, "official").when(F.col("quality") == 0, "unverified").otherwise("community"))
     return search.tiered(docs, "the of and to", "doc_id", ("text",), tier="premium", trust="trust")
