@@ -196,6 +196,28 @@ def test_echoes_batch_and_stream(spark, tmp_path):
     assert sorted(r.n for r in spark.table("echoes").collect()) == [1, 3, 4, 5, 6]
 
 
+def test_echoes_in_stretches_are_those_of_the_state(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(rng.choice("pq"), rng.randrange(3000), i, rng.choice(["js", "cdp"]), rng.choice(["/a", "/b"]), "attr", rng.choice(["x", None]), None, None) for i in range(400)]
+    want = []
+    for group in {(r[0], r[4], r[6]) for r in rows}:
+        held = []  # (time, source), as a page's memory has them
+        for r in sorted((r for r in rows if (r[0], r[4], r[6]) == group), key=lambda r: r[1:3]):
+            echo = any(s != r[3] and r[1] - t <= 50 for t, s in held)
+            if not echo:
+                held.append((r[1], r[3]))
+            if not echo or r[3] == "js":
+                want.append(r[2])
+    assert len(want) < 400
+    df = spark.createDataFrame(rows, REC)
+    for stretch in (1, 40, 1000, 10**6):
+        got = mutations.drop_echoes_batch(df, stretch=stretch)
+        assert sorted(r.n for r in got.collect()) == sorted(want) and got.columns == df.columns
+    assert not mutations.drop_echoes_batch(df.limit(0)).collect()
+
+
 def test_stream_debounce_is_the_batch_form(spark, tmp_path):
     rows = [("p", t, i, "js", "/", "text", "", str(i), "") for i, t in enumerate([0, 100, 349, 700, 849])] + [("q", 0, 9, "js", "/", "text", "", "9", ""), ("z", 60_000, 99, "js", "/", "text", "", "", "")]
     df = spark.createDataFrame(rows, REC)

@@ -25,3 +25,8 @@ def test_every_event_is_an_item(spark, sf_dir):
 
 def test_the_vocabulary_has_rare_terms(spark, sf_dir):
     assert min(r[1] for r in rows(spark, sf_dir, "fts_vocabulary")) == 1
+
+
+def test_echoes_go_from_both_paths(spark, sf_dir):
+    found = rows(spark, sf_dir, "echo_removal")
+    assert sum(r[2] for r in found) < spark.read.parquet(f"{sf_dir}/events.parquet").count()

@@ -518,9 +518,13 @@ def batch_sequence(spark, d):
     return mutations.numbered(records(spark, d), order=("ts_ms", "n")).select("page_id", "n", "seq")
 
 
-@query()
+@query(f"""WITH {RECORDS_SQL}, e AS (SELECT page_id, ts_ms, n, op, '/x' || CAST(n // 2 % 2 AS VARCHAR) AS xpath, n % 2 = 0 AS cdp FROM r),
+    o AS (SELECT *, CASE WHEN cdp THEN max(ts_ms) FILTER (NOT cdp) OVER w ELSE max(ts_ms) FILTER (cdp) OVER w END AS other FROM e WINDOW w AS (PARTITION BY page_id, xpath, op ORDER BY ts_ms, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    l AS (SELECT *, last_value(CASE WHEN other IS NULL OR ts_ms - other > 3600000 THEN cdp END IGNORE NULLS) OVER (PARTITION BY page_id, xpath, op ORDER BY ts_ms, n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS leader FROM o)
+    SELECT page_id, CASE WHEN cdp THEN 'cdp' ELSE 'js' END AS source, count(*) AS kept, max(n) AS last FROM l WHERE NOT cdp OR leader GROUP BY page_id, cdp""")
 def echo_removal(spark, d):
-    return mutations.drop_echoes_batch(records(spark, d), tolerance=3_600_000).groupBy("page_id", "source").agg(F.count("*").alias("kept"))
+    r = records(spark, d).withColumn("xpath", F.concat(F.lit("/x"), (F.floor(F.col("n") / 2) % 2).cast("string")))  # both sources tell of each path
+    return mutations.drop_echoes_batch(r, tolerance=3_600_000, stretch=24 * 3_600_000).groupBy("page_id", "source").agg(F.count("*").alias("kept"), F.max("n").alias("last"))
 
 
 more.register(query, table)
