@@ -298,3 +298,23 @@ def test_first_children_are_chosen_before_they_are_gathered(spark):
     child = spark.createDataFrame([("a", i % 5, i) for i in range(20)], "fk string, at long, n long")
     got = {r.id: [(c.at, c.n) for c in r.kids] for r in joins.nest(parent, child, "id", "fk", "at", "kids", most=6, tie="n").collect()}
     assert got == {"a": [(0, 0), (0, 5), (0, 10), (0, 15), (1, 1), (1, 6)], "b": []}
+
+
+def test_cells_find_most_neighbours(spark, sf_dir):
+    import numpy as np
+
+    from tidemark.operators import vectors
+
+    rng = np.random.default_rng(2)
+    tight = rng.normal(size=(20, 16))[rng.integers(0, 20, 1500)] + 0.1 * rng.normal(size=(1500, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(tight)]
+    clustered = spark.createDataFrame([*rows, (1500, None), (1501, [1.0]), (1502, [0.0] * 16)], "vec_id long, embedding array<double>")
+    spread = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    for df, most in ((clustered, 4), (spread, 16)):
+        whole = df.where(F.size("embedding") > 1)
+        cells = vectors.fit_cells(whole, k=5)
+        assert cells.probes <= most
+        asked = whole.where("vec_id % 10 = 0 and vec_id < 1500")
+        found = {(r["query"], r.vec_id) for r in vectors.near_in_cells(vectors.in_cells(df, cells), asked, cells, 5).collect()}
+        want = {(r["query"], r.vec_id) for r in vectors.neighbours(whole, asked, 5).collect()}
+        assert len(found & want) >= 0.9 * len(want)

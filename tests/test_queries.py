@@ -30,3 +30,10 @@ def test_the_vocabulary_has_rare_terms(spark, sf_dir):
 def test_echoes_go_from_both_paths(spark, sf_dir):
     found = rows(spark, sf_dir, "echo_removal")
     assert sum(r[2] for r in found) < spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_cells_recall(spark, sf_dir):
+    q = __spark_entry__.queries()
+    want = {(r["query"], r.vec_id) for r in q["vector_neighbours"](spark, sf_dir).collect()}
+    found = {(r["query"], r.vec_id) for r in q["vector_cells"](spark, sf_dir).collect()}
+    assert len(found & want) >= 0.9 * len(want)

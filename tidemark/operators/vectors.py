@@ -1,8 +1,9 @@
-"""Vectors: cosine measures, codecs, exact nearest neighbours and an index of random hyperplanes."""
+"""Vectors: cosine measures, codecs, exact nearest neighbours, and an index of cells around centres."""
 
 from __future__ import annotations
 
 import struct
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -76,17 +77,22 @@ def similar_to(vectors: DataFrame, stored: int | str, k: int = 10, key: str = "v
     return nearest(vectors, row.v, k + 1, key, column).where(F.col(key) != stored).limit(k)
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding", block: int = 1024) -> DataFrame:
-    """query, key, score of the k nearest vectors of each query (its own row aside), exactly.
-
-    Queries are packed into blocks of about `block` rows, and each block meets each batch of vectors as one matrix
-    product; a batch keeps k rows for each query, and a second step keeps k of those.
-    """
+def _packs(queries: DataFrame, key: str, column: str, block: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Queries in packs of about `block` rows, or fewer within each value of `by`."""
     n = max(1, -(-queries.count() // block))
-    q = queries.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("pack"), F.struct(F.col(key).cast("long").alias("id"), _doubles(column).alias("v")).alias("r"))
-    packs = q.groupBy("pack").agg(F.collect_list("r").alias("queries")).select("queries")
-    v = vectors.select(F.col(key).cast("long").alias("id"), _doubles(column).alias("v"))
-    batches = v.withColumn("batch", F.struct(F.spark_partition_id(), F.floor(F.monotonically_increasing_id() % (1 << 33) / 4096))).groupBy("batch").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs")).select("ids", "vs")
+    q = queries.select(*by, F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("pack"), F.struct(F.col(key).cast("long").alias("id"), _doubles(column).alias("v")).alias("r"))
+    return q.groupBy(*by, "pack").agg(F.collect_list("r").alias("queries")).drop("pack")
+
+
+def _batches(vectors: DataFrame, key: str, column: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Vectors in batches of at most 4096 rows."""
+    v = vectors.select(*by, F.col(key).cast("long").alias("id"), _doubles(column).alias("v"))
+    v = v.withColumn("batch", F.struct(F.spark_partition_id(), F.floor(F.monotonically_increasing_id() % (1 << 33) / 4096)))
+    return v.groupBy(*by, "batch").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs")).drop("batch")
+
+
+def _best(met: DataFrame, k: int, key: str) -> DataFrame:
+    """query, place, key, score from batches that met packs, each as one matrix product; a batch keeps k rows for each query, and a second step k of those."""
 
     def run(parts):
         for pdf in parts:
@@ -100,30 +106,81 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "
                 out = pd.DataFrame({"query": np.repeat(own, top.shape[1]), key: ids[top].ravel(), "score": np.take_along_axis(score, top, 1).ravel()})
                 yield out[np.isfinite(out["score"])]
 
-    kept = batches.join(packs, how="cross").mapInPandas(run, f"query long, {key} long, score double")  # blocks with batches
+    kept = met.select("ids", "vs", "queries").mapInPandas(run, f"query long, {key} long, score double")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), key))), 1, k)
     return kept.groupBy("query").agg(best.alias("b")).select("query", F.posexplode("b").alias("p", "x")).select("query", (F.col("p") + 1).alias("place"), F.col(f"x.{key}").alias(key), (-F.col("x.s")).alias("score"))
 
 
-def hyperplanes(dimension: int, bits: int = 12, tables: int = 8, seed: int = 7) -> np.ndarray:
-    return np.random.default_rng(seed).normal(size=(tables, bits, dimension))
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding", block: int = 1024) -> DataFrame:
+    """query, place, key, score of the k nearest vectors of each query (its own row aside), exactly: each pack of queries meets each batch of vectors."""
+    return _best(_batches(vectors, key, column).join(_packs(queries, key, column, block), how="cross"), k, key)
+
+
+def _units(vs) -> np.ndarray:
+    x = np.array(list(vs), float)
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(size > 0, size, 1)
+
 
+@dataclass(frozen=True)
+class Cells:
+    """Centres (rows of length 1) and how many of the cells around them a query looks into."""
 
-def signatures(vectors: DataFrame, planes: np.ndarray, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """key, table, bucket: which side of each table's hyperplanes a vector lies on."""
-    shared = vectors.sparkSession.sparkContext.broadcast(planes)
+    centres: np.ndarray
+    probes: int
 
-    def run(batches):
-        for pdf in batches:
+    def ranked(self, units: np.ndarray) -> np.ndarray:
+        """Cells of each vector, the nearest first."""
+        return np.argsort(-(units @ self.centres.T), axis=1, kind="stable")
+
+
+def fit_cells(vectors: DataFrame, cells: int = 16, recall: float = 0.95, k: int = 10, sample: int = 20_000, asked: int = 500, key: str = "vec_id", column: str = "embedding", rounds: int = 10) -> Cells:
+    """Cells learned from a sample of at most `sample` rows, chosen by a hash of the key, by spherical k-means.
+
+    The number of probes is the least that finds the share `recall` of the k nearest neighbours within the sample, for
+    `asked` of its rows. Vectors without direction in common need most of the cells, clustered ones few.
+    """
+    rows = vectors.where(F.col(column).isNotNull()).select(_doubles(column).alias("v"), key).orderBy(F.xxhash64(key), key).limit(sample).collect()  # bounded
+    if not rows:
+        raise ValueError("no vectors to learn cells from")
+    x = _units(r.v for r in rows)
+    centres = x[:cells].copy()
+    for _ in range(rounds):
+        nearest_ = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest_, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 0, sums / np.where(size > 0, size, 1), centres)
+    found = Cells(centres, len(centres))
+    score = x[:asked] @ x.T
+    score[np.arange(len(score)), np.arange(len(score))] = -np.inf
+    near = np.argsort(-score, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    place = np.argsort(found.ranked(x[:asked]), axis=1)  # of each cell in a query's order
+    needed = np.sort(np.take_along_axis(place, found.ranked(x)[:, 0][near], 1).ravel()) + 1
+    return Cells(centres, int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) if len(needed) else len(centres))
+
+
+def in_cells(vectors: DataFrame, cells: Cells, key: str = "vec_id", column: str = "embedding", probes: int = 1) -> DataFrame:
+    """key, vector and cell: the index, with every row, to be stored partitioned by cell. With more probes: the nearest cells of each row.
+
+    A null vector and one of another dimension have no cell and are nobody's neighbours.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast(cells)
+
+    def run(parts):
+        for pdf in parts:
             if len(pdf):
-                x = np.array(pdf[column].tolist(), float)
-                p = shared.value
-                bit = np.einsum("nd,tbd->ntb", x, p) > 0
-                code = bit @ (1 << np.arange(p.shape[1]))
-                n, t = code.shape
-                yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), t), "table": np.tile(np.arange(t), n), "bucket": code.ravel()})
-
-    return vectors.select(key, column).mapInPandas(run, f"{key} long, table int, bucket long")
+                ranked = shared.value.ranked(_units(pdf[column]))[:, :probes]
+                yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), ranked.shape[1]), column: pdf[column].repeat(ranked.shape[1]).to_numpy(), "cell": ranked.ravel()})
+
+    v = vectors.where(F.size(column) == cells.centres.shape[1]).select(F.col(key).cast("long").alias(key), _doubles(column).alias(column))
+    return v.mapInPandas(run, f"{key} long, {column} array<double>, cell int")
+
+
+def near_in_cells(index: DataFrame, queries: DataFrame, cells: Cells, k: int = 10, key: str = "vec_id", column: str = "embedding", block: int = 1024) -> DataFrame:
+    """neighbours() within the probed cells of each query: packs of queries meet batches of their cells only, so a stored index is read by cell."""
+    asked = _packs(in_cells(queries, cells, key, column, cells.probes), key, column, block, ("cell",))
+    return _best(_batches(index, key, column, ("cell",)).join(asked, "cell"), k, key)
 
 
 def index_stats(vectors: DataFrame, column: str = "embedding") -> DataFrame:

@@ -469,6 +469,13 @@ def vector_neighbours(spark, d):
     return vectors.neighbours(v, v.where("vec_id % 50 = 0"), 5).withColumn("score", F.round("score", 6))
 
 
+@query()
+def vector_cells(spark, d):
+    v = table(spark, d, "embeddings")
+    cells = vectors.fit_cells(v, recall=0.95, k=5)
+    return vectors.near_in_cells(vectors.in_cells(v, cells), v.where("vec_id % 50 = 0"), cells, 5).withColumn("score", F.round("score", 6))
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm FROM embeddings")
 def vector_norms(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(vectors.norm("embedding"), 6).alias("norm"))

@@ -110,28 +110,22 @@ def drop_echoes_batch(records: DataFrame, tolerance: int = ECHO_MS, stretch: int
 
     Per page, path, operation and name one source leads: the one whose records are remembered. A record with none of the
     other source within the tolerance before it makes its own source the leading one, so the leader is the source of the
-    last such record, and records of the other source are echoes. Both are found by windows over stretches of time; what
-    is carried from one stretch to the next is a row for each, so no page's records gather in one task.
+    last such record, and records of the other source are echoes. Windows over stretches of time find both: a record also
+    counts in the stretches that begin within the tolerance after it, and each stretch hands its last leader on in one
+    row, so no page's records gather in one task.
     """
-    k, cdp, at = F.struct("page_id", "xpath", "op", "name"), F.col("source") == "cdp", F.col("ts_ms")
-    r = records.withColumn("_k", k).withColumn("_s", F.floor(at / max(stretch, 1))).withColumn("_cdp", F.coalesce(cdp, F.lit(False)))
+    cdp, at = F.coalesce(F.col("source") == "cdp", F.lit(False)), F.col("ts_ms")
+    r = records.withColumn("_k", F.struct("page_id", "xpath", "op", "name")).withColumn("_cdp", cdp).withColumn("_own", F.floor(at / stretch))
+    r = r.withColumn("_s", F.explode(F.sequence("_own", F.floor((at + tolerance) / stretch))))
     inside = Window.partitionBy("_k", "_s").orderBy("ts_ms", "n")
-    before = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-
-    def told(own: str, carried: str) -> Column:  # before a record: in its stretch, else in one before it
-        return F.coalesce(F.max(own).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col(carried))
-
-    r = r.withColumn("_c", F.when(F.col("_cdp"), at)).withColumn("_j", F.when(~F.col("_cdp"), at))
-    ends = r.groupBy("_k", "_s").agg(F.max("_c").alias("c"), F.max("_j").alias("j"))
-    ends = ends.select("_k", "_s", F.max("c").over(before).alias("_pc"), F.max("j").over(before).alias("_pj"))
-    r = r.join(ends, ["_k", "_s"])
-    other = F.when(F.col("_cdp"), told("_j", "_pj")).otherwise(told("_c", "_pc"))
-    r = r.withColumn("_other", other).withColumn("_leads", F.when(F.col("_other").isNull() | (at - F.col("_other") > tolerance), F.col("_cdp")))
-    leads = r.where("_leads IS NOT NULL").groupBy("_k", "_s").agg(F.max_by("_leads", F.struct("ts_ms", "n")).alias("l"))
-    stretches = ends.select("_k", "_s").join(leads, ["_k", "_s"], "left").select("_k", "_s", F.last("l", ignorenulls=True).over(before).alias("_pl"))
-    r = r.join(stretches, ["_k", "_s"])
-    leader = F.coalesce(F.last("_leads", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_pl"))
-    return r.withColumn("_leader", leader).where(~F.col("_cdp") | F.col("_leader")).select(*records.columns)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    other = F.when(F.col("_cdp"), F.max(F.when(~F.col("_cdp"), at)).over(before)).otherwise(F.max(F.when(F.col("_cdp"), at)).over(before))
+    r = r.withColumn("_other", other).where("_s = _own").withColumn("_leads", F.when(F.col("_other").isNull() | (at - F.col("_other") > tolerance), F.col("_cdp")))
+    last = F.max(F.when(F.col("_leads").isNotNull(), F.struct("ts_ms", "n", "_leads"))).alias("l")
+    earlier = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    handed = r.groupBy("_k", "_s").agg(last).select("_k", "_s", F.last("l", ignorenulls=True).over(earlier)["_leads"].alias("_handed"))
+    leader = F.coalesce(F.last("_leads", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_handed"))
+    return r.join(handed, ["_k", "_s"]).withColumn("_leader", leader).where(~F.col("_cdp") | F.col("_leader")).select(*records.columns)
 
 
 # -- consumers --------------------------------------------------------------------------------------------------------
