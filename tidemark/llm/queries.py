@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import sentencepiece
 from .common import table
+from .divergence import source_divergence
 from .exact_dedup import exact_dedup
 from .licences import FILE_SHARE, LEAST, SPEAKS, TEMPLATES, TERM, document_paths, licence_scan, weigh
 from .mixing import mix
@@ -69,6 +70,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), target_entropy_share=0.95, repetition_limit=4.0)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": op8_licences,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_mixing": op10_mixing,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 ORACLE: dict[str, str] = {
@@ -112,6 +118,25 @@ ORACLE: dict[str, str] = {
     """,
 }
 
+ORACLE["op11_source_divergence"] = """
+    WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+    o AS (SELECT lang, source, term, count(*) AS c FROM (SELECT lang, source, unnest(t) AS term FROM d) GROUP BY ALL),
+    f AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(t)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 3),
+    l AS (SELECT lang, term, sum(c) AS c FROM o JOIN f USING (lang, term) GROUP BY ALL),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM l GROUP BY lang),
+    n AS (SELECT lang, source, sum(c) AS n FROM o JOIN f USING (lang, term) GROUP BY ALL),
+    x AS (SELECT g.lang, g.source, l.term, coalesce(o.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(o.c, 0) + 1)) // (coalesce(n.n, 0) + v.v) AS p, 1 + (1000000000::HUGEINT * (l.c + 1)) // (v.n + v.v) AS q
+        FROM g JOIN l USING (lang) JOIN v USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source LEFT JOIN o ON o.lang = g.lang AND o.source = g.source AND o.term = l.term),
+    s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM x a JOIN x b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    z AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM x WHERE c > 0 AND p > q),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM z)
+    SELECT * FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
 
 def _licence_sql() -> str:
     """The licence scan of document_paths: a file lies in a source, in a language of it, or in a hundred of that."""
