@@ -1,45 +1,63 @@
-"""Which sources of a language use words that others do not: exact divergences of sources and of terms, all in joins and sums."""
+"""Which sources of a language use words that others do not: exact divergences of sources and of terms, in joins and sums."""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut
+from .common import bound_batches, cut, releasing
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCALE = 1_000_000_000
-
-
-def _lowered(text: Column) -> Column:
-    """A-Z lower-cased. Texts of ASCII characters only take the quicker function, which does the same to them."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
-
-
-def _filled(c: str) -> Column:
-    return F.coalesce(F.col(c), F.lit("")).alias(c)
+#: A term is a longest run of ASCII letters and of what is not ASCII, A-Z lower-cased; every other byte is a blank here.
+_UPPER, _OTHER = bytes(range(65, 91)), bytes([*range(65), *range(91, 97), *range(123, 128)])
+_TABLE = bytes.maketrans(_UPPER + _OTHER, _UPPER.lower() + b" " * len(_OTHER))
+#: Terms that a task counts before it hands their counts on.
+_HELD = 300_000
+
+
+def terms_of(text: str) -> list[bytes]:
+    return text.encode().translate(_TABLE).split()
+
+
+def _counted(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> pa.RecordBatch:
+    rows: list[list] = [[], [], [], [], []]
+    for (lang, source), (n, d) in held.items():
+        for column, values in zip(rows, ([lang] * (len(n) + 1), [source] * (len(n) + 1), [None, *n], [0, *n.values()], [0, *(d[t] for t in n)]), strict=True):
+            column += values
+    lang, source, term, n, d = rows
+    cols = [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, names=["lang", "source", "term", "occurrences", "documents"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    for batch in batches:
+        for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+            n, d = held.setdefault((lang, source), (Counter(), Counter()))
+            terms = terms_of(text)
+            n.update(terms)
+            d.update(set(terms))
+        if sum(len(n) for n, _ in held.values()) > _HELD:
+            yield _counted(held)
+            held = {}
+    if held:
+        yield _counted(held)
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, occurrences, documents of every term of every group; a group's own row has the term null.
 
-    A text gives each of its terms once with a document and every occurrence with none, so both are sums that each task
-    makes before the shuffle.
+    Tasks explode texts and sum up what they hold in Arrow batches, so that no row is made for each of a text's terms.
     """
-    terms = docs.select(_filled("lang"), _filled("source"), F.regexp_extract_all(_lowered(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)).alias("terms"))
-    count = lambda c, n, d: terms.select("lang", "source", F.explode(c).alias("term")).groupBy("lang", "source", "term").agg(n, d)
-    n, none = F.count("*"), F.lit(0).cast("long")
-    parts = [
-        count(F.col("terms"), n.alias("occurrences"), F.max(none).alias("documents")),
-        count(F.array_distinct("terms"), F.max(none).alias("occurrences"), n.alias("documents")),
-        terms.groupBy("lang", "source").agg(F.max(F.lit(None).cast("string")).alias("term"), F.max(none).alias("occurrences"), F.max(none).alias("documents")),
-    ]
-    both = reduce(DataFrame.unionByName, (p.select("lang", "source", "term", "occurrences", "documents") for p in parts))
-    return both.groupBy("lang", "source", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
+    bound_batches(docs.sparkSession)
+    filled = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")))
+    counts = filled.mapInArrow(releasing(_count), "lang string, source string, term string, occurrences long, documents long")
+    return counts.groupBy("lang", "source", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
 
 
 def _share(count: str, total: str, kept: str) -> Column:
