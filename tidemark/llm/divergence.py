@@ -84,23 +84,26 @@ def source_divergence(docs: DataFrame, least_documents: int = 3, most_terms: int
     array of terms. Other columns are not read.
     """
     counts = cut(term_counts(docs), "sd-counts")
-    groups = counts.where("term IS NULL").select("lang", "source")
     terms = counts.where("term IS NOT NULL")
     by_lang = terms.groupBy("lang", "term").agg(F.sum("occurrences").alias("all"), F.sum("documents").alias("documents"))
-    kept = cut(by_lang.where(F.col("documents") >= least_documents).select("lang", "term", "all"), "sd-kept")
-    langs = groups.select("lang").distinct().join(kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all").alias("n_lang")), "lang", "left").na.fill(0, ["v", "n_lang"])
-    used = terms.join(kept, ["lang", "term"]).select("lang", "source", "term", "all", "occurrences")
+    # numbers stand for kept terms and groups from here on, which the written tables hold
+    kept = cut(by_lang.where(F.col("documents") >= least_documents).select("lang", "term", "all", F.monotonically_increasing_id().alias("t")), "sd-kept")
+    used = cut(terms.join(kept, ["lang", "term"]).select("lang", "source", "term", "t", "all", "occurrences"), "sd-used")
+    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all").alias("n_lang"))
     sums = used.groupBy("lang", "source").agg(F.sum("occurrences").alias("n"))
-    groups = cut(groups.join(sums, ["lang", "source"], "left").na.fill(0, ["n"]).join(langs, "lang"), "sd-groups")
+    groups = counts.where("term IS NULL").select("lang", "source").join(sums, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["n", "v", "n_lang"])
+    groups = cut(groups.select("*", F.monotonically_increasing_id().alias("g")), "sd-groups")
+    used = used.join(groups, ["lang", "source"])
     # every kept term of a language in each of its sources, with zeros where it does not occur
-    dense = kept.join(groups.select("lang", "source", "n", "v"), "lang").join(used.select("lang", "source", "term", "occurrences"), ["lang", "source", "term"], "left").na.fill(0, ["occurrences"])
-    dense = cut(dense.select("lang", "term", "source", _share("occurrences", "n", "v").alias("p")), "sd-dense")
-    other = dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-    apart = dense.join(other, ["lang", "term"]).where("source <> item").groupBy("lang", "source", "item").agg(F.sum(_gap("p", "q")).alias("value"))
-    pairs = groups.select("lang", "source").join(groups.select("lang", F.col("source").alias("item")), "lang").where("source <> item")
-    pairs = pairs.join(apart, ["lang", "source", "item"], "left").na.fill(0, ["value"])
+    dense = kept.select("lang", "t").join(groups.select("lang", "g", "n", "v"), "lang").join(used.select("t", "g", "occurrences"), ["t", "g"], "left").na.fill(0, ["occurrences"])
+    dense = cut(dense.select("t", "g", _share("occurrences", "n", "v").alias("p")), "sd-dense")
+    # both directions of two sources in one row
+    both = dense.join(dense.select("t", F.col("g").alias("h"), F.col("p").alias("q")), "t").where("g < h").groupBy("g", "h").agg(F.sum(_gap("p", "q")).alias("there"), F.sum(_gap("q", "p")).alias("back"))
+    apart = both.select("g", "h", F.col("there").alias("value")).unionByName(both.select(F.col("h").alias("g"), F.col("g").alias("h"), F.col("back").alias("value")))
+    pairs = groups.select("lang", "source", "g").join(groups.select("lang", F.col("source").alias("item"), F.col("g").alias("h")), "lang").where("g <> h")
+    pairs = pairs.join(apart, ["g", "h"], "left").na.fill(0, ["value"])
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
-    told = used.where("occurrences > 0").join(groups, ["lang", "source"]).select("lang", "source", F.col("term").alias("item"), _share("occurrences", "n", "v").alias("p"), _share("all", "n_lang", "v").alias("q"))
+    told = used.where("occurrences > 0").select("lang", "source", F.col("term").alias("item"), _share("occurrences", "n", "v").alias("p"), _share("all", "n_lang", "v").alias("q"))
     told = told.where("p > q").select("lang", "source", "item", _gap("p", "q").alias("value")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most_terms)
     return pairs.unionByName(told.select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank"))
