@@ -95,3 +95,19 @@ def test_edges(spark):
     assert near_dedup(spark.createDataFrame([], schema)).collect() == []
     df = spark.createDataFrame([(3, "a b c d e f", None), (3, "p q r s t u", None), (1, "p q r s t u", "x")], schema)
     assert {(r.doc_id, r.component_id, r.kept) for r in near_dedup(df, carry=("lang",)).collect()} == {(3, 1, False), (1, 1, True)}
+
+
+def test_only_documents_of_one_key_are_compared(spark, monkeypatch):
+    """A family of 20,000 chained documents, of which each shares a key with few: compared pairs follow the keys, not the family."""
+    from pyspark.sql import functions as F
+
+    n = 20_000
+    keys = spark.range(n).select((F.col("id") * 10).alias("key"), F.explode(F.array("id", F.col("id") + 1, F.col("id") + 2)).alias("rep")).where(F.col("rep") < n)
+    least = keys.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("members"))
+    met = keys.join(least, "key")
+    classes = spark.range(n).select(F.col("id").alias("rep"), F.lit(10).cast("long").alias("n_shingles"))
+    none = spark.createDataFrame([], "node long, root long")
+    found = module.open_regions(met, classes, none, 600, 600_000)
+    sizes = [r[0] for r in found.groupBy("region").count().select("count").collect()]
+    assert max(sizes) == 3 and len(sizes) == n - 2
+    assert sum(s * (s - 1) // 2 for s in sizes) < 4 * n

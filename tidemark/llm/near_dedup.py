@@ -8,10 +8,10 @@ probability of about 1e-7, and higher similarities with a smaller one; nothing e
 differ too much in size are passed over, which is exact, and every other pair is confirmed on the full sets of shingles.
 
 Copies of one set are a class and take part once. Of the members of a key, first each is tried with the smallest, and
-what that links is contracted. Keys whose members are still in different components make families (documents that such
-keys lead to). A family is dealt to blocks of bounded size: its outer members, which are outside its largest component, to
-some, and all its members to others. Each pair of an outer block and one of all goes to a group of its own, where outer
-members are compared with the others on their full sets. So no key or family is gathered whole, and none is cut short.
+what that links is contracted. Keys whose members are still in different components are regions; their members outside the
+region's largest component are compared with all members, in groups of a block of the former and a block of the latter
+(regions.region_links). So no key is gathered whole, none is cut short, and documents are compared if they share a key (or
+if all that their keys lead to fits one block).
 """
 
 from __future__ import annotations
@@ -24,13 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, cut, documents, release, releasing, uncarried
+from .common import carried, cut, documents, releasing, uncarried
 from .graph import components
+from .regions import BLOCK_DOCS, BLOCK_SHINGLES, region_links
 
 VALUES, CHUNKS = 48, 12
 WIDTH = VALUES // CHUNKS
-#: Documents and shingles that a block of a family holds, about.
-BLOCK_DOCS, BLOCK_SHINGLES = 600, 600_000
 BLOCK_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -93,7 +92,7 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (_mixed(low) & np.uint64(0xFFFF)).astype("<u2")
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+def text_blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
     part, held, first = [], 0, 0
     for i, x in enumerate(batch.column("text").cast(pa.binary())):
         part.append(x.as_buffer().to_pybytes())
@@ -108,7 +107,7 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
 def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in _blocks(batch):
+            for first, texts in text_blocks(batch):
                 sets = shingle_sets(texts, words)
                 cols = [
                     batch.column("doc_id").slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()),
@@ -124,7 +123,7 @@ def _sets(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in _blocks(batch):
+            for first, texts in text_blocks(batch):
                 ids, digests = (batch.column(c).slice(first, len(texts)).to_pylist() for c in ("doc_id", "digest"))
                 got = [(i, s.tobytes()) for i, s, d in zip(ids, shingle_sets(texts, words), digests, strict=True) if hashlib.sha256(s.tobytes()).digest()[:16] == d]
                 if got:
@@ -155,38 +154,6 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("rep").to_numpy(), keys.shape[1]))], names=["key", "rep"])
 
 
-def _compare(percent: int):
-    """Links of a family between a block of its outer members (side 1) and a block of all its members (side 0)."""
-
-    def run(group: pa.Table) -> pa.Table:
-        outer = group.column("side").to_numpy() == 1
-        rep, root, inner = (group.column(c).to_numpy() for c in ("rep", "root", "inner"))
-        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in group.column("shingles")]
-        sizes = np.array([len(x) for x in sets], np.int64)
-        at = np.cumsum(sizes) - sizes
-        flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        comp = np.unique(root, return_inverse=True)[1]
-        marked = np.zeros(int(flat.max()) + 1, np.uint8)
-        u, v = [], []
-        for i in np.flatnonzero(outer).tolist():
-            mine = flat[at[i] : at[i] + sizes[i]]
-            marked[mine] = 1
-            same = np.add.reduceat(marked[flat], at, dtype=np.int64)
-            marked[mine] = 0
-            # two outer members meet in two groups, and are compared in one of them
-            hit = (100 * same >= percent * (sizes + sizes[i] - same)) & ~outer & (inner | (rep < rep[i]))
-            for j in np.flatnonzero(hit).tolist():
-                if comp[j] != comp[i]:
-                    u.append(int(max(rep[i], rep[j])))
-                    v.append(int(min(rep[i], rep[j])))
-                    comp[comp == comp[j]] = comp[i]  # one link joins two components
-        del sets, flat, marked
-        release()
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    return run
-
-
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +172,7 @@ def _confirm(percent: int):
     return run
 
 
-def _full_sets(docs: DataFrame, classes: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+def full_sets(docs: DataFrame, classes: DataFrame, asked: DataFrame, words: int) -> DataFrame:
     """rep, shingles of the asked representatives (rep)."""
     asked = asked.join(classes.select("rep", "digest"), "rep").withColumnRenamed("rep", "doc_id")
     return docs.join(asked, "doc_id").select("doc_id", "text", "digest").mapInArrow(releasing(_sets(words)), "rep long, shingles binary").dropDuplicates(["rep"])
@@ -219,42 +186,34 @@ def _star_links(docs: DataFrame, classes: DataFrame, met: DataFrame, words: int,
     # the intersection is no larger than the smaller set, nor the union smaller than the larger one
     pairs = cut(p.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b"), "nd-pairs")
     asked = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    sets = cut(_full_sets(docs, classes, asked, words), "nd-sets")
+    sets = cut(full_sets(docs, classes, asked, words), "nd-sets")
     p = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b")
     return p.select("a", "b", "set_a", "set_b").mapInArrow(releasing(_confirm(percent)), "u long, v long")
 
 
-def _family_links(docs: DataFrame, classes: DataFrame, met: DataFrame, roots: DataFrame, words: int, percent: int, block_docs: int, block_shingles: int) -> DataFrame | None:
-    """u, v of links between members of one key that the first step has left in different components; None if there are none such."""
-    # with two members, the only pair has been tried; a pair that many keys give is one row
-    several = met.where("members > 2").select("rep", "least").distinct()
+def open_regions(met: DataFrame, classes: DataFrame, roots: DataFrame, block_docs: int, block_shingles: int) -> DataFrame:
+    """region, rep, root, n_shingles, dist (0) of the keys whose members are still in different components.
+
+    Keys that lead to no more documents than a block holds are one region, whose members are compared once. Of larger
+    families each key is a region of its own, so that documents which share no key are not compared; keys with the same
+    members are one.
+    """
+    # with two members, the only pair has been tried
+    several = met.where("members > 2").select("key", "rep", "least")
     several = several.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    several = several.join(roots.select(F.col("node").alias("least"), F.col("root").alias("least_root")), "least", "left")
-    several = cut(several.select("rep", "root", "least", (F.col("root") != F.coalesce("least_root", "least")).alias("apart")), "nd-several")
-    # the keys of a smallest member are open if one of their members is in another component
-    open_ = several.where("apart").select("least").distinct()
-    several = cut(several.join(open_, "least", "left_semi").select("rep", "root", "least"), "nd-open")
-    if several.isEmpty():
-        return None
-    family = components(several.where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")))
-    member = several.select("rep", "root").distinct().join(family.withColumnRenamed("node", "rep").withColumnRenamed("root", "family"), "rep", "left")
-    member = member.withColumn("family", F.coalesce("family", "rep")).join(classes.select("rep", "n_shingles"), "rep")
-    # the component that has most of a family is inner; its members need not be compared with each other
-    parts = member.groupBy("family", "root").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
-    blocks = lambda docs, shingles: F.ceil(F.greatest(docs / block_docs, shingles / block_shingles)).cast("int")
-    most = F.max(F.struct("docs", "shingles", "root")).alias("m")
-    size = parts.groupBy("family").agg(most, F.sum("docs").alias("d"), F.sum("shingles").alias("s")).where(F.col("d") > F.col("m.docs"))
-    size = size.select("family", F.col("m.root").alias("main"), blocks(F.col("d"), F.col("s")).alias("all"), blocks(F.col("d") - F.col("m.docs"), F.col("s") - F.col("m.shingles")).alias("outer"))
-    member = member.join(size, "family").withColumn("inner", F.col("root") == F.col("main"))
-    member = cut(member.select("rep", "root", "family", "inner", "all", "outer"), "nd-members")
-    full = member.join(_full_sets(docs, classes, member.select("rep"), words), "rep")
-    # every block of outer members meets every block of all members of its family; the inner ones come once for each of the former
-    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["rep", "root", "family", "inner", "shingles"]
-    here = full.select(*cols, F.lit(0).alias("side"), own("all").alias("i"), every("outer").alias("j"))
-    there = full.where(~F.col("inner")).select(*cols, F.lit(1).alias("side"), every("all").alias("i"), own("outer").alias("j"))
-    return cut(here.unionByName(there).groupBy("family", "i", "j").applyInArrow(_compare(percent), "u long, v long"), "nd-links")
+    apart = several.groupBy("key").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("key")
+    several = cut(several.join(apart, "key", "left_semi").join(classes.select("rep", "n_shingles"), "rep"), "nd-open")
+    family = components(several.where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct())
+    member = several.select("rep", "root", "n_shingles").distinct().join(family.withColumnRenamed("node", "rep").withColumnRenamed("root", "family"), "rep", "left")
+    member = cut(member.withColumn("family", F.coalesce("family", "rep")), "nd-members")
+    size = member.groupBy("family").agg(F.count("*").alias("d"), F.sum("n_shingles").alias("s"))
+    large = size.where((F.col("d") > block_docs) | (F.col("s") > block_shingles)).select("family")
+    small = member.join(large, "family", "left_anti").select(F.col("family").alias("region"), "rep", "root", "n_shingles")
+    wide = several.join(member.join(large, "family", "left_semi").select("rep"), "rep", "left_semi")
+    same = wide.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y"))
+    one = same.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    wide = wide.join(one, "key", "left_semi").select(F.concat(F.lit("k"), F.col("key").cast("string")).alias("region"), "rep", "root", "n_shingles")
+    return small.withColumn("region", F.col("region").cast("string")).unionByName(wide).withColumn("dist", F.lit(0.0))
 
 
 def links(docs: DataFrame, classes: DataFrame, known: DataFrame, words: int, percent: int, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -264,8 +223,11 @@ def links(docs: DataFrame, classes: DataFrame, known: DataFrame, words: int, per
     met = cut(keyed.join(least.select("key", "least", "members"), "key"), "nd-met")
     found = cut(_star_links(docs, classes, met, words, percent).unionByName(known), "nd-star")
     roots = components(found)
-    more = _family_links(docs, classes, met, roots, words, percent, block_docs, block_shingles)
-    return roots if more is None else components(found.unionByName(more))
+    members = cut(open_regions(met, classes, roots, block_docs, block_shingles), "nd-regions")
+    if members.isEmpty():
+        return roots
+    more = region_links(members, full_sets(docs, classes, members.select("rep").distinct(), words), percent, block_docs, block_shingles)
+    return components(found.unionByName(cut(more, "nd-links")))
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 75, block_docs: int = BLOCK_DOCS, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -11,7 +11,9 @@ from . import sentencepiece
 from .common import table
 from .divergence import source_divergence
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives
 from .licences import FILE_SHARE, LEAST, SPEAKS, TEMPLATES, TERM, document_paths, licence_scan, weigh
+from .metric_join import metric_join
 from .mixing import mix
 from .near_dedup import near_dedup
 from .quality_model import quality_model
@@ -74,6 +76,15 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)))
+
+
+def op13_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -86,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_mixing": op10_mixing,
     "op11_source_divergence": op11_source_divergence,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_metric_join": op13_metric_join,
 }
 
 ORACLE: dict[str, str] = {
@@ -137,6 +150,17 @@ ORACLE["op11_source_divergence"] = """
     SELECT * FROM r WHERE part = 'pair' OR rank <= 200
 """
 
+ORACLE["op13_metric_join"] = ORACLE["op4_near_dedup"].replace("t[i : i + 4]", "t[i : i + 3]").replace("len(t) - 4", "len(t) - 3").replace(">= 75 *", ">= 85 *").replace(", min(r.root) = w.doc_id AS kept", "")
+ORACLE["op12_hard_negatives"] = """
+    WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+        FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    n AS (SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+    SELECT * FROM n WHERE rank <= 10
+"""
+
 
 def _licence_sql() -> str:
     """The licence scan of document_paths: a file lies in a source, in a language of it, or in a hundred of that."""
