@@ -184,3 +184,16 @@ def test_words_that_copies_share_are_not_learned(spark):
     labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(400)], "doc_id long, toxic int")
     learned, _, _ = module.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels)
     assert learned == ["zorgblat"]
+
+
+def test_a_text_above_the_byte_bound_leaves_the_others_in(spark):
+    from tidemark.llm.common import fitting, one_label, taught
+
+    assert fitting([(1, 0, 900), (2, 1, 10), (3, 0, 60), (4, 1, 40)], 100) == [2, 3]
+    assert fitting([(1, 0, 900), (2, 1, 10), (5, 0, 800)], 100) == [2, 5] and fitting([], 10) == []
+    docs = spark.createDataFrame([(i, "w " * (150_000 if i % 10 == 0 else 20 + i % 5)) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    got = taught(docs, one_label(labels, "quality", 1000), "quality", 100_000)
+    assert {r.quality for r in got.collect()} == {0, 1} and got.count() > 200
+    scores = {round(r.score, 4) for r in quality_model(docs, labels, max_bytes=100_000).collect()}
+    assert len(scores) > 1

@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -121,12 +121,28 @@ def one_label(labels: DataFrame, column: str, most: int) -> DataFrame:
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def fitting(sizes: list[tuple[int, int, int]], most_bytes: int) -> list[int]:
+    """Ids of (id, label, bytes), in their order, of the texts that fit most_bytes together: one that does not fit is passed over, the next may.
+
+    Of a label that none of these has, the smallest text is taken besides, whatever its size.
+    """
+    taken, held, labels = [], 0, set()
+    for i, label, size in sizes:
+        if held + size <= most_bytes:
+            taken.append(i)
+            labels.add(label)
+            held += size
+    for label in {x[1] for x in sizes} - labels:
+        taken.append(min((size, n, i) for n, (i, x, size) in enumerate(sizes) if x == label)[2])
+    return taken
+
+
 def taught(docs: DataFrame, known: DataFrame, column: str, most_bytes: int) -> DataFrame:
-    """doc_id, label and text of the known rows; one text of an id that is repeated, and most_bytes of text in all, in the order of a hash."""
+    """doc_id, label and text of the known rows; one text of an id that is repeated, and most_bytes of text in all (see fitting), in the order of a hash."""
     got = documents(docs).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min(column).alias(column), F.min("text").alias("text"))  # known: a bounded sample
-    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over sizes of the sample's texts
-    sizes = got.select("doc_id", upto.alias("upto"))
-    return got.join(F.broadcast(sizes.where(F.col("upto") <= most_bytes).select("doc_id")), "doc_id")
+    sizes = got.select("doc_id", column, F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # of the sample
+    fit = fitting([tuple(r) for r in sizes], most_bytes)
+    return got.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in fit], "doc_id long")), "doc_id")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
