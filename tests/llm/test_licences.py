@@ -2,6 +2,8 @@ import math
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tidemark.llm.licences import TEMPLATES, document_paths, licence_scan
 
 SPEAKS = re.compile(r"(?i)licen[cs]|copyright|spdx|public domain|all rights reserved|permission is hereby granted|redistribut")
@@ -108,3 +110,20 @@ def test_very_long_texts_and_clashing_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, path string, text string, licence string, similarity double, is_file boolean, folder string, line string")
     got = sorted((r.doc_id, r.licence, r.found) for r in licence_scan(df).collect())
     assert got == [(1, "MIT", "header"), (1, "MIT", "header"), (2, None, "none")]
+
+
+def test_a_text_of_very_many_lines(spark):
+    """500,000 lines (25 MB), with a header on three lines in the midst of them."""
+    line, header = "some words of a long file without any notice at all\n", "# Licensed under the\n# Apache License,\n# Version 2.0\n"
+    df = spark.createDataFrame([(1, "a/x.txt", "s")], "doc_id long, path string, text string").withColumn("text", F.concat(F.repeat(F.lit(line), 300_000), F.lit(header), F.repeat(F.lit(line), 200_000)))
+    assert [(r.licence, r.found) for r in licence_scan(df).collect()] == [("Apache-2.0", "header")]
+
+
+def test_blocks_over_the_border_of_a_stretch(spark, monkeypatch):
+    from tidemark.llm import licences
+
+    rows = [(i, f"d{i}/x.txt", "Filler line here\n" * i + "# Licensed under the\n# Apache License,\n# Version 2.0\n" + "More words follow\n" * 7) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    want = sorted(map(tuple, licence_scan(df).collect()))
+    monkeypatch.setattr(licences, "STRETCH", 4)
+    assert sorted(map(tuple, licence_scan(df).collect())) == want and {r[2] for r in want} == {"Apache-2.0"}

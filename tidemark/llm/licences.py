@@ -87,6 +87,8 @@ NAMED = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
 TERM = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
 #: Least cosine, and the share of a file's words in such lines that makes it a licence file.
 LEAST, FILE_SHARE = 0.6, 0.8
+#: Lines of a text whose blocks are made in one row.
+STRETCH = 256
 #: Terms of the templates that prose has too: alone, or with numbers, they name no licence ("by", "mit", "by 4.0").
 FUNCTION = frozenset(
     "a above accompanying all and any are as associated at attribution be binary by can charge code compliance conditions copies copy deal dedicated do documentation either except"
@@ -182,8 +184,11 @@ def licence_scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     heard = cut(heard.select("doc_id", "path", is_file.alias("is_file"), words(F.col("text")).alias("words"), lines.alias("lines"), spdx.alias("spdx"), F.when(named, F.col("text")).alias("file_text"), F.when(is_file, F.array(F.array_join(said, " "), F.when(named, F.col("text")).otherwise(F.lit("")))).alias("whole")), "licence-lines")
     # blocks begin and end in lines with a term of a template: without other lines at its borders, a block is more similar
     most = block_terms(templates, least)
-    starts = F.filter(F.transform(F.sequence(F.lit(1), F.size("lines")), lambda i: F.slice("lines", i, most)), lambda w: w[0]["known"] & F.exists(w, lambda x: x["tells"]))
-    block = heard.where(F.size("lines") > 0).select("doc_id", "path", "is_file", "words", F.explode(starts).alias("w"))
+    # a text of many lines is taken in stretches, each with the lines that a block which begins in it may go on to
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / STRETCH).cast("int")), lambda i: F.slice("lines", i * STRETCH + 1, STRETCH + most - 1))
+    stretch = heard.where(F.size("lines") > 0).select("doc_id", "path", "is_file", "words", F.explode(stretches).alias("s")).where(F.exists("s", lambda x: x["tells"]))
+    starts = F.filter(F.transform(F.sequence(F.lit(1), F.least(F.size("s"), F.lit(STRETCH))), lambda i: F.slice("s", i, most)), lambda w: w[0]["known"] & F.exists(w, lambda x: x["tells"]))
+    block = stretch.select("doc_id", "path", "is_file", "words", F.explode(starts).alias("w"))
     first = lambda n: F.slice("w", F.lit(1), n)
     fits = lambda n: (n == 1) | (F.aggregate(first(n), F.lit(0), lambda s, x: s + x["n"]) <= most)
     ends = F.filter(F.sequence(F.lit(1), F.size("w")), lambda n: F.get("w", n - 1)["known"] & fits(n) & F.exists(first(n), lambda x: x["tells"]))
