@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -98,9 +99,16 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    swept(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of a plan when the driver collects its garbage; without this, those of all steps lie on the disks until it happens to."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def made() -> int:
     """How many folders the operators of this process have made; a mark for discard()."""
     return len(_made)

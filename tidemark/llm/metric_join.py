@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, documents, releasing
+from .graph import components
 from .near_dedup import full_sets, shingle_sets, text_blocks
 from .regions import BLOCK_DOCS, BLOCK_SHINGLES, jaccard, voronoi_join
 
@@ -80,18 +81,17 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
-    """key, pivot, members of the keys that several documents have."""
-    return keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("most"), F.count("*").alias("members")).where("pivot <> most").select("key", "pivot", "members")
+    """key, pivot of the keys that several documents have."""
+    return keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("most")).where("pivot <> most").select("key", "pivot")
 
 
-def telling_keys(docs: DataFrame, classes: DataFrame, words: int, percent: int, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
-    """(key, rep) of all telling shingles, and what _shared finds of them. classes: rep, digest, keys."""
+def telling_keys(docs: DataFrame, classes: DataFrame, words: int, percent: int, frequent: int = FREQUENT) -> DataFrame:
+    """(key, rep) of all telling shingles. classes: rep, digest, keys."""
     spark = docs.sparkSession
     keyed = cut(classes.select("rep", "keys").mapInArrow(releasing(_keys(lambda s: s)), "key long, rep long"), "mj-keys")
-    shared = cut(_shared(keyed), "mj-shared")
-    often = shared.where(F.col("members") > frequent).select("key")
+    often = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > frequent).select("key"), "mj-frequent")
     if often.isEmpty():
-        return keyed, shared
+        return keyed
     # all shingles of the documents that have such a one: those of many documents come last in each
     has = cut(keyed.join(often, "key", "left_semi").select("rep").distinct(), "mj-often")
     sets = full_sets(docs, classes, has, words)
@@ -102,8 +102,15 @@ def telling_keys(docs: DataFrame, classes: DataFrame, words: int, percent: int,
     changed = cut(keyed.join(late, "key", "left_semi").select("rep").distinct(), "mj-changed")
     again = full_sets(docs, classes, changed, words).mapInArrow(releasing(_keys(lambda s: telling(s, sent.value, percent))), "key long, rep long")
     rest = classes.join(changed, "rep", "left_anti")
-    keyed = cut(rest.select("rep", "keys").mapInArrow(releasing(_keys(lambda s: s)), "key long, rep long").unionByName(again), "mj-keys")
-    return keyed, cut(_shared(keyed), "mj-shared")
+    return cut(rest.select("rep", "keys").mapInArrow(releasing(_keys(lambda s: s)), "key long, rep long").unionByName(again), "mj-keys")
+
+
+def _near(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """rep, pivot, same, either (sizes of the intersection and the union of their sets) of the pairs; and the sets of both."""
+    asked = pairs.select("rep").unionByName(pairs.select(F.col("pivot").alias("rep"))).distinct()
+    sets = cut(full_sets(docs, classes, asked, words), "mj-sets")
+    both = pairs.join(sets.select("rep", F.col("shingles").alias("set_a")), "rep").join(sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("set_b")), "pivot")
+    return cut(both.select("rep", "pivot", "set_a", "set_b").mapInArrow(releasing(_distances), "rep long, pivot long, same long, either long"), "mj-distances"), sets
 
 
 def metric_join(docs: DataFrame, words: int = 4, percent: int = 85, frequent: int = FREQUENT, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -123,14 +130,20 @@ def metric_join(docs: DataFrame, words: int = 4, percent: int = 85, frequent: in
     classes = cut(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"), F.min("n_shingles").alias("n_shingles")), "mj-classes")
     several = some.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id")
     known = some.join(several, "doc_id").join(classes.select("digest", "rep"), "digest").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
-    keyed, shared = telling_keys(d, classes, words, percent, frequent)
-    pairs = cut(keyed.join(shared.select("key", "pivot"), "key").where("rep <> pivot").select("rep", "pivot").distinct(), "mj-pairs")
-    asked = pairs.select("rep").unionByName(pairs.select(F.col("pivot").alias("rep"))).distinct()
-    sets = cut(full_sets(d, classes, asked, words), "mj-sets")
-    both = pairs.join(sets.select("rep", F.col("shingles").alias("set_a")), "rep").join(sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("set_b")), "pivot")
-    near = cut(both.select("rep", "pivot", "set_a", "set_b").mapInArrow(releasing(_distances), "rep long, pivot long, same long, either long"), "mj-distances")
-    linked = near.where(100 * F.col("same") >= percent * F.col("either")).select(F.greatest("rep", "pivot").alias("u"), F.least("rep", "pivot").alias("v"))
-    found = cut(linked.unionByName(known), "mj-found")
+    keyed = telling_keys(d, classes, words, percent, frequent)
+    # how many telling shingles lead a document to a pivot
+    pairs = cut(keyed.join(_shared(keyed), "key").where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("n")), "mj-pairs")
+    nearest = cut(pairs.groupBy("rep").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("x")).select("rep", (-F.col("x.p")).alias("pivot")), "mj-nearest")
+    near, _ = _near(d, classes, nearest, words)
+    linked = lambda near: near.where(100 * F.col("same") >= percent * F.col("either")).select(F.greatest("rep", "pivot").alias("u"), F.least("rep", "pivot").alias("v"))
+    found = cut(linked(near).unionByName(known), "mj-found")
+    # a region that is one component by now needs no distances
+    roots = components(found)
+    region = pairs.select("pivot", "rep").unionByName(pairs.select("pivot", F.col("pivot").alias("rep")).distinct()).join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    left = cut(region.groupBy("pivot").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("pivot"), "mj-regions")
+    rest = cut(pairs.join(left, "pivot").select("rep", "pivot"), "mj-rest")
+    near, sets = _near(d, classes, rest, words)
+    found = cut(found.unionByName(linked(near)), "mj-found")
     members = near.select("pivot", "rep", (1 - F.col("same") / F.col("either")).alias("dist"))
     members = members.unionByName(near.select("pivot").distinct().select("pivot", F.col("pivot").alias("rep"), F.lit(0.0).alias("dist")))
     members = members.join(classes.select("rep", "n_shingles"), "rep").select(F.col("pivot").cast("string").alias("region"), "rep", "n_shingles", "dist")
