@@ -8,10 +8,10 @@ probability of about 1e-7, and higher similarities with a smaller one; nothing e
 differ too much in size are passed over, which is exact, and every other pair is confirmed on the full sets of shingles.
 
 Copies of one set are a class and take part once. Of the members of a key, first each is tried with the smallest, and
-what that links is contracted. Keys whose members are still in different components are regions; their members outside the
+what that links is contracted. Keys whose members are still in different components make regions, one for each smallest member; their members outside the
 region's largest component are compared with all members, in groups of a block of the former and a block of the latter
-(regions.region_links). So no key is gathered whole, none is cut short, and documents are compared if they share a key (or
-if all that their keys lead to fits one block).
+(regions.region_links). So no key is gathered whole, none is cut short, and documents are compared if they share keys with one
+document (or in all that their keys lead to, where that takes fewer copies).
 """
 
 from __future__ import annotations
@@ -194,26 +194,32 @@ def _star_links(docs: DataFrame, classes: DataFrame, met: DataFrame, words: int,
 def open_regions(met: DataFrame, classes: DataFrame, roots: DataFrame, block_docs: int, block_shingles: int) -> DataFrame:
     """region, rep, root, n_shingles, dist (0) of the keys whose members are still in different components.
 
-    Keys that lead to no more documents than a block holds are one region, whose members are compared once. Of larger
-    families each key is a region of its own, so that documents which share no key are not compared; keys with the same
-    members are one.
+    The keys of one smallest member are a region. Regions that lead to each other are a family, which takes their place
+    where that needs fewer copies of its members: where it fits one block, or has few members outside its largest
+    component. In a large family of many components, members are compared with those of their own regions only.
     """
-    # with two members, the only pair has been tried
-    several = met.where("members > 2").select("key", "rep", "least")
-    several = several.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    apart = several.groupBy("key").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("key")
-    several = cut(several.join(apart, "key", "left_semi").join(classes.select("rep", "n_shingles"), "rep"), "nd-open")
-    family = components(several.where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct())
-    member = several.select("rep", "root", "n_shingles").distinct().join(family.withColumnRenamed("node", "rep").withColumnRenamed("root", "family"), "rep", "left")
-    member = cut(member.withColumn("family", F.coalesce("family", "rep")), "nd-members")
-    size = member.groupBy("family").agg(F.count("*").alias("d"), F.sum("n_shingles").alias("s"))
-    large = size.where((F.col("d") > block_docs) | (F.col("s") > block_shingles)).select("family")
-    small = member.join(large, "family", "left_anti").select(F.col("family").alias("region"), "rep", "root", "n_shingles")
-    wide = several.join(member.join(large, "family", "left_semi").select("rep"), "rep", "left_semi")
-    same = wide.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y"))
-    one = same.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-    wide = wide.join(one, "key", "left_semi").select(F.concat(F.lit("k"), F.col("key").cast("string")).alias("region"), "rep", "root", "n_shingles")
-    return small.withColumn("region", F.col("region").cast("string")).unionByName(wide).withColumn("dist", F.lit(0.0))
+    # with two members, the only pair has been tried; a pair that many keys give is one row
+    several = met.where("members > 2").select("rep", "least").distinct()
+    several = cut(several.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "nd-several")
+    apart = several.groupBy("least").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("least")
+    several = cut(several.join(apart, "least").join(classes.select("rep", "n_shingles"), "rep"), "nd-open")
+    family = components(several.where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")))
+    family = several.select("least").distinct().join(family.withColumnRenamed("node", "least").withColumnRenamed("root", "family"), "least", "left").withColumn("family", F.coalesce("family", "least"))
+    several = cut(several.join(family, "least"), "nd-members")
+    member = several.select("family", "rep", "root", "n_shingles").distinct()
+
+    def copies(rows: DataFrame, *by: str) -> DataFrame:
+        """Copies of members that comparing a region's blocks takes."""
+        part = rows.groupBy(*by, "root").agg(F.count("*").alias("d"), F.sum("n_shingles").alias("s")).groupBy(*by)
+        size = part.agg(F.sum("d").alias("d"), (F.sum("d") - F.max("d")).alias("o"), F.greatest(F.lit(1.0), F.sum("d") / block_docs, F.sum("s") / block_shingles).alias("b"))
+        blocks = lambda n: F.ceil(F.col("b") * F.col(n) / F.col("d"))
+        return size.select(*by, (F.col("d") * blocks("o") + F.col("o") * blocks("d")).alias("copies"))
+
+    whole = copies(member, "family").join(copies(several, "family", "least").groupBy("family").agg(F.sum("copies").alias("parted")), "family")
+    whole = whole.where("copies <= parted").select("family")
+    one = member.join(whole, "family").select(F.concat(F.lit("family "), F.col("family").cast("string")).alias("region"), "rep", "root", "n_shingles")
+    many = several.join(whole, "family", "left_anti").select(F.col("least").cast("string").alias("region"), "rep", "root", "n_shingles")
+    return one.unionByName(many).withColumn("dist", F.lit(0.0))
 
 
 def links(docs: DataFrame, classes: DataFrame, known: DataFrame, words: int, percent: int, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
