@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import metric_join as module
 from tidemark.llm import regions
-from tidemark.llm.metric_join import metric_join, n_telling, telling
+from tidemark.llm.metric_join import bounds, chunk_keys, metric_join
 
 
 def set_of(text, words=4):
@@ -57,7 +57,7 @@ def found(spark, rows, **more):
     return sorted(map(tuple, metric_join(df, **more).collect()))
 
 
-@pytest.mark.parametrize("more", [{}, {"frequent": 6}, {"frequent": 6, "block_docs": 4}])
+@pytest.mark.parametrize("more", [{}, {"block_docs": 4}])
 def test_against_brute_force(spark, more):
     rows = corpus()
     assert found(spark, rows, **more) == brute(rows)
@@ -65,26 +65,35 @@ def test_against_brute_force(spark, more):
 
 def test_another_threshold(spark):
     rows = corpus(4)
-    assert found(spark, rows, percent=60, block_docs=5, frequent=20) == brute(rows, 60)
+    assert found(spark, rows, percent=60, block_docs=5) == brute(rows, 60)
 
 
 def test_an_empty_table(spark):
     assert found(spark, []) == [] and found(spark, [(1, None)]) == [(1, 0, 1)]
 
 
-def test_telling_shingles_meet():
-    """Linked sets have a telling shingle in common, whatever shingles come last."""
+def test_linked_sets_have_a_chunk_in_common():
     rng = np.random.default_rng(2)
-    for _ in range(3000):
-        percent, n = int(rng.integers(50, 101)), int(rng.integers(1, 60))
-        a = rng.choice(200, n, replace=False).astype(np.uint64)
-        b = np.concatenate([a[: int(rng.integers(0, n + 1))], 200 + rng.choice(100, int(rng.integers(0, 12)), replace=False).astype(np.uint64)])
-        last = np.sort(rng.choice(300, int(rng.integers(0, 200)), replace=False).astype(np.uint64))
-        a, b = np.sort(a), np.sort(b)
+    linked = 0
+    for _ in range(6000):
+        percent, n = int(rng.choice([55, 60, 75, 85, 90, 100])), int(rng.choice([rng.integers(1, 12), rng.integers(1, 120)]))
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        gone = int(rng.integers(0, max(1, n * (100 - percent) // 100) + 1))
+        b = np.concatenate([a[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, max(1, n * (100 - percent) // 100) + 1))).astype(np.uint64)])
+        a, b = np.unique(a), np.unique(b)
         same = len(np.intersect1d(a, b))
         if len(b) and 100 * same >= percent * (len(a) + len(b) - same):
-            assert len(np.intersect1d(telling(a, last, percent), telling(b, last, percent)))
-        assert n_telling(n, 100) == 1
+            linked += 1
+            least = bounds(percent)
+            assert len(np.intersect1d(chunk_keys(a, percent, least), chunk_keys(b, percent, least)))
+    assert linked > 2000
+
+
+def test_clashing_hashes_still_meet():
+    """Sets whose shingles all fall into one chunk take more chunks."""
+    least = bounds(85)
+    a = np.arange(1, 41, dtype=np.uint64) * np.uint64(7 * 8 * 9 * 11 * 13)
+    assert len(np.intersect1d(chunk_keys(a, 85, least), chunk_keys(a[:36], 85, least)))
 
 
 def test_regions_are_divided(spark, monkeypatch):
@@ -114,15 +123,12 @@ def test_regions_are_divided(spark, monkeypatch):
     assert {i: got.get(i, i) for i in sets} == root
 
 
-def test_a_passage_of_many_documents_is_not_telling(spark):
-    """Documents that only share a passage meet in no key, once it is known to be frequent."""
+def test_a_passage_of_many_documents_is_no_chunk(spark):
+    """Documents that only share a passage have few chunks in common, so that they meet in small regions."""
     rng = random.Random(1)
     make = lambda n: " ".join(rng.choice([f"v{i}" for i in range(4000)]) for _ in range(n))
     passage = make(60)
     df = spark.createDataFrame([(i, f"{make(60)} {passage} {make(30)}") for i in range(300)], "doc_id long, text string")
-    d = module.documents(df)
-    signed = d.mapInArrow(module._sign(4, 85), "doc_id long, n_shingles long, digest binary, keys binary").cache()
-    classes = signed.select(F.col("doc_id").alias("rep"), "digest", "keys")
-    most = lambda keyed: keyed.groupBy("key").count().agg(F.max("count")).first()[0]
-    assert most(classes.select("rep", "keys").mapInArrow(module._keys(lambda s: s), "key long, rep long")) > 250
-    assert most(module.telling_keys(d, classes, 4, 85, frequent=20)) <= 20
+    signed = module.documents(df).mapInArrow(module._sign(4, 85), "doc_id long, n_shingles long, digest binary, keys binary")
+    keys = signed.select(F.col("doc_id").alias("rep"), "keys").mapInArrow(module._keys, "key long, rep long")
+    assert keys.groupBy("key").count().agg(F.max("count")).first()[0] < 60

@@ -100,7 +100,16 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     swept(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes a table of cut() that nothing is still to be read from."""
+    _made.remove(df.written_at)
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def swept(spark: SparkSession) -> None:

@@ -1,19 +1,22 @@
 """Jaccard join of documents in the metric space of their shingle sets, with pivots, Voronoi regions and windows; exact.
 
-The distance is 1 - intersection / union. Sets of unrelated documents are all at distance 1 of each other, where no
-window could tell regions apart. So the first pivots are documents that share a telling shingle with another: a set's
-telling shingles are its first ones in one order of all shingles, so many that two linked sets have one in common. The
-order is by hash, but shingles of many documents come last, so that a passage which many documents repeat is telling only
-for documents of little else. Each telling shingle's smallest document is a pivot, and the region of a pivot has the
-documents that share a telling shingle with it: two linked documents are in the region of one pivot at least. Distances to
-pivots are computed on full sets. Links to pivots are contracted, and a region that is then one component is done with.
-The others are joined by regions.voronoi_join: within windows of distance to the pivot, and divided by pivots of their own
-as long as they are large.
+The distance is 1 - intersection / union. Sets of unrelated documents are all at distance 1 of each other, where no window
+could tell regions apart. So the first pivots are documents that have a piece of their set in common with another: sets of
+about one size are dealt to so many chunks, by a hash of each shingle, that two linked sets must have a chunk in common
+that is not empty (they differ in fewer shingles than they have such chunks). Each chunk's smallest document is a pivot,
+and its region has the documents that have the chunk; two linked documents are in the region of one pivot at least.
+
+A document's distance to the pivot that it has most chunks in common with is computed first, on full sets, and links are
+contracted. A region that is then one component is done with. In the others all distances are computed, and they are joined
+by regions.voronoi_join: within windows of distance to the pivot, and divided by pivots of their own as long as they are
+large.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,56 +24,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents, releasing
+from .common import cut, documents, drop, releasing
 from .graph import components
-from .near_dedup import full_sets, shingle_sets, text_blocks
+from .near_dedup import _mixed, full_sets, shingle_sets, text_blocks
 from .regions import BLOCK_DOCS, BLOCK_SHINGLES, jaccard, voronoi_join
 
-#: A shingle that is telling for more documents than this comes last in the order; so do all such ones of their documents.
-#: Of these, MOST_FREQUENT (8 bytes each, broadcast) are moved, the most frequent ones. Neither changes a result.
-FREQUENT, MOST_FREQUENT = 256, 2_000_000
+#: Largest size of a class of sets over its smallest, about, and chunks beyond those that links may spoil, in hundredths.
+RATIO, SPARE = 1.3, 10
 
 
-def n_telling(n: int, percent: int) -> int:
-    """So many first shingles of a set of n have one in common with any set that is linked."""
-    return n + 1 + (-percent * n) // 100
+def bounds(percent: int, most: int = 1 << 40) -> list[int]:
+    """Least sizes of the classes: a set is linked with sets of its own class and of the ones beside it only."""
+    out, ratio = [1], max(RATIO, 100 / percent)
+    while out[-1] < most:
+        out.append(max(out[-1] + 1, math.ceil(out[-1] * ratio)))
+    return out
 
 
-def telling(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The telling shingles of a sorted set: by hash, frequent ones (sorted) last."""
-    n = n_telling(len(s), percent)
-    if len(frequent):
-        last = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-        s = np.concatenate([s[~last], s[last]])
-    return s[:n]
+def chunk_keys(s: np.ndarray, percent: int, least: list[int]) -> np.ndarray:
+    """Keys of a set's chunks, in its own class and, for links with smaller sets, in the one below.
+
+    A linked set differs in `spoilt` shingles at most. With more chunks that are not empty than that, one of them is the
+    same in both. Where one of two sets has fewer (its hashes clash), it takes twice as many chunks besides, and again, so
+    that both have keys of the number of chunks that is enough for one of them.
+    """
+    k, spoilt, out = bisect_right(least, len(s)) - 1, (100 - percent) * len(s) // percent, []
+    for c in (k, k - 1):
+        if c < 0 or c < k and percent * len(s) > 100 * (least[c + 1] - 1):
+            continue
+        most = (100 - percent) * (least[c + 1] - 1) // percent
+        n = most + 1 + most * SPARE // 100
+        while True:
+            chunk = s % np.uint64(n)
+            order = np.argsort(chunk, kind="stable")
+            chunk = chunk[order]
+            first = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+            out.append(_mixed(np.add.reduceat(_mixed(s[order]), first) + _mixed(chunk[first] + np.uint64((n * 0x9E3779B97F4A7C15 + (c << 40)) % (1 << 64)))))
+            if len(first) > spoilt:
+                break
+            n *= 2
+    return np.concatenate(out)
 
 
 def _sign(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.uint64)
+        least = bounds(percent)
         for batch in batches:
             for first, texts in text_blocks(batch):
                 sets = shingle_sets(texts, words)
                 cols = [
                     batch.column("doc_id").slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.sha256(s.tobytes()).digest()[:16] for s in sets], pa.binary()), pa.array([telling(s, none, percent).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+                    pa.array([hashlib.sha256(s.tobytes()).digest()[:16] for s in sets], pa.binary()), pa.array([chunk_keys(s, percent, least).tobytes() if len(s) else b"" for s in sets], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "digest", "keys"])
 
     return run
 
 
-def _keys(chosen):
-    """rep and the chosen values of the binary column of each row, one a row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                got = [chosen(np.frombuffer(x.as_buffer(), "<u8")) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), [len(g) for g in got]))], names=["key", "rep"])
-
-    return run
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rep and the keys of each row, one a row."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 500):
+            part = batch.slice(i, 500)
+            got = [np.frombuffer(x.as_buffer(), "<i8") for x in part.column("keys")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got)), pa.array(np.repeat(part.column("rep").to_numpy(), [len(g) for g in got]))], names=["key", "rep"])
 
 
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,31 +97,6 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, names=["rep", "pivot", "same", "either"])
 
 
-def _shared(keyed: DataFrame) -> DataFrame:
-    """key, pivot of the keys that several documents have."""
-    return keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("most")).where("pivot <> most").select("key", "pivot")
-
-
-def telling_keys(docs: DataFrame, classes: DataFrame, words: int, percent: int, frequent: int = FREQUENT) -> DataFrame:
-    """(key, rep) of all telling shingles. classes: rep, digest, keys."""
-    spark = docs.sparkSession
-    keyed = cut(classes.select("rep", "keys").mapInArrow(releasing(_keys(lambda s: s)), "key long, rep long"), "mj-keys")
-    often = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > frequent).select("key"), "mj-frequent")
-    if often.isEmpty():
-        return keyed
-    # all shingles of the documents that have such a one: those of many documents come last in each
-    has = cut(keyed.join(often, "key", "left_semi").select("rep").distinct(), "mj-often")
-    sets = full_sets(docs, classes, has, words)
-    counts = sets.mapInArrow(releasing(_keys(lambda s: s)), "key long, rep long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > frequent)
-    late = cut(counts.orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).select("key"), "mj-late")
-    sent = spark.sparkContext.broadcast(np.sort(np.array([r.key for r in late.collect()], np.int64).view(np.uint64)))  # MOST_FREQUENT at most
-    # the new order changes the first shingles of those that have one of these among them, and of no others
-    changed = cut(keyed.join(late, "key", "left_semi").select("rep").distinct(), "mj-changed")
-    again = full_sets(docs, classes, changed, words).mapInArrow(releasing(_keys(lambda s: telling(s, sent.value, percent))), "key long, rep long")
-    rest = classes.join(changed, "rep", "left_anti")
-    return cut(rest.select("rep", "keys").mapInArrow(releasing(_keys(lambda s: s)), "key long, rep long").unionByName(again), "mj-keys")
-
-
 def _near(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """rep, pivot, same, either (sizes of the intersection and the union of their sets) of the pairs; and the sets of both."""
     asked = pairs.select("rep").unionByName(pairs.select(F.col("pivot").alias("rep"))).distinct()
@@ -113,7 +105,7 @@ def _near(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int) ->
     return cut(both.select("rep", "pivot", "set_a", "set_b").mapInArrow(releasing(_distances), "rep long, pivot long, same long, either long"), "mj-distances"), sets
 
 
-def metric_join(docs: DataFrame, words: int = 4, percent: int = 85, frequent: int = FREQUENT, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def metric_join(docs: DataFrame, words: int = 4, percent: int = 85, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to).
 
     Documents are linked when 100 * intersection >= percent * union of their sets of `words`-word shingles (of fewer
@@ -122,17 +114,22 @@ def metric_join(docs: DataFrame, words: int = 4, percent: int = 85, frequent: in
     that repeat a doc_id are one document, in one component, whatever their texts, and a row each. An empty table gives no
     rows. A text of any length is one set, which one task holds (8 bytes a shingle). Other columns are not read.
     """
-    if not 50 <= percent <= 100 or not 1 <= words <= 32:
-        raise ValueError("percent is 50 to 100, words 1 to 32")
+    if not 55 <= percent <= 100 or not 1 <= words <= 32:
+        raise ValueError("percent is 55 to 100, words 1 to 32")
     d = documents(docs)
-    signed = cut(d.mapInArrow(releasing(_sign(words, percent)), "doc_id long, n_shingles long, digest binary, keys binary"), "mj-signed")
+    keyed = cut(d.mapInArrow(releasing(_sign(words, percent)), "doc_id long, n_shingles long, digest binary, keys binary"), "mj-keyed")
+    signed = cut(keyed.drop("keys"), "mj-signed")
     some = signed.where("n_shingles > 0")
-    classes = cut(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"), F.min("n_shingles").alias("n_shingles")), "mj-classes")
+    classes = cut(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles")), "mj-classes")
     several = some.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id")
     known = some.join(several, "doc_id").join(classes.select("digest", "rep"), "digest").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
-    keyed = telling_keys(d, classes, words, percent, frequent)
-    # how many telling shingles lead a document to a pivot
-    pairs = cut(keyed.join(_shared(keyed), "key").where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("n")), "mj-pairs")
+    # copies of a set are one document
+    one = keyed.join(classes.select(F.col("rep").alias("doc_id"), "digest", "rep"), ["doc_id", "digest"]).select("rep", "keys").mapInArrow(releasing(_keys), "key long, rep long")
+    keys = cut(one, "mj-keys")
+    drop(keyed)
+    shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("most")).where("pivot <> most").select("key", "pivot")
+    pairs = cut(keys.join(cut(shared, "mj-shared"), "key").where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("n")), "mj-pairs")
+    drop(keys)
     nearest = cut(pairs.groupBy("rep").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("x")).select("rep", (-F.col("x.p")).alias("pivot")), "mj-nearest")
     near, _ = _near(d, classes, nearest, words)
     linked = lambda near: near.where(100 * F.col("same") >= percent * F.col("either")).select(F.greatest("rep", "pivot").alias("u"), F.least("rep", "pivot").alias("v"))
