@@ -251,38 +251,68 @@ def matches(tree, columns: dict[str, Column]) -> Column:
 # -- ranking ----------------------------------------------------------------------------------------------------------
 
 
-def bm25(docs: DataFrame, query: str, key: str, columns: tuple[str, ...], limit: int | None = 20, offset: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Documents that match the query, best first: key, rank (negative; smaller is better), then the columns named in keep.
-
-    Weights are those of the usual BM25 (k1 1.2, b 0.75) with the floor of 1e-6 under the inverse document frequency;
-    lengths and frequencies are of all columns together, over all documents. Ties are broken by the key.
-    """
-    tree = parse(query)
+def _scored(docs: DataFrame, trees: list, key: str, columns: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
+    """key, _k_ of the kept columns, and _hit and _rank of each query, of the documents that any of them matches: texts are read once for counts and once for ranks."""
     names = {c: F.col(f"_t_{c}") for c in columns}
     d = docs.select(F.col(key), *(term_line(c).alias(f"_t_{c}") for c in columns), *(F.col(c).alias(f"_k_{c}") for c in keep))
     length = sum((F.regexp_count(x, F.lit("[^ ]+")) for x in names.values()), F.lit(0))
-    wanted = list(dict.fromkeys(leaves(tree)))
+    wanted = list(dict.fromkeys(p for tree in trees for p in leaves(tree)))
 
     def frequency(p: Phrase) -> Column:
         found = ([names[p.column]] if p.column else list(names.values())) if p.words else []
         return sum((F.regexp_count(t, F.lit(f"(?={_piece(p)})")) for t in found), F.lit(0))
 
-    d = d.withColumns({"_length": length, "_hit": matches(tree, names)} | {f"_f{i}": frequency(p) for i, p in enumerate(wanted)})
+    hits = {f"_hit{j}": matches(tree, names) for j, tree in enumerate(trees)}
+    d = d.withColumns({"_length": length} | hits | {f"_f{i}": frequency(p) for i, p in enumerate(wanted)})
     d = d.drop(*(f"_t_{c}" for c in columns))
     stats = d.agg(F.count("*").alias("_n"), F.avg("_length").alias("_avg"), *(F.count(F.when(F.col(f"_f{i}") > 0, 1)).alias(f"_d{i}") for i in range(len(wanted))))
     # one row of counts
-    d = d.where("_hit").join(F.broadcast(stats), how="cross")
-    score = F.lit(0.0)
-    for i in range(len(wanted)):
-        idf = F.greatest(F.log((F.col("_n") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5)), F.lit(1e-6))
-        f = F.col(f"_f{i}").cast("double")
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_length") / F.col("_avg")))
-    out = d.select(key, (-score).alias("rank"), *(F.col(f"_k_{c}").alias(c) for c in keep))
+    d = d.where(" OR ".join(hits)).join(F.broadcast(stats), how="cross")
+
+    def score(tree) -> Column:
+        out = F.lit(0.0)
+        for p in dict.fromkeys(leaves(tree)):
+            i = wanted.index(p)
+            idf = F.greatest(F.log((F.col("_n") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5)), F.lit(1e-6))
+            f = F.col(f"_f{i}").cast("double")
+            out = out + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_length") / F.col("_avg")))
+        return out
+
+    return d.withColumns({f"_rank{j}": -score(tree) for j, tree in enumerate(trees)})
+
+
+def bm25(docs: DataFrame, query: str, key: str, columns: tuple[str, ...], limit: int | None = 20, offset: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Documents that match the query, best first: key, rank (negative; smaller is better), then the columns named in keep.
+
+    Weights are those of the usual BM25 (k1 1.2, b 0.75) with the floor of 1e-6 under the inverse document frequency;
+    lengths and frequencies are of all columns together, over all documents. Ties are broken by the key.
+    """
+    d = _scored(docs, [parse(query)], key, columns, keep)
+    out = d.select(key, F.col("_rank0").alias("rank"), *(F.col(f"_k_{c}").alias(c) for c in keep))
     if limit is None:
         return out
     return out.orderBy("rank", key).offset(offset).limit(limit) if offset else out.orderBy("rank", key).limit(limit)
 
 
+def passes(docs: DataFrame, queries: list[str], key: str, columns: tuple[str, ...], limit: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """pass (from 1), position, key, rank and the columns named in keep: the first `limit` rows of bm25 for each query, all from one reading of the texts.
+
+    A query that cannot be parsed has no rows; the first one must be.
+    """
+    trees: dict[int, object] = {}
+    for i, q in enumerate(queries):
+        try:
+            trees[i + 1] = parse(q)
+        except QueryError:
+            if i == 0:
+                raise
+    d = _scored(docs, list(trees.values()), key, columns, keep)
+    each = F.array(*(F.when(F.col(f"_hit{j}"), F.struct(F.lit(i).alias("pass"), F.col(f"_rank{j}").alias("rank"))) for j, i in enumerate(trees)))
+    rows = d.select(key, *(F.col(f"_k_{c}").alias(c) for c in keep), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x"))
+    rows = rows.select(F.col("x.pass").alias("pass"), key, F.col("x.rank").alias("rank"), *keep)
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("pass").orderBy("rank", key))).where(F.col("position") <= limit)
+
+
 BUCKETS = 64
 
 
@@ -391,23 +421,25 @@ def tiered(docs: DataFrame, query: str, key: str, columns: tuple[str, ...], tier
     default; one that cannot be parsed is passed over), keeps the first occurrence of a document, and orders by trust:
     the place counts from the end times the multiplier of the trust level.
     """
-    passes = most_passes or (3 if tier == "premium" else 1)
-    asked = [query] if tier == "free" or passes <= 1 else [query, *variants(query)][:passes]
+    most = most_passes or (3 if tier == "premium" else 1)
+    asked = [query] if tier == "free" or most <= 1 else [query, *variants(query)][:most]
     keep = (trust,) if trust else ()
-    found: DataFrame | None = None
-    for i, q in enumerate(asked):
-        try:
-            one = bm25(docs, q, key, columns, limit, keep=keep) if postings is None else bm25_index(postings, q, key, columns, limit, buckets=buckets)
-        except QueryError:
-            if i == 0:
-                raise
-            continue
-        if postings is not None and keep:  # at most `limit` rows
-            one = docs.select(key, *keep).join(F.broadcast(one), key)
-        one = one.withColumn("pass", F.lit(i + 1))
-        found = one if found is None else found.unionByName(one)
-    order = F.row_number().over(Window.partitionBy("pass").orderBy("rank", key))
-    found = found.withColumn("position", order)  # at most `limit` rows a pass
+    if postings is None:
+        found = passes(docs, asked, key, columns, limit, keep)
+    else:
+        found = None
+        for i, q in enumerate(asked):
+            try:
+                one = bm25_index(postings, q, key, columns, limit, buckets=buckets)
+            except QueryError:
+                if i == 0:
+                    raise
+                continue
+            if keep:  # at most `limit` rows
+                one = docs.select(key, *keep).join(F.broadcast(one), key)
+            one = one.withColumn("pass", F.lit(i + 1))
+            found = one if found is None else found.unionByName(one)
+        found = found.withColumn("position", F.row_number().over(Window.partitionBy("pass").orderBy("rank", key)))  # at most `limit` rows a pass
     first = F.row_number().over(Window.partitionBy(key).orderBy("pass", "position"))
     found = found.withColumn("_first", first).where("_first = 1").drop("_first")
     whole = Window.orderBy("pass", "position")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -85,10 +85,18 @@ def _packs(queries: DataFrame, key: str, column: str, block: int, by: tuple[str,
 
 
 def _batches(vectors: DataFrame, key: str, column: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Vectors in batches of at most 4096 rows."""
+    """Vectors in batches, as tasks read them: no row moves."""
+
+    def run(parts):
+        for pdf in parts:
+            for value, rows in pdf.groupby(list(by), sort=False) if by else [((), pdf)]:
+                for i in range(0, len(rows), 4096):
+                    some = rows.iloc[i : i + 4096]
+                    yield pd.DataFrame({c: [x] for c, x in zip(by, value, strict=True)} | {"ids": [some["id"].to_numpy()], "vs": [list(some["v"])]})
+
     v = vectors.select(*by, F.col(key).cast("long").alias("id"), _doubles(column).alias("v"))
-    v = v.withColumn("batch", F.struct(F.spark_partition_id(), F.floor(F.monotonically_increasing_id() % (1 << 33) / 4096)))
-    return v.groupBy(*by, "batch").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs")).drop("batch")
+    kinds = "".join(f"{c} {v.schema[c].dataType.simpleString()}, " for c in by)
+    return v.mapInPandas(run, f"{kinds}ids array<long>, vs array<array<double>>")
 
 
 def _best(met: DataFrame, k: int, key: str) -> DataFrame:
@@ -107,8 +115,8 @@ def _best(met: DataFrame, k: int, key: str) -> DataFrame:
                 yield out[np.isfinite(out["score"])]
 
     kept = met.select("ids", "vs", "queries").mapInPandas(run, f"query long, {key} long, score double")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), key))), 1, k)
-    return kept.groupBy("query").agg(best.alias("b")).select("query", F.posexplode("b").alias("p", "x")).select("query", (F.col("p") + 1).alias("place"), F.col(f"x.{key}").alias(key), (-F.col("x.s")).alias("score"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))  # tasks keep k rows of a query each before they meet
+    return kept.withColumn("place", place).where(F.col("place") <= k).select("query", "place", key, "score")
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding", block: int = 1024) -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions import rules, text, urls
 from ..operators import aggregates as agg
 from ..operators import joins, search, state, vectors
 from ..streaming import mutations
-from . import changes, more
+from . import changes, more, retrieval
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -535,4 +535,5 @@ def echo_removal(spark, d):
 
 
 more.register(query, table)
+retrieval.register(query, table)
 changes.register(query, sys.modules[__name__])
