@@ -11,11 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import state as store
 
-GAP_MS, MOST, ECHO_MS, RECENT = 250, 1000, 50, 500
+GAP_MS, MOST, ECHO_MS = 250, 1000, 50
 SIGNIFICANT = ("doc_reset", "insert", "remove")
 MERGED = ("attr", "text")
 
@@ -74,35 +73,12 @@ def debounce(stream: DataFrame, time: str = "ts", gap: str = "250 milliseconds",
     return r.groupBy(key, F.session_window(time, gap)).agg(F.array_sort(F.collect_list(F.struct(time, *cols))).alias("records")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "records")
 
 
-_STATE = "xpath array<string>, op array<string>, name array<string>, at array<long>, source array<string>"
+def drop_echoes(stream: DataFrame, tolerance: int = ECHO_MS, late: str = "10 seconds") -> DataFrame:
+    """A stream without records of the browser protocol that the page's own script has told within the tolerance, in event time of ts_ms."""
+    from .stateful import remove_echoes  # which imports this module
 
-
-def _recent(tolerance: int, most: int) -> Callable:
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [list(x) for x in zip(*state.get, strict=True)] if state.exists else []
-        for df in frames:
-            keep = []
-            for r in df.sort_values(["ts_ms", "n"]).itertuples():
-                held = [h for h in held if h[3] > r.ts_ms - 2 * tolerance]
-                echo = any(h[0] == r.xpath and h[1] == r.op and h[2] == r.name and h[4] != r.source and abs(h[3] - r.ts_ms) <= tolerance for h in held)
-                if echo:
-                    keep.append(r.source != "cdp")
-                else:
-                    held = [*held, [r.xpath, r.op, r.name, r.ts_ms, r.source]][-most:]
-                    keep.append(True)
-            yield df.sort_values(["ts_ms", "n"])[keep]
-        state.update(tuple([h[i] for h in held] for i in range(5)))
-
-    return step
-
-
-ECHO_SCHEMA = "page_id string, ts_ms long, n long, source string, xpath string, op string, name string, value string, old_value string"
-
-
-def drop_echoes(stream: DataFrame, tolerance: int = ECHO_MS, most: int = RECENT) -> DataFrame:
-    """A stream without records of the browser protocol that the page's own script has told within the tolerance; state per page is bounded."""
-    cols = [x.split()[0] for x in ECHO_SCHEMA.split(", ")]
-    return stream.select(*cols).groupBy("page_id").applyInPandasWithState(_recent(tolerance, most), ECHO_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout)
+    # the first watermark is at 0, and would take a record of that moment for a late one
+    return remove_echoes(stream.withColumn("_ts", F.timestamp_millis(F.col("ts_ms") + 1)), late, tolerance, "_ts")
 
 
 def drop_echoes_batch(records: DataFrame, tolerance: int = ECHO_MS, stretch: int = 3_600_000) -> DataFrame:
