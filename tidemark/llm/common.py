@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,17 +95,21 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return _made[-1]
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
+def cut(df: DataFrame, label: str, sweep: bool = False) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: lineage ends there, and a lost executor costs nothing; sweep: see swept()."""
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    swept(spark)
+    if sweep:
+        swept(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
 
 
+swept_cut = partial(cut, sweep=True)
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a table of cut() that nothing is still to be read from."""
     _made.remove(df.written_at)

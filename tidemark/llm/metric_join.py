@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents, drop, releasing
+from .common import documents, drop, releasing
+from .common import swept_cut as cut
 from .graph import components
 from .near_dedup import _mixed, full_sets, shingle_sets, text_blocks
 from .regions import BLOCK_DOCS, BLOCK_SHINGLES, jaccard, voronoi_join
 
 #: Largest size of a class of sets over its smallest, about, and chunks beyond those that links may spoil, in hundredths.
-RATIO, SPARE = 1.3, 10
+RATIO, SPARE = 1.5, 5
 
 
 def bounds(percent: int, most: int = 1 << 40) -> list[int]:
@@ -131,7 +132,8 @@ def metric_join(docs: DataFrame, words: int = 4, percent: int = 85, block_docs:
     pairs = cut(keys.join(cut(shared, "mj-shared"), "key").where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("n")), "mj-pairs")
     drop(keys)
     nearest = cut(pairs.groupBy("rep").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("x")).select("rep", (-F.col("x.p")).alias("pivot")), "mj-nearest")
-    near, _ = _near(d, classes, nearest, words)
+    near, sets = _near(d, classes, nearest, words)
+    drop(sets)
     linked = lambda near: near.where(100 * F.col("same") >= percent * F.col("either")).select(F.greatest("rep", "pivot").alias("u"), F.least("rep", "pivot").alias("v"))
     found = cut(linked(near).unionByName(known), "mj-found")
     # a region that is one component by now needs no distances

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, cut, documents, releasing, uncarried
+from .common import carried, documents, releasing, uncarried
+from .common import swept_cut as cut
 from .graph import components
 from .regions import BLOCK_DOCS, BLOCK_SHINGLES, region_links
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut, release, releasing
+from .common import release, releasing
+from .common import swept_cut as cut
 from .graph import components
 
 #: Documents and shingles that a block of a region holds, about.
