@@ -520,6 +520,15 @@ def snapshot_chain(spark, d):
     return mutations.with_snapshots(e.where("event_type <> 'signup'"), e.where("event_type = 'signup'")).select("page_id", "id", "snapshot_ref")
 
 
+@query(f"""WITH {RECORDS_SQL}, e AS (SELECT *, '/html/body/' || CASE n % 4 WHEN 0 THEN 'nav' WHEN 1 THEN 'nav/a[2]' WHEN 2 THEN 'navigation/p' ELSE 'article/p' END AS node FROM r)
+    SELECT page_id, n, node FROM e WHERE NOT (node = '/html/body/nav' OR starts_with(node, '/html/body/nav/'))""")
+def records_outside(spark, d):
+    """Records of nodes that are not in a page's navigation."""
+    places = F.element_at(F.array(*map(F.lit, ("nav", "nav/a[2]", "navigation/p", "article/p"))), (F.col("n") % 4 + 1).cast("int"))
+    r = records(spark, d).withColumn("node", F.concat(F.lit("/html/body/"), places))
+    return mutations.outside(r, ["/html/body/nav"], "node").select("page_id", "n", "node")
+
+
 @query(f"WITH {RECORDS_SQL} SELECT page_id, n, row_number() OVER (PARTITION BY page_id ORDER BY ts_ms, n) AS seq FROM r")
 def batch_sequence(spark, d):
     return mutations.numbered(records(spark, d), order=("ts_ms", "n")).select("page_id", "n", "seq")

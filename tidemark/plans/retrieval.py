@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import chunks
 from ..operators import codes
 from ..operators.segments import Segments
 from ..operators.shared import new_folder
@@ -24,6 +25,17 @@ def ranked_sql(frequencies: list[str], limit: int) -> str:
     """
 
 
+_CHUNKS = f"""
+    d AS (SELECT doc_id, idx, {_TERMS} AS t FROM x),
+    f AS (SELECT doc_id, idx, len(t) AS l, len(list_filter(t, lambda x: x = 'the'))::DOUBLE AS f0, len(list_filter(t, lambda x: x = 'of'))::DOUBLE AS f1 FROM d),
+    s AS (SELECT count(*) AS n, avg(l) AS a, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1 FROM f),
+    r AS (SELECT doc_id, CAST(idx AS INTEGER) AS idx, lang, -(greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * f0 * 2.2::DOUBLE / (f0 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a))
+        + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * f1 * 2.2::DOUBLE / (f1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a))) AS rank
+        FROM f CROSS JOIN s JOIN documents USING (doc_id) JOIN labels USING (doc_id) WHERE f0 > 0 AND f1 > 0 AND lang IN ('en', 'de') AND quality = 1 ORDER BY rank, doc_id, idx LIMIT 20)
+    SELECT doc_id, idx, lang, round(rank, 9) AS rank FROM r
+"""
+
+
 def register(query, table) -> None:
     def indexed(spark, d):
         index = Segments(spark, new_folder(spark, "segments"), "doc_id", ("text",), buckets=16)
@@ -55,6 +67,24 @@ def register(query, table) -> None:
         index.merge(fan=2)
         return index.vocabulary()
 
+    @query(r"""
+        WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') AS t FROM documents),
+        n AS (SELECT *, len(t) AS n, greatest(CAST(ceil((len(t) - 512) / 448) AS BIGINT) + 1, 1) AS k FROM w WHERE len(t) > 0),
+        c AS (SELECT doc_id, t, text, n, k, CASE WHEN k > 1 AND n - (k - 1) * 448 < 32 THEN k - 1 ELSE k END AS kept FROM n),
+        i AS (SELECT *, unnest(generate_series(0, kept - 1)) AS idx FROM c),
+        x AS (SELECT doc_id, idx, CASE WHEN n <= 512 THEN text ELSE array_to_string(t[idx * 448 + 1 : least(idx * 448 + 512, n)], ' ') || CASE WHEN kept < k AND idx = kept - 1 THEN ' ' || array_to_string(t[(k - 1) * 448 + 1 : n], ' ') ELSE '' END END AS text FROM i),
+    """ + _CHUNKS)
+    def fts_chunk_search(spark, d):
+        """Chunks that match, with the language and quality of their documents: of two languages, and of one quality. Ranks are those among all chunks."""
+        docs = table(spark, d, "documents")
+        c = chunks.chunk_table(docs.select("doc_id", "text")).select(F.concat_ws("/", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("idx").cast("string"), 6, "0")).alias("id"), F.col("chunk_text").alias("text"))
+        index = Segments(spark, new_folder(spark, "segments"), "id", ("text",), key_type="string", buckets=16)
+        index.change(c)
+        part = lambda n: F.split("id", "/")[n].cast("long")
+        found = index.ranked("the of", None).select(part(0).alias("doc_id"), part(1).cast("int").alias("idx"), "rank")
+        about = docs.select("doc_id", "lang").where(F.col("lang").isin("en", "de")).join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id")
+        return found.join(about, "doc_id").orderBy("rank", "doc_id", "idx").limit(20).select("doc_id", "idx", "lang", F.round("rank", 9).alias("rank"))
+
     @query()
     def vector_codes(spark, d):
         """The five nearest of every fiftieth vector, by codes of a sixth of the vectors' size; measured against vector_neighbours in the tests."""

@@ -44,6 +44,15 @@ def compress(records: DataFrame, scope: tuple[str, ...] = ("page_id", "batch"),
     return out.select(*(F.col(c) if c in scope else merged.alias(c) if c == "old_value" else F.col(f"x.{c}").alias(c) for c in records.columns))
 
 
+def outside(records: DataFrame, elements: list[str], path: str = "xpath") -> DataFrame:
+    """records whose node is none of the elements (paths) and lies in none of them; a record without a path stays."""
+    p = F.coalesce(F.col(path), F.lit(""))
+    inside = F.lit(False)
+    for e in elements:
+        inside = inside | (p == e) | p.startswith(e.rstrip("/") + "/")
+    return records.where(~inside)
+
+
 def numbered(batches: DataFrame, key: str = "page_id", order: tuple[str, ...] = ("timestamp", "id")) -> DataFrame:
     """batches with seq, counting from 1 for each page."""
     return batches.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
