@@ -318,3 +318,18 @@ def test_cells_find_most_neighbours(spark, sf_dir):
         found = {(r["query"], r.vec_id) for r in vectors.near_in_cells(vectors.in_cells(df, cells), asked, cells, 5).collect()}
         want = {(r["query"], r.vec_id) for r in vectors.neighbours(whole, asked, 5).collect()}
         assert len(found & want) >= 0.9 * len(want)
+
+
+def test_many_wild_rules_meet_pages_by_a_piece(spark):
+    """More wild patterns than are broadcast: the same pairs, and no nested loop but for patterns without a piece."""
+    import random
+
+    rng = random.Random(6)
+    pages = spark.createDataFrame([(i, f"https://{rng.choice('abc')}{i % 7}.site.org/{rng.choice(['en', 'de'])}/{i % 50}") for i in range(300)] + [(900, None)], "page_id long, url string")
+    made = [f"http*//{c}?.site*{x}/{n}{e}" for c in "abz[" for x in ("en", "de", "xx") for n in (1, 22, 333) for e in ("", "*", "[0-9]", "[^0-9]*")] + ["*", "h*g/??/1", "[a-h]ttps*/en/4?", "*[", "*.site.org/de/7[", ""]
+    rules = spark.createDataFrame([(str(i), p, "", True) for i, p in enumerate(made)], "id string, url_pattern string, page_id string, enabled boolean")
+    want = sorted((r.page_id, r.r_id) for r in joins.match_rules(pages, rules).collect())
+    got = joins.match_rules(pages, rules, most_broadcast=10)
+    assert sorted((r.page_id, r.r_id) for r in got.collect()) == want and len({x for _, x in want}) >= 20
+    long = joins.match_rules(pages, rules.where("length(url_pattern) > 12"), most_broadcast=10)
+    assert "NestedLoop" not in long._jdf.queryExecution().executedPlan().toString()

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 
-#: Rules of no fixed host that are broadcast to the pages.
-MOST_BROADCAST = 10_000
+#: Rules of no fixed host that are broadcast to the pages, and the length of the pieces by which more of them meet pages.
+MOST_BROADCAST, GRAM = 10_000, 4
 
 
 def glob_prefix(pattern: Column) -> Column:
@@ -17,12 +17,38 @@ def glob_prefix(pattern: Column) -> Column:
     return F.regexp_extract(pattern, r"^([^*?\[]*)", 1)
 
 
-def match_rules(pages: DataFrame, rules: DataFrame, url: str = "url", page_id: str = "page_id") -> DataFrame:
+def _grams(c: Column) -> Column:
+    """Distinct pieces of GRAM characters of each string in an array."""
+    of = lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - GRAM + 1), lambda i: F.substring(s, i, F.lit(GRAM)))
+    return F.array_distinct(F.flatten(F.transform(F.filter(c, lambda s: F.length(s) >= GRAM), of)))
+
+
+def literals(pattern: Column) -> Column:
+    """What a GLOB pattern requires as it stands: its runs without wildcards and classes. Of an open class, what is before it."""
+    return F.split(F.regexp_replace(pattern, r"\[\^?.[^\]]*\]|\[.*$", "*"), r"[*?]+")
+
+
+def by_rarest_piece(pages: DataFrame, rules: DataFrame, url: str, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs of pages and rules that have the rule's rarest piece in common, to be verified; and the rules without a piece.
+
+    A rule matches only URLs with all of its pieces, so it needs to meet those with one of them. Pieces that only pages have
+    are dropped before they are counted; a rule with a piece that no page has meets none.
+    """
+    r = rules.withColumn("_id", F.monotonically_increasing_id()).withColumn("_pieces", _grams(literals(F.col(pattern))))
+    each = r.where(F.size("_pieces") > 0).select("_id", F.explode("_pieces").alias("_piece"))
+    has = pages.withColumn("_piece", F.explode(_grams(F.array(F.coalesce(F.col(url), F.lit("")))))).join(each.select("_piece").distinct(), "_piece", "left_semi")
+    count = each.join(has.groupBy("_piece").agg(F.count("*").alias("n")), "_piece", "left")
+    best = count.groupBy("_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "_piece")).alias("b")).where("b.n > 0").select("_id", F.col("b._piece").alias("_piece"))
+    return has.join(r.join(best, "_id"), "_piece").drop("_piece", "_pieces", "_id"), r.where(F.size("_pieces") <= 0).drop("_pieces", "_id")
+
+
+def match_rules(pages: DataFrame, rules: DataFrame, url: str = "url", page_id: str = "page_id", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """pages with the rules that apply: by page where a rule names one, else by GLOB of the URL; one row per pair, with rule columns prefixed r_.
 
     Patterns whose scheme and host hold no wildcard meet pages by these (adaptive execution splits hosts with many pages),
-    and then by their fixed start; only the others are tried against every page, broadcast if there are at most
-    MOST_BROADCAST of them.
+    and then by their fixed start. At most most_broadcast others are broadcast and tried against every page; more of them
+    meet the pages that have their rarest piece of GRAM characters. Patterns without so long a piece match by wildcards
+    almost alone, and are tried against every page.
     """
     r = rules.where("enabled").select(*(F.col(c).alias(f"r_{c}") for c in rules.columns))
     by_page = pages.join(r.where(F.coalesce("r_page_id", F.lit("")) != ""), F.col(page_id).cast("string") == F.col("r_page_id"))
@@ -32,9 +58,14 @@ def match_rules(pages: DataFrame, rules: DataFrame, url: str = "url", page_id: s
     hit = F.col(url).startswith(F.col("_fixed")) & F.regexp_like(F.col(url), F.col("_regex"))
     near = pages.withColumn("_origin", origin(F.col(url))).join(r.where("_origin <> ''"), "_origin").where(hit)
     wild = r.where("_origin = ''")
-    rest = pages.join(F.broadcast(wild) if wild.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else wild, hit)
     cols = [*pages.columns, *(f"r_{c}" for c in rules.columns)]
-    return by_page.select(*cols).unionByName(near.select(*cols)).unionByName(rest.select(*cols))
+    out = by_page.select(*cols).unionByName(near.select(*cols))
+    if wild.limit(most_broadcast + 1).count() <= most_broadcast:
+        return out.unionByName(pages.join(F.broadcast(wild), hit).select(*cols))
+    met, bare = by_rarest_piece(pages, wild, url, "r_url_pattern")
+    out = out.unionByName(met.where(hit).select(*cols))
+    n = bare.limit(most_broadcast + 1).count()
+    return out if not n else out.unionByName(pages.join(F.broadcast(bare) if n <= most_broadcast else bare, hit).select(*cols))
 
 
 def best_rule(matches: DataFrame, key: str = "page_id") -> DataFrame:
