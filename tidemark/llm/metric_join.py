@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ from .graph import components
 from .near_dedup import _mixed, full_sets, shingle_sets, text_blocks
 from .regions import BLOCK_DOCS, BLOCK_SHINGLES, jaccard, voronoi_join
 
-#: Largest size of a class of sets over its smallest, about, and chunks beyond those that links may spoil, in hundredths.
-RATIO, SPARE = 1.5, 5
+#: Largest size of a class of sets over its smallest, about, chunks beyond those that links may spoil, in hundredths, and bytes of a chunk's key.
+RATIO, SPARE, KEY_BYTES = 1.5, 5, 6
 
 
 def bounds(percent: int, most: int = 1 << 40) -> list[int]:
@@ -67,6 +68,16 @@ def chunk_keys(s: np.ndarray, percent: int, least: list[int]) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """KEY_BYTES of each key: keys that clash cost a comparison and change no result."""
+    return keys.astype("<u8").view("u1").reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def _unpacked(packed: pa.Array) -> np.ndarray:
+    low = np.frombuffer(b"".join(packed.to_pylist()), "u1").reshape(-1, KEY_BYTES)
+    return np.concatenate([low, np.zeros((len(low), 8 - KEY_BYTES), "u1")], axis=1).view("<i8").ravel()
+
+
 def _sign(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = bounds(percent)
@@ -75,7 +86,7 @@ def _sign(words: int, percent: int):
                 sets = shingle_sets(texts, words)
                 cols = [
                     batch.column("doc_id").slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.sha256(s.tobytes()).digest()[:16] for s in sets], pa.binary()), pa.array([chunk_keys(s, percent, least).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+                    pa.array([hashlib.sha256(s.tobytes()).digest()[:16] for s in sets], pa.binary()), pa.array([_packed(chunk_keys(s, percent, least)) if len(s) else b"" for s in sets], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "digest", "keys"])
 
@@ -87,8 +98,23 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
             part = batch.slice(i, 500)
-            got = [np.frombuffer(x.as_buffer(), "<i8") for x in part.column("keys")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got)), pa.array(np.repeat(part.column("rep").to_numpy(), [len(g) for g in got]))], names=["key", "rep"])
+            n = pc.binary_length(part.column("keys")).to_numpy() // KEY_BYTES
+            yield pa.RecordBatch.from_arrays([pa.array(_unpacked(part.column("keys"))), pa.array(np.repeat(part.column("rep").to_numpy(), n))], names=["key", "rep"])
+
+
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rep and pivot, the key's smallest rep, of rows that come in the order of key and rep; a task holds one batch, however many rows a key has."""
+    last, pivot = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, rep = batch.column("key").to_numpy(), batch.column("rep").to_numpy()
+        fresh = np.concatenate([[key[0] != last], key[1:] != key[:-1]])
+        at = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))
+        led = np.where(at >= 0, rep[np.maximum(at, 0)], pivot)
+        last, pivot = key[-1], led[-1]
+        some = led != rep
+        yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(led[some])], names=["rep", "pivot"])
 
 
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,13 +150,11 @@ def metric_join(docs: DataFrame, words: int = 4, percent: int = 85, block_docs:
     classes = cut(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles")), "mj-classes")
     several = some.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id")
     known = some.join(several, "doc_id").join(classes.select("digest", "rep"), "digest").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
-    # copies of a set are one document
+    # copies of a set are one document; keys meet once, in the order in which the smallest document of each comes first
     one = keyed.join(classes.select(F.col("rep").alias("doc_id"), "digest", "rep"), ["doc_id", "digest"]).select("rep", "keys").mapInArrow(releasing(_keys), "key long, rep long")
-    keys = cut(one, "mj-keys")
+    led = one.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_led, "rep long, pivot long")
+    pairs = cut(led.groupBy("rep", "pivot").agg(F.count("*").alias("n")), "mj-pairs")
     drop(keyed)
-    shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("most")).where("pivot <> most").select("key", "pivot")
-    pairs = cut(keys.join(cut(shared, "mj-shared"), "key").where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("n")), "mj-pairs")
-    drop(keys)
     nearest = cut(pairs.groupBy("rep").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("x")).select("rep", (-F.col("x.p")).alias("pivot")), "mj-nearest")
     near, sets = _near(d, classes, nearest, words)
     drop(sets)
