@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import chunks
-from ..operators import codes
+from ..operators import codes, trees
 from ..operators.segments import Segments
 from ..operators.shared import new_folder
 
@@ -94,3 +95,26 @@ def register(query, table) -> None:
         codes.encoded(v, coder).write.partitionBy("cell").parquet(path)
         index = spark.read.parquet(path)
         return codes.near_by_codes(index, v, v.where("vec_id % 50 = 0"), coder, 5).withColumn("score", F.round("score", 6))
+
+    @query(r"""
+        WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)([^>]*)>.*?</', '<\1\2></', 'gs') AS h FROM pages),
+        t AS (SELECT page_id, unnest(regexp_extract_all(h, '<([a-z][a-z0-9]*)[ />]', 1)) AS tag FROM p) SELECT page_id, tag, count(*) AS nodes FROM t GROUP BY page_id, tag
+    """)
+    def node_index(spark, d):
+        """Elements of each tag of each page, from the table of nodes."""
+        return trees.node_table(table(spark, d, "pages")).where("tag IS NOT NULL").groupBy("page_id", "tag").agg(F.count("*").alias("nodes"))
+
+    @query(r"""
+        WITH l AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href="([^"]*)"', 1) AS a FROM pages)
+        SELECT page_id, CAST(unnest(generate_series(1, len(a))) AS INTEGER) AS place, unnest(a) AS href FROM l WHERE len(a) > 0
+    """)
+    def node_xpath(spark, d):
+        """The links of each page's navigation by child and descendant steps, in their order."""
+        found = trees.select(trees.node_table(table(spark, d, "pages")), "//nav/ul/li//a[@href]")
+        place = F.row_number().over(Window.partitionBy("page_id").orderBy("pre"))
+        return found.select("page_id", place.alias("place"), F.col("attrs")["href"].alias("href"))
+
+    @query()
+    def node_density(spark, d):
+        """The share of text in each child of a page's body, by its path; tested against the trees themselves."""
+        return trees.densities(trees.node_table(table(spark, d, "pages")))
