@@ -53,3 +53,12 @@ def test_codes_are_within_their_errors():
 def test_an_empty_table(spark):
     with pytest.raises(ValueError):
         codes.fit_codes(frame(spark, []))
+
+
+def test_a_query_goes_to_a_group_of_cells_once(spark):
+    x = np.random.default_rng(2).normal(size=(600, 8))
+    coder = codes.Coder(x[:300], np.eye(8), 280)
+    got = codes.asked_cells(frame(spark, x), coder).collect()
+    sent = [(r.part, i) for r in got for i in np.frombuffer(r.own, "<i8")]
+    assert len(sent) == len(set(sent)) <= codes.GROUPS * 600 < 280 * 600
+    assert sum(np.frombuffer(r.hits, bool).sum() for r in got) == 280 * 600

@@ -16,10 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import bound
 from .vectors import _doubles, _units
 
 #: Errors by which the estimates of a candidate and of the k-th best may be off; rows in a batch of codes; most cells (broadcast).
 WIDTH, BATCH, MOST_CELLS = 4.0, 2048, 65_536
+#: Groups of cells: a query goes to each group at most once, whatever the number of cells it looks into.
+GROUPS = 64
 #: Rows that centres are learned from, for each of them; rows that the number of probes is measured on, and of these, asked ones.
 TAUGHT, MEASURED, ASKED = 64, 20_000, 300
 
@@ -128,35 +131,67 @@ def encoded(vectors: DataFrame, coder: Coder, key: str = "vec_id", column: str =
     return rows.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").mapInPandas(pack, "cell int, ids binary, codes binary, steps binary, errors binary")
 
 
+def asked_cells(queries: DataFrame, coder: Coder, key: str = "vec_id", column: str = "embedding", block: int = 512) -> DataFrame:
+    """part, own, asked, hits (binary columns): packs of about `block` queries, once for each group of cells that any of them looks into.
+
+    A query's vector goes to GROUPS parts at most, whatever the number of cells it looks into, which grows with the table.
+    """
+    sent = queries.sparkSession.sparkContext.broadcast(coder)
+    dim, groups = coder.turn.shape[0], min(GROUPS, len(coder.centres))
+
+    def ask(parts):
+        """A pack's queries once for each group of cells that any of them looks into, with which of these cells each looks into."""
+        for pdf in parts:
+            for asked in pdf["asked"]:
+                own, q = np.array([r["id"] for r in asked], "<i8"), _units(r["v"] for r in asked)
+                probed = np.zeros((len(own), -(-len(sent.value.centres) // groups) * groups), bool)
+                np.put_along_axis(probed, sent.value.cells(q, sent.value.probes), True, axis=1)
+                for g in range(groups):
+                    hits = probed[:, g::groups]
+                    some = hits.any(axis=1)
+                    if some.any():
+                        yield pd.DataFrame({"part": [g], "own": [own[some].tobytes()], "asked": [q[some].tobytes()], "hits": [hits[some].tobytes()]})
+
+    bound(queries.sparkSession)
+    q = queries.where(F.col(key).isNotNull() & (F.size(column) == dim)).select(F.col(key).cast("long").alias("id"), _doubles(column).alias("v"))
+    packs = max(1, -(-q.count() // block))
+    asked = q.groupBy(F.pmod(F.xxhash64("id"), F.lit(packs)).alias("pack")).agg(F.collect_list(F.struct("id", "v")).alias("asked")).select("asked")  # about `block` queries
+    return asked.mapInPandas(ask, "part int, own binary, asked binary, hits binary")
+
+
 def candidates(index: DataFrame, queries: DataFrame, coder: Coder, k: int = 10, key: str = "vec_id", column: str = "embedding", block: int = 512) -> DataFrame:
     """query, id, estimate, doubt of the rows that may be among the k nearest of each query (its own row aside), by codes of its probed cells."""
     sent = queries.sparkSession.sparkContext.broadcast(coder)
     dim = coder.turn.shape[0]
 
-    def ask(parts):
-        for pdf in parts:
-            if len(pdf):
-                cell = sent.value.cells(_units(pdf["v"]), sent.value.probes)
-                yield pd.DataFrame({"cell": cell.ravel(), "id": np.repeat(pdf["id"].to_numpy(), cell.shape[1]), "v": pdf["v"].repeat(cell.shape[1]).to_numpy()})
+    groups = min(GROUPS, len(coder.centres))
 
     def meet(parts):
+        best: dict[int, np.ndarray] = {}  # of each query, the k highest lower bounds that this task has seen
         for pdf in parts:
             for r in pdf.itertuples():
                 ids, steps, errors = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.steps, "<f4"), np.frombuffer(r.errors, "<f4")
                 codes = np.frombuffer(r.codes, np.uint8).reshape(len(ids), -1)
-                own, q = np.array([x["id"] for x in r.asked]), _units(x["v"] for x in r.asked)
+                own = np.frombuffer(r.own, "<i8")
+                some = np.frombuffer(r.hits, bool).reshape(len(own), -1)[:, r.cell // groups]
+                own, q = own[some], np.frombuffer(r.asked).reshape(len(some), dim)[some]
+                if not len(own):
+                    continue
                 found = (q @ sent.value.centres[r.cell])[:, None] + (q @ sent.value.turn.T) @ sent.value.decode(codes, steps).T
                 found[own[:, None] == ids[None, :]] = -np.inf
+                found[~np.isfinite(found)] = -np.inf
                 doubt = WIDTH * errors / math.sqrt(dim)
-                floor = np.partition(found - doubt, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
-                i, j = np.nonzero((found + doubt >= floor[:, None]) & np.isfinite(found))
-                yield pd.DataFrame({"query": own[i], "id": ids[j], "estimate": found[i, j], "doubt": doubt[j]})
-
-    q = queries.where(F.col(key).isNotNull() & (F.size(column) == dim)).select(F.col(key).cast("long").alias("id"), _doubles(column).alias("v"))
-    asked = q.mapInPandas(ask, "cell int, id long, v array<double>")
-    packs = max(1, -(-q.count() // block))
-    asked = asked.groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(packs)).alias("pack")).agg(F.collect_list(F.struct("id", "v")).alias("asked")).drop("pack")  # about `block` queries
-    met = index.join(asked, "cell").mapInPandas(meet, "query long, id long, estimate double, doubt double")
+                low = found - doubt
+                low = np.partition(low, -k, axis=1)[:, -k:] if low.shape[1] > k else low
+                old = np.stack([best[i] if i in best else np.full(k, -np.inf) for i in own.tolist()])
+                kept = np.sort(np.concatenate([old, low], axis=1), axis=1)[:, -k:]
+                best.update(zip(own.tolist(), kept, strict=True))
+                i, j = np.nonzero((found + doubt >= kept[:, :1]) & np.isfinite(found))
+                if len(i):
+                    yield pd.DataFrame({"query": own[i], "id": ids[j], "estimate": found[i, j], "doubt": doubt[j]})
+
+    asked = asked_cells(queries, coder, key, column, block)
+    met = index.withColumn("part", F.col("cell") % groups).join(asked, "part").mapInPandas(meet, "query long, id long, estimate double, doubt double")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.col("estimate") - F.col("doubt")), "id"))
     floor = met.withColumn("p", place).where(F.col("p") <= k).groupBy("query").agg(F.min(F.col("estimate") - F.col("doubt")).alias("floor"))
     return met.join(floor, "query").where(F.col("estimate") + F.col("doubt") >= F.col("floor")).select("query", "id", "estimate", "doubt")
