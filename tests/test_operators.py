@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -333,3 +334,19 @@ def test_many_wild_rules_meet_pages_by_a_piece(spark):
     assert sorted((r.page_id, r.r_id) for r in got.collect()) == want and len({x for _, x in want}) >= 20
     long = joins.match_rules(pages, rules.where("length(url_pattern) > 12"), most_broadcast=10)
     assert "NestedLoop" not in long._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_among_ties_and_vectors_without_length(spark):
+    from tidemark.operators import vectors
+
+    rows = [(i, [float(i % 3), 1.0] if i % 5 else [0.0, 0.0]) for i in range(40)] + [(99, [float("nan"), 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    cos = lambda a, b: 0.0 if not (np.linalg.norm(a) and np.linalg.norm(b)) else float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)))
+    want = {i: [j for _, j in sorted((-round(cos(a, b), 12), j) for j, b in rows[:-1] if j != i)[:4]] for i, a in rows[:4]}
+    got: dict = {}
+    for r in vectors.neighbours(v, v.where("vec_id < 4"), 4, block=2).withColumn("score", F.round("score", 12)).orderBy("query", "place").collect():
+        got.setdefault(r["query"], []).append((r.vec_id, r.score))
+    assert {i: [(s) for _, s in x] for i, x in got.items()} == {i: [round(cos(rows[i][1], rows[j][1]), 12) for j in js] for i, js in want.items()}
+    plain = vectors._batches(v, "vec_id", "embedding")
+    assert dict(plain.dtypes) == {"ids": "binary", "vs": "binary"}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{8 << 20}b"

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import bound
+
 
 def _doubles(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("array<double>")
@@ -78,43 +80,61 @@ def similar_to(vectors: DataFrame, stored: int | str, k: int = 10, key: str = "v
 
 
 def _packs(queries: DataFrame, key: str, column: str, block: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """Queries in packs of about `block` rows, or fewer within each value of `by`."""
+    """own, asked (binary): queries in packs of about `block` rows, or fewer within each value of `by`."""
+    bound(queries.sparkSession)
     n = max(1, -(-queries.count() // block))
     q = queries.select(*by, F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("pack"), F.struct(F.col(key).cast("long").alias("id"), _doubles(column).alias("v")).alias("r"))
-    return q.groupBy(*by, "pack").agg(F.collect_list("r").alias("queries")).drop("pack")
+
+    def run(parts):
+        for pdf in parts:
+            for value, rows in zip(zip(*(pdf[c] for c in by), strict=True) if by else [()] * len(pdf), pdf["queries"], strict=True):
+                yield pd.DataFrame({c: [x] for c, x in zip(by, value, strict=True)} | {"own": [np.array([r["id"] for r in rows], "<i8").tobytes()], "asked": [np.array([r["v"] for r in rows], "<f8").tobytes()]})
+
+    packs = q.groupBy(*by, "pack").agg(F.collect_list("r").alias("queries")).drop("pack")
+    return packs.mapInPandas(run, "".join(f"{c} {packs.schema[c].dataType.simpleString()}, " for c in by) + "own binary, asked binary")
 
 
 def _batches(vectors: DataFrame, key: str, column: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Vectors in batches, as tasks read them: no row moves."""
+    """ids, vs (binary): vectors in batches, as tasks read them: no row moves."""
 
     def run(parts):
         for pdf in parts:
             for value, rows in pdf.groupby(list(by), sort=False) if by else [((), pdf)]:
                 for i in range(0, len(rows), 4096):
                     some = rows.iloc[i : i + 4096]
-                    yield pd.DataFrame({c: [x] for c, x in zip(by, value, strict=True)} | {"ids": [some["id"].to_numpy()], "vs": [list(some["v"])]})
+                    yield pd.DataFrame({c: [x] for c, x in zip(by, value, strict=True)} | {"ids": [some["id"].to_numpy("<i8").tobytes()], "vs": [np.array(list(some["v"]), "<f8").tobytes()]})
 
+    bound(vectors.sparkSession)
     v = vectors.select(*by, F.col(key).cast("long").alias("id"), _doubles(column).alias("v"))
     kinds = "".join(f"{c} {v.schema[c].dataType.simpleString()}, " for c in by)
-    return v.mapInPandas(run, f"{kinds}ids array<long>, vs array<array<double>>")
+    return v.mapInPandas(run, f"{kinds}ids binary, vs binary")
 
 
 def _best(met: DataFrame, k: int, key: str) -> DataFrame:
-    """query, place, key, score from batches that met packs, each as one matrix product; a batch keeps k rows for each query, and a second step k of those."""
+    """query, place, key, score from batches that met packs, each as matrix products; a batch keeps k rows for each query, and a second step k of those."""
 
     def run(parts):
         for pdf in parts:
-            for ids, vs, rows in zip(pdf["ids"], pdf["vs"], pdf["queries"], strict=True):
-                x, y = np.array(list(vs)), np.array([r["v"] for r in rows])
-                own, ids = np.array([r["id"] for r in rows]), np.asarray(ids)
-                size = np.linalg.norm(y, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-                score = np.where(size > 0, (y @ x.T) / np.where(size > 0, size, 1), 0.0)
-                score[own[:, None] == ids[None, :]] = -np.inf
-                top = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-                out = pd.DataFrame({"query": np.repeat(own, top.shape[1]), key: ids[top].ravel(), "score": np.take_along_axis(score, top, 1).ravel()})
-                yield out[np.isfinite(out["score"])]
-
-    kept = met.select("ids", "vs", "queries").mapInPandas(run, f"query long, {key} long, score double")
+            for r in pdf.itertuples():
+                ids, owns = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.own, "<i8")
+                if not len(ids) or not len(owns):
+                    continue
+                x, ys = np.frombuffer(r.vs).reshape(len(ids), -1), np.frombuffer(r.asked).reshape(len(owns), -1)
+                length = np.linalg.norm(x, axis=1)
+                for at in range(0, len(owns), 256):
+                    y, own = ys[at : at + 256], owns[at : at + 256]
+                    size = np.linalg.norm(y, axis=1)[:, None] * length[None, :]
+                    score = np.where(size > 0, (y @ x.T) / np.where(size > 0, size, 1), 0.0)
+                    score[(own[:, None] == ids[None, :]) | ~np.isfinite(score)] = -np.inf
+                    least = np.partition(score, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(own), -np.inf)
+                    i, j = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+                    order = np.lexsort((ids[j], -score[i, j], i))
+                    i, j = i[order], j[order]
+                    kept = np.arange(len(i)) - np.searchsorted(i, i) < k  # of ties with the last place, the smaller keys
+                    i, j = i[kept], j[kept]
+                    yield pd.DataFrame({"query": own[i], key: ids[j], "score": score[i, j]})
+
+    kept = met.select("ids", "vs", "own", "asked").mapInPandas(run, f"query long, {key} long, score double")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))  # tasks keep k rows of a query each before they meet
     return kept.withColumn("place", place).where(F.col("place") <= k).select("query", "place", key, "score")
 
