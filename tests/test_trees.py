@@ -70,3 +70,17 @@ def test_subtree_sums(pages, nodes):
 def test_refusals(nodes):
     with pytest.raises(ValueError):
         trees.select(nodes, "//p[")
+
+
+def test_pages_go_to_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    trees.node_table(spark.createDataFrame([(1, "<p>a</p>")], "page_id long, html string"))
+    assert spark.conf.get(key) == f"{8 << 20}b"
+    spark.conf.unset(key)
+    dom.extract_column("html"), dom.clean_column("html")
+    assert spark.conf.get(key) == f"{8 << 20}b"
+    spark.conf.set(key, "123456b")
+    dom.extract_column("html")
+    assert spark.conf.get(key) == "123456b"
+    spark.conf.unset(key)

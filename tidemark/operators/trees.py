@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dom
+from ..functions.batches import bound
 from .shared import new_folder
 
 _NODE = "pre: int, last: int, parent: int, depth: int, tag: string, nth: int, twins: int, attrs: map<string,string>, text: string, text_bytes: int, own_bytes: int, skipped: boolean"
@@ -58,6 +59,7 @@ def node_table(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda h: [] if h is None else list(_nodes(h)))
 
+    bound(pages.sparkSession)
     return pages.select(F.col(key).alias("page"), F.explode(run(F.col(html))).alias("n")).select(F.col("page").alias(key), "n.*")
 
 
