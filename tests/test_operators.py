@@ -350,3 +350,12 @@ def test_neighbours_among_ties_and_vectors_without_length(spark):
     plain = vectors._batches(v, "vec_id", "embedding")
     assert dict(plain.dtypes) == {"ids": "binary", "vs": "binary"}
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{8 << 20}b"
+
+
+def test_rules_of_one_pattern_are_spread_over_partitions(spark, monkeypatch):
+    monkeypatch.setattr(joins, "SIDE", 8)
+    pages = spark.createDataFrame([(i, f"https://a.org/en/{i % 3}") for i in range(60)], "page_id long, url string")
+    rules = spark.createDataFrame([(str(i), "http*/en/1", "", True) for i in range(200)], "id string, url_pattern string, page_id string, enabled boolean")
+    got = joins.match_rules(pages, rules, most_broadcast=10).withColumn("part", F.spark_partition_id()).collect()
+    assert sorted((r.page_id, r.r_id) for r in got) == sorted((i, str(j)) for i in range(1, 60, 3) for j in range(200))
+    assert max(sum(r.part == p for r in got) for p in {r.part for r in got}) < len(got) / 5

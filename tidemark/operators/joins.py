@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .shared import new_folder
 
 
 #: Rules of no fixed host that are broadcast to the pages, and the length of the pieces by which more of them meet pages.
 MOST_BROADCAST, GRAM = 10_000, 4
+#: Rows of either side in a square of pairs, and most partitions that squares are dealt to.
+SIDE, MOST_PARTS = 2048, 10_000
 
 
 def glob_prefix(pattern: Column) -> Column:
@@ -57,15 +60,40 @@ def match_rules(pages: DataFrame, rules: DataFrame, url: str = "url", page_id: s
     r = r.withColumn("_origin", origin(F.col("_fixed")))
     hit = F.col(url).startswith(F.col("_fixed")) & F.regexp_like(F.col(url), F.col("_regex"))
     near = pages.withColumn("_origin", origin(F.col(url))).join(r.where("_origin <> ''"), "_origin").where(hit)
-    wild = r.where("_origin = ''")
+    every = r.where("_origin = ''")
+    # of rules with one pattern, one is matched, and what it matches meets them all
+    wild = every.select("r_url_pattern").distinct().withColumn("_regex", text.glob_to_regex("r_url_pattern")).withColumn("_fixed", glob_prefix(F.col("r_url_pattern")))
     cols = [*pages.columns, *(f"r_{c}" for c in rules.columns)]
     out = by_page.select(*cols).unionByName(near.select(*cols))
-    if wild.limit(most_broadcast + 1).count() <= most_broadcast:
-        return out.unionByName(pages.join(F.broadcast(wild), hit).select(*cols))
-    met, bare = by_rarest_piece(pages, wild, url, "r_url_pattern")
-    out = out.unionByName(met.where(hit).select(*cols))
+    if every.limit(most_broadcast + 1).count() <= most_broadcast:
+        return out.unionByName(pages.join(F.broadcast(every), hit).select(*cols))
+    found, bare = by_rarest_piece(pages, wild, url, "r_url_pattern")
+    found = found.where(hit).select(*pages.columns, "r_url_pattern")
     n = bare.limit(most_broadcast + 1).count()
-    return out if not n else out.unionByName(pages.join(F.broadcast(bare) if n <= most_broadcast else bare, hit).select(*cols))
+    if n:
+        found = found.unionByName(pages.join(F.broadcast(bare) if n <= most_broadcast else bare, hit).select(*pages.columns, "r_url_pattern"))
+    return out.unionByName(_spread(found, every.select(*(f"r_{c}" for c in rules.columns)), "r_url_pattern").select(*cols))
+
+
+def _spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left and right joined by a key of which both have many rows: its pairs are dealt in squares of SIDE rows of each, to as many partitions as they need.
+
+    left is written to the shared folder, for it is counted first. Rows go by a hash of their columns; each is copied once
+    for every square in its line.
+    """
+    spark = left.sparkSession
+    path = new_folder(spark, "matches")
+    left.write.parquet(path)
+    left = spark.read.schema(left.schema).parquet(path)
+    counts = left.groupBy(key).agg(F.count("*").alias("_l")).join(right.groupBy(key).agg(F.count("*").alias("_r")), key)
+    counts = counts.select(key, *(F.ceil(F.col(c) / SIDE).cast("int").alias(c) for c in ("_l", "_r")))
+    squares = counts.agg(F.sum(F.col("_l") * F.col("_r").cast("long"))).first()[0] or 0
+    plain = lambda df: [c for c, kind in df.dtypes if "map<" not in kind]
+    at = lambda df, own, other: df.join(counts, key).withColumn(own, F.pmod(F.xxhash64(*plain(df)), F.col(own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+    # a number of partitions that is named is not coalesced: what goes in is small, and what comes out is not
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(squares, MOST_PARTS))
+    a, b = (x.repartition(parts, key, "_l", "_r") for x in (at(left, "_l", "_r"), at(right, "_r", "_l")))
+    return a.join(b.hint("shuffle_hash"), [key, "_l", "_r"]).drop("_l", "_r")
 
 
 def best_rule(matches: DataFrame, key: str = "page_id") -> DataFrame:

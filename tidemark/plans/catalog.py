@@ -425,7 +425,7 @@ def match_rules_wild(spark, d):
     e = F.col("event_id")
     pattern = F.concat(F.lit("http*"), pick(("/en/", "/de/", "/fr/", "?es/"), e % 4), (e % 1000).cast("string"), pick(("", "*", "[/?]*", "?page=[0-9]*"), F.floor(e / 4) % 4))
     r = table(spark, d, "events").select(e.cast("string").alias("id"), pattern.alias("url_pattern"), F.lit(0).alias("priority"), F.lit("").alias("page_id"), F.lit(True).alias("enabled"))
-    return joins.match_rules(table(spark, d, "pages"), r, most_broadcast=100).select("page_id", "r_id")
+    return joins.match_rules(table(spark, d, "pages").select("page_id", "url"), r, most_broadcast=100).select("page_id", "r_id")
 
 
 @query("""
