@@ -119,3 +119,26 @@ def test_refusals_and_an_empty_index(spark, tmp_path):
         with pytest.raises(QueryError):
             index.ranked(bad).collect()
     assert segments.FIRST > 0
+
+
+def test_rows_that_repeat_a_key_are_documents_of_their_own(spark, tmp_path):
+    index = Segments(spark, f"file://{tmp_path}", "id", ("text",), buckets=4, block=16)
+    index.change(spark.createDataFrame([(1, "a a b"), (1, "a c"), (2, "c")], "id long, text string"))
+    assert index.documents().count() == 3
+    assert sorted(map(tuple, index.vocabulary().collect())) == [("a", 2, 3), ("b", 1, 1), ("c", 2, 2)]
+
+
+def test_ranges_are_merged_whole(spark, tmp_path, monkeypatch):
+    """Small ranges are put together, up to the block; a long document keeps a range of its own; deleted documents leave theirs."""
+    monkeypatch.setattr(segments, "LONG", 50)
+    index = Segments(spark, f"file://{tmp_path}", "id", ("text",), buckets=4, block=16)
+    for k in range(3):
+        index.change(spark.range(k * 4, k * 4 + 4).select("id", F.concat(F.lit("all x"), F.col("id"), F.when(F.col("id") % 4 == 3, F.repeat(F.lit(" word"), 60)).otherwise("")).alias("text")), spark.range(1))
+    assert index.merge(fan=3) and not list(tmp_path.glob("texts/segment*")) and not list(tmp_path.glob("ranges/segment*"))
+    ranges = {}
+    for r in index.documents().collect():
+        ranges.setdefault(r.range, []).append(r.doc)
+    assert all(len(x) == 1 or not {3, 7, 11} & set(x) for x in ranges.values()) and all(len(x) <= 16 for x in ranges.values())
+    blocks = index._read("postings", index.state()[0]).where("term = 'all'").collect()
+    assert sorted(d for b in blocks for d in b.docs) == list(range(1, 12)) and sum(b.n for b in blocks) == 11
+    assert sorted(r.id for r in index.ranked("all", None).collect()) == list(range(1, 12))

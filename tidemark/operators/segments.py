@@ -6,8 +6,8 @@
     deleted/change=/segment=/        doc: documents of older segments that a change has replaced or deleted
     log/                             change, segment, live: one file a change, which makes all that it has written visible at once
 
-A range holds up to BLOCK documents of about one length, the same ones for all terms of a segment; a block is what a term has
-in a range. With its largest frequency and its smallest length, a block bounds the score that its term can add to any document,
+A range holds up to BLOCK documents of about one length, the same ones for all terms of a segment (one of more than LONG terms
+has a range of its own); a block is what a term has in a range, and all blocks of a range are made in one group. With its largest frequency and its smallest length, a block bounds the score that its term can add to any document,
 whatever the mean length and the number of documents have become since. Segments are never changed: a change writes one of its
 own, and merges put segments of about one size together. One writer at a time; readers need no lock.
 """
@@ -18,14 +18,19 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .search import BUCKETS, K1, B, Near, Phrase, QueryError, _bucket, leaves, parse, terms
-from .shared import exists
+from .shared import delete, exists
 
 #: Documents in a range (a power of two), ranges that a first pass reads, segments of a size that are merged, and places of a column.
 BLOCK, FIRST, FAN, PLACES = 128, 16, 4, 1 << 32
+#: Terms of a document beyond which it shares its range with no other, so that a group of texts or blocks is bounded.
+LONG = 1 << 14
 
 
 def head(term: Column) -> Column:
@@ -63,6 +68,61 @@ def _score(f: Column, length: Column, idf: float, mean: float) -> Column:
     return F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.lit(mean)))
 
 
+def _packed(number: pa.Scalar, names: pa.Array, code: np.ndarray, docs: pa.Array, tf: np.ndarray, length: np.ndarray, positions: pa.ListArray) -> pa.Table:
+    """The blocks of a range, from its postings in the order of their terms' codes."""
+    starts = np.flatnonzero(np.diff(code, prepend=-1))
+    ends = pa.array(np.append(starts, len(code)), pa.int32())
+    listed = lambda x: pa.ListArray.from_arrays(ends, x)
+    least = lambda f, x: f.reduceat(x, starts) if len(starts) else x
+    return pa.table({
+        "term": names.take(pa.array(code[starts])), "range": pa.repeat(number, len(starts)), "n": pa.array(np.diff(ends.to_numpy()), pa.int64()),
+        "max_tf": pa.array(least(np.maximum, tf), pa.int32()), "min_length": pa.array(least(np.minimum, length), pa.int32()),
+        "docs": listed(docs), "tfs": listed(pa.array(tf, pa.int32())), "lengths": listed(pa.array(length, pa.int32())), "positions": listed(positions),
+    })
+
+
+def _text_blocks(t: pa.Table) -> pa.Table:
+    """Blocks of a range's documents: doc, length, and lines of terms (_t0, _t1, ..)."""
+    t = t.sort_by([("doc", "ascending"), ("n", "ascending")]).combine_chunks()
+    row, word, place = [], [], []
+    for i in range(sum(c.startswith("_t") for c in t.column_names)):
+        words = pc.split_pattern(t[f"_t{i}"].combine_chunks(), " ")
+        offsets, at = words.offsets.to_numpy(), pc.list_parent_indices(words).to_numpy()
+        some = np.flatnonzero(pc.not_equal(flat := words.flatten(), "").to_numpy(zero_copy_only=False))
+        row.append(at[some].astype(np.int64))
+        word.append(flat.take(pa.array(some)))
+        place.append((some + offsets[0] - offsets[at[some]]) + i * PLACES)
+    coded = pa.concat_arrays(word).dictionary_encode()
+    key = coded.indices.to_numpy().astype(np.int64) * t.num_rows + np.concatenate(row)
+    order = np.argsort(key, kind="stable")  # places of a term in a document stay in order
+    key, place = key[order], np.concatenate(place)[order]
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    ends = np.append(starts, len(key))
+    code, at = np.divmod(key[starts], t.num_rows)
+    positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place, pa.int64()))
+    return _packed(t["range"][0], coded.dictionary, code, t["doc"].combine_chunks().take(pa.array(at)), np.diff(ends), t["length"].to_numpy()[at], positions)
+
+
+def _merged_blocks(t: pa.Table) -> pa.Table:
+    """Blocks of a range, from those of the ranges (segment, old) that are put together in it, without the documents in gone."""
+    t = t.combine_chunks()
+    at = pc.list_parent_indices(t["docs"].combine_chunks())
+    e = pa.table({c: t[c].combine_chunks().flatten() for c in ("docs", "tfs", "lengths", "positions")} | {"code": t["term"].combine_chunks().dictionary_encode().indices.take(at)})
+    old = t.select(["segment", "old"]).to_pandas().groupby(["segment", "old"]).ngroup().to_numpy()
+    once = pa.array(np.unique(old, return_index=True)[1])  # gone is the same list in all blocks of a range
+    gone = t["gone"].combine_chunks().take(once)
+    lost = gone.flatten()
+    if len(lost):
+        ids = pa.concat_arrays([e["docs"].combine_chunks(), lost]).dictionary_encode()
+        ids, wide = ids.indices.to_numpy().astype(np.int64), len(ids.dictionary)
+        dead = ids[len(at) :] + pc.list_parent_indices(gone).to_numpy() * wide  # of the n-th range, as in old
+        e = e.filter(pa.array(~np.isin(ids[: len(at)] + old[at.to_numpy()] * wide, dead)))
+    e = e.take(pc.sort_indices(e, [("code", "ascending"), ("docs", "ascending")])).combine_chunks()
+    names = t["term"].combine_chunks().dictionary_encode().dictionary
+    column = lambda c: e[c].combine_chunks()
+    return _packed(t["range"][0], names, column("code").to_numpy().astype(np.int64), column("docs"), column("tfs").to_numpy(), column("lengths").to_numpy(), column("positions"))
+
+
 @dataclass(frozen=True)
 class Segments:
     """The index below path of the named columns of rows with a key.
@@ -126,8 +186,16 @@ class Segments:
     def vocabulary(self) -> DataFrame:
         """term, documents, occurrences over the documents that are there."""
         segments, changes = self.state()
-        rows = self._entries(self._read("postings", segments), self._deleted(segments, changes))
-        return rows.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))
+        deleted = self._deleted(segments, changes)
+        dirty = [r[0] for r in deleted.select("segment").distinct().collect()] if deleted is not None else []  # segments
+        rows = self._counts([s for s in segments if s not in dirty])
+        if dirty:  # documents that are there must be told from others
+            rows = rows.unionByName(self._entries(self._read("postings", dirty), deleted).select("term", F.lit(1).cast("long").alias("n"), F.col("tf").cast("long").alias("tf")))
+        return rows.groupBy("term").agg(F.sum("n").alias("documents"), F.sum("tf").alias("occurrences"))
+
+    def _counts(self, segments: list[int]) -> DataFrame:
+        """term, n, tf: documents and occurrences in each block."""
+        return self._read("postings", segments).select("term", "n", F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x).alias("tf"))
 
     def _entries(self, blocks: DataFrame, deleted: DataFrame | None, *more: str) -> DataFrame:
         """A row for each document of each block: segment, range, term, doc, tf, length, then the columns named in more (their elements)."""
@@ -146,27 +214,35 @@ class Segments:
             dead = self.documents().join(reduce(DataFrame.unionByName, gone).distinct(), "doc", "left_semi").select("doc", "segment")
             dead.write.mode("overwrite").partitionBy("segment").parquet(f"{self.path}/deleted/change={n}")
         if upserts is not None:
-            d = upserts.where(F.col(self.key).isNotNull()).select(F.col(self.key).alias("doc"), *(F.coalesce(terms(c), F.array().cast("array<string>")).alias(f"_t{i}") for i, c in enumerate(self.columns)))
-            lengths = d.select("doc", sum((F.size(f"_t{i}") for i in range(len(self.columns))), F.lit(0)).alias("length"))
-            each = [d.select("doc", F.posexplode(f"_t{i}").alias("place", "term")).withColumn("place", F.col("place") + F.lit(i * PLACES)) for i in range(len(self.columns))]
-            rows = reduce(DataFrame.unionByName, each).groupBy("doc", "term").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("place")).alias("positions"))
-            self._write(n, lengths, rows)
+            self._add(n, upserts)
         self._commit(n, [(n, n, True)] if upserts is not None else [(n, -1, True)])
         return n
 
-    def _write(self, n: int, lengths: DataFrame, rows: DataFrame) -> None:
-        """Segment n of documents (doc, length) and their terms (doc, term, tf, positions)."""
+    def _add(self, n: int, upserts: DataFrame) -> None:
+        """Segment n of rows. Texts are dealt by their sizes and split into terms once; then a range's documents meet, and its blocks are made there."""
+        names = [f"_t{i}" for i in range(len(self.columns))]
+        d = upserts.where(F.col(self.key).isNotNull()).select(F.col(self.key).alias("doc"), *(F.coalesce(F.col(c), F.lit("")).alias(t) for c, t in zip(self.columns, names, strict=True)))
+        ordered = d.withColumn("size", sum((F.octet_length(t) for t in names), F.lit(0))).repartitionByRange("size", "doc").sortWithinPartitions("size", "doc")
+        at = f"{self.path}/texts/segment={n}"
+        ordered.select("doc", F.monotonically_increasing_id().alias("n"), *(F.array_join(terms(t), " ").alias(t) for t in names)).write.mode("overwrite").parquet(at)
+        lines = self.spark.read.schema(f"doc {self.key_type}, n long, {', '.join(f'{t} string' for t in names)}").parquet(at)
+        words = lambda t: F.when(F.col(t) == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
+        lines = lines.withColumn("length", sum((words(t) for t in names), F.lit(0)).cast("int"))
+        alone = F.col("n").bitwiseOR(F.lit(1 << 62))  # no other number of a range is as large
+        lines = lines.withColumn("range", F.when(F.col("length") > LONG, alone).otherwise(F.shiftright("n", int(math.log2(self.block)))))
+        self._write(n, lines.select("doc", "length", "range"), lines.groupBy("range").applyInArrow(_text_blocks, self._made()))
+        delete(self.spark, at)
+
+    def _made(self) -> str:
+        return self._schema("postings").removesuffix(", segment long, bucket int")
+
+    def _write(self, n: int, documents: DataFrame, blocks: DataFrame) -> None:
+        """Segment n of documents (doc, length, range) and their blocks. Tasks write the blocks of their ranges to all buckets."""
         at = f"segment={n}"
-        ordered = lengths.repartitionByRange("length", "doc").sortWithinPartitions("length", "doc")
-        numbered = ordered.select("doc", F.col("length").cast("int").alias("length"), F.shiftright(F.monotonically_increasing_id(), int(math.log2(self.block))).alias("range"))
-        numbered.write.mode("overwrite").parquet(f"{self.path}/documents/{at}")
-        placed = rows.join(self._read("documents", [n]).select("doc", "length", "range"), "doc")
-        entry = F.array_sort(F.collect_list(F.struct("doc", "tf", "length", "positions"))).alias("e")  # as many as a range has documents
-        blocks = placed.groupBy("term", "range").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), entry)
-        blocks = blocks.select("term", "range", "n", "max_tf", "min_length", *(F.col(f"e.{c}").alias(a) for c, a in (("doc", "docs"), ("tf", "tfs"), ("length", "lengths"), ("positions", "positions"))))
-        blocks = blocks.withColumn("bucket", _bucket(F.col("term"), self.buckets)).repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range")
+        documents.write.mode("overwrite").parquet(f"{self.path}/documents/{at}")
+        blocks = blocks.withColumn("bucket", _bucket(F.col("term"), self.buckets)).sortWithinPartitions("bucket", "term", "range")
         blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/{at}")
-        known = self._read("postings", [n]).groupBy("term").agg(F.sum("n").alias("documents"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)).alias("occurrences"))
+        known = self._counts([n]).groupBy("term").agg(F.sum("n").alias("documents"), F.sum("tf").alias("occurrences"))
         known = known.withColumn("head", head(F.col("term"))).repartitionByRange("head", "term").sortWithinPartitions("head", "term")
         # version 2 pages code each term by what it shares with the one before, and keep the least and greatest of each page
         known.write.mode("overwrite").option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "false").partitionBy("head").parquet(f"{self.path}/terms/{at}")
@@ -188,11 +264,31 @@ class Segments:
             if ready is None:
                 return done
             n, gone = max(changes) + 1, self._deleted(ready, changes)
-            lengths = self._without(self._read("documents", ready).select("segment", "doc", "length"), gone).select("doc", "length")
-            self._write(n, lengths, self._entries(self._read("postings", ready), gone, "positions").select("doc", "term", "tf", "positions"))
+            self._join(n, ready, gone)
             self._commit(n, [(n, n, True), *((n, s, False) for s in ready)])
             done.append(ready)
 
+    def _join(self, n: int, ready: list[int], gone: DataFrame | None) -> None:
+        """Segment n of the documents of others. Ranges are put together whole: of those with at most a half (a quarter, ..) of the block, two (four, ..) of about one length."""
+        documents = self._read("documents", ready).select("segment", "doc", "length", F.col("range").alias("old"))
+        there = self._without(documents, gone)
+        fits = F.when(F.col("length") > LONG, 0).otherwise(F.floor(F.log2(F.lit(float(self.block)) / F.col("n")) + 1e-9)).cast("int")
+        # a row for each range, of its documents that are there
+        old = there.groupBy("segment", "old").agg(F.count("*").alias("n"), F.max("length").alias("length")).withColumn("fits", F.greatest(fits, F.lit(0)))
+        at = f"{self.path}/ranges/segment={n}"
+        ordered = old.repartitionByRange("fits", "length", "segment", "old").sortWithinPartitions("fits", "length", "segment", "old")
+        ordered.select("segment", "old", "fits", F.monotonically_increasing_id().alias("i")).write.mode("overwrite").parquet(at)
+        number = F.expr("shiftleft(shiftleft(shiftright(i, fits), fits), 6) + fits")
+        ranges = self.spark.read.schema("segment long, old long, fits int, i long").parquet(at).select("segment", "old", number.alias("range"))
+        blocks = self._read("postings", ready).select("segment", F.col("range").alias("old"), "term", "docs", "tfs", "lengths", "positions").join(ranges, ["segment", "old"])
+        if gone is None:
+            blocks = blocks.withColumn("gone", F.lit(None).cast(f"array<{self.key_type}>"))
+        else:  # as many as a range has documents
+            dead = documents.join(gone, ["segment", "doc"], "left_semi").groupBy("segment", "old").agg(F.collect_set("doc").alias("gone"))
+            blocks = blocks.join(dead, ["segment", "old"], "left")
+        self._write(n, there.join(ranges, ["segment", "old"]).select("doc", "length", "range"), blocks.groupBy("range").applyInArrow(_merged_blocks, self._made()))
+        delete(self.spark, at)
+
     # -- search ---------------------------------------------------------------------------------------------------------
 
     def prefixed(self, prefix: str) -> DataFrame:
