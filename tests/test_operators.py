@@ -359,3 +359,15 @@ def test_rules_of_one_pattern_are_spread_over_partitions(spark, monkeypatch):
     got = joins.match_rules(pages, rules, most_broadcast=10).withColumn("part", F.spark_partition_id()).collect()
     assert sorted((r.page_id, r.r_id) for r in got) == sorted((i, str(j)) for i in range(1, 60, 3) for j in range(200))
     assert max(sum(r.part == p for r in got) for p in {r.part for r in got}) < len(got) / 5
+
+
+def test_texts_are_split_once_a_reading(spark):
+    """Neither filters nor generators repeat the splitting of texts: one for the counts, one for the ranks."""
+    docs = spark.createDataFrame([(1, "the lad of the of the"), (1, "of the"), (2, "and of"), (3, None)], "id long, text string")
+    split = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("translate(")
+    query = '("of the" OR lad*) NOT and'
+    index = search.index(docs, "id", ("text",))
+    assert split(search.bm25(docs, query, "id", ("text",), limit=None)) == split(search.bm25_index(index, query, "id", ("text",), limit=None)) == 2
+    assert split(index) == split(search.postings(docs, "id", "text")) == 1
+    assert sorted((r.doc, r.length) for r in index.where("bucket = -1").collect()) == [(1, 2), (1, 6), (2, 2), (3, 0)]
+    assert search.bm25(docs.where("id > 1 OR length(text) > 10"), '"of the"', "id", ("text",)).count() == 1

@@ -44,9 +44,14 @@ def terms(c: Column | str) -> Column:
     return F.regexp_extract_all(fold(c), F.lit(r"([\p{L}\p{N}\p{Co}]+)"))
 
 
+def once(c: Column) -> Column:
+    """A generator of one row, whose value later columns and filters take as it is: an alias would be replaced by its expression in each of them."""
+    return F.explode(F.array(c))
+
+
 def postings(docs: DataFrame, key: str, column: str, only: list[str] | None = None) -> DataFrame:
     """doc, term, tf, positions (from 0), length of the document; only: these terms, dropped before the shuffle."""
-    t = docs.select(F.col(key).alias("doc"), terms(column).alias("_t")).withColumn("length", F.size("_t"))
+    t = docs.select(F.col(key).alias("doc"), once(terms(column)).alias("_t")).withColumn("length", F.size("_t"))
     at = t.select("doc", "length", F.posexplode("_t").alias("position", "term"))
     if only is not None:
         at = at.where(F.col("term").isin(only))
@@ -253,18 +258,22 @@ def matches(tree, columns: dict[str, Column]) -> Column:
 
 def _scored(docs: DataFrame, trees: list, key: str, columns: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
     """key, _k_ of the kept columns, and _hit and _rank of each query, of the documents that any of them matches: texts are read once for counts and once for ranks."""
-    names = {c: F.col(f"_t_{c}") for c in columns}
-    d = docs.select(F.col(key), *(term_line(c).alias(f"_t_{c}") for c in columns), *(F.col(c).alias(f"_k_{c}") for c in keep))
-    length = sum((F.regexp_count(x, F.lit("[^ ]+")) for x in names.values()), F.lit(0))
+    names = {c: F.col(f"_t.t{i}") for i, c in enumerate(columns)}
+    d = docs.select(F.col(key), *(F.col(c).alias(f"_k_{c}") for c in keep), once(F.struct(*(term_line(c).alias(f"t{i}") for i, c in enumerate(columns)))).alias("_t"))
+    # a term has a space before it, and the line ends with one
+    length = sum((F.when(x == "  ", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) - 1) for x in names.values()), F.lit(0))
     wanted = list(dict.fromkeys(p for tree in trees for p in leaves(tree)))
 
     def frequency(p: Phrase) -> Column:
         found = ([names[p.column]] if p.column else list(names.values())) if p.words else []
-        return sum((F.regexp_count(t, F.lit(f"(?={_piece(p)})")) for t in found), F.lit(0))
+        # by the first word, with the rest ahead: only it starts at a space, so no start is passed over
+        head, rest = f" {p.words[0]}" if p.words else "", _piece(p)[len(p.words[0]) + 1 :] if p.words else ""
+        count = lambda t: F.when(t.contains(_piece(p)), F.regexp_count(t, F.lit(f"{head}(?={rest})"))).otherwise(0)
+        return sum((count(t) for t in found), F.lit(0))
 
     hits = {f"_hit{j}": matches(tree, names) for j, tree in enumerate(trees)}
     d = d.withColumns({"_length": length} | hits | {f"_f{i}": frequency(p) for i, p in enumerate(wanted)})
-    d = d.drop(*(f"_t_{c}" for c in columns))
+    d = d.drop("_t")
     stats = d.agg(F.count("*").alias("_n"), F.avg("_length").alias("_avg"), *(F.count(F.when(F.col(f"_f{i}") > 0, 1)).alias(f"_d{i}") for i in range(len(wanted))))
     # one row of counts
     d = d.where(" OR ".join(hits)).join(F.broadcast(stats), how="cross")
@@ -322,14 +331,19 @@ def _bucket(term: Column, buckets: int) -> Column:
 
 def index(docs: DataFrame, key: str, columns: tuple[str, ...], buckets: int = BUCKETS) -> DataFrame:
     """doc, column, term, positions, length, bucket: the postings of docs, and a row of bucket -1 with the length of each document."""
-    d = docs.select(F.col(key).alias("doc"), *(F.coalesce(terms(c), F.array().cast("array<string>")).alias(f"_t_{c}") for c in columns))
-    d = d.withColumn("length", sum((F.size(f"_t_{c}") for c in columns), F.lit(0)))
-    out = d.select("doc", F.lit("").alias("column"), F.lit("").alias("term"), F.array().cast("array<int>").alias("positions"), "length", F.lit(-1).alias("bucket"))
-    for c in columns:
-        at = d.select("doc", F.lit(c).alias("column"), "length", F.posexplode(f"_t_{c}").alias("position", "term"))
-        p = at.groupBy("doc", "column", "term", "length").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-        out = out.unionByName(p.select("doc", "column", "term", "positions", "length", _bucket(F.col("term"), buckets).alias("bucket")))
-    return out
+    none = F.array().cast("array<string>")
+    split = F.struct(*(F.coalesce(terms(c), none).alias(f"t{i}") for i, c in enumerate(columns)))
+    d = docs.select(F.col(key).alias("doc"), once(split).alias("_s"))
+    # the terms of each column, and a term without letters for the document itself
+    each = [F.struct(F.lit(c).alias("column"), F.col(f"_s.t{i}").alias("terms")) for i, c in enumerate(columns)]
+    each.append(F.struct(F.lit("").alias("column"), F.array(F.lit("")).alias("terms")))
+    d = d.select("doc", sum((F.size(f"_s.t{i}") for i in range(len(columns))), F.lit(0)).alias("length"), F.explode(F.array(*each)).alias("_e"))
+    at = d.select("doc", "length", F.col("_e.column").alias("column"), F.posexplode("_e.terms").alias("position", "term"))
+    p = at.groupBy("doc", "column", "term", "length").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    # rows that repeat a key and a length have been put together, but each is a document
+    places = F.when(F.col("term") == "", F.transform("positions", lambda x: F.array().cast("array<int>"))).otherwise(F.array("positions"))
+    bucket = F.when(F.col("term") == "", -1).otherwise(_bucket(F.col("term"), buckets))
+    return p.select("doc", "column", "term", F.explode(places).alias("positions"), "length", bucket.alias("bucket"))
 
 
 def bm25_index(postings: DataFrame, query: str, key: str, columns: tuple[str, ...], limit: int | None = 20, offset: int = 0, buckets: int = BUCKETS) -> DataFrame:
@@ -349,8 +363,12 @@ def bm25_index(postings: DataFrame, query: str, key: str, columns: tuple[str, ..
         asked = asked & (F.col("bucket") >= 0)
     else:
         asked = asked & F.col("bucket").isin(*(_bucket(F.lit(w), buckets) for w in words)) if words else F.lit(False)
-    # of a document, the postings of the query's terms
-    d = postings.where(asked).groupBy("doc").agg(F.first("length").alias("_length"), F.collect_list(F.struct("column", "term", "positions")).alias("_p"))
+    # of a document, its rows of bucket -1 and the postings of the query's terms: one reading for counts and ranks
+    own = F.col("bucket") == -1
+    d = postings.where(asked | own).groupBy("doc").agg(
+        F.first("length").alias("_length"), F.collect_list(F.when(~own, F.struct("column", "term", "positions"))).alias("_p"),
+        F.count(F.when(own, 1)).alias("_rows"), F.sum(F.when(own, F.col("length"))).alias("_sum"),
+    )
 
     def places(column: str, word: str, prefix: bool) -> Column:
         named = F.filter("_p", lambda x: (x["column"] == column) & (x["term"].startswith(word) if prefix else x["term"] == word))
@@ -384,9 +402,8 @@ def bm25_index(postings: DataFrame, query: str, key: str, columns: tuple[str, ..
 
     frequency = {f"_f{i}": sum((F.size(starts(p, c)) for c in ([p.column] if p.column else columns)), F.lit(0)) for i, p in enumerate(wanted)}
     d = d.withColumns({"_hit": hit(tree)} | frequency).drop("_p")
-    stats = postings.where("bucket = -1").agg(F.count("*").alias("_n"), F.avg("length").alias("_avg"))
-    met = d.agg(*(F.count(F.when(F.col(f"_f{i}") > 0, 1)).alias(f"_d{i}") for i in range(len(wanted))))
-    d = d.where("_hit").join(F.broadcast(stats), how="cross").join(F.broadcast(met), how="cross")  # one row of counts each
+    met = d.agg(F.sum("_rows").alias("_n"), (F.sum("_sum") / F.sum("_rows")).alias("_avg"), *(F.count(F.when(F.col(f"_f{i}") > 0, 1)).alias(f"_d{i}") for i in range(len(wanted))))
+    d = d.where("_hit").join(F.broadcast(met), how="cross")  # one row of counts
     score = F.lit(0.0)
     for i in range(len(wanted)):
         idf = F.greatest(F.log((F.col("_n") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5)), F.lit(1e-6))

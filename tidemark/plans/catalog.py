@@ -163,7 +163,8 @@ def fts_index_bm25(spark, d):
     """The same ranks by an index."""
     docs = table(spark, d, "documents")
     ranked = search.bm25_index(search.index(docs, "doc_id", ("text",)), "thing ering", "doc_id", ("text",), limit=None)
-    return docs.select("doc_id", "source").join(ranked, "doc_id").withColumn("rank", F.round("rank", 6)).select("doc_id", "source", "rank")
+    # each ranked document is one of docs; an inner join's filter would part the readings for counts and ranks
+    return ranked.join(docs.select("doc_id", "source"), "doc_id", "left").withColumn("rank", F.round("rank", 6)).select("doc_id", "source", "rank")
 
 
 @query("""
