@@ -132,3 +132,38 @@ def test_a_passage_of_many_documents_is_no_chunk(spark):
     signed = module.documents(df).mapInArrow(module._sign(4, 85), "doc_id long, n_shingles long, digest binary, keys binary")
     keys = signed.select(F.col("doc_id").alias("rep"), "keys").mapInArrow(module._keys, "key long, rep long")
     assert keys.groupBy("key").count().agg(F.max("count")).first()[0] < 60
+
+
+def test_sketches_are_a_metric_below_that_of_their_sets():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.choice([rng.integers(1, 12), rng.integers(1, 900)]))
+        core = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        sets = [np.unique(np.concatenate([core[int(rng.integers(0, n)) :], rng.integers(0, 1 << 63, int(rng.integers(0, n + 1))).astype(np.uint64)])) for _ in range(3)]
+        words = regions.sketch_words(min(map(len, sets)))
+        flat, sizes = regions._folded([regions.sketch(s) for s in sets], words), np.array([len(s) for s in sets])
+        low = [regions.low_distances(flat[i], sizes[i], flat, sizes) for i in range(3)]
+        for i in range(3):
+            for j in range(3):
+                same, either = regions.jaccard(sets[i], sets[j])
+                assert low[i][j] == low[j][i] <= 1 - same / either + regions.SLACK
+                assert all(low[i][j] <= low[i][k] + low[k][j] + regions.SLACK for k in range(3))
+
+
+def test_full_sets_are_moved_only_where_a_link_is_possible(spark, monkeypatch):
+    """Documents of one region at a similarity of 0.7 are told apart by their sketches; the two that are linked are read."""
+    rng = random.Random(5)
+    make = lambda n: [rng.choice([f"v{i}" for i in range(5000)]) for _ in range(n)]
+    base = make(170)
+    rows = [(i, " ".join(base + make(35))) for i in range(60)] + [(100, " ".join(base + make(3)))]
+    rows.append((101, rows[-1][1] + " more"))
+    asked, full_sets = [], module.full_sets
+    monkeypatch.setattr(module, "full_sets", lambda docs, classes, reps, words: (asked.extend(r.rep for r in reps.collect()), full_sets(docs, classes, reps, words))[1])
+    assert found(spark, rows) == brute(rows)
+    assert set(asked) == {100, 101}
+
+
+def test_more_ids_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(module, "MOST_IDS", 0)
+    rows = corpus(6)[:120]
+    assert found(spark, rows) == brute(rows)

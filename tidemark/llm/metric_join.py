@@ -6,8 +6,12 @@ about one size are dealt to so many chunks, by a hash of each shingle, that two
 that is not empty (they differ in fewer shingles than they have such chunks). Each chunk's smallest document is a pivot,
 and its region has the documents that have the chunk; two linked documents are in the region of one pivot at least.
 
-A document's distance to the pivot that it has most chunks in common with is computed first, on full sets, and links are
-contracted. A region that is then one component is done with. In the others all distances are computed, and they are joined
+Distances are taken between sketches of the sets, of two to four bits a shingle in place of 64: these are a metric, and never larger than
+those of the sets (regions.low_distances), so what they put apart is not linked. What they leave is compared on full sets,
+which are moved for no other pairs.
+
+A document and the pivot that it has most chunks in common with are compared first, and links are contracted. A region that
+is then one component is done with. In the others all distances to the pivot are computed, and they are joined
 by regions.voronoi_join: within windows of distance to the pivot, and divided by pivots of their own as long as they are
 large.
 """
@@ -29,10 +33,12 @@ from .common import documents, drop, releasing
 from .common import swept_cut as cut
 from .graph import components
 from .near_dedup import _mixed, full_sets, shingle_sets, text_blocks
-from .regions import BLOCK_DOCS, BLOCK_SHINGLES, jaccard, voronoi_join
+from .regions import BLOCK_DOCS, BLOCK_SHINGLES, SLACK, _folded, low_distances, pair_links, sketch, sketch_words, voronoi_join
 
 #: Largest size of a class of sets over its smallest, about, chunks beyond those that links may spoil, in hundredths, and bytes of a chunk's key.
 RATIO, SPARE, KEY_BYTES = 1.5, 5, 6
+#: Ids of texts to be read that are broadcast at most, in place of a shuffle of all texts.
+MOST_IDS = 1_000_000
 
 
 def bounds(percent: int, most: int = 1 << 40) -> list[int]:
@@ -78,7 +84,7 @@ def _unpacked(packed: pa.Array) -> np.ndarray:
     return np.concatenate([low, np.zeros((len(low), 8 - KEY_BYTES), "u1")], axis=1).view("<i8").ravel()
 
 
-def _sign(words: int, percent: int):
+def _sign(words: int, percent: int, sketches: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = bounds(percent)
         for batch in batches:
@@ -88,7 +94,10 @@ def _sign(words: int, percent: int):
                     batch.column("doc_id").slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.sha256(s.tobytes()).digest()[:16] for s in sets], pa.binary()), pa.array([_packed(chunk_keys(s, percent, least)) if len(s) else b"" for s in sets], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "digest", "keys"])
+                names = ["doc_id", "n_shingles", "digest", "keys"]
+                if sketches:
+                    cols, names = [*cols, pa.array([sketch(s) for s in sets], pa.binary())], [*names, "sketch"]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
@@ -119,17 +128,29 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        met = [jaccard(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")) for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True)]
-        cols = [batch.column("rep"), batch.column("pivot"), pa.array([m[0] for m in met], pa.int64()), pa.array([m[1] for m in met], pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, names=["rep", "pivot", "same", "either"])
-
-
-def _near(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
-    """rep, pivot, same, either (sizes of the intersection and the union of their sets) of the pairs; and the sets of both."""
-    asked = pairs.select("rep").unionByName(pairs.select(F.col("pivot").alias("rep"))).distinct()
+        dist = []
+        for least, n_a, a, n_b, b in zip(*(batch.column(c) for c in ("least", "n_a", "a", "n_b", "b")), strict=True):
+            flat = _folded([a, b], sketch_words(least.as_py()))
+            dist.append(low_distances(flat[0], n_a.as_py(), flat[1:], np.array([n_b.as_py()]))[0])
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("pivot"), pa.array(dist, pa.float64())], names=["rep", "pivot", "dist"])
+
+
+def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """rep, pivot, dist of the pairs (rep, pivot, least: the smallest size of a set that takes part), by their sketches."""
+    side = lambda rep, x: sketches.select(F.col("rep").alias(rep), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(x))
+    both = pairs.join(side("rep", "a"), "rep").join(side("pivot", "b"), "pivot")
+    both = both.withColumn("least", F.least("least", "n_a", "n_b"))  # null: of these two
+    return cut(both.select("rep", "pivot", "least", "n_a", "a", "n_b", "b").mapInArrow(releasing(_distances), "rep long, pivot long, dist double"), "mj-distances")
+
+
+def _asked_sets(docs: DataFrame, classes: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """rep, shingles of the asked representatives (rep); only their texts are shuffled, unless there are more than MOST_IDS of them."""
+    asked = cut(asked, "mj-asked")
+    if asked.count() <= MOST_IDS:
+        docs = docs.join(F.broadcast(asked.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
     sets = cut(full_sets(docs, classes, asked, words), "mj-sets")
-    both = pairs.join(sets.select("rep", F.col("shingles").alias("set_a")), "rep").join(sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("set_b")), "pivot")
-    return cut(both.select("rep", "pivot", "set_a", "set_b").mapInArrow(releasing(_distances), "rep long, pivot long, same long, either long"), "mj-distances"), sets
+    drop(asked)
+    return sets
 
 
 def metric_join(docs: DataFrame, words: int = 4, percent: int = 85, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -144,8 +165,8 @@ def metric_join(docs: DataFrame, words: int = 4, percent: int = 85, block_docs:
     if not 55 <= percent <= 100 or not 1 <= words <= 32:
         raise ValueError("percent is 55 to 100, words 1 to 32")
     d = documents(docs)
-    keyed = cut(d.mapInArrow(releasing(_sign(words, percent)), "doc_id long, n_shingles long, digest binary, keys binary"), "mj-keyed")
-    signed = cut(keyed.drop("keys"), "mj-signed")
+    keyed = cut(d.mapInArrow(releasing(_sign(words, percent, True)), "doc_id long, n_shingles long, digest binary, keys binary, sketch binary"), "mj-keyed")
+    signed = cut(keyed.drop("keys", "sketch"), "mj-signed")
     some = signed.where("n_shingles > 0")
     classes = cut(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles")), "mj-classes")
     several = some.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id")
@@ -154,22 +175,22 @@ def metric_join(docs: DataFrame, words: int = 4, percent: int = 85, block_docs:
     one = keyed.join(classes.select(F.col("rep").alias("doc_id"), "digest", "rep"), ["doc_id", "digest"]).select("rep", "keys").mapInArrow(releasing(_keys), "key long, rep long")
     led = one.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_led, "rep long, pivot long")
     pairs = cut(led.groupBy("rep", "pivot").agg(F.count("*").alias("n")), "mj-pairs")
+    asked = pairs.select("rep").unionByName(pairs.select(F.col("pivot").alias("rep"))).distinct()
+    sketches = keyed.select("doc_id", "digest", F.col("n_shingles").alias("n"), "sketch").join(asked.join(classes, "rep").select("rep", F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"])
+    sketches = cut(sketches.select("rep", "n", "sketch").dropDuplicates(["rep"]), "mj-sketches")
     drop(keyed)
-    nearest = cut(pairs.groupBy("rep").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("x")).select("rep", (-F.col("x.p")).alias("pivot")), "mj-nearest")
-    near, sets = _near(d, classes, nearest, words)
-    drop(sets)
-    linked = lambda near: near.where(100 * F.col("same") >= percent * F.col("either")).select(F.greatest("rep", "pivot").alias("u"), F.least("rep", "pivot").alias("v"))
-    found = cut(linked(near).unionByName(known), "mj-found")
+    sets = lambda asked: _asked_sets(d, classes, asked, words)
+    nearest = pairs.groupBy("rep").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("x")).select("rep", (-F.col("x.p")).alias("pivot"), F.lit(None).cast("long").alias("least"))
+    near = _near(nearest, sketches).where(F.col("dist") <= 1 - percent / 100 + SLACK)
+    found = cut(pair_links(near, sets, percent).unionByName(known), "mj-found")
     # a region that is one component by now needs no distances
     roots = components(found)
     region = pairs.select("pivot", "rep").unionByName(pairs.select("pivot", F.col("pivot").alias("rep")).distinct()).join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    left = cut(region.groupBy("pivot").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("pivot"), "mj-regions")
-    rest = cut(pairs.join(left, "pivot").select("rep", "pivot"), "mj-rest")
-    near, sets = _near(d, classes, rest, words)
-    found = cut(found.unionByName(linked(near)), "mj-found")
-    members = near.select("pivot", "rep", (1 - F.col("same") / F.col("either")).alias("dist"))
-    members = members.unionByName(near.select("pivot").distinct().select("pivot", F.col("pivot").alias("rep"), F.lit(0.0).alias("dist")))
-    members = members.join(classes.select("rep", "n_shingles"), "rep").select(F.col("pivot").cast("string").alias("region"), "rep", "n_shingles", "dist")
-    roots = voronoi_join(members, sets, found, percent, block_docs, block_shingles)
+    region = region.join(sketches.select("rep", "n"), "rep").groupBy("pivot").agg((F.min("root") != F.max("root")).alias("open"), F.min("n").alias("least"))
+    left = cut(region.where("open").select("pivot", "least"), "mj-regions")
+    members = _near(pairs.join(left, "pivot").select("rep", "pivot", "least"), sketches)
+    members = members.unionByName(members.select("pivot").distinct().select(F.col("pivot").alias("rep"), "pivot", F.lit(0.0).alias("dist")))
+    members = members.join(sketches.select("rep", F.col("n").alias("n_shingles")), "rep").select(F.col("pivot").cast("string").alias("region"), "rep", "n_shingles", "dist")
+    roots = voronoi_join(members, sets, found, percent, block_docs, block_shingles, sketches)
     named = cut(classes.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root")), "mj-named")
     return signed.drop("keys").join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
