@@ -62,3 +62,18 @@ def test_a_query_goes_to_a_group_of_cells_once(spark):
     sent = [(r.part, i) for r in got for i in np.frombuffer(r.own, "<i8")]
     assert len(sent) == len(set(sent)) <= codes.GROUPS * 600 < 280 * 600
     assert sum(np.frombuffer(r.hits, bool).sum() for r in got) == 280 * 600
+
+
+def test_tasks_without_rows_and_odd_vectors(spark):
+    x = np.random.default_rng(6).normal(size=(300, 8))
+    odd = [(1000, [float("nan")] + [1.0] * 7), (1050, [None] + [1.0] * 7), (1100, [float("inf")] + [1.0] * 7), (1150, [1.0] * 9), (1200, []), (1250, None)]
+    sc, good = spark.sparkContext, frame(spark, x)
+    parts = [sc.parallelize([(r.vec_id, r.embedding) for r in good.collect()] + odd, 2), sc.parallelize([], 2)]
+    df = spark.createDataFrame(sc.union(parts), good.schema)
+    coder = codes.fit_codes(df, k=5)
+    assert coder.turn.shape == (8, 8) and len(coder.centres) == 18 and np.isfinite(coder.centres).all()
+    index = codes.encoded(df, coder).withColumn("cell", F.col("cell").cast("string")).cache()
+    assert sum(len(r.ids) // 8 for r in index.collect()) == 300
+    found = {(r["query"], r.vec_id) for r in codes.near_by_codes(index, df, df.where("vec_id % 50 = 0"), coder, 5).collect()}
+    want = {(r["query"], r.vec_id) for r in vectors.neighbours(good, good.where("vec_id % 50 = 0"), 5).collect()}
+    assert len(found) == len(want) == 30 and len(found & want) >= 27

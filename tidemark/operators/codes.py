@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.batches import bound
@@ -56,17 +56,23 @@ class Coder:
         return (level - 7.5) * step[:, None]
 
 
+def _finite(c: str) -> Column:
+    """Whether every component is a finite number."""
+    return F.forall(c, lambda x: F.abs(x) < math.inf)
+
+
 def fit_codes(vectors: DataFrame, recall: float = 0.95, k: int = 10, cells: int | None = None, rounds: int = 6, key: str = "vec_id", column: str = "embedding") -> Coder:
     """Cells as many as the root of the number of rows, learned by k-means over TAUGHT rows for each, and probes that find the share `recall`.
 
     Tasks assign rows and sum them up; the driver has the centres only. Rows are chosen by a hash of the key. The number of
-    probes is measured on MEASURED rows at most.
+    probes is measured on MEASURED rows at most. The dimension is that of most rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.where(F.col(column).isNotNull() & F.col(key).isNotNull()).select(F.col(key), _doubles(column).alias("v"))
-    n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
-    if not n or not dim:
+    rows = vectors.where(F.col(key).isNotNull()).select(F.col(key), _doubles(column).alias("v")).where((F.size("v") > 0) & _finite("v"))
+    most = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
+    if most is None:
         raise ValueError("no vectors to learn cells from")
+    dim, n = most
     rows = rows.where(F.size("v") == dim)
     cells = min(cells or math.ceil(math.sqrt(n)), MOST_CELLS)
     part = max(1, n // (TAUGHT * cells))
@@ -84,7 +90,8 @@ def fit_codes(vectors: DataFrame, recall: float = 0.95, k: int = 10, cells: int
                     np.add.at(total, at, x)
                     np.add.at(count, at, 1)
             some = count > 0
-            yield pd.DataFrame({"cell": np.flatnonzero(some), "n": count[some], "total": list(total[some])})
+            if some.any():  # a task without rows, as of a file's split without a row group, has no lists that Arrow could tell the kind of
+                yield pd.DataFrame({"cell": np.flatnonzero(some), "n": count[some], "total": list(total[some])})
 
         got = sample.select("v").mapInPandas(sums, "cell long, n double, total array<double>").select("cell", "n", F.posexplode("total").alias("i", "x")).groupBy("cell", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
         centres = centres.copy()
@@ -105,7 +112,7 @@ def fit_codes(vectors: DataFrame, recall: float = 0.95, k: int = 10, cells: int
 def encoded(vectors: DataFrame, coder: Coder, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """cell, ids, codes, steps, errors (binary columns): the index of every row, in batches of one cell; to be stored partitioned by cell.
 
-    A null key or vector, and one of another dimension, has no code and is nobody's neighbour.
+    A null key or vector, and one of another dimension or with a component that is no finite number, has no code and is nobody's neighbour.
     """
     sent = vectors.sparkSession.sparkContext.broadcast(coder)
     dim = coder.turn.shape[0]
@@ -125,7 +132,7 @@ def encoded(vectors: DataFrame, coder: Coder, key: str = "vec_id", column: str =
                     r = rows.iloc[i : i + BATCH]
                     yield pd.DataFrame({"cell": [cell], "ids": [r["id"].to_numpy("<i8").tobytes()], "codes": [b"".join(r["code"])], "steps": [r["step"].to_numpy("<f4").tobytes()], "errors": [r["error"].to_numpy("<f4").tobytes()]})
 
-    v = vectors.where(F.col(key).isNotNull() & (F.size(column) == dim)).select(F.col(key).cast("long").alias("id"), _doubles(column).alias("v"))
+    v = vectors.where(F.col(key).isNotNull() & (F.size(column) == dim)).select(F.col(key).cast("long").alias("id"), _doubles(column).alias("v")).where(_finite("v"))
     rows = v.mapInPandas(encode, "cell int, id long, code binary, step float, error float")
     # a cell of any size goes to as many tasks as its rows need
     return rows.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").mapInPandas(pack, "cell int, ids binary, codes binary, steps binary, errors binary")
@@ -153,7 +160,7 @@ def asked_cells(queries: DataFrame, coder: Coder, key: str = "vec_id", column: s
                         yield pd.DataFrame({"part": [g], "own": [own[some].tobytes()], "asked": [q[some].tobytes()], "hits": [hits[some].tobytes()]})
 
     bound(queries.sparkSession)
-    q = queries.where(F.col(key).isNotNull() & (F.size(column) == dim)).select(F.col(key).cast("long").alias("id"), _doubles(column).alias("v"))
+    q = queries.where(F.col(key).isNotNull() & (F.size(column) == dim)).select(F.col(key).cast("long").alias("id"), _doubles(column).alias("v")).where(_finite("v"))
     packs = max(1, -(-q.count() // block))
     asked = q.groupBy(F.pmod(F.xxhash64("id"), F.lit(packs)).alias("pack")).agg(F.collect_list(F.struct("id", "v")).alias("asked")).select("asked")  # about `block` queries
     return asked.mapInPandas(ask, "part int, own binary, asked binary, hits binary")
@@ -191,6 +198,7 @@ def candidates(index: DataFrame, queries: DataFrame, coder: Coder, k: int = 10,
                     yield pd.DataFrame({"query": own[i], "id": ids[j], "estimate": found[i, j], "doubt": doubt[j]})
 
     asked = asked_cells(queries, coder, key, column, block)
+    index = index.withColumn("cell", F.col("cell").cast("int"))  # a partition column may be read as text
     met = index.withColumn("part", F.col("cell") % groups).join(asked, "part").mapInPandas(meet, "query long, id long, estimate double, doubt double")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.col("estimate") - F.col("doubt")), "id"))
     floor = met.withColumn("p", place).where(F.col("p") <= k).groupBy("query").agg(F.min(F.col("estimate") - F.col("doubt")).alias("floor"))
