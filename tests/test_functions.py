@@ -24,6 +24,11 @@ def test_clean_and_normalise(spark):
     assert one(spark, text.tokens("t"), t=" one two \n three") == ["one", "two", "three"]
 
 
+def test_normalise_by_characters(spark):
+    assert one(spark, text.normalise_for_hash("t"), t="\u039f\u0394\u039f\u03a3 \u0130A") == "\u03bf\u03b4\u03bf\u03c3 ia"
+    assert one(spark, text.normalise_for_hash("t"), t="a\u0870\U00031350\U0001e4f0-\ua7cb\ua7dc\U0001fae0b") == "a\u0870\U00031350\U0001e4f0b"
+
+
 @pytest.mark.parametrize(("t", "want"), [("one two three four five", 5), ("", 0), ("a" * 400, 50)])
 def test_estimate(spark, t, want):
     assert one(spark, text.estimate_tokens("t"), t=t) == (len(t) // 4 + len(t.split()) * 4 // 3) // 2

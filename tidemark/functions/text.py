@@ -11,6 +11,22 @@ from pyspark.sql import functions as F
 #: Unicode white space, written out: regex classes of engines disagree about it.
 SPACE = "\\x{9}-\\x{d}\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 _SPACES = "".join(map(chr, (*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def _class(ranges: str) -> str:
+    """Characters and ranges, in hex, as they stand in a class of a pattern."""
+    return "".join("-".join(f"\\x{{{x}}}" for x in r.split("-")) for r in ranges.split())
+
+
+#: Letters and digits of Unicode 14 and 15, which the patterns of the JVM (17: Unicode 13) do not know as such.
+LATER = _class(
+    "870-887 889-88e 8b5 8c8-8c9 c5d cdd 170d 171f 1b4c 2c2f 2c5f 9ffd-9fff a7c0-a7c1 a7d0-a7d1 a7d3 a7d5-a7d9 a7f2-a7f4 10570-1057a "
+    "1057c-1058a 1058c-10592 10594-10595 10597-105a1 105a3-105b1 105b3-105b9 105bb-105bc 10780-10785 10787-107b0 107b2-107ba "
+    "10f70-10f81 11071-11072 11075 1123f-11240 11740-11746 11ab0-11abf 11f02 11f04-11f10 11f12-11f33 11f50-11f59 12f90-12ff0 1342f "
+    "13441-13446 16a70-16abe 16ac0-16ac9 1aff0-1aff3 1aff5-1affb 1affd-1affe 1b11f-1b122 1b132 1b155 1df00-1df1e 1df25-1df2a "
+    "1e030-1e06d 1e290-1e2ad 1e4d0-1e4eb 1e4f0-1e4f9 1e7e0-1e7e6 1e7e8-1e7eb 1e7ed-1e7ee 1e7f0-1e7fe 2a6de-2a6df 2b735-2b739 "
+    "31350-323af"
+)
 #: ASCII white space as text cleaning collapses it; no vertical tab.
 PLAIN = "\\t\\n\\f\\r "
 #: Invisible characters that cleaning drops.
@@ -41,8 +57,12 @@ def clean(c: Column | str) -> Column:
 
 
 def normalise_for_hash(c: Column | str) -> Column:
-    """Cleaned, lower case, letters, digits and white space only, collapsed and trimmed."""
-    kept = F.regexp_replace(F.lower(clean(c)), f"[^\\p{{L}}\\p{{Nd}}{SPACE}]", "")
+    """Cleaned, lower case, letters, digits and white space only (those of Unicode 15), collapsed and trimmed."""
+    # each character has one lower case: lower() makes a sigma at the end of a word another letter, and knows two later capitals
+    x = clean(c)
+    for capital, small in (("\u03a3", "\u03c3"), ("\ua7cb", ""), ("\ua7dc", "")):
+        x = F.replace(x, F.lit(capital), F.lit(small))
+    kept = F.regexp_replace(F.lower(x), f"[\\P{{L}}&&\\P{{Nd}}&&[^{SPACE}]&&[^{LATER}]]", "")  # in steps: of one class, all ranges are asked about each character
     return trim(collapse(kept))
 
 
