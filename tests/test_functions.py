@@ -43,6 +43,14 @@ def test_quality(spark):
     assert one(spark, text.needs_ocr(F.lit(30.0), F.lit(True), F.lit(0.9)), t="") is True
 
 
+def test_printable_and_figures_by_characters(spark):
+    assert one(spark, text.printable_ratio("t"), t="\u0870\U0001fae0\u20c0\U00031350") == 1.0
+    assert one(spark, text.printable_ratio("t"), t="\ufffd\u0378\u2028\U0002ebf0") == 0.0
+    figures = F.regexp_count("t", F.lit(text.VISUAL[1]))
+    assert one(spark, figures, t="table\x0b5 figure 1 fig.\n\t2 TABLEAU\f3") == 3
+    assert one(spark, text.visual_references("t"), t="voir la SCH\u00c9MA 3, see\x0bgraph 1") == 1
+
+
 def test_first_line_cuts_whole_characters(spark):
     assert one(spark, text.first_line("t"), t=" title \nmore") == "title"
     assert one(spark, text.first_line("t", 5), t="ééé") == "éé" and one(spark, text.first_line("t", 6), t="éééé") == "ééé" and one(spark, text.first_line("t", 4), t="日本") == "日"

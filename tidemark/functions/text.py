@@ -27,14 +27,25 @@ LATER = _class(
     "1e030-1e06d 1e290-1e2ad 1e4d0-1e4eb 1e4f0-1e4f9 1e7e0-1e7e6 1e7e8-1e7eb 1e7ed-1e7ee 1e7f0-1e7fe 2a6de-2a6df 2b735-2b739 "
     "31350-323af"
 )
+#: Likewise marks, other numbers, punctuation and symbols.
+LATER_SIGNS = _class(
+    "61d 888 898-89f 8ca-8d2 c3c cf3 ece 1715 180f 1ac1-1ace 1b7d-1b7e 1dfa 20c0 2e53-2e5d fbc2 fd40-fd4f fdcf fdfe-fdff 10efd-10eff "
+    "10f82-10f89 11070 11073-11074 110c2 11241 116b9 11b00-11b09 11f00-11f01 11f03 11f34-11f3a 11f3e-11f4f 12ff1-12ff2 13440 "
+    "13447-13455 1cf00-1cf2d 1cf30-1cf46 1cf50-1cfc3 1d1e9-1d1ea 1d2c0-1d2d3 1e08f 1e2ae 1e4ec-1e4ef 1f6dc-1f6df 1f774-1f776 "
+    "1f77b-1f77f 1f7d9 1f7f0 1f979 1f9cc 1fa75-1fa77 1fa7b-1fa7c 1fa87-1fa88 1faa9-1faaf 1fab7-1fabd 1fabf 1fac3-1fac5 1face-1facf "
+    "1fad7-1fadb 1fae0-1fae8 1faf0-1faf8"
+)
 #: ASCII white space as text cleaning collapses it; no vertical tab.
 PLAIN = "\\t\\n\\f\\r "
 #: Invisible characters that cleaning drops.
 INVISIBLE = "[\\x{200b}\\x{200c}\\x{200d}\\x{feff}\\x{ad}]"
-#: References to figures and tables.
-VISUAL = (
-    r"(?i)(voir|cf\.?|see|refer\s+to)\s+(la\s+)?(figure|fig\.?|tableau|table|sch[eé]ma|schema|image|illustration|graphique|graph|diagramme|diagram)\s*\d",
-    r"(?i)(figure|fig\.?|tableau|table)\s+\d+",
+#: References to figures and tables. White space is PLAIN, for that of the JVM's patterns has the vertical tab; nor do these fold É.
+VISUAL = tuple(
+    p.replace(r"\s", f"[{PLAIN}]")
+    for p in (
+        r"(?i)(voir|cf\.?|see|refer\s+to)\s+(la\s+)?(figure|fig\.?|tableau|table|sch[eéÉ]ma|schema|image|illustration|graphique|graph|diagramme|diagram)\s*\d",
+        r"(?i)(figure|fig\.?|tableau|table)\s+\d+",
+    )
 )
 
 
@@ -116,9 +127,10 @@ def first_line(c: Column | str, most_bytes: int = 200) -> Column:
 
 
 def printable_ratio(c: Column | str) -> Column:
-    """Printable characters (and line feed, return, tab) among all; 1 for an empty text. Private-use and replacement characters are not printable."""
+    """Printable characters (and line feed, return, tab) among all; 1 for an empty text. Private-use and replacement characters are not printable, those of Unicode 14 and 15 are."""
     total = F.char_length(_col(c))
-    good = F.regexp_count(_col(c), F.lit("[\\p{L}\\p{M}\\p{N}\\p{P}\\p{S} \\n\\r\\t&&[^\\x{fffd}\\x{e000}-\\x{f8ff}]]"))
+    known = "[\\p{L}\\p{M}\\p{N}\\p{P}\\p{S} \\n\\r\\t&&[^\\x{fffd}\\x{e000}-\\x{f8ff}]]"
+    good = F.regexp_count(_col(c), F.lit(f"{known}|[{LATER}{LATER_SIGNS}]"))
     return F.when(total == 0, F.lit(1.0)).otherwise(good / F.greatest(total, F.lit(1)))
 
 
